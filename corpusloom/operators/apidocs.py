@@ -1,0 +1,194 @@
+"""API entries from documentation pages: one entry per heading."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html import escape
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+VOID = {"area", "base", "br", "col", "hr", "img", "input", "link", "meta", "source", "wbr"}
+ENTRY = (
+    "key {key}, ord int, description string, function_name string, "
+    "args array<struct<name:string,type:string,comment:string>>, ret struct<type:string,comment:string>, example string"
+)
+
+
+class _Node:
+    __slots__ = ("tag", "children", "parent", "order")
+
+    def __init__(self, tag: str, parent: _Node | None, order: int):
+        self.tag, self.parent, self.order = tag, parent, order
+        self.children: list[_Node | str] = []
+
+    def text(self) -> str:
+        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+
+    def walk(self) -> Iterator[_Node]:
+        for child in self.children:
+            if isinstance(child, _Node):
+                yield child
+                yield from child.walk()
+
+    def find(self, tag: str) -> _Node | None:
+        return next((n for n in self.walk() if n.tag == tag), None)
+
+    def later_siblings(self) -> list[_Node]:
+        nodes = [c for c in self.parent.children if isinstance(c, _Node)] if self.parent else []
+        return [n for n in nodes if n.order > self.order]
+
+    def next_sibling(self, tag: str) -> _Node | None:
+        return next((n for n in self.later_siblings() if n.tag == tag), None)
+
+
+class _Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = _Node("", None, 0)
+        self.count = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.count += 1
+        node = _Node(tag, self.at, self.count)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        node = self.at
+        while node is not None and node.tag != tag:
+            node = node.parent
+        if node is not None and node.parent is not None:
+            self.at = node.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def parse_html(html: str) -> _Node:
+    tree = _Tree()
+    tree.feed(html)
+    tree.close()
+    return tree.root
+
+
+def _returned(holder: _Node | None) -> dict | None:
+    """``ret:`` line of a list: the type in code, then a comment."""
+    found = None
+    for tag in ("li", "p"):
+        line = holder.find(tag) if holder is not None else None
+        if line is None or "ret:" not in line.text():
+            continue
+        code = line.find("code")
+        if code is not None:
+            third = line.children[2] if len(line.children) > 2 else ""
+            comment = third if isinstance(third, str) else third.text()
+            found = {"type": code.text().strip(), "comment": comment.strip()}
+    return found
+
+
+def sections(html: str, heading: str = "h3") -> Iterator[tuple]:
+    """(description, function_name, args, ret, example) per heading of a page."""
+    root = parse_html(html)
+    nodes = list(root.walk())
+    for i, head in enumerate(nodes):
+        if head.tag != heading:
+            continue
+        first = head.children[0] if head.children else ""
+        code = head.find("code")
+        after = head.later_siblings()
+        args = ret = example = None
+        if after and after[0].tag == "ul":
+            holder = after[0]
+            table = holder.next_sibling("table")
+            if table is not None:
+                body = table.find("tbody") or table
+                cells = [[c.text().strip() for c in row.walk() if c.tag == "td"] for row in body.walk() if row.tag == "tr"]
+                args = [dict(zip(("name", "type", "comment"), c)) for c in cells if len(c) == 3 and c[0] != "-"]
+                holder = table.next_sibling("ul")
+            ret = _returned(holder)
+        for node in nodes[i + 1 :]:
+            if node.tag == heading and node.parent is head.parent:
+                break
+            if node.tag == "pre":
+                block = node.find("code")
+                example = block.text().strip() if block is not None else None
+                break
+        yield (
+            (first if isinstance(first, str) else first.text()).strip(),
+            code.text().strip() if code is not None else None,
+            args,
+            ret,
+            example,
+        )
+
+
+def markdown_to_html(text: str) -> str:
+    """The parts of Markdown API pages use: headings, flat lists, tables, fences and inline code."""
+    def inline(s: str) -> str:
+        return re.sub(r"`([^`]*)`", r"<code>\1</code>", escape(s.strip(), quote=False))
+
+    out: list[str] = []
+    state = None
+
+    def switch(to: str | None) -> None:
+        nonlocal state
+        if state != to:
+            ends = {"ul": "</ul>", "table": "</tbody></table>", "pre": "</code></pre>"}
+            begins = {"ul": "<ul>", "table": "<table><tbody>", "pre": "<pre><code>"}
+            out.append(ends.get(state, "") + begins.get(to, ""))
+            state = to
+
+    for line in text.splitlines():
+        if line.lstrip().startswith("```"):
+            switch(None if state == "pre" else "pre")
+        elif state == "pre":
+            out.append(escape(line, quote=False) + "\n")
+        elif found := re.match(r"(#{1,6})\s+(.*)", line):
+            switch(None)
+            out.append(f"<h{len(found[1])}>{inline(found[2])}</h{len(found[1])}>")
+        elif found := re.match(r"\s*[-*+]\s+(.*)", line):
+            switch("ul")
+            out.append(f"<li>{inline(found[1])}</li>")
+        elif re.match(r"\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$", line) and "|" in line and set(line.strip()) <= set("|:- "):
+            # The rule under a table's header: what came before it was no body row.
+            if state == "table" and not re.fullmatch(r"\|\s*-\s*(\|\s*-\s*)+\|?", line.strip()):
+                out.pop()
+            elif state == "table":
+                cells = "".join(f"<td>{inline(c)}</td>" for c in line.strip().strip("|").split("|"))
+                out.append(f"<tr>{cells}</tr>")
+        elif line.strip().startswith("|"):
+            switch("table")
+            cells = "".join(f"<td>{inline(c)}</td>" for c in line.strip().strip("|").split("|"))
+            out.append(f"<tr>{cells}</tr>")
+        elif line.strip():
+            switch(None)
+            out.append(f"<p>{inline(line)}</p>")
+        else:
+            switch(None)
+    switch(None)
+    return "".join(out)
+
+
+def doc_sections_to_entries(
+    df: DataFrame, key: str = "path", content: str = "html", heading: str = "h3", markdown: bool = False
+) -> DataFrame:
+    """(path, ord, description, function_name, args, ret, example) per heading of every page."""
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["key", "ord", "description", "function_name", "args", "ret", "example"]
+        for batch in batches:
+            rows = []
+            for k, page in zip(batch["key"], batch["content"]):
+                html = markdown_to_html(page) if markdown else page
+                rows += [(k, i, *entry) for i, entry in enumerate(sections(html, heading))]
+            yield pd.DataFrame(rows, columns=columns)
+
+    pages = df.select(F.col(key).alias("key"), F.col(content).alias("content"))
+    marker = "#" if markdown else f"<{heading}"
+    pages = pages.where(F.lower("content").contains(marker))
+    out = pages.mapInPandas(scan, ENTRY.format(key=dict(df.dtypes)[key]))
+    return out.withColumnRenamed("key", key)
