@@ -153,11 +153,12 @@ def merge_span_array(spans: str | Column) -> Column:
     return F.aggregate(F.array_sort(col(spans)).cast(kind), F.array().cast(kind), add)
 
 
-def _word_grams(words: Column, n: int) -> Column:
-    """Word n-grams in order; none when the text is shorter."""
-    last = F.size(words) - n + 1
-    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
+def _word_grams(df: DataFrame, n: int) -> DataFrame:
+    """Explode the array column ``_words`` into its n-grams: adds ``at`` (0-based) and ``gram``."""
+    last = F.size("_words") - n + 1
+    starts = F.sequence(F.lit(1), last)
+    grams = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
+    return df.where(last >= 1).select(*[c for c in df.columns if c != "_words"], F.posexplode(grams).alias("at", "gram"))
 
 
 def contamination_overlap(
@@ -174,9 +175,9 @@ def contamination_overlap(
     the join size is left to the optimizer. Only matched places are kept, as word numbers, and
     turned into character offsets after merging.
     """
-    grams = reference.select(F.explode(_word_grams(F.split(reference_content, " "), n)).alias("gram")).distinct()
+    grams = _word_grams(reference.select(F.split(reference_content, " ").alias("_words")), n).select("gram").distinct()
     words = F.split(F.col(content), " ")
-    places = df.select(F.col(key), F.posexplode(_word_grams(words, n)).alias("at", "gram"))
+    places = _word_grams(df.select(key, words.alias("_words")), n)
     hits = places.join(grams, "gram", "left_semi").select(key, F.col("at").alias("start"), (F.col("at") + n).alias("end"))
     merged = merge_spans(hits, [key])
     texts = df.select(key, words.alias("_words")).join(merged, key)

@@ -4,7 +4,7 @@ from corpusloom.plans.registry import ORACLE, QUERIES
 
 
 def _load() -> None:
-    from corpusloom.plans import corpus  # noqa: F401
+    from corpusloom.plans import corpus, duplicates, editing, evaluation, feeds, training  # noqa: F401
 
 
 def queries():

@@ -40,11 +40,15 @@ def rows_of(columns, rows):
 
 def compare(df, db, sql: str) -> str | None:
     """None when equal, else what differs."""
+    start = time.time()
     result = db.execute(sql)
     columns = [c[0] for c in result.description]
+    fetched = result.fetchall()
+    if time.time() - start > 5:
+        print(f"     (oracle took {time.time() - start:.1f}s)")
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
-    mine, theirs = rows_of(df.columns, df.collect()), rows_of(columns, result.fetchall())
+    mine, theirs = rows_of(df.columns, df.collect()), rows_of(columns, fetched)
     if len(mine) != len(theirs):
         return f"rows {len(mine)} != {len(theirs)}"
     for a, b in zip(mine, theirs):
