@@ -155,8 +155,8 @@ def unmatched_names(results: DataFrame) -> DataFrame:
     return results.select(F.explode("unmatch.target").alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
-def report_rows(results: DataFrame, is_md: bool = True) -> Column:
-    """Markdown section of one generation."""
+def report_section(is_md: bool = True) -> Column:
+    """Markdown section of one generation (prompt, generated, note)."""
     body = F.col("generated") if is_md else F.concat(F.lit("``` "), F.col("generated"), F.lit("\n```"))
     return F.concat(
         F.lit("\n ---  \n  **Prompt: "), F.col("prompt"), F.lit("** \n\n **Output:**  \n "), body,

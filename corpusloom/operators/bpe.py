@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import first_n
-from corpusloom.session import materialize
+from corpusloom.session import materialize, spread
 
 # Fixed value: the published byte-level pre-tokenizer pattern.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,7 +82,7 @@ def bpe_train(
     is written to the shared folder every few rounds to keep plans short.
     """
     texts = df if n_examples is None else first_n(df, key, n_examples)
-    words = materialize(word_counts(texts, content), "bpe-words")
+    words = spread(materialize(word_counts(texts, content), "bpe-words"), "word")
     merges: list[Merge] = []
     spelled = {chr(i): chr(i) for i in range(BYTES)}
     since = 0
@@ -98,7 +98,7 @@ def bpe_train(
             words = words.withColumn("word", F.replace("word", F.lit(pair), F.lit(symbol)))
         since += 1
         if since == 4:
-            words, since = materialize(words, "bpe-words"), 0
+            words, since = spread(materialize(words, "bpe-words"), "word"), 0
     return merges
 
 

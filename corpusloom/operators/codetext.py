@@ -44,19 +44,18 @@ def comment_code_pairs(df: DataFrame, content: str = "content", keep: tuple[str,
         F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("notation"),
         F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("code"),
     )
-    rows = df.select(*keep, content, F.posexplode(pairs).alias("ord", "pair"))
-    start = F.expr(f"locate(pair.code, `{content}`) - 1")
-    return (
-        rows.where(~strip("pair.code").startswith("--"))
-        .withColumn("start", start)
-        .select(
-            *keep,
-            "ord",
-            strip("pair.notation").alias("notation"),
-            strip("pair.code").alias("code"),
-            "start",
-            (F.col("start") + F.length("pair.code") - 1).alias("end"),
-        )
+    # Places are looked up inside the row, so an exploded row does not carry the text.
+    placed = df.select(*keep, content, pairs.alias("pairs")).selectExpr(
+        *keep, f"transform(pairs, p -> struct(p.notation, p.code, locate(p.code, `{content}`) - 1 AS start)) AS pairs"
+    )
+    rows = placed.select(*keep, F.posexplode("pairs").alias("ord", "pair"))
+    return rows.where(~strip("pair.code").startswith("--")).select(
+        *keep,
+        "ord",
+        strip("pair.notation").alias("notation"),
+        strip("pair.code").alias("code"),
+        "pair.start",
+        (F.col("pair.start") + F.length("pair.code") - 1).alias("end"),
     )
 
 
@@ -64,8 +63,8 @@ def grep_lines(df: DataFrame, substring: str, content: str = "content", keep: tu
     """1-based numbers of the lines that contain ``substring``; files without a hit are left out."""
     rows = F.split(F.regexp_replace(F.col(content), r"\r\n?", "\n"), "\n", -1)
     hits = F.filter(F.transform(rows, lambda l, i: F.when(l.contains(substring), i + 1)), lambda n: n.isNotNull())
-    hit_files = df.where(F.col(content).contains(substring))
-    return hit_files.select(*keep, hits.alias("line_numbers")).where(F.size("line_numbers") > 0)
+    found = F.col(content).contains(substring) & F.lit("\n" not in substring)
+    return df.where(found).select(*keep, hits.alias("line_numbers"))
 
 
 def remove_last_block(text: str | Column, markers: list[str] = END_OF_FUNCTION) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.keyed import first_per_key, salted_join, top_per_group
+from corpusloom.operators.keyed import HOT_ROWS, first_per_key, hot_keys, salted_join, top_per_group
 
 KEYS = ["filename", "user"]
 # Fixed value: keys compare without regard to case, accents and trailing blanks.
@@ -24,14 +24,20 @@ def _folded(df: DataFrame, keys: list[str], collation: str | None) -> tuple[Data
 
 
 def reduce_events(
-    df: DataFrame, keys: list[str], content: str, ts: str, order: list[str], collation: str | None = KEY_COLLATION
+    df: DataFrame,
+    keys: list[str],
+    content: str,
+    ts: str,
+    order: list[str],
+    collation: str | None = KEY_COLLATION,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per key: content, date_modified (start of the last unbroken run of that content),
     and ``unchanged``, true when there was no other content.
 
     Contents are reduced to (key, digest, last position) before anything else, so a key that
-    gets a third of all events weighs no more than its distinct contents; the look-up of
-    the winning content is salted. Keys keep the spelling of their first event.
+    gets a third of all events weighs no more than its distinct contents; in the look-up of
+    the winning content such keys are salted. Keys keep the spelling of their first event.
     """
     folded, names, spelled = _folded(df, keys, collation)
     events = folded.select(
@@ -43,7 +49,7 @@ def reduce_events(
         F.col(content).alias("content"),
     )
     runs = events.groupBy(*names, "_digest").agg(
-        F.max("_at").alias("_last"), F.min(F.struct("_at", "_spelled")).alias("_born")
+        F.max("_at").alias("_last"), F.min(F.struct("_at", "_spelled")).alias("_born"), F.count(F.lit(1)).alias("n")
     )
     born = runs.groupBy(*names).agg(F.min("_born")["_spelled"].alias("_spelled"))
     two = top_per_group(runs, names, [F.col("_last").desc()], 2)
@@ -51,7 +57,8 @@ def reduce_events(
     winners = two.groupBy(*names).agg(
         F.max(F.when(newest, F.col("_digest"))).alias("_digest"), F.max(F.when(~newest, F.col("_last"))).alias("_other")
     )
-    joined = salted_join(events.drop("_spelled"), winners, [*names, "_digest"], "inner", spread=["_at"])
+    found = [*names, "_digest"]
+    joined = salted_join(events.drop("_spelled"), winners, found, "inner", spread=["_at"], hot=hot_keys(runs, found, at_least=hot_rows))
     run = joined.where(F.col("_other").isNull() | (F.col("_at") > F.col("_other")))
     first = run.groupBy(*names).agg(
         F.min_by(F.struct("_ts", "content"), "_at").alias("_first"), F.max(F.col("_other").isNull()).alias("unchanged")

@@ -56,17 +56,23 @@ def _turns(messages: str | Column, user: str, assistant: str, end: str) -> Colum
     return F.array_join(F.transform(col(messages), turn), "")
 
 
-def _with_system(t: Template, messages: str | Column) -> Column:
+def _with_system(t: Template, messages: str | Column, first: Column | None) -> Column:
     head = F.lit(f"{t.system_token}\n{t.system}{t.end_token}\n")
+    head = head if first is None else F.when(first, head).otherwise("")
     return F.concat(head, _turns(messages, f"{t.user_token}\n", f"{t.assistant_token}\n", f"{t.end_token}\n"))
 
 
-def training_prompt(messages: str | Column, t: Template = TEMPLATES["default"]) -> Column:
-    return _with_system(t, messages)
+def training_prompt(messages: str | Column, t: Template = TEMPLATES["default"], first: Column | None = None) -> Column:
+    """System header and all turns; only the ``first`` part of a long dialogue has the header."""
+    return _with_system(t, messages, first)
 
 
-def inference_prompt(messages: str | Column, t: Template = TEMPLATES["default"]) -> Column:
-    return F.concat(_with_system(t, messages), F.lit(t.assistant_token))
+def inference_prompt(
+    messages: str | Column, t: Template = TEMPLATES["default"], first: Column | None = None, last: Column | None = None
+) -> Column:
+    """The training text, open for the assistant's next turn after the ``last`` part."""
+    opening = F.lit(t.assistant_token)
+    return F.concat(_with_system(t, messages, first), opening if last is None else F.when(last, opening).otherwise(""))
 
 
 def readable(messages: str | Column) -> Column:
@@ -136,16 +142,33 @@ def dialogue_to_messages(text: str | Column) -> Column:
     return F.filter(F.transform(segments, parse), lambda m: m.isNotNull()).cast(MESSAGES)
 
 
-def collect_messages(df: DataFrame, dialogue: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per dialogue from one row per turn.
+TURNS_PER_ROW = 1000
 
-    A dialogue is one training text, so its turns must meet in one row; the group is as
-    large as that text.
+
+def collect_messages(
+    df: DataFrame,
+    dialogue: str = "conv_id",
+    order: str = "turn",
+    role: str = "role",
+    text: str = "text",
+    per_row: int = TURNS_PER_ROW,
+    mark_last: bool = False,
+) -> DataFrame:
+    """(dialogue, part, messages) from one row per turn, turns numbered from 0.
+
+    A dialogue of at most ``per_row`` turns is one row, ``part`` 0. A longer one continues in
+    further parts, so no row or task gathers an unbounded dialogue; its texts, in part order,
+    join to the text of the whole. ``last`` marks the final part when asked for.
     """
+    part = F.floor(F.col(order) / per_row).cast("int")
     turns = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("content"), F.col(role).alias("role"))))
-    grouped = df.groupBy(dialogue).agg(turns.alias("_turns"))
+    grouped = df.groupBy(dialogue, part.alias("part")).agg(turns.alias("_turns"))
     plain = F.transform("_turns", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
-    return grouped.select(dialogue, plain.alias("messages"))
+    parts = grouped.select(dialogue, "part", plain.alias("messages"))
+    if not mark_last:
+        return parts
+    final = df.groupBy(dialogue).agg(F.max(part).alias("part")).withColumn("last", F.lit(True))
+    return parts.join(final, [dialogue, "part"], "left").withColumn("last", F.coalesce("last", F.lit(False)))
 
 
 def system_as_header(messages: str | Column, t: Template = TEMPLATES["default"]) -> Column:

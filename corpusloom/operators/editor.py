@@ -132,10 +132,12 @@ def _merge(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
 def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", stride: int = 100_000) -> DataFrame:
     """Spans of a key that touch or overlap become one.
 
-    Spans are merged inside stretches of ``stride`` positions first, so a key with very many
-    spans is spread over tasks and only its merged remains meet in the second step.
+    Spans with the same start are reduced to the longest before the shuffle and merged inside
+    stretches of ``stride`` positions first: no task gets more than ``stride`` spans of a
+    key at a time, and only merged remains meet in the second step.
     """
-    parted = df.select(*keys, start, end).withColumn("_part", F.floor(F.col(start) / stride))
+    longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
+    parted = longest.withColumn("_part", F.floor(F.col(start) / stride))
     return _merge(_merge(parted, [*keys, "_part"], start, end).drop("_part"), keys, start, end)
 
 
@@ -156,9 +158,9 @@ def merge_span_array(spans: str | Column) -> Column:
 def _word_grams(df: DataFrame, n: int) -> DataFrame:
     """Explode the array column ``_words`` into its n-grams: adds ``at`` (0-based) and ``gram``."""
     last = F.size("_words") - n + 1
-    starts = F.sequence(F.lit(1), last)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
     grams = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
-    return df.where(last >= 1).select(*[c for c in df.columns if c != "_words"], F.posexplode(grams).alias("at", "gram"))
+    return df.select(*[c for c in df.columns if c != "_words"], F.posexplode(grams).alias("at", "gram"))
 
 
 def contamination_overlap(

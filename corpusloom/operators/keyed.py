@@ -27,21 +27,47 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[str | Column], k:
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+HOT_ROWS = 100_000
+HOT_KEYS = 1000
+
+
+def hot_keys(counts: DataFrame, on: list[str], n: str = "n", at_least: int = HOT_ROWS, top: int = HOT_KEYS) -> DataFrame:
+    """The keys with the most rows: at most ``top`` of them, so the list can be broadcast.
+
+    ``counts`` has one row per key. Ties are cut in key order, so every evaluation agrees.
+    """
+    return counts.where(F.col(n) > at_least).orderBy(F.col(n).desc(), *on).limit(top).select(*on)
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 32, spread: list[str] | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "left",
+    salts: int = 32,
+    spread: list[str] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi join of a large, possibly skewed ``left`` with a much smaller ``right``.
+    """Equi join of a possibly skewed ``left`` with a ``right`` that has few rows per key.
 
-    Every left row gets one of ``salts`` values from a hash of its ``spread`` columns and every
-    right row is copied once per value, so the rows of one hot key spread over ``salts`` tasks.
-    The copies sit under the exchange, which lets adaptive execution split further or, when the
-    right side turns out small, switch to a broadcast join; no size is assumed here.
+    Left rows get one of ``salts`` values from a hash of their ``spread`` columns and right rows are
+    copied once per value, so the rows of one hot key spread over ``salts`` tasks. With
+    ``hot`` (from ``hot_keys``) only those keys are salted and copied, which suits a
+    right side of about the size of the left. The salt sits under the exchange, so adaptive
+    execution can still split further, or broadcast a right side that turns out small.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"salted_join keeps left rows only: {how}")
-    spread = spread or left.columns
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    draw = F.pmod(F.xxhash64(*(spread or left.columns)), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot is None:
+        salted, copies = left.withColumn("_salt", draw), right.withColumn("_salt", F.explode(every))
+    else:
+        # At most HOT_KEYS rows.
+        flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+        salted = left.join(flags, on, "left").withColumn("_salt", F.when(F.col("_hot"), draw).otherwise(0)).drop("_hot")
+        copied = F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))
+        copies = right.join(flags, on, "left").withColumn("_salt", F.explode(copied)).drop("_hot")
     return salted.join(copies, on=[*on, "_salt"], how=how).drop("_salt")
 
 

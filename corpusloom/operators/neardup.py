@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col
-from corpusloom.functions.tokens import dedup_words, jaccard
-from corpusloom.operators.keyed import first_per_key, salted_join, without_ids
-from corpusloom.session import materialize
+from corpusloom.functions.tokens import DEDUP_PATTERN, dedup_words, jaccard
+from corpusloom.operators.keyed import HOT_ROWS, hot_keys, salted_join, without_ids
+from corpusloom.session import materialize, spread
 
 # Fixed values of the reference job.
 MIN_TOKENS = 10
@@ -35,6 +35,7 @@ NUM_PERM = 256
 THRESHOLD = 0.85
 
 BLOCK = 64
+LARGEST_BLOCK = 512
 SALTS = 256
 
 
@@ -108,13 +109,17 @@ def dedup_tokens(c: str | Column) -> Column:
     return F.array_distinct(dedup_words(c))
 
 
+def long_enough(c: str | Column, min_tokens: int = MIN_TOKENS) -> Column:
+    """At least ``min_tokens`` words, repeats counted; reads only as far as the last of them."""
+    return col(c).rlike(rf"(?:{DEDUP_PATTERN}[^A-Za-z_0-9]+){{{min_tokens - 1}}}[A-Za-z_0-9]")
+
+
 def dedup_table(df: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """(id, words, set_key) of the texts long enough to be compared.
 
     The length test counts all words with repeats; the comparison uses the set.
     """
-    listed = df.select(F.col(key).alias("id"), dedup_words(content).alias("_list")).where(F.size("_list") >= MIN_TOKENS)
-    distinct = listed.select("id", F.array_distinct("_list").alias("_set"))
+    distinct = df.where(long_enough(content)).select(F.col(key).alias("id"), dedup_tokens(content).alias("_set"))
     return distinct.select(
         "id",
         F.transform("_set", lambda w: F.xxhash64(w)).alias("words"),
@@ -126,10 +131,9 @@ def minhash_signature(
     df: DataFrame, key: str = "id", content: str = "content", num_perm: int = NUM_PERM, seed: int = 1
 ) -> DataFrame:
     """(id, signature); texts under ``MIN_TOKENS`` words have a NULL signature."""
-    words = F.transform(F.array_distinct("_list"), lambda w: F.xxhash64(w))
-    listed = df.select(F.col(key).alias("id"), dedup_words(content).alias("_list"))
-    hashed = listed.where(F.size("_list") >= MIN_TOKENS).select("id", _signature_udf(num_perm, seed)(words).alias("signature"))
-    short = listed.where(F.size("_list") < MIN_TOKENS).select("id", F.lit(None).cast("array<bigint>").alias("signature"))
+    words = F.transform(dedup_tokens(content), lambda w: F.xxhash64(w))
+    hashed = df.where(long_enough(content)).select(F.col(key).alias("id"), _signature_udf(num_perm, seed)(words).alias("signature"))
+    short = df.where(~long_enough(content)).select(F.col(key).alias("id"), F.lit(None).cast("array<bigint>").alias("signature"))
     return hashed.unionByName(short)
 
 
@@ -157,11 +161,11 @@ def bucket_links(buckets: DataFrame, salts: int = SALTS) -> DataFrame:
     return low.unionByName(high).distinct()
 
 
-def connected_components(links: DataFrame, salts: int = 32) -> DataFrame:
+def connected_components(links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, component): the smallest id reachable over the links.
 
     A round takes the smallest label among the neighbours and then the label of that label,
-    so distances shrink by doubling. Labels are looked up through a salted join, since one
+    so distances shrink by doubling. Frequent labels are salted in that look-up, since one
     component, and with it one label, may cover a large part of the nodes.
     """
     both = materialize(
@@ -174,7 +178,8 @@ def connected_components(links: DataFrame, salts: int = 32) -> DataFrame:
         near = near.agg(F.min("component").alias("near"))
         lowered = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("lower"))
         target = labels.select(F.col("id").alias("lower"), F.col("component").alias("jump"))
-        moved = salted_join(lowered, target, ["lower"], "left", salts, spread=["id"])
+        hot = hot_keys(labels.groupBy(F.col("component").alias("lower")).agg(F.count(F.lit(1)).alias("n")), ["lower"], at_least=hot_rows)
+        moved = salted_join(lowered, target, ["lower"], "left", spread=["id"], hot=hot)
         moved = materialize(
             moved.select("id", F.least("lower", F.coalesce("jump", "lower")).alias("component"), F.col("component").alias("old")),
             "labels",
@@ -185,7 +190,7 @@ def connected_components(links: DataFrame, salts: int = 32) -> DataFrame:
 
 
 def _greedy(threshold: float):
-    """Greedy walk over one block (at most ``BLOCK`` rows) in id order."""
+    """Greedy walk over one block (at most ``LARGEST_BLOCK`` rows) in id order."""
 
     def resolve(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("id")
@@ -211,7 +216,8 @@ def cluster_extremes(members: DataFrame, threshold: float = THRESHOLD, block: in
 
     ``members`` has (cluster, id, words). Each round resolves the first ``block`` open members of
     every cluster exactly; open members behind them are then compared with the extremes found,
-    and the unmatched ones stay open. Clusters of at most ``block`` members finish in round one.
+    and the unmatched ones stay open. Clusters of at most ``block`` members finish in round one;
+    blocks double for the few larger ones, up to ``LARGEST_BLOCK``.
     """
     open_rows = members.select("cluster", "id", "words")
     done: DataFrame | None = None
@@ -239,6 +245,7 @@ def cluster_extremes(members: DataFrame, threshold: float = THRESHOLD, block: in
         open_rows = judged.where("extreme is null").select("cluster", "id", "words")
         if open_rows.isEmpty():
             return done
+        block = min(2 * block, max(block, LARGEST_BLOCK))
 
 
 def duplicate_clusters(
@@ -249,6 +256,7 @@ def duplicate_clusters(
     threshold: float = THRESHOLD,
     num_perm: int = NUM_PERM,
     seed: int = 1,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(cluster_id, base_index, <carry>, is_extreme, copies): every text of every duplicate cluster.
 
@@ -259,10 +267,10 @@ def duplicate_clusters(
     texts = materialize(table.select("id", "set_key"), "sets")
     firsts = texts.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
     firsts = materialize(firsts, "firsts")
-    reps = materialize(table.join(firsts.select(F.col("rep").alias("id"), "n_same"), "id"), "reps")
+    reps = spread(materialize(table.join(firsts.select(F.col("rep").alias("id")), "id"), "reps"), "id")
 
     links = materialize(bucket_links(lsh_buckets(reps, threshold, num_perm, seed)), "links")
-    components = connected_components(links)
+    components = connected_components(links, hot_rows)
     members = reps.select("id", "words").join(components, "id").withColumnRenamed("component", "cluster")
     solved = cluster_extremes(members, threshold)
 
@@ -273,10 +281,10 @@ def duplicate_clusters(
     verdicts = materialize(verdicts, "verdicts")
     copies = verdicts.groupBy(F.col("extreme").alias("base_index")).agg(F.sum("n_same").alias("copies"))
 
-    # One word set may hold a large share of the texts: look its verdict up through a salted join.
-    listed = salted_join(
-        texts, verdicts.select("set_key", F.col("cluster").alias("cluster_id"), "extreme"), ["set_key"], "inner", spread=["id"]
-    )
+    # One word set may hold a large share of the texts: those sets are salted.
+    found = verdicts.select("set_key", F.col("cluster").alias("cluster_id"), "extreme")
+    hot = hot_keys(firsts, ["set_key"], "n_same", hot_rows)
+    listed = salted_join(texts, found, ["set_key"], "inner", spread=["id"], hot=hot)
     listed = listed.select("cluster_id", F.col("id").alias("base_index"), (F.col("id") == F.col("extreme")).alias("is_extreme"))
     carried = df.select(F.col(key).alias("base_index"), *carry)
     named = listed.join(carried, "base_index").join(copies, "base_index", "left")
@@ -295,13 +303,6 @@ def near_dedup(df: DataFrame, key: str = "id", clusters: DataFrame | None = None
     return without_ids(df, removed_ids(clusters).withColumnRenamed("id", key), key), clusters
 
 
-def nested_clusters(clusters: DataFrame) -> DataFrame:
-    """Clusters with the extremes as an array: the size of a cluster's copies does not matter."""
-    extremes = clusters.where("is_extreme").drop("is_extreme")
-    fields = [c for c in extremes.columns if c != "cluster_id"]
-    return extremes.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("extremes"))
-
-
 def dedup_stats(df: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row of sizes: original, clusters, files in clusters, unique files in them, filtered."""
     per_cluster = clusters.groupBy("cluster_id").agg(
@@ -313,8 +314,8 @@ def dedup_stats(df: DataFrame, clusters: DataFrame) -> DataFrame:
         F.coalesce(F.sum("unique_files"), F.lit(0)).alias("unique_files"),
     )
     total = df.agg(F.count(F.lit(1)).alias("original"))
-    # Two one-row tables.
-    both = total.join(F.broadcast(sizes))
+    names = ["original", "clusters", "files_in_clusters", "unique_files"]
+    both = total.unionByName(sizes, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
     return both.withColumn("filtered", F.col("original") - F.col("files_in_clusters") + F.col("unique_files"))
 
 
@@ -327,8 +328,3 @@ def lookup_content(members: DataFrame, df: DataFrame, key: str = "id", content:
     """Members with their text."""
     texts = df.select(F.col(key).alias("base_index"), content)
     return members.join(texts, "base_index")
-
-
-def first_of_cluster(clusters: DataFrame) -> DataFrame:
-    """The base of every cluster."""
-    return first_per_key(clusters, ["cluster_id"], ["base_index"])

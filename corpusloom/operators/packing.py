@@ -37,11 +37,18 @@ def _slices_by_block(df: DataFrame, keys: list[str], block: int, tokens: str = "
     """
     first = F.floor(F.col(start) / block)
     last = F.floor((F.col(start) + F.size(tokens) - 1) / block)
-    touched = df.where(F.size(tokens) > 0).withColumn("block", F.explode(F.sequence(first, last)))
-    head = F.greatest(F.col("block") * block - F.col(start), F.lit(0))
-    tail = F.least((F.col("block") + 1) * block - F.col(start), F.size(tokens))
-    cut = F.slice(tokens, (head + 1).cast("int"), (tail - head).cast("int"))
-    pieces = touched.select(*keys, "block", F.struct((F.col(start) + head).alias("at"), cut.alias("ids")).alias("piece"))
+
+    def piece(b: Column) -> Column:
+        head = F.greatest(b * block - F.col(start), F.lit(0))
+        tail = F.least((b + 1) * block - F.col(start), F.size(tokens))
+        ids = F.slice(tokens, (head + 1).cast("int"), (tail - head).cast("int"))
+        return F.struct(b.alias("block"), (F.col(start) + head).alias("at"), ids.alias("ids"))
+
+    # Cut inside the row, so an exploded row carries its slice and not the whole text. A filter on
+    # the tokens would be pushed down and compute them twice; an empty row has no blocks.
+    cuts = F.transform(F.when(F.size(tokens) > 0, F.sequence(first, last)), piece)
+    pieces = df.select(*keys, F.explode(cuts).alias("p"))
+    pieces = pieces.select(*keys, "p.block", F.struct("p.at", "p.ids").alias("piece"))
     grouped = pieces.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     return grouped.select(*keys, "block", F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("input_ids"))
 
@@ -136,8 +143,9 @@ def pack_group_texts(df: DataFrame, block_size: int = 1024, key: str = "id", tok
 def chunk_overflow(df: DataFrame, block_size: int = 1024, tokens: str = "input_ids", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """Full pieces of ``block_size`` tokens of each text by itself."""
     n = F.floor(F.size(tokens) / block_size).cast("int")
-    pieces = df.where(n > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
-    return pieces.select(*keep, "chunk", F.slice(tokens, F.col("chunk") * block_size + 1, F.lit(block_size)).alias("input_ids"))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    chunks = F.transform(places, lambda i: F.slice(tokens, i * block_size + 1, F.lit(block_size)))
+    return df.select(*keep, F.posexplode(chunks).alias("chunk", "input_ids"))
 
 
 def truncate_tokens(tokens: str | Column, max_length: int = 1024) -> Column:

@@ -10,6 +10,7 @@ from corpusloom.operators import filters as fl
 from corpusloom.operators import keyed, ordering
 from corpusloom.plans import sql as q
 from corpusloom.plans.registry import documents, query, table
+from corpusloom.session import spread
 
 # Prose lines are longer than code lines.
 PROSE = fl.QualityRules(line_mean=500.0)
@@ -166,7 +167,7 @@ def file_events(spark, d):
     """The event table as editor events: half of the values stand for Lua files."""
     kind = F.when(F.col("event_type").isin("click", "view", "purchase"), "save").otherwise("autocomplete")
     name = F.concat(F.lit("src/f"), F.get_json_object("props", "$.k"), F.when(F.col("value") > 5, ".lua").otherwise(".py"))
-    return table(spark, d, "events").select(
+    return spread(table(spark, d, "events"), "event_id").select(
         "event_id", "ts", kind.alias("type"), name.alias("filename"), F.col("user_id").cast("string").alias("host"),
         F.col("event_type").alias("inputs"),
     )

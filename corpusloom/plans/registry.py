@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -30,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus: (id, content, source, lang)."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS content", "source", "lang")
+    return spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr("doc_id AS id", "text AS content", "source", "lang")

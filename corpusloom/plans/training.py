@@ -45,7 +45,8 @@ _DEFAULT, _ALPACA, _NO_SYSTEM = (dl.TEMPLATES[n] for n in ("default", "alpaca",
 
 @query("render_training_prompt", f"SELECT conv_id, {_header(_DEFAULT)} || {_body(_DEFAULT)} AS text FROM conversations GROUP BY conv_id")
 def _(spark, d):
-    return _dialogues(spark, d).select("conv_id", dl.training_prompt("messages", _DEFAULT).alias("text"))
+    first = F.col("part") == 0
+    return _dialogues(spark, d).select("conv_id", dl.training_prompt("messages", _DEFAULT, first).alias("text"))
 
 
 @query(
@@ -53,7 +54,9 @@ def _(spark, d):
     f"SELECT conv_id, {_header(_ALPACA)} || {_body(_ALPACA)} || '{_ALPACA.assistant_token}' AS text FROM conversations GROUP BY conv_id",
 )
 def _(spark, d):
-    return _dialogues(spark, d).select("conv_id", dl.inference_prompt("messages", _ALPACA).alias("text"))
+    parts = dl.collect_messages(table(spark, d, "conversations"), mark_last=True)
+    text = dl.inference_prompt("messages", _ALPACA, F.col("part") == 0, F.col("last"))
+    return parts.select("conv_id", text.alias("text"))
 
 
 _READABLE = _turns("chr(10) || chr(10) || 'Human: '", "chr(10) || chr(10) || 'Assistant: '", "''")
@@ -255,7 +258,9 @@ USER, ASSISTANT = 1 << 29, (1 << 29) + 1
 def _(spark, d):
     role = F.when(F.col("role") == "user", USER).otherwise(ASSISTANT)
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.array(role), default_tokenizer("text")).alias("ids"))
-    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ids"))).alias("t"))
+    # Every part of a dialogue starts at a role token, so parts are masked by themselves.
+    part = F.floor(F.col("turn") / dl.TURNS_PER_ROW)
+    listed = turns.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("turn", "ids"))).alias("t"))
     flat = listed.select("conv_id", F.flatten(F.transform("t", lambda x: x["ids"])).alias("ids"))
     return flat.select("conv_id", F.array_join(pk.mask_user_labels("ids", USER, ASSISTANT), " ").alias("labels"))
 

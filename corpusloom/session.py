@@ -49,6 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by ``keys`` when a scan has fewer splits than there are task slots.
+
+    A small table in one parquet row group is one task's work however many cores there are.
+    Inputs of cluster size have more splits than slots and pass through unchanged.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
