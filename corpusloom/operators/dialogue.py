@@ -106,14 +106,19 @@ def as_messages(df: DataFrame) -> Column:
 def prepare_dialogue(df: DataFrame, t: Template = TEMPLATES["default"], is_train: bool = True) -> DataFrame:
     """Adds ``text``."""
     render = training_prompt if is_train else inference_prompt
-    return df.withColumn("text", render(as_messages(df), t))
+    return df.withColumn("text", render(as_messages(df), t, first_part(df)))
+
+
+def first_part(df: DataFrame) -> Column | None:
+    """Which rows open a dialogue, when the table holds dialogues in parts."""
+    return F.coalesce(F.col("part"), F.lit(0)) == 0 if "part" in df.columns else None
 
 
 def prepare_mixed(df: DataFrame, t: Template = TEMPLATES["default"]) -> DataFrame:
     """Adds ``text`` to rows of ``type`` code or dialogue; other types are an error."""
     code = F.concat("content", F.lit(f"{t.eos_token}\n"))
     unknown = F.raise_error(F.concat(F.lit("unknown row type: "), F.coalesce("type", F.lit("NULL")))).cast("string")
-    spoken = training_prompt(as_messages(df), t)
+    spoken = training_prompt(as_messages(df), t, first_part(df))
     return df.withColumn("text", F.when(F.col("type") == "code", code).when(F.col("type") == "dialogue", spoken).otherwise(unknown))
 
 

@@ -98,7 +98,7 @@ def _(spark, d):
 )
 def _(spark, d):
     code = documents(spark, d).select(F.lit("code").alias("type"), "id", "content")
-    spoken = _dialogues(spark, d).select(F.lit("dialogue").alias("type"), F.col("conv_id").alias("id"), "messages")
+    spoken = _dialogues(spark, d).select(F.lit("dialogue").alias("type"), F.col("conv_id").alias("id"), "part", "messages")
     mixed = code.unionByName(spoken, allowMissingColumns=True)
     return dl.prepare_mixed(mixed, _NO_SYSTEM).select("type", "id", "text")
 

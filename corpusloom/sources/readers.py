@@ -47,9 +47,9 @@ def api_entries(files: DataFrame, path: str = "filepath", content: str = "conten
 
     Of every document the value of its first key counts; the key is the package name.
     """
-    keyed = files.withColumn("package", F.get(F.json_object_keys(content), F.lit(0))).where("package is not null")
-    first_value = F.concat(F.lit("$['"), F.col("package"), F.lit("']"))
-    body = F.call_function("get_json_object", F.col(content), first_value)
+    pairs = F.map_entries(F.from_json(content, "map<string,string>"))
+    keyed = files.withColumn("_first", F.get(pairs, F.lit(0))).where("_first is not null")
+    keyed, body = keyed.withColumn("package", F.col("_first.key")), F.col("_first.value")
     entries = F.from_json(body, f"array<{API_ENTRY}>")
     rows = keyed.select("package", F.col(path).alias("file"), F.posexplode(entries).alias("ord", "e"))
     return rows.select("package", "file", "ord", "e.description", "e.function_name", "e.args", F.col("e.return").alias("ret"), "e.example")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from corpusloom.operators.collect import KEYS, merge_reduced, reduce_events
-from corpusloom.operators.dialogue import Template, training_prompt
+from corpusloom.operators.dialogue import Template, first_part, training_prompt
 from corpusloom.operators.filters import file_events
 
 EVENT = "type string, filename string, inputs string, parameters map<string,string>, host string, ts timestamp"
@@ -87,4 +87,4 @@ def collect_first_stream(events: DataFrame, keys: list[str] = KEYS, watermark: s
 
 def stream_dialogue_prompts(dialogues: DataFrame, t: Template, messages: str = "messages") -> DataFrame:
     """Rendering keeps no state: the batch expression runs on a stream."""
-    return dialogues.withColumn("text", training_prompt(messages, t))
+    return dialogues.withColumn("text", training_prompt(messages, t, first_part(dialogues)))
