@@ -18,6 +18,7 @@ The result equals the sequential greedy walk over each cluster in id order.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,8 @@ NUM_PERM = 256
 THRESHOLD = 0.85
 
 BLOCK = 64
-LARGEST_BLOCK = 512
+LARGEST_BLOCK = 2048
+PART_WORDS = 1_000_000
 SALTS = 256
 
 
@@ -189,35 +191,69 @@ def connected_components(links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
             return labels
 
 
+class _WordIndex:
+    """Which of a bounded number of word sets hold a word; compares a set with all of them at once."""
+
+    def __init__(self):
+        self.holders: dict[int, list[int]] = {}
+        self.ids: list[int] = []
+        self.sizes: list[int] = []
+
+    def add(self, key: int, words: np.ndarray) -> None:
+        for word in words.tolist():
+            self.holders.setdefault(word, []).append(len(self.ids))
+        self.ids.append(key)
+        self.sizes.append(len(words))
+
+    def first_similar(self, words: np.ndarray, threshold: float) -> int | None:
+        """Id of the first set with a Jaccard similarity of at least ``threshold``."""
+        found = [self.holders[w] for w in words.tolist() if w in self.holders]
+        if not found:
+            return None
+        shared = np.bincount(np.fromiter(chain.from_iterable(found), np.int64), minlength=len(self.ids))
+        similar = shared / (np.array(self.sizes) + len(words) - shared) >= threshold
+        first = int(similar.argmax())
+        return self.ids[first] if similar[first] else None
+
+
 def _greedy(threshold: float):
     """Greedy walk over one block (at most ``LARGEST_BLOCK`` rows) in id order."""
 
     def resolve(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("id")
-        kept: list[tuple[int, set]] = []
-        extreme_of = []
+        extremes, extreme_of = _WordIndex(), []
         for key, words in zip(block["id"], block["words"]):
-            mine = set(words)
-            for other, theirs in kept:
-                both = len(mine & theirs)
-                if both >= threshold * (len(mine) + len(theirs) - both):
-                    extreme_of.append(other)
-                    break
-            else:
-                kept.append((key, mine))
-                extreme_of.append(key)
+            hit = extremes.first_similar(words, threshold)
+            if hit is None:
+                extremes.add(key, words)
+            extreme_of.append(key if hit is None else hit)
         return pd.DataFrame({"cluster": block["cluster"], "id": block["id"], "extreme": extreme_of})
 
     return resolve
 
 
+def _judge(threshold: float):
+    """Compare a bounded part of a cluster with the extremes of one block, in their id order."""
+
+    def judge(part: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        extremes = _WordIndex()
+        for key, words in leaders.sort_values("id")[["id", "words"]].itertuples(index=False):
+            extremes.add(key, words)
+        hits = [extremes.first_similar(words, threshold) for words in part["words"]]
+        extreme = pd.array(hits, dtype="Int64")
+        return pd.DataFrame({"cluster": part["cluster"], "id": part["id"], "words": part["words"], "extreme": extreme})
+
+    return judge
+
+
 def cluster_extremes(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, salts: int = 32) -> DataFrame:
     """(cluster, id, extreme): each member joins the first extreme it resembles, else becomes one.
 
-    ``members`` has (cluster, id, words). Each round resolves the first ``block`` open members of
-    every cluster exactly; open members behind them are then compared with the extremes found,
-    and the unmatched ones stay open. Clusters of at most ``block`` members finish in round one;
-    blocks double for the few larger ones, up to ``LARGEST_BLOCK``.
+    ``members`` has (cluster, id, words), words as 64-bit hashes. Each round resolves the first
+    ``block`` open members of every cluster exactly; open members behind them are then compared with
+    the extremes found, and the unmatched ones stay open. Clusters of at most ``block`` members
+    finish in round one; blocks double for the few larger ones, up to ``LARGEST_BLOCK``. A
+    cluster is compared in parts of about ``PART_WORDS`` words, so no task holds all of it.
     """
     open_rows = members.select("cluster", "id", "words")
     done: DataFrame | None = None
@@ -234,12 +270,15 @@ def cluster_extremes(members: DataFrame, threshold: float = THRESHOLD, block: in
         full = front.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") == block)
         if full.isEmpty():
             return done
-        extremes = solved.where("id = extreme").select("id").join(front, "id")
-        leaders = extremes.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("id", "words"))).alias("leaders"))
-        leaders = leaders.join(full.select("cluster", "last"), "cluster")
-        behind = salted_join(open_rows, leaders, ["cluster"], "inner", salts, spread=["id"]).where("id > last")
-        similar = F.filter("leaders", lambda e: jaccard(F.col("words"), e["words"]) >= threshold)
-        judged = behind.select("cluster", "id", "words", F.get(similar, F.lit(0))["id"].alias("extreme"))
+        sizes = open_rows.groupBy("cluster").agg(F.sum(F.size("words")).alias("_words"))
+        parts = F.ceil(F.col("_words") / PART_WORDS).cast("int").alias("parts")
+        plan = materialize(full.join(sizes, "cluster").select("cluster", "last", parts), "parts")
+        behind = salted_join(open_rows, plan, ["cluster"], "inner", salts, spread=["id"]).where("id > last")
+        behind = behind.select("cluster", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "words")
+        leaders = solved.where("id = extreme").select("id").join(front, "id").join(plan, "cluster")
+        leaders = leaders.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "words")
+        pairs = behind.groupBy("cluster", "part").cogroup(leaders.groupBy("cluster", "part"))
+        judged = pairs.applyInPandas(_judge(threshold), "cluster bigint, id bigint, words array<bigint>, extreme bigint")
         judged = materialize(judged, "judged")
         done = done.unionByName(judged.where("extreme is not null").select("cluster", "id", "extreme"))
         open_rows = judged.where("extreme is null").select("cluster", "id", "words")

@@ -138,7 +138,7 @@ def test_partitions_do_not_matter(spark):
     assert as_dict(nd.duplicate_clusters(df.coalesce(1))) == as_dict(nd.duplicate_clusters(df.repartition(8)))
 
 
-def test_large_cluster_takes_blocks(spark):
+def test_large_cluster_takes_blocks(spark, monkeypatch):
     """One cluster far larger than a block, with several extremes; and salted hot keys."""
     rng = random.Random(2)
     texts = []
@@ -147,8 +147,10 @@ def test_large_cluster_takes_blocks(spark):
         words[rng.randrange(40)] = f"y{i}"
         texts.append(" ".join(words))
     texts += [texts[0]] * 60
-    rows = [(0, i, sorted(set(words_of(t)))) for i, t in enumerate(texts)]
-    members = spark.createDataFrame(rows, "cluster bigint, id bigint, words array<string>")
+    number = {w: k for k, w in enumerate(sorted({w for t in texts for w in words_of(t)}))}
+    rows = [(0, i, [number[w] for w in set(words_of(t))]) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "cluster bigint, id bigint, words array<bigint>")
+    monkeypatch.setattr(nd, "PART_WORDS", 500)
     got = {r.id: r.extreme for r in nd.cluster_extremes(members, 0.85, block=4).collect()}
     want = greedy(texts, range(len(texts)), 0.85)
     assert got == want and len(set(want.values())) > 4
