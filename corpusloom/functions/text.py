@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # The characters Python treats as white space (str.strip, \s) and the
 # line boundaries of str.splitlines, written as Java regular expressions.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAK = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 WORD = r"[\p{L}\p{N}_]"
 
@@ -30,7 +31,7 @@ def strip(c: str | Column) -> Column:
 
 
 def drop_whitespace(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), rf"{WS}+", "")
+    return F.translate(col(c), WS_CHARS, "")
 
 
 def count_of(c: str | Column, needle: str) -> Column:

@@ -22,8 +22,8 @@ def token_texts(c: str | Column) -> Column:
 
 
 def token_count(c: str | Column) -> Column:
-    """``size(token_texts(c))`` without building the array."""
-    return F.regexp_count(col(c), F.lit(TOKEN_PATTERN))
+    """``size(token_texts(c))`` without building the array: words shrink to a letter, spaces go."""
+    return F.length(F.translate(F.regexp_replace(col(c), "[A-Za-z_0-9]++", "x"), " \t\n\x0b\f\r", ""))
 
 
 def token_id(t: Column) -> Column:

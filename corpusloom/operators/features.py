@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import col, contains_any, count_of, drop_whitespace, lines
+from corpusloom.functions.text import LINE_BREAK, col, contains_any, count_of, drop_whitespace, lines
 from corpusloom.functions.tokens import token_count
 
 # Marker texts looked for in the first lines of a file, and the
@@ -23,17 +23,13 @@ def content_hash(c: str | Column) -> Column:
     return F.md5(drop_whitespace(c))
 
 
-def line_lengths(line_array: Column) -> Column:
-    return F.transform(line_array, F.length)
+def line_mean(line_array: Column) -> Column:
+    """Mean line length: all lines joined, over their number."""
+    return F.try_divide(F.length(F.array_join(line_array, "")).cast("double"), F.size(line_array))
 
 
-def line_mean(lengths: Column) -> Column:
-    total = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-    return F.try_divide(total.cast("double"), F.size(lengths))
-
-
-def line_max(lengths: Column) -> Column:
-    return F.array_max(lengths)
+def line_max(line_array: Column) -> Column:
+    return F.array_max(F.transform(line_array, F.length))
 
 
 def alpha_frac(c: str | Column) -> Column:
@@ -51,7 +47,7 @@ def char_token_ratio(c: str | Column, n_tokens: Column | None = None) -> Column:
 
 def head_text(c: str | Column, n: int = HEAD_LINES) -> Column:
     """The first ``n`` lines in lower case, as one string."""
-    return F.lower(F.array_join(F.slice(lines(c), 1, n), "\n"))
+    return F.lower(F.array_join(F.slice(F.split(col(c), LINE_BREAK, n + 1), 1, n), "\n"))
 
 
 def is_autogenerated(c: str | Column, scan_width: int = HEAD_LINES, markers: list[str] = GENERATED_MARKERS) -> Column:
@@ -92,7 +88,6 @@ def with_features(df: DataFrame, content: str = "content", keywords: list[str] =
     staged = df.withColumns({"_lines": lines(c), "_low": F.lower(c)})
     staged = staged.withColumns(
         {
-            "_len": line_lengths(F.col("_lines")),
             "_head": F.lower(F.array_join(F.slice("_lines", 1, HEAD_LINES), "\n")),
             "_limit": F.floor(count_of(c, "\n") * F.lit(TEST_SHARE)),
         }
@@ -103,8 +98,8 @@ def with_features(df: DataFrame, content: str = "content", keywords: list[str] =
     return staged.withColumns(
         {
             "hash": content_hash(c),
-            "line_mean": line_mean(F.col("_len")),
-            "line_max": line_max(F.col("_len")),
+            "line_mean": line_mean(F.col("_lines")),
+            "line_max": line_max(F.col("_lines")),
             "alpha_frac": alpha_frac(c),
             "ratio": char_token_ratio(c),
             "autogenerated": contains_any(F.col("_head"), GENERATED_MARKERS),
@@ -112,7 +107,7 @@ def with_features(df: DataFrame, content: str = "content", keywords: list[str] =
             "has_no_keywords": ~contains_any(F.col("_low"), keywords),
             "has_few_assignments": has_few_assignments(c),
         }
-    ).drop("_lines", "_low", "_len", "_head", "_limit")
+    ).drop("_lines", "_low", "_head", "_limit")
 
 
 def add_completion(df: DataFrame, response: str = "response") -> DataFrame:

@@ -47,7 +47,7 @@ def _(spark, d):
 
 @query("line_stats", f"SELECT id, round(line_mean, 6) AS line_mean, line_max FROM ({_FEATURES})")
 def _(spark, d):
-    lengths = documents(spark, d).select("id", ft.line_lengths(ft.lines("content")).alias("n"))
+    lengths = documents(spark, d).select("id", ft.lines("content").alias("n"))
     return lengths.select(
         "id", F.round(ft.line_mean(F.col("n")), 6).alias("line_mean"), ft.line_max(F.col("n")).cast("bigint").alias("line_max")
     )
