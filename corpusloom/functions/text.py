@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 from operator import or_
 
 from pyspark.sql import Column
@@ -34,6 +35,30 @@ def drop_whitespace(c: str | Column) -> Column:
     return F.translate(col(c), WS_CHARS, "")
 
 
+@cache
+def _accent_table() -> tuple[str, str]:
+    """Letters that are a base letter with marks, their base letters, and then the marks themselves."""
+    letters, bases, marks = [], [], []
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        parts = unicodedata.normalize("NFD", ch) if not 0xAC00 <= code < 0xE000 else ch
+        if len(parts) > 1 and all(unicodedata.combining(p) for p in parts[1:]):
+            letters.append(ch)
+            bases.append(parts[0])
+        elif unicodedata.combining(ch):
+            marks.append(ch)
+    return "".join(letters + marks), "".join(bases)
+
+
+def fold_key(c: str | Column) -> Column:
+    """Form in which keys compare equal: case, accents and trailing blanks do not count.
+
+    An ordinary string, so that grouping and joining on it stay hash-based.
+    """
+    plain = F.lower(F.regexp_replace(col(c), " +$", ""))
+    return F.replace(F.translate(plain, *_accent_table()), F.lit("ß"), F.lit("ss"))
+
+
 def count_of(c: str | Column, needle: str) -> Column:
     """Non-overlapping occurrences of ``needle``."""
     c = col(c)

@@ -5,22 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import fold_key
 from corpusloom.operators.keyed import HOT_ROWS, first_per_key, hot_keys, salted_join, top_per_group
 
 KEYS = ["filename", "user"]
-# Fixed value: keys compare without regard to case, accents and trailing blanks.
-KEY_COLLATION = "UNICODE_CI_AI_RTRIM"
 
 
-def _folded(df: DataFrame, keys: list[str], collation: str | None) -> tuple[DataFrame, list[str], Column]:
+def _folded(df: DataFrame, keys: list[str], fold: bool) -> tuple[DataFrame, list[str], Column]:
     """Adds comparison keys; gives their names and the keys as spelled."""
     names = [f"_key_{k}" for k in keys]
     kinds = dict(df.dtypes)
-
-    def fold(k: str) -> Column:
-        return F.collate(k, collation) if collation and kinds[k].startswith("string") else F.col(k)
-
-    return df.withColumns({n: fold(k) for n, k in zip(names, keys)}), names, F.struct(*keys)
+    folded = {n: fold_key(k) if fold and kinds[k] == "string" else F.col(k) for n, k in zip(names, keys)}
+    return df.withColumns(folded), names, F.struct(*keys)
 
 
 def reduce_events(
@@ -29,7 +25,7 @@ def reduce_events(
     content: str,
     ts: str,
     order: list[str],
-    collation: str | None = KEY_COLLATION,
+    fold: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per key: content, date_modified (start of the last unbroken run of that content),
@@ -39,7 +35,7 @@ def reduce_events(
     gets a third of all events weighs no more than its distinct contents; in the look-up of
     the winning content such keys are salted. Keys keep the spelling of their first event.
     """
-    folded, names, spelled = _folded(df, keys, collation)
+    folded, names, spelled = _folded(df, keys, fold)
     events = folded.select(
         *names,
         spelled.alias("_spelled"),
@@ -74,13 +70,13 @@ def upsert_batch(
     content: str = "content",
     ts: str = "ts",
     order: list[str] | None = None,
-    collation: str | None = KEY_COLLATION,
+    fold: bool = True,
 ) -> DataFrame:
     """(keys, content, date_modified): the table after all events, in order.
 
     ``date_modified`` moves only when the content changes.
     """
-    return reduce_events(events, keys, content, ts, order or [ts], collation).drop("unchanged")
+    return reduce_events(events, keys, content, ts, order or [ts], fold).drop("unchanged")
 
 
 def collect_first_batch(
@@ -89,21 +85,21 @@ def collect_first_batch(
     content: str = "content",
     ts: str = "ts",
     order: list[str] | None = None,
-    collation: str | None = KEY_COLLATION,
+    fold: bool = True,
 ) -> DataFrame:
     """(keys, content, date_modified): the first content per key stays."""
-    folded, names, _ = _folded(events, keys, collation)
+    folded, names, _ = _folded(events, keys, fold)
     first = first_per_key(folded, names, order or [ts])
     return first.select(*keys, F.col(content).alias("content"), F.col(ts).alias("date_modified"))
 
 
-def merge_reduced(parts: DataFrame, keys: list[str], collation: str | None = KEY_COLLATION) -> DataFrame:
+def merge_reduced(parts: DataFrame, keys: list[str], fold: bool = True) -> DataFrame:
     """Combine reduced rows of successive batches (``batch`` gives their order).
 
     A key has one row per batch here. Its modification time is that of the last row that is not a
     plain repetition of the content before it.
     """
-    folded, names, spelled = _folded(parts, keys, collation)
+    folded, names, spelled = _folded(parts, keys, fold)
     before = F.lag("content").over(Window.partitionBy(*names).orderBy("batch"))
     repeats = F.col("unchanged") & before.isNotNull() & (before == F.col("content"))
     marked = folded.withColumn("_moved", ~F.coalesce(repeats, F.lit(False)))

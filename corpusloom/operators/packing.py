@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,31 +66,31 @@ def _buffers(rows: DataFrame, limit: float) -> DataFrame:
 
     A buffer is closed before the first row that finds it at or above ``limit``. ``rows`` has
     (shard, id, size, n) with ``n`` tokens to lay out; a shard holds a bounded number of rows, of
-    which only these numbers are gathered.
+    which only these numbers are gathered to find the first row of every buffer.
     """
     listed = rows.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("id", "size", "n"))).alias("rows"))
+    # A limit already reached makes the first row open buffer 0.
     begin = F.struct(
-        F.lit(0).cast("bigint").alias("filled"),
-        F.lit(0).cast("bigint").alias("buffer"),
-        F.lit(0).cast("bigint").alias("start"),
-        F.array().cast("array<struct<id:bigint,buffer:bigint,start:bigint>>").alias("out"),
+        F.lit(math.ceil(limit)).cast("bigint").alias("filled"), F.array().cast("array<bigint>").alias("firsts")
     )
 
     def place(state: Column, row: Column) -> Column:
         full = state["filled"] >= F.lit(limit)
-        buffer = F.when(full, state["buffer"] + 1).otherwise(state["buffer"])
-        start = F.when(full, F.lit(0).cast("bigint")).otherwise(state["start"])
-        filled = F.when(full, F.lit(0).cast("bigint")).otherwise(state["filled"])
-        placed = F.struct(row["id"].cast("bigint").alias("id"), buffer.alias("buffer"), start.alias("start"))
         return F.struct(
-            (filled + row["size"]).cast("bigint").alias("filled"),
-            buffer.alias("buffer"),
-            (start + row["n"]).cast("bigint").alias("start"),
-            F.concat(state["out"], F.array(placed)).alias("out"),
+            (F.when(full, 0).otherwise(state["filled"]) + row["size"]).cast("bigint").alias("filled"),
+            F.when(full, F.concat(state["firsts"], F.array(row["id"].cast("bigint")))).otherwise(state["firsts"]).alias("firsts"),
         )
 
-    placed = listed.select("shard", F.explode(F.aggregate("rows", begin, place, lambda s: s["out"])).alias("p"))
-    return placed.select("shard", "p.*")
+    firsts = F.aggregate("rows", begin, place, lambda s: s["firsts"])
+    flat = listed.withColumn("firsts", firsts).select("shard", "firsts", F.explode("rows").alias("r"))
+    numbered = flat.select(
+        "shard",
+        F.col("r.id").alias("id"),
+        (F.size(F.filter("firsts", lambda f: f <= F.col("r.id"))) - 1).cast("bigint").alias("buffer"),
+        F.col("r.n").alias("n"),
+    )
+    before = Window.partitionBy("shard", "buffer").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    return numbered.select("shard", "id", "buffer", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start"))
 
 
 def shard_of(key: str = "id", rows_per_shard: int = SHARD_ROWS) -> Column:
@@ -106,6 +108,7 @@ def pack_constant_length(
     key: str = "id",
     tokens: str = "input_ids",
     n_chars: str = "n_chars",
+    n_tokens: str | None = None,
     shard: Column | None = None,
 ) -> DataFrame:
     """(shard, buffer, block, input_ids): blocks of exactly ``seq_length`` tokens.
@@ -114,26 +117,38 @@ def pack_constant_length(
     (or that many estimated from characters); its texts, each followed by the separator, are
     joined and cut, and the remainder of the buffer is dropped. Shards are read independently,
     like the workers of a streaming loader.
+
+    The layout is found from the sizes alone; ``n_tokens`` names a column with the token count, if
+    there is one, so that this pass neither reads nor computes tokens.
     """
     limit = seq_length * num_of_sequences * (1.0 if tokenized else chars_per_token)
-    ids = df.select(
+    count = F.size(tokens) if n_tokens is None else F.col(n_tokens)
+    sizes = df.select(
         (shard_of(key) if shard is None else shard).alias("shard"),
         F.col(key).alias("id"),
-        F.concat(tokens, F.array(F.lit(separator))).alias("tokens"),
-        (F.size(tokens) if tokenized else F.col(n_chars)).cast("bigint").alias("size"),
+        (count if tokenized else F.col(n_chars)).cast("bigint").alias("size"),
+        (count + 1).cast("bigint").alias("n"),
     )
-    layout = _buffers(ids.select("shard", "id", "size", F.size("tokens").cast("bigint").alias("n")), limit)
-    placed = ids.select("id", "tokens").join(layout, "id")
+    ended = df.select(F.col(key).alias("id"), F.concat(tokens, F.array(F.lit(separator))).alias("tokens"))
+    placed = ended.join(_buffers(sizes, limit), "id")
     blocks = _slices_by_block(placed, ["shard", "buffer"], seq_length)
     return blocks.where(F.size("input_ids") == seq_length)
 
 
-def pack_group_texts(df: DataFrame, block_size: int = 1024, key: str = "id", tokens: str = "input_ids", batch_rows: int = 1000) -> DataFrame:
+def pack_group_texts(
+    df: DataFrame,
+    block_size: int = 1024,
+    key: str = "id",
+    tokens: str = "input_ids",
+    batch_rows: int = 1000,
+    n_tokens: str | None = None,
+) -> DataFrame:
     """(batch, block, input_ids) per batch of ``batch_rows`` rows, without separators.
 
     A batch shorter than one block is kept as a short block, otherwise the remainder is dropped.
     """
-    narrow = batches(df.select(F.col(key).alias("id"), F.size(tokens).cast("bigint").alias("n")), "id", batch_rows)
+    count = F.size(tokens) if n_tokens is None else F.col(n_tokens)
+    narrow = batches(df.select(F.col(key).alias("id"), count.cast("bigint").alias("n")), "id", batch_rows)
     layout = running_token_offset(narrow, "batch", "id", "n")
     placed = df.select(F.col(key).alias("id"), F.col(tokens).alias("tokens")).join(layout, "id")
     blocks = _slices_by_block(placed, ["batch"], block_size)

@@ -147,7 +147,9 @@ _TOKENS = f"SELECT doc_id AS id, length(text) AS n_chars, {q.tokens('text')} AS
 
 
 def _tokens(spark, d):
-    return documents(spark, d).select("id", F.length("content").alias("n_chars"), default_tokenizer("content").alias("input_ids"))
+    return documents(spark, d).select(
+        "id", F.length("content").alias("n_chars"), token_count("content").alias("n_tokens"), default_tokenizer("content").alias("input_ids")
+    )
 
 
 @query("pretokenize", f"SELECT id, {q.joined('ids')} AS input_ids, round(n_chars::DOUBLE / len(ids), 6) AS ratio_char_token FROM ({_TOKENS})")
@@ -194,7 +196,7 @@ _BUFFERED = f"""
 
 @query("pack_constant_length", _BUFFERED)
 def pack_constant_length(spark, d):
-    blocks = pk.pack_constant_length(_tokens(spark, d), SEPARATOR, BLOCK, num_of_sequences=64)
+    blocks = pk.pack_constant_length(_tokens(spark, d), SEPARATOR, BLOCK, num_of_sequences=64, n_tokens="n_tokens")
     return blocks.select("shard", "buffer", "block", _ids())
 
 
@@ -210,7 +212,7 @@ def pack_constant_length(spark, d):
         FROM placed WHERE p // {BLOCK} < greatest(total // {BLOCK}, 1) GROUP BY batch, p // {BLOCK}""",
 )
 def _(spark, d):
-    return pk.pack_group_texts(_tokens(spark, d), BLOCK).select("batch", "block", _ids())
+    return pk.pack_group_texts(_tokens(spark, d), BLOCK, n_tokens="n_tokens").select("batch", "block", _ids())
 
 
 @query(

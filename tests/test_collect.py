@@ -47,7 +47,7 @@ def test_keys_ignore_case_accents_and_trailing_blanks(spark):
     rows = [(0, START, "Ä.lua", "Me", "1"), (1, START + dt.timedelta(1), "a.lua ", "me", "2"), (2, START + dt.timedelta(2), "b.lua", "me", "3")]
     got = collect.upsert_batch(frame(spark, rows)).orderBy("content").collect()
     assert [(r.filename, r.user, r.content) for r in got] == [("Ä.lua", "Me", "2"), ("b.lua", "me", "3")]
-    assert len(collect.upsert_batch(frame(spark, rows), collation=None).collect()) == 3
+    assert len(collect.upsert_batch(frame(spark, rows), fold=False).collect()) == 3
     first = collect.collect_first_batch(frame(spark, rows)).orderBy("content").collect()
     assert [r.content for r in first] == ["1", "3"]
 
