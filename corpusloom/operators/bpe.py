@@ -71,12 +71,14 @@ def bpe_train(
     df: DataFrame,
     content: str = "content",
     vocab_size: int = VOCAB_SIZE,
-    n_examples: int | None = None,
+    n_examples: int | None = N_EXAMPLES,
     key: str = "id",
     min_count: int = 2,
 ) -> list[Merge]:
     """Merges in the order they are learnt, most frequent pair first, ties by symbol order.
 
+    Learns from the first ``n_examples`` texts by ``key``, or from all of them when None.
+
     A round counts all pairs of the word table, takes every merge that is already certain
     and rewrites the table. The driver sees the ``TOP_PAIRS`` largest counts only; the table
     is written to the shared folder every few rounds to keep plans short.

@@ -33,7 +33,8 @@ def reduce_events(
 
     Contents are reduced to (key, digest, last position) before anything else, so a key that
     gets a third of all events weighs no more than its distinct contents; in the look-up of
-    the winning content such keys are salted. Keys keep the spelling of their first event.
+    the winning run such keys are salted, and only times travel. Keys keep the spelling of
+    their first event.
     """
     folded, names, spelled = _folded(df, keys, fold)
     events = folded.select(
@@ -45,23 +46,28 @@ def reduce_events(
         F.col(content).alias("content"),
     )
     runs = events.groupBy(*names, "_digest").agg(
-        F.max("_at").alias("_last"), F.min(F.struct("_at", "_spelled")).alias("_born"), F.count(F.lit(1)).alias("n")
+        F.max("_at").alias("_last"),
+        F.min(F.struct("_at", "_spelled")).alias("_born"),
+        F.count(F.lit(1)).alias("n"),
+        F.first("content").alias("content"),
     )
     born = runs.groupBy(*names).agg(F.min("_born")["_spelled"].alias("_spelled"))
     two = top_per_group(runs, names, [F.col("_last").desc()], 2)
     newest = F.col("rank") == 1
     winners = two.groupBy(*names).agg(
-        F.max(F.when(newest, F.col("_digest"))).alias("_digest"), F.max(F.when(~newest, F.col("_last"))).alias("_other")
+        F.max(F.when(newest, F.col("_digest"))).alias("_digest"),
+        F.max(F.when(newest, F.col("content"))).alias("content"),
+        F.max(F.when(~newest, F.col("_last"))).alias("_other"),
     )
     found = [*names, "_digest"]
-    joined = salted_join(events.drop("_spelled"), winners, found, "inner", spread=["_at"], hot=hot_keys(runs, found, at_least=hot_rows))
+    times = events.select(*found, "_at", "_ts")
+    joined = salted_join(times, winners.drop("content"), found, "inner", spread=["_at"], hot=hot_keys(runs, found, at_least=hot_rows))
     run = joined.where(F.col("_other").isNull() | (F.col("_at") > F.col("_other")))
     first = run.groupBy(*names).agg(
-        F.min_by(F.struct("_ts", "content"), "_at").alias("_first"), F.max(F.col("_other").isNull()).alias("unchanged")
-    )
-    return first.join(born, names).select(
-        "_spelled.*", "_first.content", F.col("_first._ts").alias("date_modified"), "unchanged"
+        F.min_by("_ts", "_at").alias("date_modified"), F.max(F.col("_other").isNull()).alias("unchanged")
     )
+    texts = winners.select(*names, "content")
+    return first.join(born, names).join(texts, names).select("_spelled.*", "content", "date_modified", "unchanged")
 
 
 def upsert_batch(

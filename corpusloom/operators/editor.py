@@ -155,12 +155,25 @@ def merge_span_array(spans: str | Column) -> Column:
     return F.aggregate(F.array_sort(col(spans)).cast(kind), F.array().cast(kind), add)
 
 
+GRAM = ["gram_a", "gram_b"]
+
+
 def _word_grams(df: DataFrame, n: int) -> DataFrame:
-    """Explode the array column ``_words`` into its n-grams: adds ``at`` (0-based) and ``gram``."""
+    """Explode the array column ``_words`` into its n-grams: adds ``at`` (0-based) and the gram.
+
+    A gram is kept as two 64-bit hashes with different seeds: 16 bytes to shuffle, whatever
+    the words, and no realistic chance of a collision.
+    """
     last = F.size("_words") - n + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), last))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
-    return df.select(*[c for c in df.columns if c != "_words"], F.posexplode(grams).alias("at", "gram"))
+
+    def gram(i: Column) -> Column:
+        words = F.slice("_words", i, n)
+        return F.struct(F.xxhash64(words).alias(GRAM[0]), F.xxhash64(F.lit(n), words).alias(GRAM[1]))
+
+    kept = [c for c in df.columns if c != "_words"]
+    exploded = df.select(*kept, F.posexplode(F.transform(starts, gram)).alias("at", "gram"))
+    return exploded.select(*kept, "at", "gram.*")
 
 
 def contamination_overlap(
@@ -177,10 +190,10 @@ def contamination_overlap(
     the join size is left to the optimizer. Only matched places are kept, as word numbers, and
     turned into character offsets after merging.
     """
-    grams = _word_grams(reference.select(F.split(reference_content, " ").alias("_words")), n).select("gram").distinct()
+    grams = _word_grams(reference.select(F.split(reference_content, " ").alias("_words")), n).select(*GRAM).distinct()
     words = F.split(F.col(content), " ")
     places = _word_grams(df.select(key, words.alias("_words")), n)
-    hits = places.join(grams, "gram", "left_semi").select(key, F.col("at").alias("start"), (F.col("at") + n).alias("end"))
+    hits = places.join(grams, GRAM, "left_semi").select(key, F.col("at").alias("start"), (F.col("at") + n).alias("end"))
     merged = merge_spans(hits, [key])
     texts = df.select(key, words.alias("_words")).join(merged, key)
     before = F.slice("_words", F.lit(1), F.col("start"))

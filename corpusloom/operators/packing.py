@@ -245,12 +245,12 @@ def fim_permute(
 def label_encode(df: DataFrame, label: str = "label", name: str = "label_id") -> DataFrame:
     """Class names as numbers in alphabetical order.
 
-    Classes are first reduced to their distinct names; the lookup join is left to the
-    optimizer, which broadcasts the class table when its measured size allows.
+    The distinct names are gathered once, map tasks first, into one sorted list; the look-up join
+    is left to the optimizer, which broadcasts the list when its measured size allows.
     """
-    classes = df.select(label).distinct()
-    numbered = classes.withColumn(name, (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint"))
-    return df.join(numbered, label)
+    classes = df.agg(F.array_sort(F.collect_set(label)).alias("names"))
+    numbered = classes.select(F.posexplode("names").alias(name, label))
+    return df.join(numbered.withColumn(name, F.col(name).cast("bigint")), label)
 
 
 def chars_per_token(df: DataFrame, key: str = "id", content: str = "content", n_tokens: Column | None = None, examples: int = 400) -> DataFrame:

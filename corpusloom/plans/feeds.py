@@ -226,4 +226,4 @@ def _(spark, d):
 
 @query("bpe_train")
 def _(spark, d):
-    return bpe.bpe_merges(documents(spark, d), vocab_size=256 + 48)
+    return bpe.bpe_merges(documents(spark, d), vocab_size=256 + 48, n_examples=None)

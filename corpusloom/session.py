@@ -49,20 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+FEW_SPLITS = 64
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by ``keys`` when a scan has fewer splits than there are task slots.
+    """Repartition by ``keys`` when a scan has few splits and more task slots could work on it.
 
     A small table in one parquet row group is one task's work however many cores there are.
-    Inputs of cluster size have more splits than slots and pass through unchanged.
+    Anything beyond ``FEW_SPLITS`` splits (some gigabytes) passes through unchanged.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < min(slots, FEW_SPLITS) else df
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -71,4 +77,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` wrote, once results built on them are stored elsewhere."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    while _written:
+        path = fs.Path(_written.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

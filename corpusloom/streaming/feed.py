@@ -38,8 +38,11 @@ class FilesTable:
 
     def append(self, events: DataFrame, batch_id: int) -> None:
         order = ["ts", "content"] if "event_id" not in events.columns else ["ts", "event_id"]
+        # Read the source once: the reduction looks at a batch several times.
+        events = events.persist()
         reduced = reduce_events(events, self.keys, "content", "ts", order)
         reduced.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
+        events.unpersist()
 
     def _compacted_to(self) -> int:
         """Last batch inside the newest complete base, -1 without one."""
