@@ -82,14 +82,22 @@ def match_note(match: Column, unmatch: Column) -> Column:
 
 
 def eval_output(
-    df: DataFrame, catalogue: DataFrame, key: str = "id", generated: str = "generated", is_md: bool = False, pattern: str = CALL_PATTERN
+    df: DataFrame,
+    catalogue: DataFrame,
+    key: str = "id",
+    generated: str = "generated",
+    is_md: bool = False,
+    pattern: str = CALL_PATTERN,
+    fields: list[str] | None = None,
 ) -> DataFrame:
     """Adds all_result, match, unmatch, match_count, unmatch_count and note to every generation.
 
+    ``fields`` limits what of the catalogue entry each match carries; reports need only its name.
+
     Only (id, position, name) rows are joined and regrouped; the generated texts stay put until
     the verdicts come back to them by id. A group is one generation's calls.
     """
-    found = api_match(api_calls(df, key, generated, is_md, pattern), catalogue)
+    found = api_match(api_calls(df, key, generated, is_md, pattern), catalogue, fields)
     calls = F.array_sort(F.collect_list(F.struct("pos", "target", "match")))
     per_row = found.groupBy(key).agg(calls.alias("_calls"))
     joined = df.join(per_row, key, "left")

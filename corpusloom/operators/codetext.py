@@ -44,11 +44,10 @@ def comment_code_pairs(df: DataFrame, content: str = "content", keep: tuple[str,
         F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("notation"),
         F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("code"),
     )
-    # Places are looked up inside the row, so an exploded row does not carry the text.
-    placed = df.select(*keep, content, pairs.alias("pairs")).selectExpr(
-        *keep, f"transform(pairs, p -> struct(p.notation, p.code, locate(p.code, `{content}`) - 1 AS start)) AS pairs"
-    )
-    rows = placed.select(*keep, F.posexplode("pairs").alias("ord", "pair"))
+    # Places are looked up inside the row, so an exploded row does not carry the text. Exploding the
+    # expression itself, not a column of it, keeps the optimizer from computing it again in a filter.
+    placed = F.expr(f"transform(pairs, p -> struct(p.notation, p.code, locate(p.code, `{content}`) - 1 AS start))")
+    rows = df.select(*keep, content, pairs.alias("pairs")).select(*keep, F.posexplode(placed).alias("ord", "pair"))
     return rows.where(~strip("pair.code").startswith("--")).select(
         *keep,
         "ord",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import fold_key
 from corpusloom.operators.keyed import HOT_ROWS, first_per_key, hot_keys, salted_join, top_per_group
+from corpusloom.session import materialize
 
 KEYS = ["filename", "user"]
 
@@ -51,6 +52,8 @@ def reduce_events(
         F.count(F.lit(1)).alias("n"),
         F.first("content").alias("content"),
     )
+    # Used four times below; written once instead of reading the events four times.
+    runs = materialize(runs, "runs")
     born = runs.groupBy(*names).agg(F.min("_born")["_spelled"].alias("_spelled"))
     two = top_per_group(runs, names, [F.col("_last").desc()], 2)
     newest = F.col("rank") == 1

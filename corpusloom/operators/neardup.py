@@ -143,7 +143,9 @@ def lsh_buckets(table: DataFrame, threshold: float = THRESHOLD, num_perm: int =
     """(id, band, bucket) rows of a ``dedup_table``."""
     bands, rows = choose_bands(threshold, num_perm)
     hashed = table.select("id", _band_udf(bands, rows, seed)("words").alias("hashes"))
-    return hashed.select("id", F.posexplode("hashes").alias("band", "bucket"))
+    # Exploding an expression: for a plain column the optimizer would add a filter on its size,
+    # push it down and run the UDF a second time there.
+    return hashed.select("id", F.posexplode(F.slice("hashes", 1, bands)).alias("band", "bucket"))
 
 
 def bucket_links(buckets: DataFrame, salts: int = SALTS) -> DataFrame:

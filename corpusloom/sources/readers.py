@@ -48,7 +48,7 @@ def api_entries(files: DataFrame, path: str = "filepath", content: str = "conten
     Of every document the value of its first key counts; the key is the package name.
     """
     pairs = F.map_entries(F.from_json(content, "map<string,string>"))
-    keyed = files.withColumn("_first", F.get(pairs, F.lit(0))).where("_first is not null")
+    keyed = files.withColumn("_first", F.get(pairs, F.lit(0)))
     keyed, body = keyed.withColumn("package", F.col("_first.key")), F.col("_first.value")
     entries = F.from_json(body, f"array<{API_ENTRY}>")
     rows = keyed.select("package", F.col(path).alias("file"), F.posexplode(entries).alias("ord", "e"))

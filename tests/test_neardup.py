@@ -181,3 +181,9 @@ def test_signature_estimates_similarity(spark):
     texts = [" ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(20, 120))]
     a, b = (r.signature for r in nd.minhash_signature(frame(spark, texts)).orderBy("id").collect())
     assert abs(sum(x == y for x, y in zip(a, b)) / 256 - similarity(*texts)) < 0.12
+
+
+def test_band_udf_runs_once(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id AS id", "text AS content")
+    plan = nd.lsh_buckets(nd.dedup_table(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
