@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +28,12 @@ def build_session(app: str = "corpusloom", cores: str = "*", **conf) -> SparkSes
     return spark
 
 
-_local_dir: str | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder; on a cluster a missing
-    setting is an error, because a machine-local path is lost with its machine.
-    """
-    global _local_dir
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else one under the warehouse, which a session shares."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="corpusloom-")
-    return _local_dir
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_corpusloom"
 
 
 FEW_SPLITS = 64
