@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import langid, pii, quality, simhash  # noqa: F401
+from corpusloom.llm import langid, packing, pii, quality, simhash, warc  # noqa: F401
 from corpusloom.llm.registry import ORACLE, QUERIES
 
 
