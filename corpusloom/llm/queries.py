@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontam, langid, packing, pii, quality, simhash, warc  # noqa: F401
+from corpusloom.llm import decontam, langid, linededup, packing, pii, quality, simhash, warc  # noqa: F401
 from corpusloom.llm.registry import ORACLE, QUERIES
 
 
