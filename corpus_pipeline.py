@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import langid, simhash
+from corpusloom.llm import decontam, langid, linededup, packing, simhash
 from corpusloom.llm.common import table
 from corpusloom.session import materialize
 
@@ -18,14 +19,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.decided(docs, model).select(*COLUMNS)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out lines that repeat an earlier one, and documents of which nothing else is left; counts characters anew."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of linked fingerprints."""
     return simhash.near_dedup(docs).select(*COLUMNS)
 
 
-STAGES = [("language_id", language_id), ("simhash_near_dedup", simhash_near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents: those in which every twentieth word or more stands in a benchmark window."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, with the crc32 of their ids."""
+    return packing.digests(packing.pack(docs))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
 
-#: Conditional random field, fuzzy lines and fingerprints are not SQL; tests compare with a brute-force version.
+#: Conditional random field, fuzzy lines, fingerprints and token ids are not SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

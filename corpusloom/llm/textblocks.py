@@ -11,8 +11,8 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 21
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd, so that they have an inverse modulo 2^64.
+_BASES = {False: 0x9E3779B97F4A7C15, True: 0xC2B2AE3D27D4EB4F}
 
 
 def _blanks() -> np.ndarray:
@@ -35,7 +35,7 @@ class Block:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
-        self._prefix: tuple[np.ndarray, np.ndarray] | None = None
+        self._prefix: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -61,25 +61,28 @@ class Block:
         """How many of the sorted byte positions lie in each document."""
         return np.diff(np.searchsorted(positions, self.offsets))
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit polynomial hash of each span, mixed with its length; equal bytes hash alike in any block."""
-        if self._prefix is None:
-            n = len(self.data)
-            power = np.full(n + 1, _BASE, dtype=_U)
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+        """64-bit polynomial hash of each span, mixed with its length; equal bytes hash alike in any block.
+
+        ``other`` takes an independent base and byte values.
+        """
+        if other not in self._prefix:
+            base, n = _BASES[other], len(self.data)
+            power = np.full(n + 1, base, dtype=_U)
             power[0] = 1
             np.cumprod(power, out=power)
             sums = np.zeros(n + 1, dtype=_U)
-            np.cumsum(_values()[self.data] * power[:n], out=sums[1:])
-            back = np.full(n + 1, _INVERSE, dtype=_U)
+            np.cumsum(_values(other)[self.data] * power[:n], out=sums[1:])
+            back = np.full(n + 1, pow(base, -1, 1 << 64), dtype=_U)
             back[0] = 1
             np.cumprod(back, out=back)
-            self._prefix = sums, back
-        sums, back = self._prefix
+            self._prefix[other] = sums, back
+        sums, back = self._prefix[other]
         return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def _values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_U))
+def _values(other: bool) -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=_U) + _U(1000 * other))
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
