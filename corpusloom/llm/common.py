@@ -31,6 +31,18 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_or_shuffled(right: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``right`` marked for broadcast when it is counted to have at most ``limit`` rows; beyond, an ordinary shuffle join."""
     return F.broadcast(right) if right.limit(limit + 1).count() <= limit else right

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, table, text_of
+from corpusloom.llm.common import ascii_lower, fresh, small_or_shuffled, table, text_of
 from corpusloom.llm.registry import query
 from corpusloom.session import materialize
 
@@ -175,8 +175,10 @@ def contamination(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated."""
-    bad = contamination(docs, benchmark, doc_id, text, rules=rules).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text)) == F.col("_copy"))
+    name, copy = fresh(docs, "id", "copy")
+    bad = contamination(docs, benchmark, doc_id, text, rules=rules).where("contaminated").select("doc_id", "copy").distinct()
+    bad = small_or_shuffled(materialize(bad, "contaminated").toDF(name, copy))
+    same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(text_of(text)) == F.col(copy))
     return docs.join(bad, same, "left_anti")
 
 

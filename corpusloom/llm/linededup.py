@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, small_or_shuffled, table, text_of
+from corpusloom.llm.common import components, fresh, small_or_shuffled, table, text_of
 from corpusloom.llm.registry import query
 from corpusloom.llm.textblocks import Block, blocks, mix
 from corpusloom.session import materialize
@@ -294,12 +294,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     among them, are unchanged.
     """
     gone = line_groups(docs, doc_id, text, rules).where("NOT kept").groupBy("doc_id", "copy").agg(F.collect_set("line").alias("_gone"))
-    gone = small_or_shuffled(materialize(gone, "lines-gone").toDF("_id", "_copy", "_gone"), 200_000)
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text)) == F.col("_copy"))
+    name, copy, lost = fresh(docs, "id", "copy", "lost")
+    gone = small_or_shuffled(materialize(gone, "lines-gone").toDF(name, copy, lost), 200_000)
+    same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(text_of(text)) == F.col(copy))
     joined = docs.join(gone, same, "left")
-    left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("_gone", i.cast("long")))
-    new = joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
-    whole = F.col("_gone").isNotNull() & ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(lost, i.cast("long")))
+    new = joined.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(left, "\n")))
+    whole = F.col(lost).isNotNull() & ~F.col(text).rlike(r"[^\x20\x09-\x0D]")
     return new.where(~F.coalesce(whole, F.lit(False))).select(*docs.columns)
 
 

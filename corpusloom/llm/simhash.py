@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, table, text_of
+from corpusloom.llm.common import components, fresh, small_or_shuffled, table, text_of
 from corpusloom.llm.registry import query
 from corpusloom.llm.textblocks import Block, blocks, lowered
 from corpusloom.session import materialize
@@ -204,10 +204,19 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules:
     stay only when their component has no other id.
     """
     groups = simhash_groups(df, doc_id, text, rules)
-    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = df.join(heads, F.col(doc_id).eqNullSafe(F.col("_head")), "left_semi")
+    groups = materialize(simhash_groups(df, doc_id, text, rules), "simhash-groups")
+    name, rank = fresh(df, "id", "rank")
+    same = F.col(doc_id).eqNullSafe(F.col(name))
+    later = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
+    # Only rows whose id repeats need to meet; all others are told by their id alone.
+    often = materialize(groups.groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "repeated-ids")
+    kept = df.join(small_or_shuffled(materialize(later, "later-ids")), same, "left_anti")
+    if often.isEmpty():
+        return kept
+    often = small_or_shuffled(often)
     once = Window.partitionBy(doc_id).orderBy(F.xxhash64(text_of(text)), text_of(text))
-    return kept.withColumn("_rank", F.row_number().over(once)).where("_rank = 1").drop("_rank")
+    repeated = kept.join(often, same, "left_semi").withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1).drop(rank)
+    return kept.join(often, same, "left_anti").unionByName(repeated)
 
 
 @query("op7_simhash")
