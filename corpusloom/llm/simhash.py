@@ -10,7 +10,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import components, fresh, small_or_shuffled, table, text_of
@@ -54,7 +54,10 @@ def _fingerprint(block: Block, starts: np.ndarray, ends: np.ndarray, rules: Rule
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, bits): the 64-bit fingerprint, as a signed long, of every row's whole text; null texts are empty."""
+    """(doc_id, copy, bits): the 64-bit fingerprint, as a signed long, of every row's whole text; null texts are empty.
+
+    ``copy`` is a hash of the text, which tells rows with the same id apart.
+    """
     kind = df.schema[doc_id].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,10 +69,11 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rule
                 cuts = np.searchsorted(starts, block.offsets).tolist()
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     bits[first + i] = _fingerprint(block, starts[a:b], ends[a:b], rules)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64))], names=["doc_id", "bits"])
+            columns = [batch.column("doc_id"), batch.column("copy"), pa.array(bits.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "bits"])
 
-    rows = df.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInArrow(hashed, f"doc_id {kind}, bits long")
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("copy"), text_of(text).alias("text"))
+    return rows.mapInArrow(hashed, f"doc_id {kind}, copy long, bits long")
 
 
 def _walk(groups: np.ndarray, flips: np.ndarray, sides: np.ndarray, prints: np.ndarray, depth: int, distance: int):
@@ -178,7 +182,7 @@ def near_links(prints: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, fingerprint, component_id): one row per input row.
+    """(doc_id, copy, fingerprint, component_id): one row per input row; ``copy`` is a hash of the text.
 
     Rows with equal fingerprints are one node of the trie however often they occur, so a group of copies costs its
     members' ids only. ``component_id`` is the smallest id of all rows reachable over links, null ids left out of the
@@ -194,31 +198,29 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = nodes.join(least, "root").select("bits", "component_id")
     named = F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint")
-    return rows.join(groups, "bits").select("doc_id", named, "component_id")
+    return rows.join(groups, "bits").select("doc_id", "copy", named, "component_id")
 
 
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their component, with all their columns.
 
-    Of rows that repeat that id one stays, the first by text. Rows with a null id form no component of their own: they
-    stay only when their component has no other id.
+    Of rows that repeat both id and text one stays. Rows with a null id stay only when their component has no other id.
     """
-    groups = simhash_groups(df, doc_id, text, rules)
     groups = materialize(simhash_groups(df, doc_id, text, rules), "simhash-groups")
-    name, rank = fresh(df, "id", "rank")
-    same = F.col(doc_id).eqNullSafe(F.col(name))
-    later = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias(name)).distinct()
-    # Only rows whose id repeats need to meet; all others are told by their id alone.
-    often = materialize(groups.groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name), "repeated-ids")
-    kept = df.join(small_or_shuffled(materialize(later, "later-ids")), same, "left_anti")
+    name, copy = fresh(df, "id", "copy")
+    same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(text_of(text)) == F.col(copy))
+    pairs = groups.select(F.col("doc_id").alias(name), F.col("copy").alias(copy), (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("later"))
+    later = materialize(pairs.where("later").drop("later").distinct(), "later-ids")
+    kept = df.join(small_or_shuffled(later), same, "left_anti")
+    # Only rows that repeat need to meet; all others are told by their id and a hash alone.
+    often = materialize(pairs.groupBy(name, copy).count().where("count > 1").drop("count"), "repeated-rows")
     if often.isEmpty():
         return kept
     often = small_or_shuffled(often)
-    once = Window.partitionBy(doc_id).orderBy(F.xxhash64(text_of(text)), text_of(text))
-    repeated = kept.join(often, same, "left_semi").withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1).drop(rank)
-    return kept.join(often, same, "left_anti").unionByName(repeated)
+    once = kept.join(often, same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(often, same, "left_anti").unionByName(once)
 
 
 @query("op7_simhash")
 def op7_simhash(spark, sf_dir):
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash_groups(table(spark, sf_dir, "documents")).drop("copy")
