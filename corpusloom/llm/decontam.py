@@ -1,8 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
-The index is partitioned by document: a posting is (document, term, position). Postings are stored first for the rarest
-term of every test window only; where such a term stands, the whole item is aligned with the document, and postings of
-the neighbouring terms are fetched for those documents alone. Positions less their offset in the item must then agree.
+The index is partitioned by document: a posting is (document, term, position). Postings are stored first for the two
+rarest terms of every test window only, and intersected by position less offset in the item. Where the two agree, within
+the slop of proximity matches, the item is aligned with the document, and postings of the neighbouring terms are
+fetched for those documents alone.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from corpusloom.llm.common import ascii_lower, fresh, small_or_shuffled, table,
 from corpusloom.llm.registry import query
 from corpusloom.session import materialize
 
-#: What stands between words, after A-Z are lower-cased: ASCII other than digits and letters.
+#: What stands between words: ASCII other than digits and letters; after A-Z are lower-cased, and before.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
 class Rules:
     """A window is ``window`` consecutive item words. A proximity match has at least ``near`` of them within ``slop`` words
-    of where the window's rarest term puts them. A document is contaminated when ``share`` times its hit words reach its words.
+    of where the window's rarest term puts them, its second rarest term among them. A document is contaminated when ``share`` times its hit words reach its words.
     """
 
     window: int = 13
@@ -38,7 +40,9 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    parts = F.split(text, BETWEEN_ANY)
+    first, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    return (F.size(parts) - (first == "").cast("int") - ((F.size(parts) > 1) & (last == "")).cast("int")).cast("long")
 
 
 def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -46,10 +50,22 @@ def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("copy"), text_of(text).alias("text"))
 
 
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, term, position) of every word.
+
+    Texts are split before they are lower-cased: most words are ASCII, for which the plain function is exact and fast.
+    """
+    parts = docs.select(
+        "doc_id", "copy", F.col("text").rlike(f"^{BETWEEN_ANY}").cast("int").alias("lead"), F.posexplode(F.split("text", BETWEEN_ANY)).alias("at", "raw")
+    )
+    raw = F.col("raw")
+    term = F.when(F.octet_length(raw) == F.char_length(raw), F.lower(raw)).otherwise(ascii_lower(raw))
+    return parts.where("raw <> ''").select("doc_id", "copy", term.alias("term"), (F.col("at") - F.col("lead")).alias("position"))
+
+
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, copy, term, position) of the given terms (column ``term``, without repeats)."""
-    every = docs.select("doc_id", "copy", F.posexplode(words(F.col("text"))).alias("position", "term"))
-    return every.join(terms, "term")
+    """(term, doc_id, copy, position) of the given terms (column ``term``, without repeats)."""
+    return tokens(docs).join(terms, "term")
 
 
 def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -60,21 +76,23 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each given term stands in the corpus, 0 included."""
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(terms, "term").groupBy("term").count()
+    counts = tokens(docs).select("term").join(terms, "term").groupBy("term").count()
     return terms.join(counts, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(item_id, item_copy, length, place, term): of every window the rarest term, by corpus count, then place.
+    """(item_id, item_copy, length, place, term, place_2, term_2): of every window the rarest terms, by corpus count, then place.
 
-    The windows of an item that share an anchor give it once.
+    The windows of an item that share both give them once; a window of one word has no second. A window with a term
+    that the corpus lacks can't match and gives none.
     """
     counted = items.join(counts, "term")
     begins = F.sequence(F.greatest(F.col("place") - window + 1, F.lit(0)), F.greatest(F.least("place", F.col("length") - window), F.lit(0)))
     members = counted.withColumn("begin", F.explode(begins))
-    rank = F.row_number().over(Window.partitionBy("item_id", "item_copy", "begin").orderBy("n", "term", "place"))
-    rarest = members.withColumn("rank", rank).where("rank = 1 AND n > 0")
-    return rarest.select("item_id", "item_copy", "length", "place", "term").distinct()
+    order = Window.partitionBy("item_id", "item_copy", "begin").orderBy("n", "term", "place")
+    after = lambda c: F.lead(c).over(order).alias(f"{c}_2")
+    ranked = members.select("item_id", "item_copy", "length", "n", "place", "term", after("place"), after("term"), F.row_number().over(order).alias("rank"))
+    return ranked.where("rank = 1 AND n > 0").drop("rank", "n").distinct()
 
 
 _DOC = ["doc_id", "copy"]
@@ -89,33 +107,41 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
     return joined if how == "left_semi" else joined.drop(*(f"_{k}" for k in keys))
 
 
+def _close(left: DataFrame, right: DataFrame, keys: list[str], here: str, there: str, slop: int) -> DataFrame:
+    """Join on equal keys and numbers at most ``slop`` apart, by buckets of the numbers: a frequent key pairs near rows only."""
+    bucket = lambda c: F.floor(F.col(c) / (slop + 1))
+    spread = right.withColumn("bucket", F.explode(F.array(*[bucket(there) + d for d in (-1, 0, 1)])))
+    met = _same(left.withColumn("bucket", bucket(here)), spread, [*keys, "bucket"])
+    return met.where(F.abs(F.col(here) - F.col(there)) <= slop).drop("bucket")
+
+
 def matched_places(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
-    """(doc_id, copy, item_id, item_copy, length, start, place, anchor, exact, near): item words found around an anchor.
+    """(doc_id, copy, item_id, item_copy, length, start, place, anchor, exact): item words found around an anchor.
 
-    ``start`` is the document position that the item's first word would have. ``exact``: the word stands where the
-    alignment puts it; ``near``: it stands within ``rules.slop`` words of that.
+    ``start`` is the document position that the item's first word would have. The word stands within ``rules.slop`` words
+    of where the alignment puts it, and if ``exact`` there.
     """
     terms = items.select("term").distinct()
-    anchored = anchors(items, term_counts(docs, terms), rules.window)
-    # The stored index of rarest terms: few postings however large the corpus.
-    index = materialize(postings(docs, anchored.select("term").distinct()), "anchor-postings")
-    aligned = index.join(anchored, "term").select(
-        *_DOC, *_ITEM, "length", (F.col("position") - F.col("place")).alias("start"), F.col("place").alias("anchor")
-    )
+    anchored = materialize(anchors(items, term_counts(docs, terms), rules.window), "anchors")
+    # The stored index of rare terms: few postings however large the corpus.
+    rare = anchored.select("term").union(anchored.where("term_2 IS NOT NULL").select("term_2")).distinct()
+    index = materialize(postings(docs, rare), "rare-postings")
+    start = F.col("position") - F.col("place")
+    first = index.join(anchored, "term").select(*_DOC, *_ITEM, "length", start.alias("start"), F.col("place").alias("anchor"), "place_2")
+    second = index.withColumnsRenamed({"term": "term_2"}).join(anchored.select(*_ITEM, "place_2", "term_2").distinct(), "term_2")
+    second = second.select(*_DOC, *_ITEM, "place_2", (F.col("position") - F.col("place_2")).alias("start_2"))
+    agreed = _close(first.where("place_2 IS NOT NULL"), second, [*_DOC, *_ITEM, "place_2"], "start", "start_2", rules.slop).drop("start_2")
+    aligned = agreed.union(first.where("place_2 IS NULL")).drop("place_2").distinct()
     aligned = materialize(aligned, "alignments")
-    hit_docs = aligned.select(*_DOC).distinct()
-    candidates = _same(docs, hit_docs, _DOC, "left_semi")
-    lists = postings(candidates, terms).groupBy(*_DOC, "term").agg(F.collect_list("position").alias("positions"))
-    lists = materialize(lists, "candidate-postings")
+    hit_docs = materialize(aligned.select(*_DOC).distinct(), "aligned-documents")
+    candidates = _same(docs, small_or_shuffled(hit_docs), _DOC, "left_semi")
+    more = materialize(postings(candidates, terms), "candidate-postings")
     reach = F.sequence(F.greatest(F.col("anchor") - rules.window + 1, F.lit(0)), F.least(F.col("anchor") + rules.window - 1, F.col("length") - 1))
     wanted = aligned.withColumn("place", F.explode(reach))
     wanted = _same(wanted, items.select(*_ITEM, "place", "term"), [*_ITEM, "place"])
-    met = _same(wanted, lists, [*_DOC, "term"])
-    due = F.col("start") + F.col("place")
-    near = F.exists("positions", lambda p: F.abs(p - due) <= rules.slop)
-    return met.select(
-        *_DOC, *_ITEM, "length", "start", "place", "anchor", F.array_contains("positions", due).alias("exact"), near.alias("near")
-    ).where("near")
+    wanted = wanted.withColumn("due", F.col("start") + F.col("place"))
+    met = _close(wanted, more, [*_DOC, "term"], "due", "position", rules.slop)
+    return met.groupBy(*_DOC, *_ITEM, "length", "start", "place", "anchor").agg(F.max(F.col("due") == F.col("position")).alias("exact"))
 
 
 def phrase_matches(places: DataFrame, window: int) -> DataFrame:
