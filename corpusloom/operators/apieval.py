@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.codetext import CALL_PATTERN, calls_in_code_blocks, find_function_calls
-from corpusloom.operators.keyed import first_per_key, salted_join
+from corpusloom.operators.keyed import first_per_key
 
 
 def api_catalogue(entries: DataFrame, pattern: str = CALL_PATTERN) -> DataFrame:
@@ -43,23 +43,23 @@ def api_calls(df: DataFrame, key: str = "id", generated: str = "generated", is_m
 def api_match(calls: DataFrame, catalogue: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Calls with the catalogue entry of their name as ``match``, NULL without one.
 
-    The catalogue is not assumed to fit a broadcast. A popular name spreads over salted
-    copies of its entry, and adaptive execution broadcasts when the measured size is small.
+    The catalogue is not assumed to fit a broadcast: adaptive execution broadcasts it when its measured size is
+    small, and otherwise splits the calls of a popular name over tasks.
     """
     first = first_by_name(catalogue)
     fields = fields or first.columns
     entry = first.select(F.col("function_name").alias("target"), F.struct(*fields).alias("match"))
-    return salted_join(calls, entry, ["target"], "left", spread=[c for c in calls.columns if c != "target"])
+    return calls.join(entry, "target", "left")
 
 
 def api_matched(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     names = catalogue.select(F.col("function_name").alias("target")).distinct()
-    return salted_join(calls, names, ["target"], "left_semi", spread=[c for c in calls.columns if c != "target"])
+    return calls.join(names, "target", "left_semi")
 
 
 def api_unmatched(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
     names = catalogue.select(F.col("function_name").alias("target")).distinct()
-    return salted_join(calls, names, ["target"], "left_anti", spread=[c for c in calls.columns if c != "target"])
+    return calls.join(names, "target", "left_anti")
 
 
 def match_note(match: Column, unmatch: Column) -> Column:
@@ -158,9 +158,18 @@ def checkpoint_summary(results: DataFrame, checkpoint: str = "checkpoint") -> Da
     return results.groupBy(checkpoint).agg(*_report_columns())
 
 
-def unmatched_names(results: DataFrame) -> DataFrame:
-    """How often each unknown name was called."""
-    return results.select(F.explode("unmatch.target").alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+def unmatched_names(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """How often each unknown name was called: names are counted before they meet the catalogue."""
+    counted = calls.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return api_unmatched(counted, catalogue).select("target", "n")
+
+
+def call_counts(df: DataFrame, calls: DataFrame, catalogue: DataFrame, key: str = "id") -> DataFrame:
+    """Adds match_count and unmatch_count, which is all that reports need of a generation's calls."""
+    names = catalogue.select(F.col("function_name").alias("target")).distinct().withColumn("_hit", F.lit(True))
+    hits = calls.join(names, "target", "left").groupBy(key).agg(F.count("_hit").alias("match_count"), F.count_if(F.col("_hit").isNull()).alias("unmatch_count"))
+    joined = df.join(hits, key, "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("match_count", "unmatch_count")})
 
 
 def report_section(is_md: bool = True) -> Column:

@@ -11,9 +11,8 @@ from corpusloom.operators.ordering import first_n
 from corpusloom.session import materialize, spread
 
 # Fixed value: the published byte-level pre-tokenizer pattern.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRE_TOKENS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCAB_SIZE = 200_000
-N_EXAMPLES = 32_768
 
 BYTES = 256
 # A word is a string with one character per symbol: U+0000..U+00FF for bytes, then one
@@ -71,13 +70,13 @@ def bpe_train(
     df: DataFrame,
     content: str = "content",
     vocab_size: int = VOCAB_SIZE,
-    n_examples: int | None = N_EXAMPLES,
+    n_examples: int | None = None,
     key: str = "id",
-    min_count: int = 2,
+    min_count: int = 1,
 ) -> list[Merge]:
     """Merges in the order they are learnt, most frequent pair first, ties by symbol order.
 
-    Learns from the first ``n_examples`` texts by ``key``, or from all of them when None.
+    Learns from all texts, or from the first ``n_examples`` by ``key``.
 
     A round counts all pairs of the word table, takes every merge that is already certain
     and rewrites the table. The driver sees the ``TOP_PAIRS`` largest counts only; the table

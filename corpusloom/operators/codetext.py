@@ -39,11 +39,16 @@ def comment_code_pairs(df: DataFrame, content: str = "content", keep: tuple[str,
 
     ``start``/``end`` are the 0-based first and last character of the code line's first occurrence.
     """
-    pattern = rf"(--[^\n]*)\n{WS}*([^\n]+)"
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("notation"),
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("code"),
-    )
+    # One extraction; the two lines of a match are parted afterwards. Of a match that ends in blanks only, as at the
+    # end of a text, the last blank counts as the code.
+    found = F.regexp_extract_all(content, F.lit(rf"--[^\n]*\n{WS}*[^\n]+"), F.lit(0))
+
+    def parted(match: Column) -> Column:
+        notation = F.substring_index(match, "\n", 1)
+        code = F.regexp_replace(F.substring(match, F.length(notation) + 2, F.length(match)), rf"^{WS}+", "")
+        return F.struct(notation.alias("notation"), F.when(code == "", F.right(match, F.lit(1))).otherwise(code).alias("code"))
+
+    pairs = F.transform(found, parted)
     # Places are looked up inside the row, so an exploded row does not carry the text. Exploding the
     # expression itself, not a column of it, keeps the optimizer from computing it again in a filter.
     placed = F.expr(f"transform(pairs, p -> struct(p.notation, p.code, locate(p.code, `{content}`) - 1 AS start))")
@@ -91,10 +96,10 @@ def _arg_lines(args: Column, tag: str) -> Column:
     return F.array_join(F.transform(args, line), "")
 
 
-def render_api_stub(package: str | Column = "package") -> Column:
+def render_api_stub(package: str | Column = "package", namespace: str = "edi", prefix: str = "isc_test_") -> Column:
     """Annotated stub of a catalogue entry (description, function_name, args, ret, example).
 
-    Packages ``events`` and ``structures`` have their own forms.
+    Functions of ``namespace`` are called from functions whose names begin with ``prefix``. Packages ``events`` and ``structures`` have their own forms.
     """
     package = col(package)
     name, about = F.col("function_name"), F.col("description")
@@ -118,12 +123,12 @@ def render_api_stub(package: str | Column = "package") -> Column:
         F.coalesce(F.col("example"), F.lit("")) != "",
         F.concat(F.lit("-- "), about, F.lit("的例子\n"), F.col("example"), F.lit("\n\n")),
     ).otherwise("")
-    call = F.concat(F.lit("edi."), package, F.lit(":"), name, F.lit("("), names, F.lit(")"))
-    head = F.concat(F.lit("function isc_test_"), package, F.lit(":"), name, F.lit("("), names, F.lit(")\n\t"))
+    call = F.concat(F.lit(f"{namespace}."), package, F.lit(":"), name, F.lit("("), names, F.lit(")"))
+    head = F.concat(F.lit(f"function {prefix}"), package, F.lit(":"), name, F.lit("("), names, F.lit(")\n\t"))
     logged = F.concat(
         F.lit("---@return "), F.col("ret.type"), F.lit(" #"), F.col("ret.comment"), F.lit("\n"), head,
         F.lit("local result = "), call,
-        F.lit('\n\tLOGI("isc_test_'), package, F.lit(" "), name, F.lit(': " .. tostring(result))\nend\n\n'),
+        F.lit(f'\n\tLOGI("{prefix}'), package, F.lit(" "), name, F.lit(': " .. tostring(result))\nend\n\n'),
     )
     plain = F.concat(head, call, F.lit("\nend\n\n"))
     common = F.concat(example, title, params, F.when(F.col("ret").isNotNull(), logged).otherwise(plain))

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import fold_key
-from corpusloom.operators.keyed import HOT_ROWS, first_per_key, hot_keys, salted_join, top_per_group
+from corpusloom.operators.keyed import HOT_ROWS, first_per_key, folded, hot_keys, salted_join, top_per_group
 from corpusloom.session import materialize
 
 KEYS = ["filename", "user"]
 
 
-def _folded(df: DataFrame, keys: list[str], fold: bool) -> tuple[DataFrame, list[str], Column]:
-    """Adds comparison keys; gives their names and the keys as spelled."""
-    names = [f"_key_{k}" for k in keys]
-    kinds = dict(df.dtypes)
-    folded = {n: fold_key(k) if fold and kinds[k] == "string" else F.col(k) for n, k in zip(names, keys)}
-    return df.withColumns(folded), names, F.struct(*keys)
-
-
 def reduce_events(
     df: DataFrame,
     keys: list[str],
@@ -37,8 +28,8 @@ def reduce_events(
     the winning run such keys are salted, and only times travel. Keys keep the spelling of
     their first event.
     """
-    folded, names, spelled = _folded(df, keys, fold)
-    events = folded.select(
+    rows, names, spelled = folded(df, keys, fold)
+    events = rows.select(
         *names,
         spelled.alias("_spelled"),
         F.md5(content).alias("_digest"),
@@ -97,8 +88,8 @@ def collect_first_batch(
     fold: bool = True,
 ) -> DataFrame:
     """(keys, content, date_modified): the first content per key stays."""
-    folded, names, _ = _folded(events, keys, fold)
-    first = first_per_key(folded, names, order or [ts])
+    rows, names, _ = folded(events, keys, fold)
+    first = first_per_key(rows, names, order or [ts])
     return first.select(*keys, F.col(content).alias("content"), F.col(ts).alias("date_modified"))
 
 
@@ -108,10 +99,10 @@ def merge_reduced(parts: DataFrame, keys: list[str], fold: bool = True) -> DataF
     A key has one row per batch here. Its modification time is that of the last row that is not a
     plain repetition of the content before it.
     """
-    folded, names, spelled = _folded(parts, keys, fold)
+    rows, names, spelled = folded(parts, keys, fold)
     before = F.lag("content").over(Window.partitionBy(*names).orderBy("batch"))
     repeats = F.col("unchanged") & before.isNotNull() & (before == F.col("content"))
-    marked = folded.withColumn("_moved", ~F.coalesce(repeats, F.lit(False)))
+    marked = rows.withColumn("_moved", ~F.coalesce(repeats, F.lit(False)))
     merged = marked.groupBy(*names).agg(
         F.min_by(spelled, "batch").alias("_spelled"),
         F.max_by("content", "batch").alias("content"),
@@ -122,6 +113,12 @@ def merge_reduced(parts: DataFrame, keys: list[str], fold: bool = True) -> DataF
     return merged.select("_spelled.*", "content", "date_modified", "unchanged", "batch")
 
 
+def merge_firsts(parts: DataFrame, keys: list[str], fold: bool = True) -> DataFrame:
+    """The first of the first rows of successive batches (``batch`` gives their order)."""
+    rows, names, _ = folded(parts, keys, fold)
+    return first_per_key(rows, names, ["batch"]).drop(*names)
+
+
 def read_table(df: DataFrame, sql: str, params: list | dict | None = None, name: str = "files") -> DataFrame:
     """Parametrised SQL over the table; ``?`` or ``:name`` markers are bound, never pasted in."""
     df.createOrReplaceTempView(name)

@@ -44,10 +44,6 @@ def template(name: str, **changes) -> Template:
     return replace(TEMPLATES[name], **changes)
 
 
-def special_tokens(t: Template) -> list[str]:
-    return [t.system_token, t.user_token, t.assistant_token, t.end_token]
-
-
 def _turns(messages: str | Column, user: str, assistant: str, end: str) -> Column:
     """Messages rendered one after another; any role but ``user`` takes the assistant form."""
     def turn(m: Column) -> Column:

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import col, unit_hash
+from corpusloom.functions.text import WS, col, unit_hash
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def file_events(df: DataFrame, suffix: str = ".lua", kind: str = "save") -> Data
 
 
 # Fixed value: what may follow the cursor on its line.
-LINE_REST = r"""^\s*[)}\]"'`]*\s*[:{;,]?\s*$"""
+LINE_REST = rf"""^{WS}*[)}}\]"'`]*{WS}*[:{{;,]?{WS}*$"""
 LINE_WINDOW = 500
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import fold_key
+
 
 def first_per_key(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """First row of every key in the given order.
@@ -97,11 +99,22 @@ def without_ids(df: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame
     return df.join(removed.select(key), on=key, how="left_anti")
 
 
-def insert_if_absent(table: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``table`` plus the first incoming row of every key the table does not hold.
+def folded(df: DataFrame, keys: list[str], fold: bool = True) -> tuple[DataFrame, list[str], Column]:
+    """Adds comparison keys, in which case, accents and trailing blanks of texts do not count; gives their names and
+    the keys as spelled."""
+    names = [f"_key_{k}" for k in keys]
+    kinds = dict(df.dtypes)
+    columns = {n: fold_key(k) if fold and kinds[k] == "string" else F.col(k) for n, k in zip(names, keys)}
+    return df.withColumns(columns), names, F.struct(*keys)
+
+
+def insert_if_absent(table: DataFrame, incoming: DataFrame, keys: list[str], order: list[str], fold: bool = True) -> DataFrame:
+    """``table`` plus the first incoming row of every key the table does not hold; keys compare folded.
 
     ``inserted`` tells the new rows from the old ones.
     """
-    fresh = first_per_key(incoming, keys, order).join(table.select(*keys).distinct(), on=keys, how="left_anti")
+    rows, names, _ = folded(incoming, keys, fold)
+    held = folded(table, keys, fold)[0].select(*names).distinct()
+    fresh = first_per_key(rows, names, order).join(held, on=names, how="left_anti").drop(*names)
     old = table.withColumn("inserted", F.lit(False))
     return old.unionByName(fresh.select(*table.columns).withColumn("inserted", F.lit(True)))

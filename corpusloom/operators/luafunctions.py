@@ -7,7 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lua's comment forms, block words, function heads and event registration calls.
@@ -49,7 +49,7 @@ def comment_spans(code: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(line, code, re.MULTILINE)] + [m.span() for m in re.finditer(block, code)]
 
 
-def lua_functions(code: str, require_register: bool = True) -> Iterator[tuple[str, str, str, str | None]]:
+def lua_functions(code: str, require_register: bool = True, register_call: str = REGISTER_CALL) -> Iterator[tuple[str, str, str, str | None]]:
     """(name, body, comment, register) of the functions of one file."""
     comments = _Spans(comment_spans(code))
     # One walk pairs every opening word with its end.
@@ -82,16 +82,16 @@ def lua_functions(code: str, require_register: bool = True) -> Iterator[tuple[st
             continue
         register = None
         following = re.match(r"[^\n\r]*[\n\r]([^\n\r]*)", code[stop:])
-        if following and re.match(REGISTER_CALL, following.group(1).strip()):
+        if following and re.match(register_call, following.group(1).strip()):
             register = following.group(1).strip()
         if register or not require_register:
             yield name.group(1), body, code[above:start], register
 
 
 def extract_functions(
-    df: DataFrame, key: str = "path", content: str = "content", require_register: bool = True
+    df: DataFrame, key: str = "path", content: str = "content", require_register: bool = True, register_call: str = REGISTER_CALL
 ) -> DataFrame:
-    """(path, ord, name, body, comment, register): one row per function.
+    """(path, ord, name, body, comment, register): one row per function; ``register_call`` matches a registration line.
 
     Nesting of block words is not regular, so each text is scanned in Python, one Arrow batch at a
     time; files without the word are dropped before they leave the JVM.
@@ -101,7 +101,7 @@ def extract_functions(
             rows = [
                 (path, i, *found)
                 for path, code in zip(batch["key"], batch["content"])
-                for i, found in enumerate(lua_functions(code, require_register))
+                for i, found in enumerate(lua_functions(code, require_register, register_call))
             ]
             yield pd.DataFrame(rows, columns=["key", "ord", "name", "body", "comment", "register"])
 
@@ -112,19 +112,32 @@ def extract_functions(
 
 
 def find_comment_spans(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(path, start, end) of all comments."""
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *span) for k, code in zip(batch["key"], batch["content"]) for span in comment_spans(code)]
-            yield pd.DataFrame(rows, columns=["key", "start", "end"])
+    """(path, start, end) of all comments, of either form.
 
-    files = df.select(F.col(key).alias("key"), F.col(content).alias("content")).where(F.col("content").contains("--"))
-    kind = dict(df.dtypes)[key]
-    return files.mapInPandas(scan, f"key {kind}, start int, end int").withColumnRenamed("key", key)
+    The places follow from the lengths of the matches and of the texts between them.
+    """
+    def spans(pattern: str) -> Column:
+        matches, gaps = F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), F.split(content, pattern, -1)
+        sizes = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(matches, F.length).alias("match"))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+        def add(done: Column, size: Column) -> Column:
+            start = done["at"] + size["gap"]
+            end = start + size["match"]
+            return F.struct(end.alias("at"), F.array_append(done["spans"], F.struct(start.alias("start"), end.alias("end"))).alias("spans"))
+
+        # The gap after the last match has no partner.
+        return F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), begin, add, lambda done: done["spans"])
+
+    line, block = COMMENTS
+    # As in the scan of functions, a line ends at a line feed only.
+    found = F.concat(spans(f"(?md){line}"), spans(block))
+    files = df.where(F.col(content).contains("--"))
+    return files.select(key, F.explode(found).alias("span")).select(key, "span.start", "span.end")
 
 
-def find_all_samples(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+def find_all_samples(df: DataFrame, key: str = "path", content: str = "content", register_call: str = REGISTER_CALL) -> DataFrame:
     """(path, functions): files with at least one registered function."""
-    found = extract_functions(df, key, content)
+    found = extract_functions(df, key, content, register_call=register_call)
     entry = F.struct("ord", "name", "body", "comment", "register")
     return found.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("functions"))

@@ -36,7 +36,8 @@ NUM_PERM = 256
 THRESHOLD = 0.85
 
 BLOCK = 64
-LARGEST_BLOCK = 2048
+#: Spark puts a group limit in front of the shuffle for ranks up to 1000 (spark.sql.optimizer.windowGroupLimitThreshold).
+LARGEST_BLOCK = 512
 PART_WORDS = 1_000_000
 SALTS = 256
 

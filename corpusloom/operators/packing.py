@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import unit_hash
 from corpusloom.functions.tokens import Tokenizer, default_tokenizer
-from corpusloom.operators.ordering import batches, first_n
+from corpusloom.operators.ordering import batches, first_n, numbered_ranges, running_sums
 
 # Fixed value: label of positions that do not count in the loss.
 IGNORE_INDEX = -100
@@ -61,38 +59,6 @@ def running_token_offset(df: DataFrame, shard: str, order: str, n_tokens: str, n
     return df.withColumn(name, F.coalesce(F.sum(n_tokens).over(before), F.lit(0)).cast("bigint"))
 
 
-def _buffers(rows: DataFrame, limit: float) -> DataFrame:
-    """(shard, id, buffer, start): which buffer a row falls in and at which token it starts.
-
-    A buffer is closed before the first row that finds it at or above ``limit``. ``rows`` has
-    (shard, id, size, n) with ``n`` tokens to lay out; a shard holds a bounded number of rows, of
-    which only these numbers are gathered to find the first row of every buffer.
-    """
-    listed = rows.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("id", "size", "n"))).alias("rows"))
-    # A limit already reached makes the first row open buffer 0.
-    begin = F.struct(
-        F.lit(math.ceil(limit)).cast("bigint").alias("filled"), F.array().cast("array<bigint>").alias("firsts")
-    )
-
-    def place(state: Column, row: Column) -> Column:
-        full = state["filled"] >= F.lit(limit)
-        return F.struct(
-            (F.when(full, 0).otherwise(state["filled"]) + row["size"]).cast("bigint").alias("filled"),
-            F.when(full, F.concat(state["firsts"], F.array(row["id"].cast("bigint")))).otherwise(state["firsts"]).alias("firsts"),
-        )
-
-    firsts = F.aggregate("rows", begin, place, lambda s: s["firsts"])
-    flat = listed.withColumn("firsts", firsts).select("shard", "firsts", F.explode("rows").alias("r"))
-    numbered = flat.select(
-        "shard",
-        F.col("r.id").alias("id"),
-        (F.size(F.filter("firsts", lambda f: f <= F.col("r.id"))) - 1).cast("bigint").alias("buffer"),
-        F.col("r.n").alias("n"),
-    )
-    before = Window.partitionBy("shard", "buffer").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return numbered.select("shard", "id", "buffer", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("start"))
-
-
 def shard_of(key: str = "id", rows_per_shard: int = SHARD_ROWS) -> Column:
     """Consecutive ids share a shard: a bounded number of rows, since ids are unique."""
     return F.floor(F.col(key) / rows_per_shard).cast("bigint")
@@ -109,29 +75,29 @@ def pack_constant_length(
     tokens: str = "input_ids",
     n_chars: str = "n_chars",
     n_tokens: str | None = None,
-    shard: Column | None = None,
 ) -> DataFrame:
-    """(shard, buffer, block, input_ids): blocks of exactly ``seq_length`` tokens.
+    """(buffer, block, input_ids): blocks of exactly ``seq_length`` tokens.
 
-    Rows of a shard fill a buffer until it holds ``seq_length * num_of_sequences`` tokens
-    (or that many estimated from characters); its texts, each followed by the separator, are
-    joined and cut, and the remainder of the buffer is dropped. Shards are read independently,
-    like the workers of a streaming loader.
+    Rows in key order fill buffers of ``seq_length * num_of_sequences`` tokens (or that many estimated from
+    characters): a row belongs to the buffer in which the sizes before it end. The texts of a buffer, each
+    followed by the separator, are joined and cut, and the buffer's remainder is dropped. Keys only give the
+    order, so gaps between them, negative or hashed ones change nothing.
 
-    The layout is found from the sizes alone; ``n_tokens`` names a column with the token count, if
+    The layout is found from running sums of the sizes alone; ``n_tokens`` names a column with the token count, if
     there is one, so that this pass neither reads nor computes tokens.
     """
     limit = seq_length * num_of_sequences * (1.0 if tokenized else chars_per_token)
     count = F.size(tokens) if n_tokens is None else F.col(n_tokens)
     sizes = df.select(
-        (shard_of(key) if shard is None else shard).alias("shard"),
         F.col(key).alias("id"),
         (count if tokenized else F.col(n_chars)).cast("bigint").alias("size"),
         (count + 1).cast("bigint").alias("n"),
     )
+    summed = running_sums(sizes, "id", ["size", "n"]).withColumn("buffer", F.floor(F.col("size_before") / F.lit(limit)).cast("bigint"))
+    opened = summed.groupBy("buffer").agg(F.min("n_before").alias("opened"))
+    layout = summed.join(opened, "buffer").select("id", "buffer", (F.col("n_before") - F.col("opened")).alias("start"))
     ended = df.select(F.col(key).alias("id"), F.concat(tokens, F.array(F.lit(separator))).alias("tokens"))
-    placed = ended.join(_buffers(sizes, limit), "id")
-    blocks = _slices_by_block(placed, ["shard", "buffer"], seq_length)
+    blocks = _slices_by_block(ended.join(layout, "id"), ["buffer"], seq_length)
     return blocks.where(F.size("input_ids") == seq_length)
 
 
@@ -183,23 +149,27 @@ def pad_batch(df: DataFrame, batch: str = "batch", tokens: str = "input_ids", pa
     )
 
 
-def mask_user_labels(tokens: str | Column, user_id: int, assistant_id: int) -> Column:
+def mask_user_labels(tokens: str | Column, user_id: int, assistant_id: int, open_user: Column | None = None) -> Column:
     """Labels equal to the tokens, with -100 from each user token up to the next assistant token.
 
-    Splits the block at assistant tokens instead of walking it: in the part before an
-    assistant token everything from the first user token on is masked.
+    ``open_user`` tells whether a block begins inside a user turn, as a block cut from a stream of
+    dialogues may; without it a block begins outside one.
     """
     ids = F.col(tokens) if isinstance(tokens, str) else tokens
-    text = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
-    parts = F.split(text, f" {assistant_id} ", -1)
+    begin = F.lit(False) if open_user is None else F.coalesce(open_user, F.lit(False))
+    # The parts between role tokens, each with the role token in front of it.
+    marks = F.filter(F.sequence(F.lit(0), F.size(ids) - 1), lambda i: F.get(ids, i).isin(user_id, assistant_id))
+    marks = F.when(F.size(ids) > 0, marks).otherwise(F.array().cast("array<int>"))
 
-    def masked(part: Column) -> Column:
-        at = F.locate(f" {user_id} ", part)
-        numbers = F.regexp_replace(F.substring(part, at, F.length(part)), r"-?\d+", str(IGNORE_INDEX))
-        return F.when(at > 0, F.concat(F.substring(part, F.lit(1), at - 1), numbers)).otherwise(part)
+    def part(at: Column, k: Column) -> Column:
+        until = F.coalesce(F.get(marks, k + 1), F.size(ids))
+        piece = F.slice(ids, at + 1, until - at)
+        ignored = F.array_repeat(F.lit(IGNORE_INDEX), until - at)
+        return F.when(F.get(ids, at) == user_id, ignored).otherwise(piece)
 
-    joined = F.array_join(F.transform(parts, masked), f" {assistant_id} ")
-    return F.transform(F.regexp_extract_all(joined, F.lit(r"-?\d+"), F.lit(0)), lambda t: t.cast("int"))
+    first = F.coalesce(F.get(marks, F.lit(0)), F.size(ids))
+    head = F.when(begin, F.array_repeat(F.lit(IGNORE_INDEX), first)).otherwise(F.slice(ids, F.lit(1), first))
+    return F.concat(head, F.flatten(F.transform(marks, part)))
 
 
 def fim_permute(
@@ -245,18 +215,19 @@ def fim_permute(
 def label_encode(df: DataFrame, label: str = "label", name: str = "label_id") -> DataFrame:
     """Class names as numbers in alphabetical order.
 
-    The distinct names are gathered once, map tasks first, into one sorted list; the look-up join
-    is left to the optimizer, which broadcasts the list when its measured size allows.
+    The distinct names are range-partitioned and numbered inside their ranges; the look-up join is left to
+    the optimizer, which broadcasts the list when its measured size allows.
     """
-    classes = df.agg(F.array_sort(F.collect_set(label)).alias("names"))
-    numbered = classes.select(F.posexplode("names").alias(name, label))
-    return df.join(numbered.withColumn(name, F.col(name).cast("bigint")), label)
+    numbered = numbered_ranges(df.select(label).where(F.col(label).isNotNull()).distinct(), [label], name)
+    return df.join(numbered, label)
 
 
-def chars_per_token(df: DataFrame, key: str = "id", content: str = "content", n_tokens: Column | None = None, examples: int = 400) -> DataFrame:
-    """Characters per token over the first ``examples`` rows."""
+def chars_per_token(
+    df: DataFrame, key: str = "id", content: str = "content", n_tokens: Column | None = None, examples: int | None = None
+) -> DataFrame:
+    """Characters per token over all rows, or over the first ``examples`` by key."""
     from corpusloom.functions.tokens import token_count
 
     count = token_count(content) if n_tokens is None else n_tokens
-    head = first_n(df, key, examples)
+    head = df if examples is None else first_n(df, key, examples)
     return head.agg(F.try_divide(F.sum(F.length(content)).cast("double"), F.sum(count)).alias("chars_per_token"))

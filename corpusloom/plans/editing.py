@@ -28,7 +28,7 @@ _REST = "regexp_replace(substr(text, \"offset\" + 1), '(?s)[\\r\\n].*$', '')"
 @query(
     "completion_position_filter",
     f"""SELECT id, CAST("offset" AS INTEGER) AS "offset" FROM ({_CURSORS})
-        WHERE regexp_matches({_REST}, '^[ \\t\\n\\x0b\\x0c\\r]*[)}}\\]"''`]*[ \\t\\n\\x0b\\x0c\\r]*[:{{;,]?[ \\t\\n\\x0b\\x0c\\r]*$')""",
+        WHERE regexp_matches({_REST}, '^{q.WS}*[)}}\\]"''`]*{q.WS}*[:{{;,]?{q.WS}*$')""",
 )
 def _(spark, d):
     return fl.completion_positions(_cursors(spark, d)).select("id", "offset")
@@ -54,13 +54,12 @@ _REPLY = "text || '<fim_middle>' || source || '<|endoftext|>'"
 
 @query(
     "clean_completion",
-    f"""SELECT doc_id AS id, replace(replace({_REPLY}, '<fim_middle>', ''), '<|endoftext|>', '')[length(text) + 1:] AS answer,
-               {q.strip("replace(text, chr(13), '')")} AS server_text FROM documents
-        WHERE NOT contains(text, '<fim_middle>')""",
+    f"""SELECT doc_id AS id, replace(replace(({_REPLY})[length(text) + 1:], '<fim_middle>', ''), '<|endoftext|>', '') AS answer,
+               replace({q.strip("text")}, chr(13), '') AS server_text FROM documents""",
 )
 def _(spark, d):
     reply = F.concat("content", F.lit("<fim_middle>"), "source", F.lit("<|endoftext|>"))
-    docs = documents(spark, d).where(~F.col("content").contains("<fim_middle>"))
+    docs = documents(spark, d)
     return docs.select("id", ed.clean_completion(reply, "content").alias("answer"), ed.clean_server_text("content").alias("server_text"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import apidocs, bpe, collect, keyed, luafunctions
+from corpusloom.operators import bpe, collect, keyed, luafunctions
 from corpusloom.plans import sql as q
 from corpusloom.plans.corpus import FILE_EVENTS, file_events
 from corpusloom.plans.registry import documents, query, table
@@ -121,34 +121,35 @@ def _(spark, d):
 
 
 _EVENT = feed.EVENT.replace("ts timestamp", "ts timestamp_ntz")
-
-
-def _landing(spark, d) -> str:
-    """The save events as JSON files in time order."""
-    path = fresh_path(spark, "landing")
-    events = file_events(spark, d).withColumn("parameters", F.create_map(F.lit("event_id"), F.col("event_id").cast("string")))
-    events.drop("event_id").repartitionByRange(4, "ts").write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
-    return path
+TRIGGERS = 3
+
+
+def _collected(spark, d, collector, target):
+    """The save events arrive as JSON files in ``TRIGGERS`` instalments by time; the stream runs after each."""
+    landing, state = fresh_path(spark, "landing"), fresh_path(spark, "files-state")
+    events = file_events(spark, d).withColumn("parameters", F.create_map(F.lit("event_id"), F.col("event_id").cast("string"))).drop("event_id")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / TRIGGERS
+    for k in range(TRIGGERS):
+        after = F.col("ts") >= F.lit(first + k * step)
+        before = F.col("ts") < F.lit(first + (k + 1) * step) if k + 1 < TRIGGERS else F.lit(True)
+        part = events.where(after & before).withColumn("instalment", F.lit(k))
+        part.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").partitionBy("instalment").json(landing)
+        stream = feed.event_stream(spark, f"{landing}/*", _EVENT)
+        collector(stream, target, state).trigger(availableNow=True).start().awaitTermination()
+        if k == 1:
+            target.compact()
+    return target.read()
 
 
 @query("collect_upsert_stream", _LATEST)
 def _(spark, d):
-    target = feed.FilesTable(spark, fresh_path(spark, "files"))
-    # All files in one trigger: the generated events carry no arrival order across files.
-    events = feed.event_stream(spark, _landing(spark, d), _EVENT)
-    writer = feed.collect_upsert_stream(events, target, fresh_path(spark, "files-state"))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    target.compact()
-    return target.read()
+    return _collected(spark, d, feed.collect_upsert_stream, feed.FilesTable(spark, fresh_path(spark, "files")))
 
 
-@query("collect_first_stream", f"SELECT DISTINCT filename, \"user\" FROM ({_SAVED})")
+@query("collect_first_stream", _FIRST)
 def _(spark, d):
-    out, state = fresh_path(spark, "first"), fresh_path(spark, "first-state")
-    first = feed.collect_first_stream(feed.event_stream(spark, _landing(spark, d), _EVENT))
-    run = first.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-    run.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("filename string, user string").parquet(out).select("filename", "user")
+    return _collected(spark, d, feed.collect_first_stream, feed.FilesTable(spark, fresh_path(spark, "files"), first=True))
 
 
 @query("read_table", f"SELECT filename, \"user\", content FROM ({_LATEST}) WHERE content = 'click'")
@@ -217,13 +218,6 @@ def _(spark, d):
     return found.select("path", F.size("functions").alias("n"), F.array_join(F.transform("functions", lambda f: f["name"]), " ").alias("names"))
 
 
-@query("doc_sections_to_entries")
-def _(spark, d):
-    """One entry per page heading."""
-    pages = table(spark, d, "pages")
-    return apidocs.doc_sections_to_entries(pages, "page_id", "html", "h1").select("page_id", "ord", "description", "function_name", "example")
-
-
 @query("bpe_train")
 def _(spark, d):
-    return bpe.bpe_merges(documents(spark, d), vocab_size=256 + 48, n_examples=None)
+    return bpe.bpe_merges(documents(spark, d), vocab_size=256 + 48)

@@ -43,28 +43,37 @@ def _body(t: dl.Template) -> str:
 _DEFAULT, _ALPACA, _NO_SYSTEM = (dl.TEMPLATES[n] for n in ("default", "alpaca", "no_system"))
 
 
-@query("render_training_prompt", f"SELECT conv_id, {_header(_DEFAULT)} || {_body(_DEFAULT)} AS text FROM conversations GROUP BY conv_id")
+# Dialogues come in parts of at most 1000 turns; the first one has the header, the last one is left open.
+_PARTS = f"(SELECT *, turn // {dl.TURNS_PER_ROW} AS part, max(turn // {dl.TURNS_PER_ROW}) OVER (PARTITION BY conv_id) AS final FROM conversations)"
+
+
+def _rendered(t: dl.Template) -> str:
+    return f"CASE WHEN part = 0 THEN {_header(t)} ELSE '' END || {_body(t)}"
+
+
+@query("render_training_prompt", f"SELECT conv_id, part, {_rendered(_DEFAULT)} AS text FROM {_PARTS} GROUP BY conv_id, part")
 def _(spark, d):
     first = F.col("part") == 0
-    return _dialogues(spark, d).select("conv_id", dl.training_prompt("messages", _DEFAULT, first).alias("text"))
+    return _dialogues(spark, d).select("conv_id", "part", dl.training_prompt("messages", _DEFAULT, first).alias("text"))
 
 
 @query(
     "render_inference_prompt",
-    f"SELECT conv_id, {_header(_ALPACA)} || {_body(_ALPACA)} || '{_ALPACA.assistant_token}' AS text FROM conversations GROUP BY conv_id",
+    f"""SELECT conv_id, part, {_rendered(_ALPACA)} || CASE WHEN part = final THEN '{_ALPACA.assistant_token}' ELSE '' END AS text
+        FROM {_PARTS} GROUP BY conv_id, part, final""",
 )
 def _(spark, d):
     parts = dl.collect_messages(table(spark, d, "conversations"), mark_last=True)
     text = dl.inference_prompt("messages", _ALPACA, F.col("part") == 0, F.col("last"))
-    return parts.select("conv_id", text.alias("text"))
+    return parts.select("conv_id", "part", text.alias("text"))
 
 
 _READABLE = _turns("chr(10) || chr(10) || 'Human: '", "chr(10) || chr(10) || 'Assistant: '", "''")
 
 
-@query("render_readable", f"SELECT conv_id, {_READABLE} AS text FROM conversations GROUP BY conv_id")
+@query("render_readable", f"SELECT conv_id, part, {_READABLE} AS text FROM {_PARTS} GROUP BY conv_id, part")
 def _(spark, d):
-    return _dialogues(spark, d).select("conv_id", dl.readable("messages").alias("text"))
+    return _dialogues(spark, d).select("conv_id", "part", dl.readable("messages").alias("text"))
 
 
 def _pairs(spark, d):
@@ -92,15 +101,15 @@ def _(spark, d):
 
 @query(
     "prepare_mixed",
-    f"""SELECT 'code' AS type, doc_id AS id, text || '<|endoftext|>' || chr(10) AS text FROM documents
+    f"""SELECT 'code' AS type, doc_id AS id, NULL AS part, text || '<|endoftext|>' || chr(10) AS text FROM documents
         UNION ALL
-        SELECT 'dialogue', conv_id, {_header(_NO_SYSTEM)} || {_body(_NO_SYSTEM)} FROM conversations GROUP BY conv_id""",
+        SELECT 'dialogue', conv_id, part, {_rendered(_NO_SYSTEM)} FROM {_PARTS} GROUP BY conv_id, part""",
 )
 def _(spark, d):
     code = documents(spark, d).select(F.lit("code").alias("type"), "id", "content")
     spoken = _dialogues(spark, d).select(F.lit("dialogue").alias("type"), F.col("conv_id").alias("id"), "part", "messages")
     mixed = code.unionByName(spoken, allowMissingColumns=True)
-    return dl.prepare_mixed(mixed, _NO_SYSTEM).select("type", "id", "text")
+    return dl.prepare_mixed(mixed, _NO_SYSTEM).select("type", "id", "part", "text")
 
 
 @query(
@@ -112,22 +121,26 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", dl.chat_query_prompt("text").alias("prompt"))
 
 
+# A transcript is cut at every ``###``, also at those that its texts hold.
+_TRANSCRIPT = "string_agg(CASE WHEN role = 'user' THEN '### Human: ' ELSE '### Assistant: ' END || text, ' ' ORDER BY turn)"
+_SEGMENTS = f"list_filter(string_split_regex({q.strip('whole')}, '###{q.WS}*'), lambda s: starts_with(s, 'Human:') OR starts_with(s, 'Assistant:'))"
+_PARSED = f"""CASE WHEN starts_with(s, 'Human:') THEN 'user=' || {q.strip('substr(s, 7)')} ELSE 'assistant=' || {q.strip('substr(s, 11)')} END"""
+
+
 @query(
     "dialogue_to_messages",
-    f"""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END || '=' || {q.strip('text')},
-               '|' ORDER BY turn) AS messages
-        FROM conversations WHERE NOT contains(text, '###') GROUP BY conv_id""",
+    f"""SELECT conv_id, part, array_to_string(list_transform({_SEGMENTS}, lambda s: {_PARSED}), '|') AS messages
+        FROM (SELECT conv_id, part, {_TRANSCRIPT} AS whole FROM {_PARTS} GROUP BY conv_id, part)""",
 )
 def _(spark, d):
-    plain = table(spark, d, "conversations").where(~F.col("text").contains("###"))
     mark = F.when(F.col("role") == "user", "### Human: ").otherwise("### Assistant: ")
-    turns = plain.withColumn("text", F.concat(mark, "text"))
+    turns = table(spark, d, "conversations").withColumn("text", F.concat(mark, "text"))
     transcripts = dl.collect_messages(turns).select(
-        "conv_id", F.array_join(F.transform("messages", lambda m: m["content"]), " ").alias("text")
+        "conv_id", "part", F.array_join(F.transform("messages", lambda m: m["content"]), " ").alias("text")
     )
-    parsed = transcripts.select("conv_id", dl.dialogue_to_messages("text").alias("messages"))
+    parsed = transcripts.select("conv_id", "part", dl.dialogue_to_messages("text").alias("messages"))
     shown = F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"]))
-    return parsed.select("conv_id", F.array_join(shown, "|").alias("messages"))
+    return parsed.select("conv_id", "part", F.array_join(shown, "|").alias("messages"))
 
 
 @query(
@@ -160,7 +173,7 @@ def pretokenize(spark, d):
 
 @query("chars_per_token", f"""
     SELECT round(sum(length(text))::DOUBLE / sum(len({q.token_texts('text')})), 6) AS chars_per_token
-    FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 400)""")
+    FROM documents""")
 def _(spark, d):
     return pk.chars_per_token(documents(spark, d)).select(F.round("chars_per_token", 6).alias("chars_per_token"))
 
@@ -175,29 +188,27 @@ def _(spark, d):
     return pk.running_token_offset(counted, "shard", "id", "n").select("id", "shard", "start")
 
 
-# Documents fill buffers one after another; a buffer closes once it holds the limit.
+# Documents in id order fill buffers of a fixed number of characters. Keys only give the order: the same
+# documents under ids a thousand apart make the same blocks.
 _BUFFERED = f"""
-  WITH RECURSIVE docs AS (
-    SELECT id, id // 1000 AS shard, n_chars, ids, row_number() OVER (PARTITION BY id // 1000 ORDER BY id) AS r FROM ({_TOKENS})
-  ), sizes AS (SELECT id, shard, n_chars, r FROM docs),
-  walk AS (
-    SELECT id, shard, r, 0::BIGINT AS buffer, n_chars::BIGINT AS filled FROM sizes WHERE r = 1
-    UNION ALL
-    SELECT s.id, s.shard, s.r, CASE WHEN w.filled >= {BLOCK * 64 * 3.6} THEN w.buffer + 1 ELSE w.buffer END,
-           CASE WHEN w.filled >= {BLOCK * 64 * 3.6} THEN s.n_chars ELSE w.filled + s.n_chars END
-    FROM walk w JOIN sizes s ON s.shard = w.shard AND s.r = w.r + 1
+  WITH docs AS (
+    SELECT id, ids, CAST(floor(coalesce(sum(n_chars) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                               / {BLOCK * 64 * 3.6}) AS BIGINT) AS buffer FROM ({_TOKENS})
   ), joined AS (
-    SELECT d.shard, w.buffer, flatten(list(list_append(d.ids, {SEPARATOR}) ORDER BY d.id)) AS ids
-    FROM docs d JOIN walk w ON d.id = w.id GROUP BY d.shard, w.buffer
+    SELECT buffer, flatten(list(list_append(ids, {SEPARATOR}) ORDER BY id)) AS ids FROM docs GROUP BY buffer
   )
-  SELECT shard, buffer, block, {q.joined(f'ids[block * {BLOCK} + 1 : (block + 1) * {BLOCK}]')} AS input_ids
-  FROM joined, LATERAL (SELECT unnest(generate_series(0, len(ids) // {BLOCK} - 1)) AS block)"""
+  SELECT gap, buffer, block, {q.joined(f'ids[block * {BLOCK} + 1 : (block + 1) * {BLOCK}]')} AS input_ids
+  FROM joined, LATERAL (SELECT unnest(generate_series(0, len(ids) // {BLOCK} - 1)) AS block), (VALUES (1), (1000)) AS gaps(gap)"""
 
 
 @query("pack_constant_length", _BUFFERED)
 def pack_constant_length(spark, d):
-    blocks = pk.pack_constant_length(_tokens(spark, d), SEPARATOR, BLOCK, num_of_sequences=64, n_tokens="n_tokens")
-    return blocks.select("shard", "buffer", "block", _ids())
+    def packed(gap: int):
+        rows = _tokens(spark, d).withColumn("id", F.col("id") * gap)
+        blocks = pk.pack_constant_length(rows, SEPARATOR, BLOCK, num_of_sequences=64, n_tokens="n_tokens")
+        return blocks.select(F.lit(gap).alias("gap"), "buffer", "block", _ids())
+
+    return packed(1).union(packed(1000))
 
 
 @query(
@@ -251,20 +262,20 @@ USER, ASSISTANT = 1 << 29, (1 << 29) + 1
 
 @query(
     "mask_user_labels",
-    f"""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN {q.joined('list_transform(ids, lambda x: -100)')}
+    f"""SELECT conv_id, part, string_agg(CASE WHEN role = 'user' THEN {q.joined('list_transform(ids, lambda x: -100)')}
                                         ELSE {q.joined('ids')} END, ' ' ORDER BY turn) AS labels
         FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role,
-                     list_prepend(CASE WHEN role = 'user' THEN {USER} ELSE {ASSISTANT} END, {q.tokens('text')}) AS ids FROM conversations)
-        GROUP BY conv_id""",
+                     part, list_prepend(CASE WHEN role = 'user' THEN {USER} ELSE {ASSISTANT} END, {q.tokens('text')}) AS ids FROM {_PARTS})
+        GROUP BY conv_id, part""",
 )
 def _(spark, d):
     role = F.when(F.col("role") == "user", USER).otherwise(ASSISTANT)
     turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.array(role), default_tokenizer("text")).alias("ids"))
     # Every part of a dialogue starts at a role token, so parts are masked by themselves.
-    part = F.floor(F.col("turn") / dl.TURNS_PER_ROW)
+    part = F.floor(F.col("turn") / dl.TURNS_PER_ROW).alias("part")
     listed = turns.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("turn", "ids"))).alias("t"))
-    flat = listed.select("conv_id", F.flatten(F.transform("t", lambda x: x["ids"])).alias("ids"))
-    return flat.select("conv_id", F.array_join(pk.mask_user_labels("ids", USER, ASSISTANT), " ").alias("labels"))
+    flat = listed.select("conv_id", "part", F.flatten(F.transform("t", lambda x: x["ids"])).alias("ids"))
+    return flat.select("conv_id", "part", F.array_join(pk.mask_user_labels("ids", USER, ASSISTANT), " ").alias("labels"))
 
 
 PRE, MID, SUF = 268435457, 268435458, 268435459
@@ -299,7 +310,7 @@ def _(spark, d):
 # ---------------------------------------------------------------- stream of the same columns
 
 
-@query("stream_dialogue_prompts", f"SELECT conv_id, {_header(_DEFAULT)} || {_body(_DEFAULT)} AS text FROM conversations GROUP BY conv_id")
+@query("stream_dialogue_prompts", f"SELECT conv_id, part, {_rendered(_DEFAULT)} AS text FROM {_PARTS} GROUP BY conv_id, part")
 def _(spark, d):
     from corpusloom.session import fresh_path
     from corpusloom.streaming.feed import stream_dialogue_prompts
@@ -308,6 +319,6 @@ def _(spark, d):
     stored = _dialogues(spark, d)
     stored.write.json(landing)
     stream = stream_dialogue_prompts(spark.readStream.schema(stored.schema).json(landing), _DEFAULT)
-    run = stream.select("conv_id", "text").writeStream.format("parquet").option("path", out)
+    run = stream.select("conv_id", "part", "text").writeStream.format("parquet").option("path", out)
     run.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("conv_id bigint, text string").parquet(out)
+    return spark.read.schema("conv_id bigint, part int, text string").parquet(out)

@@ -55,8 +55,8 @@ def api_entries(files: DataFrame, path: str = "filepath", content: str = "conten
     return rows.select("package", "file", "ord", "e.description", "e.function_name", "e.args", F.col("e.return").alias("ret"), "e.example")
 
 
-def scan_api_json(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    return api_entries(scan_whole_files(spark, roots, ".json"))
+def scan_api_json(spark: SparkSession, roots: str | list[str], ext: str = ".json") -> DataFrame:
+    return api_entries(scan_whole_files(spark, roots, ext))
 
 
 def _segment(record: Column, i: int) -> Column:

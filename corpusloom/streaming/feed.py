@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from corpusloom.operators.collect import KEYS, merge_reduced, reduce_events
+from corpusloom.operators.collect import KEYS, collect_first_batch, merge_firsts, merge_reduced, reduce_events
 from corpusloom.operators.dialogue import Template, first_part, training_prompt
 from corpusloom.operators.filters import file_events
 
@@ -20,72 +22,82 @@ def event_stream(spark: SparkSession, landing: str, schema: str = EVENT, files_p
 
 
 def saved_files(events: DataFrame, suffix: str = ".lua") -> DataFrame:
-    """(filename, user, content, ts) of the save events to collect."""
+    """(event_id, filename, user, content, ts) of the save events to collect; the id orders events of equal time."""
     kept = file_events(events, suffix)
-    return kept.select("filename", F.col("host").alias("user"), F.col("inputs").alias("content"), "ts")
+    number = F.col("parameters")["event_id"].cast("bigint")
+    return kept.select(number.alias("event_id"), "filename", F.col("host").alias("user"), F.col("inputs").alias("content"), "ts")
 
 
 class FilesTable:
-    """Upserted table as a log of reduced batches.
+    """Upserted table as a log of reduced batches: the last content per key, or with ``first`` the first one.
 
     Each micro-batch is reduced to one row per key and overwrites its own ``batch=<id>`` folder, so
     a replayed batch replaces itself. Reading merges the log; ``compact`` folds it into one
-    batch, so neither the stream nor a reader rewrites or scans the whole history.
+    base and removes what it replaces, so neither the stream nor a reader rewrites or scans the whole history.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str] = KEYS):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, keys: list[str] = KEYS, first: bool = False):
+        self.spark, self.path, self.keys, self.first = spark, path.rstrip("/"), keys, first
 
     def append(self, events: DataFrame, batch_id: int) -> None:
-        order = ["ts", "content"] if "event_id" not in events.columns else ["ts", "event_id"]
+        order = ["ts", "event_id", "content"] if "event_id" in events.columns else ["ts", "content"]
         # Read the source once: the reduction looks at a batch several times.
         events = events.persist()
-        reduced = reduce_events(events, self.keys, "content", "ts", order)
+        if self.first:
+            reduced = collect_first_batch(events, self.keys, order=order)
+        else:
+            reduced = reduce_events(events, self.keys, "content", "ts", order)
         reduced.write.mode("overwrite").parquet(f"{self.path}/log/batch={batch_id}")
         events.unpersist()
 
-    def _compacted_to(self) -> int:
-        """Last batch inside the newest complete base, -1 without one."""
+    def _folders(self, name: str) -> dict[int, object]:
+        """Complete folders ``<name>/<kind>=<number>`` by number."""
         fs = self.spark._jvm.org.apache.hadoop.fs
-        base = fs.Path(f"{self.path}/base")
-        system = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not system.exists(base):
-            return -1
-        done = [s.getPath() for s in system.listStatus(base) if system.exists(fs.Path(s.getPath(), "_SUCCESS"))]
-        return max((int(p.getName().split("=")[1]) for p in done), default=-1)
+        top = fs.Path(f"{self.path}/{name}")
+        system = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(top):
+            return {}
+        found = [s.getPath() for s in system.listStatus(top) if system.exists(fs.Path(s.getPath(), "_SUCCESS"))]
+        return {int(f.getName().split("=")[1]): f for f in found}
 
     def _parts(self) -> DataFrame:
-        upto = self._compacted_to()
-        log = self.spark.read.option("basePath", f"{self.path}/log").parquet(f"{self.path}/log")
-        log = log.withColumn("batch", F.col("batch").cast("bigint")).where(F.col("batch") > upto)
-        if upto < 0:
-            return log
-        base = self.spark.read.parquet(f"{self.path}/base/upto={upto}")
-        return log.unionByName(base.withColumn("batch", F.lit(upto).cast("bigint")))
+        upto = max(self._folders("base"), default=-1)
+        log = [n for n in self._folders("log") if n > upto]
+        read = lambda path, n: self.spark.read.parquet(path).withColumn("batch", F.lit(n).cast("bigint"))
+        parts = [read(f"{self.path}/log/batch={n}", n) for n in sorted(log)]
+        parts += [read(f"{self.path}/base/upto={upto}", upto)] if upto >= 0 else []
+        return reduce(DataFrame.unionByName, parts)
+
+    def _merged(self) -> DataFrame:
+        merge = merge_firsts if self.first else merge_reduced
+        return merge(self._parts(), self.keys)
 
     def compact(self) -> None:
-        parts = self._parts()
-        last = parts.agg(F.max("batch")).first()[0]
-        if last is not None and last > self._compacted_to():
-            merged = merge_reduced(parts, self.keys).drop("batch")
-            merged.write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
+        """Fold the log into a new base, then remove older bases and the merged batches. A reader that began before may
+        have to begin again."""
+        base, log = self._folders("base"), self._folders("log")
+        last = max(log, default=-1)
+        if last <= max(base, default=-1):
+            return
+        self._merged().drop("batch").write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
+        for folder in [*base.values(), *(f for n, f in log.items() if n <= last)]:
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def read(self) -> DataFrame:
-        return merge_reduced(self._parts(), self.keys).select(*self.keys, "content", "date_modified")
+        return self._merged().select(*self.keys, "content", "date_modified")
 
 
 def collect_upsert_stream(events: DataFrame, table: FilesTable, checkpoint: str) -> DataStreamWriter:
-    """Last content per (filename, user)."""
+    """Every save event into ``table``: the last content per (filename, user), or the first one."""
     writer = saved_files(events).writeStream.option("checkpointLocation", checkpoint)
     return writer.foreachBatch(lambda batch, batch_id: table.append(batch, batch_id))
 
 
-def collect_first_stream(events: DataFrame, keys: list[str] = KEYS, watermark: str | None = None) -> DataFrame:
-    """First event per key. A watermark bounds the state, but lets a key in again after it."""
-    files = saved_files(events)
-    if watermark:
-        return files.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
-    return files.dropDuplicates(keys)
+def collect_first_stream(events: DataFrame, table: FilesTable, checkpoint: str) -> DataStreamWriter:
+    """The first content per (filename, user); ``table`` was made with ``first``. The stream itself keeps no state."""
+    if not table.first:
+        raise ValueError("needs a table that keeps the first content")
+    return collect_upsert_stream(events, table, checkpoint)
 
 
 def stream_dialogue_prompts(dialogues: DataFrame, t: Template, messages: str = "messages") -> DataFrame:

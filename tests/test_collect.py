@@ -95,14 +95,43 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_first_stream(spark, tmp_path):
     rows = events(120, 3)
-    land(tmp_path / "in", rows, "0.json")
-    source = feed.event_stream(spark, str(tmp_path / "in"))
-    for watermark in (None, "1 hour"):
-        name = f"first_{'w' if watermark else 'n'}"
-        run = feed.collect_first_stream(source, watermark=watermark).writeStream.format("memory").queryName(name)
-        run.option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
-        got = {(r.filename, r.user) for r in spark.table(name).collect()}
-        assert got == {(r[2], r[3]) for r in rows if r[0] % 5} and spark.table(name).count() == len(got)
+    kept = [r for r in rows if r[0] % 5]
+    table = feed.FilesTable(spark, str(tmp_path / "table"), first=True)
+    (tmp_path / "in").mkdir()
+    source = feed.event_stream(spark, str(tmp_path / "in"), feed.EVENT.replace("ts timestamp", "ts timestamp_ntz"))
+    for part in range(3):
+        land(tmp_path / "in", rows[part * 40 : part * 40 + 40], f"{part}.json")
+        feed.collect_first_stream(source, table, str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        if part == 1:
+            table.compact()
+            assert sorted(table._folders("log")) == [] and len(table._folders("base")) == 1
+    first = {}
+    for r in kept:
+        first.setdefault((r[2].lower(), r[3].lower()), r)
+    got = {(r.filename.lower(), r.user.lower()): (r.content, r.date_modified) for r in table.read().collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: r[4] for k, r in first.items()}
+
+
+def test_equal_times_are_ordered_by_event_id(spark, tmp_path):
+    at = START
+    rows = [(2, at, "a.lua", "u", "a"), (1, at, "a.lua", "u", "z")]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, filename string, user string, content string")
+    batch = collect.upsert_batch(df, order=["ts", "event_id"]).first().content
+    for first in (False, True):
+        table = feed.FilesTable(spark, str(tmp_path / f"t{first}"), first=first)
+        table.append(df, 0)
+        assert table.read().first().content == ("z" if first else batch) and batch == "a"
+
+
+def test_keys_compare_without_case(spark):
+    from corpusloom.operators.keyed import insert_if_absent
+
+    held = spark.createDataFrame([("a.lua", "u", 1)], "filename string, user string, n int")
+    new = spark.createDataFrame([("A.lua", "U", 2), ("b.lua", "u", 3), ("B.LUA ", "ü", 4)], "filename string, user string, n int")
+    got = insert_if_absent(held, new, ["filename", "user"], ["n"])
+    assert sorted((r.filename, r.inserted) for r in got.collect()) == [("a.lua", False), ("b.lua", True)]
+    apart = insert_if_absent(held, new, ["filename", "user"], ["n"], fold=False)
+    assert apart.count() == 4
 
 
 def test_read_table_binds_parameters(spark):

@@ -53,14 +53,17 @@ def test_markdown_counts_blocks_only(spark, catalogue):
     assert ev.eval_output(df, catalogue, is_md=True).first().note == "All functions matched: two"
 
 
-def test_reports(results):
+def test_reports(spark, results, catalogue):
     row = ev.eval_report(results).first()
     assert (row.total_tests, row.matched, row.unmatched, row.total) == (4, 4, 3, 7)
     assert (row.zero_api_count, row.full_api_count, row.partical_api_count) == (1, 1, 2)
     assert row.match_rate_avg == 4 / 7 and row.api_count_avg == 7 / 4
     by = {r.checkpoint: r.matched for r in ev.checkpoint_summary(results).collect()}
     assert by == {0: 0, 1: 4}
-    assert {r.target: r.n for r in ev.unmatched_names(results).collect()} == {"nope": 3}
+    calls = ev.api_calls(results.select("id", "generated"))
+    assert {r.target: r.n for r in ev.unmatched_names(calls, catalogue).collect()} == {"nope": 3}
+    counted = ev.call_counts(results.select("id", "checkpoint"), calls, catalogue)
+    assert ev.eval_report(counted).first() == row
     section = results.where("id = 2").select(ev.report_section().alias("s"), ev.report_section(False).alias("t")).first()
     assert section.s == "\n ---  \n  **Prompt: p2** \n\n **Output:**  \n edi.x:nope()\n\n  **Note:**  No function matched: nope\n\n"
     assert " ``` edi.x:nope()\n```\n\n" in section.t
@@ -242,4 +245,5 @@ def test_byte_pairs_equal_stepwise_learning(spark):
 
 def test_byte_pairs_stop_when_nothing_repeats(spark):
     df = spark.createDataFrame([(0, "ab"), (1, "cd")], "id int, content string")
-    assert bpe.bpe_train(df, vocab_size=300) == []
+    assert [(m.left, m.right) for m in bpe.bpe_train(df, vocab_size=300)] == [("a", "b"), ("c", "d")]
+    assert bpe.bpe_train(df, vocab_size=300, min_count=2) == []

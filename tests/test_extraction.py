@@ -3,7 +3,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import apidocs as ad
 from corpusloom.operators import luafunctions as lf
 from corpusloom.operators.codetext import render_api_stub
 from corpusloom.sources import readers, writers
@@ -78,64 +77,6 @@ def test_comment_spans(spark):
     assert [(r.start, r.end) for r in lf.find_comment_spans(df).collect()] == [(2, 8), (9, 17), (9, 20)]
 
 
-HTML = """<h3>Hits a target <code> strike </code></h3><ul><li>args:</li></ul>
-<table><thead><tr><th>n</th></tr></thead><tbody><tr><td>who</td><td>int</td><td>the &amp; target</td></tr>
-<tr><td>-</td><td>-</td><td>-</td></tr><tr><td>two</td><td>cells</td></tr></tbody></table>
-<ul><li>ret: <code>bool</code> whether it hit</li></ul><pre><code>strike(1)
-</code></pre><h3>Waits<code>wait</code></h3><p>text</p><h3>Last <code>last</code></h3><ul><li>ret:<code>int</code></li></ul>"""
-
-
-def test_sections_of_html(spark):
-    rows = ad.doc_sections_to_entries(spark.createDataFrame([("p", HTML)], "path string, html string")).orderBy("ord").collect()
-    first, second, third = rows
-    assert (first.description, first.function_name, first.example) == ("Hits a target", "strike", "strike(1)")
-    assert [tuple(a) for a in first.args] == [("who", "int", "the & target")] and tuple(first.ret) == ("bool", "whether it hit")
-    assert (second.function_name, second.args, second.ret, second.example) == ("wait", None, None, None)
-    assert third.ret.type == "int" and third.ret.comment == ""
-
-
-MARKDOWN = """# Page
-### Hits a target `strike`
-- args:
-
-| name | type | comment |
-| --- | --- | --- |
-| who | int | the target |
-| - | - | - |
-
-- ret: `bool` whether it hit
-
-```lua
-strike(1)
-if a < b then end
-```
-### Waits `wait`
-"""
-
-
-def test_sections_of_markdown(spark):
-    df = spark.createDataFrame([("p", MARKDOWN)], "path string, md string")
-    first, second = ad.doc_sections_to_entries(df, content="md", markdown=True).orderBy("ord").collect()
-    assert (first.description, first.function_name) == ("Hits a target", "strike")
-    assert [tuple(a) for a in first.args] == [("who", "int", "the target")] and tuple(first.ret) == ("bool", "whether it hit")
-    assert first.example == "strike(1)\nif a < b then end" and second.example is None
-
-
-def test_page_headings_by_regex(spark, small):
-    """The registered query has no SQL: headings of the given pages by a plain pattern."""
-    import html
-
-    import __spark_entry__ as entry
-
-    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
-    want = {
-        (p.page_id, i, html.unescape(re.match(r"[^<]*", h).group()).strip())
-        for p in pages for i, h in enumerate(re.findall(r"<h1[^>]*>(.*?)</h1>", p.html, re.S))
-    }
-    got = {(r.page_id, r.ord, r.description) for r in entry.queries()["doc_sections_to_entries"](spark, small).collect()}
-    assert got == want and got
-
-
 def test_api_json_files(spark, tmp_path):
     entry = {"description": "d", "function_name": "f", "args": [{"name": "a", "type": "t", "comment": "c"}], "example": None}
     (tmp_path / "sub").mkdir()

@@ -22,8 +22,38 @@ def test_positions_with_ties(spark):
     assert got == {r: i for i, r in enumerate(sorted(rows))}
 
 
-def test_nth_smallest(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "FEW", 10)
+def test_positions_of_a_heavy_value(spark):
+    rows = [(5 if i % 10 else i, i * 7919 % 20_011) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k int, id int").repartition(4)
+    got = {(r.k, r.id): r.position for r in ordering.row_positions(df, "k", ("id",)).collect()}
+    assert got == {r: i for i, r in enumerate(sorted(rows))}
+    bins = ordering._binned(df, "k", ("id",)).where("k = 5").groupBy("_bin").count().collect()
+    assert len(bins) > 1
+
+
+def test_running_sums(spark):
+    rows = [(i * 37 - 500, i % 7, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, a int, b int").repartition(4)
+    a = b = 0
+    got = {r.id: (r.a_before, r.b_before) for r in ordering.running_sums(df, "id", ["a", "b"]).collect()}
+    for i, x, y in sorted(rows):
+        assert got[i] == (a, b)
+        a, b = a + x, b + y
+
+
+def test_numbered_ranges_of_texts(spark):
+    names = [f"name {i * 7919 % 997}" for i in range(997)]
+    got = {r.n: r.position for r in ordering.numbered_ranges(spark.createDataFrame([(n,) for n in names], "n string"), ["n"]).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names))}
+
+
+def test_nth_smallest_with_infinite_values(spark):
+    values = [float("inf")] * 3 + [float("-inf")] * 2 + [0.0, 1e-300, 2.5, 1e308, -1e308, 7.0, 7.0, 5e-324]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [ordering.nth_smallest(df, F.col("v"), n) for n in range(1, len(values) + 1)] == sorted(values)
+
+
+def test_nth_smallest(spark):
     for values in ([random.Random(4).randrange(10**9) for _ in range(5000)], [7] * 300 + [1, 2, 9], [i // 100 for i in range(2000)]):
         df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(4)
         for n in (1, 2, len(values) // 3, len(values)):

@@ -19,35 +19,48 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id bigint, input_ids array<int>, n_chars int").repartition(5)
 
 
-def packed(rows, length, limit, size, per_shard):
-    """One shard after another, buffer by buffer."""
+def packed(rows, length, limit, size):
+    """Buffer by buffer, by the sizes before each row in id order."""
+    buffers, before = {}, 0
+    for r in sorted(rows):
+        buffers.setdefault(int(before // limit), []).append(r)
+        before += size(r)
     out = {}
-    for shard in sorted({r[0] // per_shard for r in rows}):
-        mine = [r for r in rows if r[0] // per_shard == shard]
-        buffers, filled = [[]], 0
-        for r in mine:
-            if filled >= limit:
-                buffers.append([])
-                filled = 0
-            buffers[-1].append(r)
-            filled += size(r)
-        for b, buffer in enumerate(buffers):
-            flat = [t for r in buffer for t in r[1] + [SEP]]
-            for k in range(len(flat) // length):
-                out[shard, b, k] = flat[k * length : (k + 1) * length]
+    for b, buffer in buffers.items():
+        flat = [t for r in buffer for t in r[1] + [SEP]]
+        for k in range(len(flat) // length):
+            out[b, k] = flat[k * length : (k + 1) * length]
     return out
 
 
 @pytest.mark.parametrize("tokenized", [False, True])
-def test_constant_length(spark, tokenized):
-    rows = documents()
-    got = pk.pack_constant_length(
-        frame(spark, rows), SEP, seq_length=16, num_of_sequences=8, chars_per_token=2.5, tokenized=tokenized, shard=pk.shard_of("id", 25)
-    )
+@pytest.mark.parametrize("renumber", [lambda i: i, lambda i: i * 1000, lambda i: i - 40, lambda i: hash((i, 7)) % (1 << 62) - (1 << 61)])
+def test_constant_length(spark, tokenized, renumber):
+    """Dense, sparse, negative and hashed ids: nothing but the remainder of a buffer is lost."""
+    rows = [(renumber(i), ids, n) for i, ids, n in documents()]
+    got = pk.pack_constant_length(frame(spark, rows), SEP, seq_length=16, num_of_sequences=8, chars_per_token=2.5, tokenized=tokenized)
     limit = 16 * 8 * (1 if tokenized else 2.5)
-    want = packed(rows, 16, limit, (lambda r: len(r[1])) if tokenized else (lambda r: r[2]), 25)
-    assert {(r.shard, r.buffer, r.block): r.input_ids for r in got.collect()} == want
-    assert len({k[1] for k in want}) > 1
+    want = packed(rows, 16, limit, (lambda r: len(r[1])) if tokenized else (lambda r: r[2]))
+    assert {(r.buffer, r.block): r.input_ids for r in got.collect()} == want
+    n_buffers = len({k[0] for k in want})
+    assert n_buffers > 1 and sum(len(r[1]) + 1 for r in rows) - 16 * len(want) < 16 * n_buffers
+
+
+def test_masks_of_blocks_that_begin_inside_a_user_turn(spark):
+    ids = [5, 6, -2, 7, -1, 8, 9, -2, 4]
+    df = spark.createDataFrame([(ids, True), (ids, False), ([], True), ([3], True)], "ids array<int>, inside boolean")
+    got = [r.m for r in df.select(pk.mask_user_labels("ids", -1, -2, F.col("inside")).alias("m")).collect()]
+    assert got == [[-100, -100, -2, 7, -100, -100, -100, -2, 4], [5, 6, -2, 7, -100, -100, -100, -2, 4], [], [-100]]
+
+
+def test_a_long_dialogue_comes_in_numbered_parts(spark):
+    turns = spark.range(2500).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    parts = dl.collect_messages(turns, mark_last=True).orderBy("part")
+    texts = parts.select("part", dl.inference_prompt("messages", first=F.col("part") == 0, last=F.col("last")).alias("t")).collect()
+    assert [r.part for r in texts] == [0, 1, 2]
+    whole = "".join(r.t for r in texts)
+    one = dl.collect_messages(turns, per_row=10_000).select(dl.inference_prompt("messages").alias("t")).first().t
+    assert whole == one
 
 
 def test_group_texts(spark):
