@@ -34,16 +34,18 @@ class Rules:
     smoothing: float = 0.1
     top: int = 1 << 16
     #: Words that are classes of their own, and the rank that parts the two bands of the other top words.
-    single: int = 24
+    single: int = 20
     band: int = 3000
-    groups: int = 6
+    groups: int = 5
     shapes: int = 1 << 12
     anchors: int = 64
     features: int = 1 << 13
     #: Each round takes its own share of the training documents; together they are one pass over all of them.
     rounds: int = 3
     rate: float = 0.25
-    batch: int = 8192
+    #: Tokens between two steps along the gradient, and tokens whose softmax is taken at once.
+    batch: int = 32_768
+    part: int = 8192
     seed: int = 11
 
 
@@ -152,7 +154,13 @@ def token_counts(df: DataFrame, text: str, rules: Rules) -> DataFrame:
 def vocabulary(counts: DataFrame, rules: Rules) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary, and the shapes of its top words; at most ``rules.top`` rows reach the driver."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.orderBy(F.desc("n"), "key").limit(rules.top).select("key", "shape", "n").toPandas()
+    # Where to cut comes from counts of counts in bins, a fixed number of them, so no sort sends rows to the driver.
+    bin_ = F.floor(F.log2("n") * 128).cast("int")
+    sizes = sorted(counts.groupBy(bin_.alias("bin")).count().collect(), reverse=True)
+    taken = np.cumsum([size for _, size in sizes])
+    fit = [b for (b, _), up_to in zip(sizes, taken) if up_to <= rules.top]
+    rows = counts.where(bin_ >= min(fit)) if fit else counts.where("false")
+    rows = rows.select("key", "shape", "n").toPandas().sort_values(["n", "key"], ascending=[False, True])
     key = rows["key"].to_numpy(dtype=np.int64).view(_U)
     order = np.argsort(key)
     return Vocabulary(total, distinct, key[order], rows["n"].to_numpy(dtype=np.int64)[order]), rows["shape"].to_numpy(dtype=np.int64)[order]
@@ -299,16 +307,14 @@ def _updated(df: DataFrame, weights: np.ndarray, words: Vocabulary, classes: Cla
                 seen += np.bincount(features.ravel(), minlength=len(w)).astype(np.float32)
                 for at in range(0, len(gold), rules.batch):
                     f = features[:, at : at + rules.batch]
-                    error = np.exp(_log_softmax(w, prior, f))
-                    error[np.arange(f.shape[1]), gold[at : at + rules.batch]] -= 1
+                    parts = [f[:, a : a + rules.part] for a in range(0, f.shape[1], rules.part)]
+                    error = np.exp(np.concatenate([_log_softmax(w, prior, p) for p in parts]))
+                    error[np.arange(len(error)), gold[at : at + rules.batch]] -= 1
                     flat = f.ravel()
-                    order = np.argsort(flat, kind="stable")
-                    rows = flat[order]
-                    cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                    gradient = np.add.reduceat(error[order % f.shape[1]], cuts, axis=0)
-                    rows = rows[cuts]
-                    square[rows] += gradient**2
-                    w[rows] -= rules.rate * gradient / np.sqrt(square[rows])
+                    sums = [np.bincount(flat, weights=np.tile(e, len(f)), minlength=len(w)) for e in np.ascontiguousarray(error.T)]
+                    gradient = np.ascontiguousarray(np.stack(sums).T, dtype=np.float32)
+                    square += gradient**2
+                    w -= rules.rate * gradient / np.sqrt(square)
         if seen.any():
             yield from _parts(np.concatenate([(w * seen[:, None]).ravel(), seen]))
 
@@ -377,15 +383,15 @@ def _scored(df: DataFrame, weights: np.ndarray, words: Vocabulary, classes: Clas
                 at, gold = _classes_of(tokens, words, classes)
                 features = tokens.features(len(weights))
                 log_p = np.empty(len(gold))
-                for a in range(0, len(gold), rules.batch):
-                    part = slice(a, a + rules.batch)
+                for a in range(0, len(gold), rules.part):
+                    part = slice(a, a + rules.part)
                     z = _log_softmax(weights, prior, features[:, part])
                     log_p[part] = z[np.arange(len(z)), gold[part]]
                 log_p /= np.log(10)
                 top, rest = at >= 0, at < 0
                 log_p[top] += classes.log_inside[at[top]]
                 known = np.bincount(tokens.doc[top], minlength=n_docs)
-                base = np.bincount(tokens.doc[top], weights=base_of_top[at[top]], minlength=n_docs)
+                base = np.bincount(tokens.doc[top], weights=base_of_top[at[top]], minlength=n_docs).astype(np.float64)
                 doc, key = tokens.doc[rest], tokens.key[rest]
                 order = np.lexsort((key, doc))
                 new = np.ones(len(order), dtype=bool)

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once. A document is never cut, so a longer one makes a block of its own.
-BLOCK_BYTES = 1 << 21
+#: Bytes of text handled at once, so that a block's arrays fit the CPU's cache. A document is never cut, so a longer one
+#: makes a block of its own.
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 #: Odd, so that they have an inverse modulo 2^64.
@@ -68,19 +69,36 @@ class Block:
         """
         if other not in self._prefix:
             base, n = _BASES[other], len(self.data)
-            power = np.full(n + 1, base, dtype=_U)
-            power[0] = 1
-            np.cumprod(power, out=power)
             sums = np.zeros(n + 1, dtype=_U)
-            np.cumsum(_values(other)[self.data] * power[:n], out=sums[1:])
-            back = np.full(n + 1, pow(base, -1, 1 << 64), dtype=_U)
-            back[0] = 1
-            np.cumprod(back, out=back)
-            self._prefix[other] = sums, back
+            np.cumsum(_values(other)[self.data] * _powers(base, n), out=sums[1:])
+            self._prefix[other] = sums, _powers(pow(base, -1, 1 << 64), n + 1)
         sums, back = self._prefix[other]
         return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers; those for blocks of the usual size are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, BLOCK_BYTES + 1), base, dtype=_U)
+        known[0] = 1
+        np.cumprod(known, out=known)
+        if n <= 2 * BLOCK_BYTES:
+            _POWERS[base] = known
+    return known[:n]
+
+
+def grams(block: Block, k: int) -> np.ndarray:
+    """64-bit hash of the ``k`` bytes from every position on."""
+    n = len(block.data)
+    sums = np.zeros(n + 1, dtype=_U)
+    np.cumsum(_values(False)[block.data] * _powers(_BASES[False], n), out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * _powers(pow(_BASES[False], -1, 1 << 64), n - k + 1))
+
+
 def _values(other: bool) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=_U) + _U(1000 * other))
 
