@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ class Rules:
     sentence: int = 4
     word: int = 12
     sequence: int = 16
-    gap: int = 24
+    gap: int = 32
     shortest: int = 64
     #: Tokens laid out at once; what may still join later text is carried on.
     chunk: int = 1 << 18
@@ -48,11 +49,23 @@ class Tokens:
         self.ends = np.array([t[-1:] in (".", "!", "?") or "Ċ" in t for t in last], dtype=bool)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.quick is not None and (text.isascii() or max(text) < "ɐ"):
-            return self.quick.encode_to_numpy(text, disallowed_special=())
+        if self.quick is not None and _latin(text):
+            return np.array(self.quick.encode_ordinary(text), dtype=np.uint32)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
+_FURTHER = re.compile("[^\x00-\u024f]")
+
+
+def _latin(text: str) -> bool:
+    """Whether all letters are among the plain Latin ones, on which both encoders are the same."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _FURTHER.search(text) is None
+    return True
+
+
 def _path(name: str) -> str:
     """A file's path as given, or by its name among the installed public vocabularies."""
     if "/" in name:
