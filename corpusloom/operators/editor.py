@@ -134,11 +134,22 @@ def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str =
 
     Spans with the same start are reduced to the longest before the shuffle and merged inside
     stretches of ``stride`` positions first: no task gets more than ``stride`` spans of a
-    key at a time, and only merged remains meet in the second step.
+    key at a time. Between stretches only their reaches meet, and a span that runs on is put
+    together by an aggregate.
     """
     longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
     parted = longest.withColumn("_part", F.floor(F.col(start) / stride))
-    return _merge(_merge(parted, [*keys, "_part"], start, end).drop("_part"), keys, start, end)
+    rows = _merge(parted, [*keys, "_part"], start, end)
+    # Of every stretch only its reach and its last opening go on to the next ones: a row per stretch.
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*keys, "_part").agg(F.max(end).alias("_top")).withColumn("_reach", F.max("_top").over(ahead)).drop("_top")
+    opened = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
+    rows = rows.join(reach, [*keys, "_part"]).withColumn("_opened", opened)
+    last = rows.groupBy(*keys, "_part").agg(F.max("_opened").alias("_last")).withColumn("_before", F.max("_last").over(ahead)).drop("_last")
+    here = Window.partitionBy(*keys, "_part").orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
+    island = F.coalesce(F.max("_opened").over(here), F.col("_before"))
+    islands = rows.join(last, [*keys, "_part"]).withColumn("_island", island)
+    return islands.groupBy(*keys, "_island").agg(F.max(end).alias(end)).withColumnRenamed("_island", start).select(*keys, start, end)
 
 
 def merge_span_array(spans: str | Column) -> Column:

@@ -6,10 +6,11 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import WS, col, unit_hash
+from corpusloom.operators.keyed import first_per_key
 
 
 @dataclass(frozen=True)
@@ -53,21 +54,24 @@ def first_failing_rule(rules: QualityRules, key: str = "id") -> Column:
     return F.coalesce(*[F.when(rejects, F.lit(name)) for name, rejects in rule_chain(rules, key)])
 
 
-def quality_filter(
-    df: DataFrame, rules: QualityRules = QualityRules(), key: str = "id", content: str | None = "content"
-) -> DataFrame:
+def first_good_rows(df: DataFrame, rules: QualityRules = QualityRules(), key: str = "id") -> DataFrame:
+    """The first row of every ``hash``, with the columns given, if it passes all rules.
+
+    The first copy uses its hash up even when a rule rejects it, so later copies never survive. All columns travel
+    to their hash: give narrow rows.
+    """
+    first = first_per_key(df.withColumn("_reason", first_failing_rule(rules, key)), ["hash"], [key])
+    return first.where(F.col("_reason").isNull()).drop("_reason")
+
+
+def quality_filter(df: DataFrame, rules: QualityRules = QualityRules(), key: str = "id") -> DataFrame:
     """Keep the first row of every ``hash`` if it passes all rules.
 
-    The first copy uses its hash up even when a rule rejects it, so later copies never
-    survive. The text of rejected rows is blanked before the shuffle: only their keys travel.
+    Which rows stay is found from keys, hashes and verdicts; whole rows meet the keys of the winners only.
     """
-    reason = first_failing_rule(rules, key)
-    marked = df.withColumn("_reason", reason)
-    if content is not None:
-        marked = marked.withColumn(content, F.when(F.col("_reason").isNull(), F.col(content)))
-    rank = F.row_number().over(Window.partitionBy("hash").orderBy(key))
-    first = marked.withColumn("_rank", rank).where("_rank = 1")
-    return first.where(F.col("_reason").isNull()).drop("_rank", "_reason")
+    verdict = df.select(key, "hash", first_failing_rule(rules, key).alias("_reason"))
+    winners = first_per_key(verdict, ["hash"], [key]).where(F.col("_reason").isNull()).select(key)
+    return df.join(winners, key, "left_semi")
 
 
 def quality_reject_reason(df: DataFrame, rules: QualityRules = QualityRules(), key: str = "id") -> DataFrame:

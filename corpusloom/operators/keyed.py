@@ -74,8 +74,13 @@ def salted_join(
 
 
 def exact_dedup(df: DataFrame, key: str = "hash", order: str = "id") -> DataFrame:
-    """Keep the first row per hash in ``order``."""
-    return first_per_key(df, [key], [order])
+    """Keep the first row per hash in ``order``, a unique column.
+
+    The first copies are found by an aggregate over (hash, order); rows meet them by ``order``, so no text
+    is sorted by its hash.
+    """
+    firsts = df.groupBy(key).agg(F.min(order).alias(order)).select(order)
+    return df.join(firsts, order, "left_semi")
 
 
 def drop_duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

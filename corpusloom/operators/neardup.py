@@ -101,8 +101,7 @@ def _band_udf(bands: int, rows: int, seed: int):
         for hashes in batches:
             sig = _signatures(list(hashes), odd, shift).astype(np.uint64).reshape(-1, bands, rows)
             folded = ((sig + np.uint64(1)) * mix).sum(axis=2, dtype=np.uint64)
-            folded ^= folded >> np.uint64(29)
-            yield pd.Series(list((folded * mix[0]).view(np.int64)))
+            yield pd.Series(list(folded.view(np.int64)))
 
     return band_hashes
 
@@ -112,6 +111,11 @@ def dedup_tokens(c: str | Column) -> Column:
     return F.array_distinct(dedup_words(c))
 
 
+def word_hash(word: Column) -> Column:
+    """60 bits of a word's md5: a hash that other engines have as well."""
+    return F.conv(F.substring(F.md5(word), 1, 15), 16, 10).cast("bigint")
+
+
 def long_enough(c: str | Column, min_tokens: int = MIN_TOKENS) -> Column:
     """At least ``min_tokens`` words, repeats counted; reads only as far as the last of them."""
     return col(c).rlike(rf"(?:{DEDUP_PATTERN}[^A-Za-z_0-9]+){{{min_tokens - 1}}}[A-Za-z_0-9]")
@@ -125,7 +129,7 @@ def dedup_table(df: DataFrame, key: str = "id", content: str = "content") -> Dat
     distinct = df.where(long_enough(content)).select(F.col(key).alias("id"), dedup_tokens(content).alias("_set"))
     return distinct.select(
         "id",
-        F.transform("_set", lambda w: F.xxhash64(w)).alias("words"),
+        F.transform("_set", word_hash).alias("words"),
         F.md5(F.array_join(F.array_sort("_set"), " ")).alias("set_key"),
     )
 
@@ -134,7 +138,7 @@ def minhash_signature(
     df: DataFrame, key: str = "id", content: str = "content", num_perm: int = NUM_PERM, seed: int = 1
 ) -> DataFrame:
     """(id, signature); texts under ``MIN_TOKENS`` words have a NULL signature."""
-    words = F.transform(dedup_tokens(content), lambda w: F.xxhash64(w))
+    words = F.transform(dedup_tokens(content), word_hash)
     hashed = df.where(long_enough(content)).select(F.col(key).alias("id"), _signature_udf(num_perm, seed)(words).alias("signature"))
     short = df.where(~long_enough(content)).select(F.col(key).alias("id"), F.lit(None).cast("array<bigint>").alias("signature"))
     return hashed.unionByName(short)
@@ -156,7 +160,7 @@ def bucket_links(buckets: DataFrame, salts: int = SALTS) -> DataFrame:
     bucket. Running windows read a sorted part once and hold one row; a part of a hot bucket
     is 1/``salts`` of it and the second level has at most ``salts`` rows per bucket.
     """
-    salted = buckets.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    salted = buckets.withColumn("salt", F.pmod("id", F.lit(salts)))
     part = Window.partitionBy("band", "bucket", "salt").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     headed = salted.withColumn("head", F.first("id").over(part))
     low = headed.where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
@@ -305,8 +309,9 @@ def duplicate_clusters(
     ``cluster_id`` is the smallest id of the cluster; ``copies`` is set on extremes only and
     counts the cluster's texts they stand for, themselves included.
     """
-    table = dedup_table(df, key, content)
-    texts = materialize(table.select("id", "set_key"), "sets")
+    # Every text is split and hashed once.
+    table = materialize(dedup_table(df, key, content), "words")
+    texts = table.select("id", "set_key")
     firsts = texts.groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_same"))
     firsts = materialize(firsts, "firsts")
     reps = spread(materialize(table.join(firsts.select(F.col("rep").alias("id")), "id"), "reps"), "id")

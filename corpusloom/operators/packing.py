@@ -66,7 +66,7 @@ def shard_of(key: str = "id", rows_per_shard: int = SHARD_ROWS) -> Column:
 
 def pack_constant_length(
     df: DataFrame,
-    separator: int = 0,
+    separator: int | Column | None = 0,
     seq_length: int = 1024,
     num_of_sequences: int = 1024,
     chars_per_token: float = 3.6,
@@ -83,7 +83,8 @@ def pack_constant_length(
     followed by the separator, are joined and cut, and the buffer's remainder is dropped. Keys only give the
     order, so gaps between them, negative or hashed ones change nothing.
 
-    The layout is found from running sums of the sizes alone; ``n_tokens`` names a column with the token count, if
+    ``tokens`` may be any array, such as structs of a token and its label, with a ``separator`` of the same kind, or
+    none. The layout is found from running sums of the sizes alone; ``n_tokens`` names a column with the token count, if
     there is one, so that this pass neither reads nor computes tokens.
     """
     limit = seq_length * num_of_sequences * (1.0 if tokenized else chars_per_token)
@@ -91,12 +92,13 @@ def pack_constant_length(
     sizes = df.select(
         F.col(key).alias("id"),
         (count if tokenized else F.col(n_chars)).cast("bigint").alias("size"),
-        (count + 1).cast("bigint").alias("n"),
+        (count + int(separator is not None)).cast("bigint").alias("n"),
     )
     summed = running_sums(sizes, "id", ["size", "n"]).withColumn("buffer", F.floor(F.col("size_before") / F.lit(limit)).cast("bigint"))
     opened = summed.groupBy("buffer").agg(F.min("n_before").alias("opened"))
     layout = summed.join(opened, "buffer").select("id", "buffer", (F.col("n_before") - F.col("opened")).alias("start"))
-    ended = df.select(F.col(key).alias("id"), F.concat(tokens, F.array(F.lit(separator))).alias("tokens"))
+    stop = F.lit(separator) if isinstance(separator, int) else separator
+    ended = df.select(F.col(key).alias("id"), (F.col(tokens) if stop is None else F.concat(tokens, F.array(stop))).alias("tokens"))
     blocks = _slices_by_block(ended.join(layout, "id"), ["buffer"], seq_length)
     return blocks.where(F.size("input_ids") == seq_length)
 

@@ -154,8 +154,25 @@ def _(spark, d):
 )
 def corpus_build(spark, d):
     """Features, first copy per hash, quality rules, then what is kept per language."""
-    kept = quality_filter(spark, d)
-    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("content")).alias("chars"))
+    rows = _prose_features(spark, d).withColumn("chars", F.length("content")).drop("content", "source")
+    kept = fl.first_good_rows(rows, PROSE)
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").alias("chars"))
+
+
+@query("corpus_path")
+def corpus_path(spark, d):
+    """The whole way: quality rules, near-duplicates, train/test split, saved by split; rows per split and language."""
+    from corpusloom.operators import neardup
+    from corpusloom.session import fresh_path, materialize
+    from corpusloom.sources.writers import sink_dataset
+
+    kept = materialize(quality_filter(spark, d).select("id", "source", "lang", "content"), "kept")
+    named = kept.withColumnsRenamed({"source": "repo_name", "lang": "path"})
+    distinct, _ = neardup.near_dedup(named)
+    rows = distinct.select("id", "content", F.col("path").alias("lang"))
+    path = fresh_path(spark, "corpus")
+    sink_dataset(ordering.train_test_split(rows, 0.05, exact=False), path)
+    return spark.read.parquet(path).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("probabilistic_drop", f"SELECT doc_id AS id, {q.unit(0, 'doc_id', 'config_or_test')} <= 0.7 AS dropped FROM documents")
@@ -290,9 +307,15 @@ def _(spark, d):
     return ordering.row_positions(drawn, "u", ("id",)).select("id", F.col("position").cast("bigint").alias("position"))
 
 
-@query("buffer_shuffle", "SELECT o_orderkey AS id, o_totalprice FROM orders")
+@query(
+    "buffer_shuffle",
+    f"""SELECT o_orderkey AS id, o_totalprice, CAST(row_number() OVER (ORDER BY {q.unit(1, 'o_orderkey', 'shuffle')}, o_orderkey) - 1 AS BIGINT) AS place
+        FROM orders""",
+)
 def _(spark, d):
-    return ordering.shuffled(table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_totalprice"), seed=1)
+    """The shuffled rows with the place at which each one comes."""
+    rows = ordering.shuffled(table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_totalprice"), seed=1)
+    return ordering.numbered_ranges(rows.withColumn("at", F.monotonically_increasing_id()), ["at"], "place").drop("at")
 
 
 def _exact_split(frac: float, table_name: str, key: str) -> str:

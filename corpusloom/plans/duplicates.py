@@ -1,4 +1,4 @@
-"""Near-duplicate queries. Candidate buckets are not SQL; tests check them by brute force."""
+"""Near-duplicate queries. Their SQL repeats the chain: signatures by wide products, recursive components, a recursive walk."""
 
 from __future__ import annotations
 
@@ -40,40 +40,131 @@ def _(spark, d):
     return sets.join(following, "id").select("id", F.round(nd.jaccard(F.col("mine"), F.col("theirs")), 6).alias("similarity"))
 
 
-@query("minhash_signature")
+BANDS, ROWS = nd.choose_bands(nd.THRESHOLD)
+_MOD = 1 << 64
+
+
+_HALF = 1 << 32
+
+
+def _halves(x: int) -> tuple[int, int]:
+    return x >> 32, x % _HALF
+
+
+def _permuted(n: int) -> str:
+    """The permutations of the signature, as the operator draws them: high and low halves of factor and shift."""
+    odd, shift = (v.tolist() for v in nd._permutations(n, 1))
+    halves = [(p, *_halves(a), *_halves(b)) for p, (a, b) in enumerate(zip(odd, shift))]
+    return f"(SELECT p, a1::UBIGINT AS a1, a0::UBIGINT AS a0, b1::UBIGINT AS b1, b0::UBIGINT AS b0 FROM (VALUES {', '.join(map(str, halves))}) AS v(p, a1, a0, b1, b0))"
+
+
+_LONG = f"SELECT id, list_distinct(words) AS words FROM ({_WORDS}) WHERE len(words) >= {nd.MIN_TOKENS}"
+_HASHED = f"SELECT id, unnest(list_transform(words, lambda w: ('0x' || substr(md5(w), 1, 15))::UBIGINT)) AS h FROM ({{0}})"
+
+
+def _signed(n: int, texts: str = _LONG) -> str:
+    """(id, p, s): the smallest high half of a * h + b modulo 2^64, per permutation; products of halves fit 64 bits."""
+    low = f"((a0 * h0) % {_HALF} + b0) // {_HALF}"
+    high = f"(((a0 * h0) // {_HALF}) + ((a0 * h1) % {_HALF}) + ((a1 * h0) % {_HALF}) + b1 + {low}) % {_HALF}"
+    words = f"SELECT id, h // {_HALF} AS h1, h % {_HALF} AS h0 FROM ({_HASHED.format(texts)})"
+    return f"SELECT id, p, min({high})::BIGINT AS s FROM ({words}), {_permuted(n)} GROUP BY id, p"
+
+
+def _bucketed(texts: str = _LONG) -> str:
+    """(id, band, bucket): the signature's rows of a band, folded with odd factors modulo 2^64, as a signed number."""
+    mix = [(r, *_halves(m)) for r, m in enumerate(nd._permutations(ROWS, 2)[0].tolist())]
+    one = "(s + 1)::UBIGINT"
+    total = f"(sum(({one} * m0)::HUGEINT) + sum((({one} * m1) % {_HALF})::HUGEINT) * {_HALF}) % {_MOD}::HUGEINT"
+    factors = f"(SELECT r, m1::UBIGINT AS m1, m0::UBIGINT AS m0 FROM (VALUES {', '.join(map(str, mix))}) AS v(r, m1, m0))"
+    return f"""SELECT id, band, (CASE WHEN f >= {1 << 63}::HUGEINT THEN f - {_MOD}::HUGEINT ELSE f END)::BIGINT AS bucket FROM (
+                 SELECT id, CAST(p // {ROWS} AS INTEGER) AS band, {total} AS f
+                 FROM ({_signed(BANDS * ROWS, texts)}) JOIN {factors} ON r = p % {ROWS}
+                 GROUP BY id, p // {ROWS})"""
+
+
+def _linked(buckets: str) -> str:
+    """Members to the head of their part of a bucket, heads to the first of the bucket."""
+    return f"""SELECT DISTINCT src, dst FROM (
+                 SELECT id AS src, head AS dst FROM (SELECT *, min(id) OVER (PARTITION BY band, bucket, id % {nd.SALTS}) AS head FROM ({buckets})) WHERE id <> head
+                 UNION ALL
+                 SELECT id, first FROM (SELECT id, min(id) OVER (PARTITION BY band, bucket) AS first FROM (
+                   SELECT *, min(id) OVER (PARTITION BY band, bucket, id % {nd.SALTS}) AS head FROM ({buckets})) WHERE id = head) WHERE id <> first)"""
+
+
+# Texts with the same words are one representative; similar ones are walked in id order, each joining the first
+# extreme it resembles.
+_CLUSTERS = f"""
+  WITH RECURSIVE texts AS MATERIALIZED (SELECT id, words, md5(array_to_string(list_sort(words), ' ')) AS set_key FROM ({_LONG})),
+  firsts AS MATERIALIZED (SELECT set_key, min(id) AS rep, count(*) AS n_same FROM texts GROUP BY set_key),
+  reps AS MATERIALIZED (SELECT id, words FROM texts JOIN firsts ON rep = id),
+  buckets AS MATERIALIZED ({_bucketed('SELECT * FROM reps')}),
+  links AS MATERIALIZED ({_linked('SELECT * FROM buckets')}),
+  ends AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links),
+  reach AS (SELECT src AS id, dst AS other FROM ends UNION SELECT reach.id, ends.dst FROM reach JOIN ends ON ends.src = reach.other),
+  members AS MATERIALIZED (
+    SELECT id, least(id, min(other)) AS cluster, row_number() OVER (PARTITION BY least(id, min(other)) ORDER BY id) AS r FROM reach GROUP BY id),
+  alike AS MATERIALIZED (
+    SELECT b.id, list(a.id) AS olds FROM members a JOIN members b ON a.cluster = b.cluster AND a.id < b.id
+      JOIN reps x ON x.id = a.id JOIN reps y ON y.id = b.id
+    WHERE len(list_intersect(x.words, y.words))::DOUBLE / (len(x.words) + len(y.words) - len(list_intersect(x.words, y.words))) >= {nd.THRESHOLD}
+    GROUP BY b.id),
+  walk AS (
+    SELECT cluster, r, id, id AS extreme, [id] AS extremes FROM members WHERE r = 1
+    UNION ALL
+    SELECT cluster, r, id, coalesce(hit, id), CASE WHEN hit IS NULL THEN list_append(extremes, id) ELSE extremes END FROM (
+      SELECT m.cluster, m.r, m.id, w.extremes, list_filter(w.extremes, lambda e: list_contains(coalesce(l.olds, []), e))[1] AS hit
+      FROM walk w JOIN members m ON m.cluster = w.cluster AND m.r = w.r + 1 LEFT JOIN alike l ON l.id = m.id)),
+  verdicts AS MATERIALIZED (
+    SELECT cluster, id, extreme FROM walk
+    UNION ALL SELECT rep, rep, rep FROM firsts WHERE n_same > 1 AND rep NOT IN (SELECT id FROM members)),
+  named AS MATERIALIZED (SELECT v.*, f.set_key, f.n_same FROM verdicts v JOIN firsts f ON f.rep = v.id),
+  copies AS (SELECT extreme AS base_index, CAST(sum(n_same) AS INTEGER) AS copies FROM named GROUP BY extreme),
+  clusters AS MATERIALIZED (
+    SELECT n.cluster AS cluster_id, t.id AS base_index, d.source AS repo_name, d.lang AS path, t.id = n.extreme AS is_extreme, c.copies
+    FROM texts t JOIN named n ON n.set_key = t.set_key JOIN documents d ON d.doc_id = t.id LEFT JOIN copies c ON c.base_index = t.id)
+"""
+
+
+@query("minhash_signature", f"""
+    SELECT doc_id AS id, CAST(len(sig) AS INTEGER) AS n, md5(array_to_string(sig, ' ')) AS digest
+    FROM documents LEFT JOIN (SELECT id, list(s ORDER BY p) AS sig FROM ({_signed(nd.NUM_PERM)}) GROUP BY id) ON id = doc_id""")
 def _(spark, d):
     rows = nd.minhash_signature(corpus(spark, d))
     return rows.select("id", F.size("signature").alias("n"), F.md5(F.array_join("signature", " ")).alias("digest"))
 
 
-@query("lsh_buckets")
+@query("lsh_buckets", _bucketed())
 def _(spark, d):
     return nd.lsh_buckets(nd.dedup_table(corpus(spark, d)))
 
 
-@query("minhash_candidates")
+@query("minhash_candidates", f"WITH buckets AS MATERIALIZED ({_bucketed()}) {_linked('SELECT * FROM buckets')}")
 def _(spark, d):
     return nd.bucket_links(nd.lsh_buckets(nd.dedup_table(corpus(spark, d))))
 
 
-@query("duplicate_clusters")
+@query("duplicate_clusters", f"{_CLUSTERS} SELECT * FROM clusters")
 def duplicate_clusters(spark, d):
     return nd.duplicate_clusters(corpus(spark, d))
 
 
-@query("cluster_extremes")
+@query("cluster_extremes", f"{_CLUSTERS} SELECT cluster_id, base_index, copies FROM clusters WHERE is_extreme")
 def _(spark, d):
     clusters = nd.duplicate_clusters(corpus(spark, d))
     return clusters.where("is_extreme").select("cluster_id", "base_index", "copies")
 
 
-@query("near_dedup")
+@query("near_dedup", f"""{_CLUSTERS} SELECT doc_id AS id, text AS content, source AS repo_name, lang AS path FROM documents
+    WHERE doc_id NOT IN (SELECT base_index FROM clusters WHERE NOT is_extreme)""")
 def near_dedup(spark, d):
     kept, _ = nd.near_dedup(corpus(spark, d))
     return kept
 
 
-@query("dedup_stats")
+@query("dedup_stats", f"""{_CLUSTERS}
+    SELECT original, clusters, files_in_clusters, unique_files, original - files_in_clusters + unique_files AS filtered FROM (
+      SELECT (SELECT count(*) FROM documents) AS original, count(DISTINCT cluster_id) AS clusters, count(*) AS files_in_clusters,
+             count(*) FILTER (WHERE is_extreme) AS unique_files FROM clusters)""")
 def _(spark, d):
     docs = corpus(spark, d)
     return nd.dedup_stats(docs, materialize(nd.duplicate_clusters(docs), "clusters"))

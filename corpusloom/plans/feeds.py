@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import bpe, collect, keyed, luafunctions
+from corpusloom.operators.ordering import numbered_ranges
 from corpusloom.plans import sql as q
 from corpusloom.plans.corpus import FILE_EVENTS, file_events
 from corpusloom.plans.registry import documents, query, table
@@ -20,6 +21,9 @@ def _text_tree(spark, d) -> str:
     root = fresh_path(spark, "tree")
     docs = documents(spark, d).select("lang", F.col("content").alias("value"))
     docs.write.option("maxRecordsPerFile", 5000).partitionBy("lang").text(root)
+    # Files of other kinds, which a scan by suffix must leave out.
+    docs.write.mode("append").partitionBy("lang").json(root)
+    docs.select("value", "lang").write.mode("append").option("compression", "gzip").partitionBy("lang").text(root)
     return root
 
 
@@ -73,21 +77,28 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("sink_sharded_gzip_json", "SELECT doc_id AS id, text AS content FROM documents")
+@query("sink_sharded_gzip_json", "SELECT doc_id AS id, text AS content, true AS within FROM documents")
 def _(spark, d):
     path = fresh_path(spark, "shards")
     writers.sink_sharded_gzip_json(documents(spark, d).select("id", "content"), path, 300)
-    return spark.read.schema("id bigint, content string").json(path)
+    rows = spark.read.schema("id bigint, content string").json(path).withColumn("file", F.col("_metadata.file_path"))
+    sizes = rows.groupBy("file").agg((F.count(F.lit(1)) <= 300).alias("within"))
+    return rows.join(sizes, "file").drop("file")
 
 
-@query("sink_text_render", f"SELECT 'doc ' || doc_id || ' ' || {q.content_hash('text')} AS value FROM documents")
+@query(
+    "sink_text_render",
+    f"""SELECT 'doc ' || doc_id || ' ' || {q.content_hash('text')} AS value, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS place FROM documents""",
+)
 def _(spark, d):
     from corpusloom.operators.features import content_hash
 
     path = fresh_path(spark, "rendered")
     line = F.concat(F.lit("doc "), F.col("id").cast("string"), F.lit(" "), content_hash("content"))
     writers.sink_text_render(documents(spark, d), path, line, ["id"])
-    return spark.read.text(path)
+    # The place of each line: by file, and inside a file as it is read.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return numbered_ranges(lines, ["file", "at"], "place").drop("file", "at")
 
 
 # ---------------------------------------------------------------- collected files

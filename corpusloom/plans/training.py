@@ -299,6 +299,57 @@ def fim_permute(spark, d):
     return pk.fim_permute(_tokens(spark, d), PRE, MID, SUF).select("id", _ids())
 
 
+_FIM_PACKED = f"""
+  WITH rows AS (SELECT id, string_split(input_ids, ' ') AS ids FROM ({_fim_sql()})),
+  docs AS (
+    SELECT id, ids, CAST(floor(coalesce(sum(len(ids)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {BLOCK * 64}.0) AS BIGINT) AS buffer
+    FROM rows
+  ), joined AS (SELECT buffer, flatten(list(list_append(ids, '{SEPARATOR}') ORDER BY id)) AS ids FROM docs GROUP BY buffer)
+  SELECT buffer, block, {q.joined(f'ids[block * {BLOCK} + 1 : (block + 1) * {BLOCK}]')} AS input_ids
+  FROM joined, LATERAL (SELECT unnest(generate_series(0, len(ids) // {BLOCK} - 1)) AS block)"""
+
+
+@query("fim_packed_blocks", _FIM_PACKED)
+def fim_packed_blocks(spark, d):
+    """Code training blocks: tokens, fill-in-the-middle, separator, blocks."""
+    rows = pk.fim_permute(_tokens(spark, d), PRE, MID, SUF)
+    blocks = pk.pack_constant_length(rows, SEPARATOR, BLOCK, num_of_sequences=64, tokenized=True)
+    return blocks.select("buffer", "block", _ids())
+
+
+_CHAT_ROWS = f"""
+  SELECT conv_id, part, flatten(list(ids ORDER BY turn)) AS ids, flatten(list(labels ORDER BY turn)) AS labels FROM (
+    SELECT conv_id, part, turn, ids, CASE WHEN role = 'user' THEN list_transform(ids, lambda x: -100) ELSE ids END AS labels FROM (
+      SELECT conv_id, part, turn, role, list_prepend(CASE WHEN role = 'user' THEN {USER} ELSE {ASSISTANT} END, {q.tokens('text')}) AS ids FROM {_PARTS}))
+  GROUP BY conv_id, part"""
+_CHAT_BLOCKS = f"""
+  WITH placed AS (
+    SELECT *, CAST(floor(coalesce(sum(len(ids)) OVER (ORDER BY conv_id, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {BLOCK * 64}.0) AS BIGINT) AS buffer
+    FROM ({_CHAT_ROWS})
+  ), joined AS (
+    SELECT buffer, flatten(list(ids ORDER BY conv_id, part)) AS ids, flatten(list(labels ORDER BY conv_id, part)) AS labels FROM placed GROUP BY buffer
+  )
+  SELECT buffer, block, {q.joined(f'ids[block * {BLOCK} + 1 : (block + 1) * {BLOCK}]')} AS input_ids,
+         {q.joined(f'labels[block * {BLOCK} + 1 : (block + 1) * {BLOCK}]')} AS labels
+  FROM joined, LATERAL (SELECT unnest(generate_series(0, len(ids) // {BLOCK} - 1)) AS block)"""
+
+
+@query("chat_training_blocks", _CHAT_BLOCKS)
+def chat_training_blocks(spark, d):
+    """Chat training blocks: dialogues, tokens, label masks, blocks. Masks come before blocks, so a block that begins
+    inside a user turn is masked as far as that turn goes."""
+    role = F.when(F.col("role") == "user", USER).otherwise(ASSISTANT)
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.array(role), default_tokenizer("text")).alias("ids"))
+    part = F.floor(F.col("turn") / dl.TURNS_PER_ROW).alias("part")
+    listed = turns.groupBy("conv_id", part).agg(F.array_sort(F.collect_list(F.struct("turn", "ids"))).alias("t"))
+    flat = listed.select("conv_id", "part", F.flatten(F.transform("t", lambda x: x["ids"])).alias("ids"))
+    masked = flat.withColumn("labels", pk.mask_user_labels("ids", USER, ASSISTANT))
+    # Parts of a dialogue follow each other; a dialogue has far fewer than a million.
+    rows = masked.select((F.col("conv_id") * 1_000_000 + F.col("part")).alias("id"), F.arrays_zip("ids", "labels").alias("input_ids"))
+    blocks = pk.pack_constant_length(rows, None, BLOCK, num_of_sequences=64, tokenized=True)
+    return blocks.select("buffer", "block", _ids("input_ids.ids"), F.array_join("input_ids.labels", " ").alias("labels"))
+
+
 @query(
     "label_encode",
     "SELECT doc_id AS id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS label_id FROM documents",
