@@ -129,10 +129,10 @@ def _prose_features(spark, d):
 _PROSE_FEATURES = f"SELECT * REPLACE ({q.count_of('content', '.')} <= 4 AS has_few_assignments) FROM ({_FEATURES})"
 _FIRSTS = f"""SELECT *, {_REASON} AS reason, row_number() OVER (PARTITION BY hash ORDER BY id) AS copy
               FROM ({_PROSE_FEATURES})"""
-_KEPT = f"SELECT * FROM ({_FIRSTS}) WHERE copy = 1 AND reason IS NULL"
+KEPT = f"SELECT * FROM ({_FIRSTS}) WHERE copy = 1 AND reason IS NULL"
 
 
-@query("quality_filter", f"SELECT id, source, lang, content, hash FROM ({_KEPT})")
+@query("quality_filter", f"SELECT id, source, lang, content, hash FROM ({KEPT})")
 def quality_filter(spark, d):
     return fl.quality_filter(_prose_features(spark, d), PROSE).select("id", "source", "lang", "content", "hash")
 
@@ -150,7 +150,7 @@ def _(spark, d):
 @query(
     "corpus_build",
     f"""SELECT lang, CAST(count(*) AS BIGINT) AS docs, CAST(sum(length(content)) AS BIGINT) AS chars
-        FROM ({_KEPT}) GROUP BY lang""",
+        FROM ({KEPT}) GROUP BY lang""",
 )
 def corpus_build(spark, d):
     """Features, first copy per hash, quality rules, then what is kept per language."""
@@ -159,22 +159,6 @@ def corpus_build(spark, d):
     return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").alias("chars"))
 
 
-@query("corpus_path")
-def corpus_path(spark, d):
-    """The whole way: quality rules, near-duplicates, train/test split, saved by split; rows per split and language."""
-    from corpusloom.operators import neardup
-    from corpusloom.session import fresh_path, materialize
-    from corpusloom.sources.writers import sink_dataset
-
-    kept = materialize(quality_filter(spark, d).select("id", "source", "lang", "content"), "kept")
-    named = kept.withColumnsRenamed({"source": "repo_name", "lang": "path"})
-    distinct, _ = neardup.near_dedup(named)
-    rows = distinct.select("id", "content", F.col("path").alias("lang"))
-    path = fresh_path(spark, "corpus")
-    sink_dataset(ordering.train_test_split(rows, 0.05, exact=False), path)
-    return spark.read.parquet(path).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("content")).alias("chars"))
-
-
 @query("probabilistic_drop", f"SELECT doc_id AS id, {q.unit(0, 'doc_id', 'config_or_test')} <= 0.7 AS dropped FROM documents")
 def _(spark, d):
     return documents(spark, d).select("id", fl.randomly_drops(0.7, 0, "id", "config_or_test").alias("dropped"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import neardup as nd
+from corpusloom.operators.ordering import train_test_split
 from corpusloom.plans import sql as q
+from corpusloom.plans.corpus import KEPT, quality_filter
 from corpusloom.plans.registry import documents, query
-from corpusloom.session import materialize
+from corpusloom.session import fresh_path, materialize
+from corpusloom.sources.writers import sink_dataset
 
 
 def corpus(spark, d):
@@ -58,11 +61,14 @@ def _permuted(n: int) -> str:
     return f"(SELECT p, a1::UBIGINT AS a1, a0::UBIGINT AS a0, b1::UBIGINT AS b1, b0::UBIGINT AS b0 FROM (VALUES {', '.join(map(str, halves))}) AS v(p, a1, a0, b1, b0))"
 
 
-_LONG = f"SELECT id, list_distinct(words) AS words FROM ({_WORDS}) WHERE len(words) >= {nd.MIN_TOKENS}"
+def _long(docs: str = "documents") -> str:
+    return f"SELECT id, list_distinct(words) AS words FROM (SELECT doc_id AS id, {q.dedup_words('text')} AS words FROM {docs}) WHERE len(words) >= {nd.MIN_TOKENS}"
+
+
 _HASHED = f"SELECT id, unnest(list_transform(words, lambda w: ('0x' || substr(md5(w), 1, 15))::UBIGINT)) AS h FROM ({{0}})"
 
 
-def _signed(n: int, texts: str = _LONG) -> str:
+def _signed(n: int, texts: str = _long()) -> str:
     """(id, p, s): the smallest high half of a * h + b modulo 2^64, per permutation; products of halves fit 64 bits."""
     low = f"((a0 * h0) % {_HALF} + b0) // {_HALF}"
     high = f"(((a0 * h0) // {_HALF}) + ((a0 * h1) % {_HALF}) + ((a1 * h0) % {_HALF}) + b1 + {low}) % {_HALF}"
@@ -70,7 +76,7 @@ def _signed(n: int, texts: str = _LONG) -> str:
     return f"SELECT id, p, min({high})::BIGINT AS s FROM ({words}), {_permuted(n)} GROUP BY id, p"
 
 
-def _bucketed(texts: str = _LONG) -> str:
+def _bucketed(texts: str = _long()) -> str:
     """(id, band, bucket): the signature's rows of a band, folded with odd factors modulo 2^64, as a signed number."""
     mix = [(r, *_halves(m)) for r, m in enumerate(nd._permutations(ROWS, 2)[0].tolist())]
     one = "(s + 1)::UBIGINT"
@@ -91,10 +97,11 @@ def _linked(buckets: str) -> str:
                    SELECT *, min(id) OVER (PARTITION BY band, bucket, id % {nd.SALTS}) AS head FROM ({buckets})) WHERE id = head) WHERE id <> first)"""
 
 
-# Texts with the same words are one representative; similar ones are walked in id order, each joining the first
-# extreme it resembles.
-_CLUSTERS = f"""
-  WITH RECURSIVE texts AS MATERIALIZED (SELECT id, words, md5(array_to_string(list_sort(words), ' ')) AS set_key FROM ({_LONG})),
+def _clustered(docs: str = "documents") -> str:
+    """Texts with the same words are one representative; similar ones are walked in id order, each joining the first
+    extreme it resembles."""
+    return f"""
+  WITH RECURSIVE texts AS MATERIALIZED (SELECT id, words, md5(array_to_string(list_sort(words), ' ')) AS set_key FROM ({_long(docs)})),
   firsts AS MATERIALIZED (SELECT set_key, min(id) AS rep, count(*) AS n_same FROM texts GROUP BY set_key),
   reps AS MATERIALIZED (SELECT id, words FROM texts JOIN firsts ON rep = id),
   buckets AS MATERIALIZED ({_bucketed('SELECT * FROM reps')}),
@@ -121,10 +128,13 @@ _CLUSTERS = f"""
   copies AS (SELECT extreme AS base_index, CAST(sum(n_same) AS INTEGER) AS copies FROM named GROUP BY extreme),
   clusters AS MATERIALIZED (
     SELECT n.cluster AS cluster_id, t.id AS base_index, d.source AS repo_name, d.lang AS path, t.id = n.extreme AS is_extreme, c.copies
-    FROM texts t JOIN named n ON n.set_key = t.set_key JOIN documents d ON d.doc_id = t.id LEFT JOIN copies c ON c.base_index = t.id)
+    FROM texts t JOIN named n ON n.set_key = t.set_key JOIN {docs} d ON d.doc_id = t.id LEFT JOIN copies c ON c.base_index = t.id)
 """
 
 
+_CLUSTERS = _clustered()
+
+
 @query("minhash_signature", f"""
     SELECT doc_id AS id, CAST(len(sig) AS INTEGER) AS n, md5(array_to_string(sig, ' ')) AS digest
     FROM documents LEFT JOIN (SELECT id, list(s ORDER BY p) AS sig FROM ({_signed(nd.NUM_PERM)}) GROUP BY id) ON id = doc_id""")
@@ -168,3 +178,20 @@ def near_dedup(spark, d):
 def _(spark, d):
     docs = corpus(spark, d)
     return nd.dedup_stats(docs, materialize(nd.duplicate_clusters(docs), "clusters"))
+
+
+_KEPT_DOCS = f"(SELECT id AS doc_id, content AS text, source, lang FROM ({KEPT}))"
+
+
+@query("corpus_path", f"""{_clustered(_KEPT_DOCS)}
+    SELECT CASE WHEN {q.unit(0, 'doc_id', 'split')} < 0.05 THEN 'test' ELSE 'train' END AS split, lang,
+           CAST(count(*) AS BIGINT) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars
+    FROM {_KEPT_DOCS} WHERE doc_id NOT IN (SELECT base_index FROM clusters WHERE NOT is_extreme) GROUP BY 1, 2""")
+def corpus_path(spark, d):
+    """The whole way: quality rules, near-duplicates, train/test split, saved by split; rows per split and language."""
+    kept = materialize(quality_filter(spark, d).select("id", "source", "lang", "content"), "kept")
+    distinct, _ = nd.near_dedup(kept.withColumnsRenamed({"source": "repo_name", "lang": "path"}))
+    rows = distinct.select("id", "content", F.col("path").alias("lang"))
+    path = fresh_path(spark, "corpus")
+    sink_dataset(train_test_split(rows, 0.05, exact=False), path)
+    return spark.read.parquet(path).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("content")).alias("chars"))
