@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, langid, linededup, packing, simhash
-from corpusloom.llm.common import table
+from corpusloom.llm.common import small_batches, table
 from corpusloom.session import materialize
 
 #: The columns of documents, which all stages but the last return.
@@ -15,6 +15,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told: no letter in them, or word labels that favour none."""
+    small_batches(spark)
     model = langid.train(docs.where(~langid.held_out()))
     return langid.decided(docs, model).select(*COLUMNS)
 

@@ -43,9 +43,9 @@ class Rules:
     step: int = 64
     seed: int = 7
     #: Distinct words whose scores a task remembers.
-    remembered: int = 300_000
+    remembered: int = 100_000
     #: Characters labelled at once; a longer document is taken alone.
-    block: int = 1_000_000
+    block: int = 500_000
 
 
 @dataclass(frozen=True)

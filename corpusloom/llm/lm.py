@@ -138,10 +138,10 @@ def token_counts(df: DataFrame, text: str, rules: Rules) -> DataFrame:
                 keys, first, n = np.unique(tokens.key, return_index=True, return_counts=True)
                 held.append((keys, tokens.shape[first], n))
                 size += len(keys)
-                if size > 1_500_000:
+                if size > 500_000:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 1_000_000:
+                    if size > 350_000:
                         yield from rows(*held[0])
                         held, size = [], 0
         if held:

@@ -6,6 +6,9 @@ pieces with the same sample. Pieces with the same bytes collapse. For the rest t
 are sorted, and the order is induced to the left: suffixes one byte longer are a stable pass over that byte, and
 neighbours' common prefixes are one more than the least value between them. A window that reaches ``length`` with its
 neighbour is a repeated one.
+
+No text moves but those pieces, and at the end the texts that hold an oldest piece: a scan knows by a Bloom filter which
+samples may be repeated, and by its text's list of oldest pieces which of them to keep.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, text_of
+from corpusloom.llm.common import bit_filter, passing, table, text_of
 from corpusloom.llm.registry import query
-from corpusloom.llm.textblocks import Block, blocks, mix
+from corpusloom.llm.textblocks import Block, blocks, column_bytes, grams, mix
 from corpusloom.session import materialize
 
 _U = np.uint64
@@ -30,14 +33,11 @@ _U = np.uint64
 class Rules:
     length: int = 100
     gram: int = 32
-    #: Bits of the filters, of fixed size, that tell scans what may be repeated: 8 MB and 2 MB.
-    sample_bits: int = 26
-    document_bits: int = 24
     #: Distinct pieces from which a sample is split by more context, and the left reaches that share a split.
     hot: int = 4096
     reach: int = 9
     #: Bytes of pieces sorted at once in a task.
-    chunk: int = 8_000_000
+    chunk: int = 4_000_000
 
 
 class Samples:
@@ -50,10 +50,9 @@ class Samples:
         self.block, self.doc, self.pos, self.first, self.last, self.key = block, empty, empty, empty, empty, np.zeros(0, _U)
         if n < length:
             return
-        at = np.arange(n - k + 1)
-        grams = block.hashes(at, at + k)
+        hashes = grams(block, k)
         # The leftmost least hash of every window: 33 bits of hash, then the position.
-        packed = (grams >> _U(31) << _U(31)) | at.astype(_U)
+        packed = (hashes >> _U(31) << _U(31)) | np.arange(n - k + 1, dtype=_U)
         rows = -(-len(packed) // w)
         grid = np.full(rows * w, ~_U(0))
         grid[: len(packed)] = packed
@@ -71,21 +70,27 @@ class Samples:
         new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
         self.doc, self.pos, self.first = doc[new], least[new], start[new]
         self.last = start[np.r_[new[1:], len(start)] - 1]
-        self.key = grams[self.pos]
+        self.key = hashes[self.pos]
 
     def local(self, positions: np.ndarray, rows=slice(None)) -> np.ndarray:
         return positions[rows] - self.block.offsets[self.doc[rows]]
 
-    def identity(self, rows: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits that tell pieces apart: their bytes and where the sample stands in them."""
+    def identity(self, rows: np.ndarray, rules: Rules) -> np.ndarray:
+        """A hash that, with the sample's, tells pieces apart: of their bytes and of where the sample stands in them."""
         first, end = self.first[rows], self.last[rows] + rules.length
-        one = self.block.hashes(first, end)
-        two = self.block.hashes(first, end, other=True) + (self.pos[rows] - first).astype(_U)
-        return one.view(np.int64), mix(two).view(np.int64)
+        return mix(self.block.hashes(first, end, other=True) + (self.pos[rows] - first).astype(_U))
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("copy"), text_of(text).alias("text"))
+    """(doc_id, copy, name, text): ``copy`` tells rows with the same id apart, and is 0 where no id repeats."""
+    repeats = docs.groupBy(doc_id).count().where("count > 1").limit(1).count() > 0
+    copy = F.xxhash64(text_of(text)) if repeats else F.lit(0).cast("long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), copy.alias("copy"), text_of(text).alias("text"))
+    return rows.withColumn("name", _name())
+
+
+def _name():
+    return F.xxhash64("doc_id", "copy")
 
 
 def sample_counts(rows: DataFrame, rules: Rules) -> DataFrame:
@@ -100,63 +105,81 @@ def sample_counts(rows: DataFrame, rules: Rules) -> DataFrame:
     return rows.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit for every value of the first ``bits`` bits of column ``key``; its size does not depend on the rows."""
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int))")
-    words = keys.groupBy(F.shiftrightunsigned("key", 70 - bits).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    return out.view(_U)
-
-
-def _passing(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Indices of the keys whose bit is set."""
-    width = int(len(bits) * 64).bit_length() - 1
-    top = key >> _U(64 - width)
-    return np.flatnonzero((bits[(top >> _U(6)).astype(np.int64)] >> (top & _U(63))) & _U(1))
-
-
-def piece_table(rows: DataFrame, repeated: np.ndarray, rules: Rules) -> DataFrame:
-    """(key, one, two, doc_id, copy, pos, first, last) of the pieces whose sample may be repeated; byte positions."""
+def oldest_pieces(rows: DataFrame, repeated: np.ndarray, rules: Rules) -> DataFrame:
+    """(key, two, doc_id, copy, pos): the oldest occurrence of every distinct piece whose sample passes the filter ``repeated``."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = rows.sparkSession.sparkContext.broadcast(repeated)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def first_ones() -> pa.Table:
+            """Of equal pieces that this task has seen, the oldest."""
+            rows = pa.Table.from_batches(held)
+            age = _order([_flat(rows, c) for c in ("doc_id", "copy", "pos")])
+            key, two = rows["key"].to_numpy(), rows["two"].to_numpy()
+            order = np.lexsort((age, two, key))
+            new = np.r_[True, (key[order][1:] != key[order][:-1]) | (two[order][1:] != two[order][:-1])]
+            return rows.take(pa.array(order[new]))
+
         for batch in batches:
             for row, _, block in blocks(batch.column("text")):
                 found = Samples(block, rules)
-                hit = _passing(shared.value, found.key)
-                one, two = found.identity(hit, rules)
+                hit = passing(shared.value, found.key)
                 at = pa.array(row + found.doc[hit])
-                numbers = [found.key[hit].view(np.int64), one, two, *(found.local(p, hit) for p in (found.pos, found.first, found.last))]
-                key, one, two, pos, first, last = map(pa.array, numbers)
-                columns = [key, one, two, batch.column("doc_id").take(at), batch.column("copy").take(at), pos, first, last]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "one", "two", "doc_id", "copy", "pos", "first", "last"])
-
-    return rows.mapInArrow(scan, f"key long, one long, two long, doc_id {kind}, copy long, pos long, first long, last long")
-
-
-def piece_bytes(rows: DataFrame, wanted: np.ndarray, rules: Rules) -> DataFrame:
-    """(key, one, two, bytes) of the pieces whose sample may be wanted."""
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+                columns = [
+                    pa.array(found.key[hit].view(np.int64)), pa.array(found.identity(hit, rules).view(np.int64)),
+                    batch.column("doc_id").take(at), batch.column("copy").take(at), pa.array(found.local(found.pos, hit)),
+                ]
+                held.append(pa.RecordBatch.from_arrays(columns, names=["key", "two", "doc_id", "copy", "pos"]))
+                size += len(hit)
+            if size > 250_000:
+                yield from first_ones().to_batches(max_chunksize=100_000)
+                held, size = [], 0
+        if size:
+            yield from first_ones().to_batches(max_chunksize=100_000)
+
+    found = rows.select("doc_id", "copy", "text").mapInArrow(scan, f"key long, two long, doc_id {kind}, copy long, pos long")
+    oldest = found.groupBy("key", "two").agg(F.min(F.struct("doc_id", "copy", "pos")).alias("oldest"))
+    return oldest.select("key", "two", "oldest.*")
+
+
+def open_pieces(rows: DataFrame, oldest: DataFrame, several: DataFrame, rules: Rules) -> DataFrame:
+    """(key, hot, bytes, left, doc_id, copy, pos) of the oldest pieces whose samples have several distinct pieces.
+
+    The filter may let later copies of such a piece pass; they change nothing, since the oldest one is there too.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    named = oldest.join(several.select("key"), "key", "left_semi").select(F.col("two").bitwiseXOR(_name()).alias("key"))
+    context = rows.sparkSession.sparkContext
+    wanted = context.broadcast(bit_filter(named))
+    frequent = context.broadcast(bit_filter(several.where(F.col("m") > rules.hot).select("key")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
         for batch in batches:
-            for _, _, block in blocks(batch.column("text")):
+            names = batch.column("name").to_numpy().view(_U)
+            for row, _, block in blocks(batch.column("text")):
                 found = Samples(block, rules)
-                hit = _passing(shared.value, found.key)
-                one, two = found.identity(hit, rules)
-                # Copies that a task meets again are not sent again, as long as few are remembered.
-                new = [i for i, t in enumerate(two.tolist()) if t not in sent and (sent.add(t) or True)]
-                if len(sent) > 1_000_000:
-                    sent.clear()
-                hit, one, two = hit[new], one[new], two[new]
-                spans = zip(found.first[hit].tolist(), (found.last[hit] + rules.length).tolist())
-                values = pa.array([block.data[a:b].tobytes() for a, b in spans], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(found.key[hit].view(np.int64)), pa.array(one), pa.array(two), values], names=["key", "one", "two", "bytes"])
+                every = np.arange(len(found.pos))
+                hit = passing(wanted.value, found.identity(every, rules) ^ names[row + found.doc])
+                hot = np.zeros(len(hit), dtype=bool)
+                hot[passing(frequent.value, found.key[hit])] = True
+                first, end = found.first[hit], found.last[hit] + rules.length
+                values = [block.data[a:b].tobytes() for a, b in zip(first.tolist(), end.tolist())]
+                at = pa.array(row + found.doc[hit])
+                columns = [
+                    pa.array(found.key[hit].view(np.int64)), pa.array(hot), pa.array(values, pa.binary()), pa.array(found.pos[hit] - first),
+                    batch.column("doc_id").take(at), batch.column("copy").take(at), pa.array(found.local(found.pos, hit)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "hot", "bytes", "left", "doc_id", "copy", "pos"])
+
+    return rows.mapInArrow(scan, f"key long, hot boolean, bytes binary, left long, doc_id {kind}, copy long, pos long")
+
 
-    return rows.select("text").mapInArrow(scan, "key long, one long, two long, bytes binary")
+def _flat(rows: pa.Table, column: str) -> pa.Array:
+    """A column as one array."""
+    return pa.concat_arrays(rows[column].chunks) if rows[column].num_chunks else pa.array([], rows[column].type)
 
 
 def _order(columns: list[pa.Array]) -> np.ndarray:
@@ -234,52 +257,48 @@ def induced(group: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndar
 
 
 def repeated_reaches(pieces: DataFrame, rules: Rules) -> DataFrame:
-    """(one, two, least, greatest) of the distinct pieces with a window that an older piece has as well.
+    """(doc_id, copy, pos, least, greatest) of the pieces with a window that an older piece has as well.
 
-    ``pieces``: (shard, one, two, bytes, left, low, high, doc_id, copy, pos). Spark deals the shards out and sorts them with
-    its external sorter; a task takes as many whole shards at once as fit a chunk.
+    ``pieces``: (shard, bytes, left, low, high, doc_id, copy, pos). Spark deals the shards out and sorts them with its
+    external sorter; a task takes as many whole shards at once as fit a chunk.
     """
-    names = ["shard", "one", "two", "bytes", "left", "low", "high", "doc_id", "copy", "pos"]
+    kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
 
-        def flush(whole: bool) -> pa.RecordBatch | None:
+        def flush(whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            rows = pa.concat_tables(held).combine_chunks()
+            rows = pa.concat_tables(held)
             shard = rows["shard"].to_numpy()
             change = np.flatnonzero(shard[1:] != shard[:-1]) + 1
             cut = len(shard) if whole else (int(change[-1]) if len(change) else 0)
             held = [] if cut == len(shard) else [rows.slice(cut)]
-            size = 0 if not held else held[0].nbytes
+            size = sum(t.nbytes for t in held)
             if not cut:
-                return None
-            rows = rows.slice(0, cut)
-            values = rows["bytes"].combine_chunks()
-            values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-            lengths = np.fromiter((len(v.as_buffer()) for v in values), dtype=np.int64, count=cut)
-            ends = np.cumsum(lengths)
-            data = np.frombuffer(b"".join(v.as_py() for v in values), dtype=np.uint8)
-            group = np.cumsum(np.r_[0, shard[:cut][1:] != shard[:cut][:-1]])
-            age = _order([rows[c].combine_chunks() if not isinstance(rows[c].combine_chunks(), pa.ChunkedArray) else rows[c].combine_chunks().chunk(0) for c in ("doc_id", "copy", "pos")])
-            number = lambda c: rows[c].to_numpy().astype(np.int64)
-            least, greatest = induced(group, data, ends - lengths, ends, number("left"), age, number("low"), number("high"), rules.length)
+                return
+            rows, shard = rows.slice(0, cut), shard[:cut]
+            data, offsets = column_bytes(_flat(rows, "bytes"))
+            group = np.cumsum(np.r_[0, shard[1:] != shard[:-1]])
+            age = _order([_flat(rows, c) for c in ("doc_id", "copy", "pos")])
+            left, low, high = (rows[c].to_numpy() for c in ("left", "low", "high"))
+            least, greatest = induced(group, data, offsets[:-1], offsets[1:], left, age, low, high, rules.length)
             hit = np.flatnonzero(least >= 0)
-            picked = [rows["one"].to_numpy()[hit], rows["two"].to_numpy()[hit], least[hit], greatest[hit]]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in picked], names=["one", "two", "least", "greatest"])
+            found = rows.select(["doc_id", "copy", "pos"]).take(pa.array(hit))
+            found = found.append_column("least", pa.array(least[hit])).append_column("greatest", pa.array(greatest[hit]))
+            yield from found.to_batches(max_chunksize=100_000)
 
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             size += batch.nbytes
-            if size >= rules.chunk and (found := flush(False)) is not None:
-                yield found
-        if held and (found := flush(True)) is not None:
-            yield found
+            if size >= rules.chunk:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
 
-    dealt = pieces.select(*names).repartition("shard").sortWithinPartitions("shard")
-    found = dealt.mapInArrow(sort, "one long, two long, least long, greatest long")
-    return found.groupBy("one", "two").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    dealt = pieces.repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(sort, f"doc_id {kind}, copy long, pos long, least long, greatest long")
 
 
 def _shards(pieces: DataFrame, rules: Rules) -> DataFrame:
@@ -288,42 +307,15 @@ def _shards(pieces: DataFrame, rules: Rules) -> DataFrame:
     Equal windows whose reaches lie in a range [low, high] agree in the ``low`` bytes left of the sample and in the
     ``length - high`` bytes from it, so these bytes may part a frequent sample's pieces into smaller shards, a copy per range.
     """
-    cold = pieces.where(F.col("m") <= rules.hot).select("*", F.col("key").alias("shard"), F.lit(0).alias("low"), F.lit(rules.length - rules.gram).alias("high"))
     top = rules.length - rules.gram
-    ranges = [(a, min(a + rules.reach - 1, top)) for a in range(0, top + 1, rules.reach)]
-    spread = pieces.where(F.col("m") > rules.hot).withColumn("range", F.explode(F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in ranges])))
+    ranges = F.array(*[F.struct(F.lit(a).cast("long").alias("low"), F.lit(min(a + rules.reach - 1, top)).cast("long").alias("high")) for a in range(0, top + 1, rules.reach)])
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(top).cast("long").alias("high")))
+    spread = pieces.withColumn("range", F.explode(F.when(F.col("hot"), ranges).otherwise(whole)))
     # A piece has windows of reach ``left - (size - length)`` to ``left`` only.
-    size = F.octet_length("bytes")
-    fits = spread.where((F.col("range.low") <= F.col("left")) & (F.col("range.high") >= F.col("left") + rules.length - size))
-    context = F.expr(f"substring(bytes, cast(left - least(range.low, left) + 1 AS int), cast(least(range.low, left) + {rules.length} - range.high AS int))")
-    hot = fits.select(*pieces.columns, F.xxhash64("key", "range.low", context).alias("shard"), F.col("range.low").alias("low"), F.col("range.high").alias("high"))
-    return cold.unionByName(hot)
-
-
-def removed_spans(rows: DataFrame, rules: Rules) -> DataFrame:
-    """(doc_id, copy, first, end): byte spans covered by strings that also start earlier; they may overlap."""
-    counts = materialize(sample_counts(rows, rules).where("n > 1"), "samples")
-    pieces = materialize(piece_table(rows, _filter_of(counts, rules.sample_bits), rules), "pieces")
-    same = ["key", "one", "two"]
-    place = F.struct("doc_id", "copy", "pos")
-    distinct = pieces.groupBy(*same).agg(F.min(F.struct("doc_id", "copy", "pos", "first", "last")).alias("oldest"), F.count("*").alias("n"))
-    distinct = materialize(distinct, "distinct-pieces")
-    oldest = F.struct("oldest.doc_id", "oldest.copy", "oldest.pos")
-    again = pieces.join(distinct.where("n > 1").select(*same, oldest.alias("head")), same).where(~place.eqNullSafe(F.col("head")))
-    whole = again.select("doc_id", "copy", "first", (F.col("last") + rules.length).alias("end"))
-
-    several = distinct.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    several = materialize(several, "several-pieces")
-    told = piece_bytes(rows, _filter_of(several, rules.sample_bits), rules).groupBy(*same).agg(F.first("bytes").alias("bytes"))
-    open_ = distinct.join(several, "key").join(told, same)
-    left = F.col("oldest.pos") - F.col("oldest.first")
-    open_ = open_.select("key", "m", "one", "two", "bytes", left.alias("left"), "oldest.doc_id", "oldest.copy", "oldest.pos")
-    reaches = repeated_reaches(_shards(materialize(open_, "open-pieces"), rules), rules)
-    at = F.col("oldest.pos")
-    part = distinct.join(reaches, ["one", "two"]).select(
-        "oldest.doc_id", "oldest.copy", (at - F.col("greatest")).alias("first"), (at - F.col("least") + rules.length).alias("end")
-    )
-    return whole.union(part)
+    fits = (F.col("range.low") <= F.col("left")) & (F.col("range.high") >= F.col("left") + rules.length - F.octet_length("bytes"))
+    context = F.expr(f"substring(bytes, cast(left - range.low + 1 AS int), cast(range.low + {rules.length} - range.high AS int))")
+    shard = F.when(F.col("hot"), F.xxhash64("key", "range.low", context)).otherwise(F.col("key"))
+    return spread.where(fits).select(shard.alias("shard"), "bytes", "left", "range.low", "range.high", "doc_id", "copy", "pos")
 
 
 def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -335,47 +327,81 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are empty. Matches never cross documents and are judged on the input. Other columns are not read.
     """
     rows = _identified(df, doc_id, text)
+    repeated = bit_filter(materialize(sample_counts(rows, rules).where("n > 1").select("key"), "repeated-samples"))
+    oldest = materialize(oldest_pieces(rows, repeated, rules), "oldest-pieces")
+    several = materialize(oldest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "several-pieces")
+    reaches = repeated_reaches(_shards(open_pieces(rows, oldest, several, rules), rules), rules)
+    # Per document: where its pieces are the oldest of their kind, and how far their windows are repeated even so.
+    span = F.struct("pos", "least", "greatest")
+    listed = oldest.select("doc_id", "copy", "pos", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("greatest")).unionByName(reaches)
+    listed = listed.groupBy("doc_id", "copy").agg(F.collect_list(span).alias("marks"))
+    listed = materialize(listed, "marks")
+    # Texts without marks need not move: a filter tells most of them.
+    bits = rows.sparkSession.sparkContext.broadcast(bit_filter(listed.select(_name().alias("key"))))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    spans = removed_spans(rows, rules).groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans"))
-    spans = materialize(spans, "removed-spans")
-    # Texts that lose nothing need not move: a filter of fixed size tells most of them.
-    name = F.xxhash64("doc_id", "copy")
-    bits = rows.sparkSession.sparkContext.broadcast(_filter_of(spans.select(name.alias("key")), rules.document_bits))
 
-    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told = np.zeros(batch.num_rows, dtype=bool)
-            told[_passing(bits.value, batch.column("name").to_numpy().view(_U))] = True
-            yield batch.append_column("touched", pa.array(told))
+            told[passing(bits.value, batch.column("name").to_numpy().view(_U))] = True
+            yield batch.append_column("marked", pa.array(told))
+
+    shape = f"doc_id {kind}, copy long, text string, name long, marked boolean"
+    parted = rows.mapInArrow(sort_out, shape)
+    other = listed.withColumnsRenamed({"doc_id": "_id", "copy": "_copy"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
+    moved = parted.where("marked").join(other, same, "left").select("doc_id", "text", "marks")
+    stays = parted.where("NOT marked").select("doc_id", "text", F.lit(None).cast(listed.schema["marks"].dataType).alias("marks"))
+    cut = _cut(rows.sparkSession.sparkContext.broadcast(repeated), rules)
+    out = f"doc_id {kind}, n_bytes long, spans array<struct<first:long,end:long>>, kept binary"
+    return moved.mapInArrow(cut, out).union(stays.mapInArrow(cut, out))
+
 
-    shape = f"doc_id {kind}, copy long, text string, name long, touched boolean"
-    marked = rows.withColumn("name", name).mapInArrow(touched, shape)
-    other = spans.withColumnsRenamed({"doc_id": "_id", "copy": "_copy", "spans": "_spans"})
-    met = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
-    changed = marked.where("touched").join(other, met, "left").select("doc_id", "text", "_spans")
-    plain = marked.where("NOT touched").select("doc_id", "text", F.lit(None).cast("array<struct<first:long,end:long>>").alias("_spans"))
+def _cut(repeated, rules: Rules):
+    """Per text: its pieces that pass the filter ``repeated`` go, unless marked as the oldest; of those, the marked reaches go."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            sizes, runs, kept = [], [], []
-            for value, found in zip(batch.column("text"), batch.column("_spans").to_pylist()):
-                raw = value.as_py().encode()
-                merged: list[list[int]] = []
-                for span in found or ():
-                    if merged and span["first"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], span["end"])
-                    else:
-                        merged.append([span["first"], span["end"]])
-                edges = [0, *(x for run in merged for x in run), len(raw)]
-                sizes.append(len(raw))
-                runs.append([{"first": a, "end": b} for a, b in merged])
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(runs, run_type), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
-
-    out = f"doc_id {kind}, n_bytes long, spans array<struct<first:long,end:long>>, kept binary"
-    return changed.mapInArrow(cut, out).union(plain.mapInArrow(cut, out))
+            marks = batch.column("marks")
+            owner = np.repeat(np.arange(len(marks)), marks.value_lengths().fill_null(0).to_numpy())
+            fields = dict(zip(("pos", "least", "greatest"), marks.flatten().flatten()))
+            pos, least, greatest = (fields[c].fill_null(-1).to_numpy() for c in ("pos", "least", "greatest"))
+            for row, end, block in blocks(batch.column("text")):
+                found = Samples(block, rules)
+                hit = passing(repeated.value, found.key)
+                mine = slice(*np.searchsorted(owner, [row, end]))
+                doc, at, low, high = owner[mine] - row, pos[mine], least[mine], greatest[mine]
+                known = low < 0
+                old = np.isin(found.doc[hit] << 31 | found.local(found.pos, hit), doc[known] << 31 | at[known])
+                gone = hit[~old]
+                part = ~known
+                starts = np.r_[found.first[gone], block.offsets[doc[part]] + at[part] - high[part]]
+                ends = np.r_[found.last[gone], block.offsets[doc[part]] + at[part] - low[part]] + rules.length
+                docs = np.r_[found.doc[gone], doc[part]]
+                yield _texts_without(batch.column("doc_id").slice(row, end - row), block, docs, starts, ends, run_type)
+
+    return cut
+
+
+def _texts_without(ids: pa.Array, block: Block, docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, run_type) -> pa.RecordBatch:
+    """Merges the spans where they overlap or touch, inside each document, and cuts them out."""
+    order = np.lexsort((ends, starts))
+    docs, starts, ends = docs[order], starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    new = np.r_[True, (starts[1:] > ends[:-1]) | (docs[1:] != docs[:-1])] if len(starts) else np.zeros(0, dtype=bool)
+    first = starts[new]
+    last = ends[np.r_[np.flatnonzero(new)[1:], len(ends)] - 1] if len(ends) else ends
+    doc = docs[new]
+    change = np.zeros(len(block.data) + 1, dtype=np.int32)
+    np.add.at(change, first, 1)
+    np.add.at(change, last, -1)
+    keep = np.cumsum(change)[:-1] == 0
+    cuts = block.offsets
+    kept = [block.data[a:b][keep[a:b]].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    base = cuts[doc]
+    runs = pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], names=["first", "end"])
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(block) + 1)).astype(np.int32)), runs)
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(cuts)), lists.cast(run_type), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 @query("op10_suffix_dedup")
