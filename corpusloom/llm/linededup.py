@@ -9,12 +9,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, fresh, small_or_shuffled, table, text_of
+from corpusloom.llm.common import bit_filter, components, fresh, passing, small_or_shuffled, table, text_of
 from corpusloom.llm.registry import query
 from corpusloom.llm.textblocks import Block, blocks, mix
 from corpusloom.session import materialize
@@ -26,19 +25,17 @@ _U = np.uint64
 class Rules:
     """Lines of fewer than ``min_chars`` characters are left alone: a few shingles say nothing about likeness.
 
-    ``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 12 bands of 4 with
-    probability 1 - (1 - 0.8^4)^12 = 0.998.
+    ``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 10 bands of 4 with
+    probability 1 - (1 - 0.8^4)^10 = 0.995, at 0.85 with 0.9994.
     """
 
     shingle: int = 8
     min_chars: int = 20
     similarity: float = 0.8
-    bands: int = 12
+    bands: int = 10
     rows: int = 4
     #: Members of a bucket that one task compares with as many others.
-    cell: int = 128
-    #: Bits of the filter, of fixed size, that tells scans which lines are candidates.
-    filter_bits: int = 24
+    cell: int = 512
 
 
 def line_spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,15 +57,25 @@ def _shingles(block: Block, starts: np.ndarray, ends: np.ndarray, k: int) -> tup
     chars = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4").astype(_U)
     chars = mix(chars + _U(1))
     begin, n = lead[starts], lead[ends] - lead[starts] - k + 1
-    total = max(0, len(chars) - k + 1)
-    rolled = np.zeros(total, dtype=_U)
-    for j in range(k):
-        rolled *= _U(0x9E3779B97F4A7C15)
-        rolled += chars[j : j + total]
+    rolled = _rolled(chars, k)
     at = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
     return mix(rolled[at]), np.repeat(np.arange(len(n)), n), n
 
 
+def _rolled(chars: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` neighbours, from hashes of halves."""
+    if k == 1:
+        return chars
+    half = _rolled(chars, k // 2)
+    size = max(0, len(chars) - 2 * (k // 2) + 1)
+    base = pow(0x9E3779B97F4A7C15, k // 2, 1 << 64)
+    both = half[:size] * _U(base) + half[k // 2 : k // 2 + size]
+    if k % 2 == 0:
+        return both
+    size = max(0, len(chars) - k + 1)
+    return both[:size] * _U(0x9E3779B97F4A7C15) + chars[k - 1 : k - 1 + size]
+
+
 def signatures(hashes: np.ndarray, line: np.ndarray, n_lines: int, size: int) -> np.ndarray:
     """One-permutation MinHash, lines x ``size``: the shingles fall into bins, a bin keeps its least value.
 
@@ -106,40 +113,39 @@ def _long_lines(block: Block, rules: Rules):
 
 
 def line_table(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(doc_id, copy, line, key, proof, bands) of the lines long enough; equal lines have equal keys and proofs."""
+    """(doc_id, copy, line, key, proof, bands) of the lines long enough; equal lines have equal keys and proofs.
+
+    ``bands`` is null where the task has given the line's bands already.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for first, _, block in blocks(batch.column("text")):
                 doc, number, starts, ends = _long_lines(block, rules)
                 if not len(doc):
                     continue
                 hashes, line, n = _shingles(block, starts, ends, rules.shingle)
-                proof = np.add.reduceat(mix(hashes), np.cumsum(n) - n) + n.astype(_U)
+                key = block.hashes(starts, ends).view(np.int64)
+                proof = np.add.reduceat(hashes, np.cumsum(n) - n) + n.astype(_U)
                 bands = _bands(signatures(hashes, line, len(n), rules.bands * rules.rows), rules.bands, rules.rows)
-                lists = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, rules.bands, dtype=np.int32), bands.ravel())
+                again = np.array([k in seen or bool(seen.add(k)) for k in key.tolist()])
+                if len(seen) > 100_000:
+                    seen.clear()
+                offsets = pa.array(np.arange(0, bands.size + 1, rules.bands, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(again))
                 rows = pa.array(first + doc)
                 columns = [batch.column(c).take(rows) for c in ("doc_id", "copy")]
-                more = [pa.array(number), pa.array(block.hashes(starts, ends).view(np.int64)), pa.array(proof.view(np.int64)), lists]
+                more = [pa.array(number), pa.array(key), pa.array(proof.view(np.int64)), lists]
                 yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "copy", "line", "key", "proof", "bands"])
 
     return docs.mapInArrow(scan, f"doc_id {kind}, copy long, line long, key long, proof long, bands array<long>")
 
 
-def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bit for every value of the keys' first ``bits`` bits: 2 MB at 24 bits, whatever the number of keys."""
-    place = F.shiftrightunsigned("key", 64 - bits)
-    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 AS int))")).alias("bits"))
-    out = np.zeros(1 << max(0, bits - 6), dtype=np.int64)
-    for word, value in words.collect():
-        out[word] = value
-    return out.view(_U)
-
-
 def line_texts(docs: DataFrame, keys: DataFrame, rules: Rules) -> DataFrame:
     """(key, chars): the texts of the lines with the given keys (column ``key``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(keys, rules.filter_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(keys))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = shared.value, set()
@@ -147,11 +153,10 @@ def line_texts(docs: DataFrame, keys: DataFrame, rules: Rules) -> DataFrame:
             for _, _, block in blocks(batch.column("text")):
                 _, _, starts, ends = _long_lines(block, rules)
                 key = block.hashes(starts, ends)
-                top = key >> _U(64 - rules.filter_bits)
-                hit = np.flatnonzero((wanted[(top >> _U(6)).astype(np.int64)] >> (top & _U(63))) & _U(1))
+                hit = passing(wanted, key)
                 # A line that this task sees again is not sent again, as long as few are remembered.
                 hit = [i for i, k in zip(hit.tolist(), key[hit].tolist()) if k not in seen and (seen.add(k) or True)]
-                if len(seen) > 1_000_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 texts = [block.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[hit].tolist(), ends[hit].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(key[hit].view(np.int64)), pa.array(texts, pa.string())], names=["key", "chars"])
@@ -173,62 +178,114 @@ def alike(a: frozenset[str], b: frozenset[str], least: float) -> bool:
     return both >= least * (small + large - both)
 
 
+def text_alike(text: str, other: frozenset[str], k: int, least: float) -> bool:
+    """``alike`` of a text's shingles and a set.
+
+    Of a set of at most ``n`` shingles, ``missing`` of which the other lacks, no more than ``n - missing`` are shared: a
+    third of the text often has enough missing ones to tell that it is not alike.
+    """
+    n = max(1, len(text) - k + 1)
+    if n < least * len(other):
+        return False
+    missing = len(shingle_set(text[: n // 3 + k], k) - other) if n >= 60 else 0
+    if n - missing < least * (len(other) + missing):
+        return False
+    return alike(shingle_set(text, k), other, least)
+
+
+def _alike_pairs(sets: list[frozenset[str]], left: np.ndarray, right: np.ndarray, least: float, width: int = 8192) -> list[tuple[int, int]]:
+    """Index pairs (one of ``left``, one of ``right``) of sets that are alike; all intersections come from matrix products."""
+    place: dict[str, int] = {}
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    item = np.fromiter((place.setdefault(x, len(place)) for s in sets for x in s), dtype=np.int64, count=len(owner))
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+    both = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for first in range(0, len(place), width):
+        part = slice(*np.searchsorted(item, [first, first + width]))
+        held = np.zeros((len(sets), min(width, len(place) - first)), dtype=np.float32)
+        held[owner[part], item[part] - first] = 1
+        both += held[rows] @ held[columns].T
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    union = size[rows][:, None] + size[columns][None, :] - both
+    x, y = np.nonzero(both >= least * union)
+    return [(int(a), int(b)) for a, b in zip(rows[x], columns[y]) if a != b]
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
     """The pairs (a, b) whose shingle sets are alike."""
     with_a = pairs.join(texts.toDF("a", "text_a"), "a")
     both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[int | None, frozenset[str]] = (None, frozenset())
+        known: dict[int, frozenset[str]] = {}
         for batch in batches:
             keep = []
             for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b"))):
-                if known[0] != b:
-                    known = b, shingle_set(text_b, rules.shingle)
-                keep.append(alike(shingle_set(text_a, rules.shingle), known[1], rules.similarity))
+                if b not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    known[b] = shingle_set(text_b, rules.shingle)
+                keep.append(text_alike(text_a, known[b], rules.shingle, rules.similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
 
 
-def _open_buckets(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, key, root): members of the buckets that still hold two or more components.
+def _heads(lines: DataFrame) -> DataFrame:
+    """(bucket, a, b, n): the least and the greatest key of every bucket with different lines, and its rows.
 
-    Buckets with the same members, as the bands of a group of near copies give, are taken once.
+    One aggregate with map-side minima, so a hot bucket costs a row per task. Most buckets have two lines, a and b.
     """
-    rooted = buckets.withColumn("root", F.col("key"))
-    if labels is not None:
-        rooted = buckets.join(labels.toDF("key", "label"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("root"))
-    summary = rooted.groupBy("bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.hash("key", F.lit(1)).cast("long")).alias("two")
-    )
-    first = summary.where("low <> high").groupBy("n", "one", "two").agg(F.min("bucket").alias("bucket"))
-    return rooted.join(first.select("bucket"), "bucket", "left_semi")
+    banded = lines.where("bands IS NOT NULL").select("key", F.explode("bands").alias("bucket"))
+    return banded.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a <> b")
 
 
-def _star(open_: DataFrame, head: Column) -> DataFrame:
-    """(a, b): every member with its bucket's head, unless they are connected already."""
-    heads = open_.groupBy("bucket").agg(head.alias("head"))
-    heads = heads.select("bucket", F.col("head.key").alias("b"), F.col("head.root").alias("root_b"))
-    return open_.join(heads, "bucket").where("root <> root_b").select(F.col("key").alias("a"), "b").distinct()
+def _members(lines: DataFrame, heads: DataFrame, rules: Rules) -> DataFrame:
+    """(bucket, key): the lines of the buckets that may have more than two, without a and b.
+
+    Buckets with the same lines, as the bands of a group of near copies give, are taken once.
+    """
+    larger = heads.where("n > 2")
+    shared = lines.sparkSession.sparkContext.broadcast(bit_filter(larger.select(F.col("bucket").alias("key"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column("bands").flatten().to_numpy()
+            keys = np.repeat(batch.column("key").to_numpy(), rules.bands)
+            on = passing(shared.value, flat.view(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[on]), pa.array(keys[on])], names=["bucket", "key"])
+
+    rows = lines.where("bands IS NOT NULL").select("key", "bands").mapInArrow(pick, "bucket long, key long")
+    met = rows.join(larger.select("bucket", "a", "b"), "bucket").where("key <> a AND key <> b").distinct()
+    summary = met.groupBy("bucket", "a", "b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("two"))
+    once = summary.groupBy("a", "b", "n", "one", "two").agg(F.min("bucket").alias("bucket"))
+    return met.join(once.select("bucket"), "bucket", "left_semi")
+
+
+def _rooted(rows: DataFrame, labels: DataFrame, key: str, root: str) -> DataFrame:
+    """``rows`` with the component of the line in column ``key``; lines without links are their own."""
+    return rows.join(labels.toDF(key, root), key, "left").withColumn(root, F.coalesce(root, key))
 
 
 def _grid(open_: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
-    """Links (a, b) between all members of different components in the open buckets.
+    """Links (a, b) between all members (bucket, key, root) of different components in a bucket.
 
-    Members are dealt to cells of ``rules.cell``; a task compares the members of two cells and emits links, one per
+    Buckets whose members are one component are done. Members are dealt to cells of ``rules.cell``; a task compares the members of two cells and emits links, one per
     member at most beyond the first, never the pairs compared. A bucket of any size is finished this way.
     """
-    sized = open_.groupBy("bucket").agg(F.ceil(F.count("*") / rules.cell).cast("int").alias("cells"))
+    sized = open_.groupBy("bucket").agg(F.ceil(F.count("*") / rules.cell).cast("int").alias("cells"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sized = sized.where("low <> high").select("bucket", "cells")
     dealt = open_.join(sized, "bucket").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("i"), F.greatest("cell", o).alias("j")))
     copies = dealt.withColumn("pair", F.explode(pairs)).select("bucket", "pair.i", "pair.j", "cell", "key", "root").join(texts, "key")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        sets = [shingle_set(t, rules.shingle) for t in rows["chars"]]
-        keys, roots, cells = rows["key"].tolist(), rows["root"].tolist(), rows["cell"].tolist()
-        parent = {r: r for r in roots}
+    def links(members: list[tuple]) -> list[tuple[int, int]]:
+        """Of one bucket's cells i and j: pairs that join components, at most one for each member beyond the first."""
+        _, i, j = members[0][:3]
+        cells = np.array([m[3] for m in members])
+        parent = {m[5]: m[5] for m in members}
 
         def find(r):
             while parent[r] != r:
@@ -236,18 +293,36 @@ def _grid(open_: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
                 r = parent[r]
             return r
 
-        left = [x for x, c in enumerate(cells) if c == i]
-        right = [x for x, c in enumerate(cells) if c == j]
         out = []
-        for x in left:
-            for y in right:
-                a, b = find(roots[x]), find(roots[y])
-                if a != b and alike(sets[x], sets[y], rules.similarity):
+        if len(parent) > 1:
+            for x, y in _alike_pairs([shingle_set(m[6], rules.shingle) for m in members], cells == i, cells == j, rules.similarity):
+                a, b = find(members[x][5]), find(members[y][5])
+                if a != b:
                     parent[max(a, b)] = min(a, b)
-                    out.append((keys[x], keys[y]))
-        return pd.DataFrame(out, columns=["a", "b"])
+                    out.append((members[x][4], members[y][4]))
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:3] != group[0][:3]:
+                    found += links(group)
+                    group = []
+                group.append(row)
+            yield _pairs(found)
+        if group:
+            yield _pairs(links(group))
+
+    cut = copies.select("bucket", "i", "j", "cell", "key", "root", "chars")
+    dealt = cut.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long")
 
-    return copies.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -260,31 +335,45 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("copy"), text_of(text).alias("text"))
     lines = materialize(line_table(rows, rules), "lines")
+    heads = materialize(_heads(lines), "line-heads")
+    members = materialize(_members(lines, heads, rules), "line-members")
+    ends = heads.select(F.explode(F.array("a", "b")).alias("key"))
+    texts = materialize(line_texts(rows, ends.union(members.select("key")).distinct(), rules), "line-texts")
+
+    # Each line of a bucket against its least; where that leaves several components, all others among themselves.
+    star = heads.select("a", "b").union(members.select(F.col("key").alias("a"), F.col("a").alias("b"))).distinct()
+    links = materialize(_verified(star, texts, rules), "line-links")
+    labels = components(links, "line")
+    rest = members.select("bucket", "key").union(heads.where("n > 2").select("bucket", F.col("b").alias("key")).join(members.select("bucket").distinct(), "bucket", "left_semi"))
+    open_ = materialize(_rooted(rest, labels, "key", "root"), "line-members")
+    links = links.union(materialize(_grid(open_, texts, rules), "line-links"))
+    labels = components(links, "line")
+
+    # Lines with a copy or a link meet their component's first line; a filter lets the others pass by.
+    copied = lines.groupBy("key").count().where("count > 1").select("key")
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(copied.union(labels.select(F.col("node").alias("key")))))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = np.zeros(batch.num_rows, dtype=bool)
+            told[passing(wanted.value, batch.column("key").to_numpy().view(_U))] = True
+            yield batch.append_column("shared", pa.array(told))
+
     place = F.struct("doc_id", "copy", "line")
-    # Copies of a line collapse; a key shared by different lines, if ever, keeps the least proof's lines only.
-    nodes = lines.groupBy("key").agg(F.min(F.struct("proof", "doc_id", "copy", "line")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n"))
-    nodes = materialize(nodes, "line-nodes")
-    banded = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = materialize(banded.join(shared, "bucket", "left_semi"), "line-buckets")
-    texts = materialize(line_texts(rows, buckets.select("key").distinct(), rules), "line-texts")
-
-    links, labels = None, None
-    for head in (F.min(F.struct("key", "root")), F.max(F.struct("key", "root")), None):
-        open_ = _open_buckets(buckets, labels)
-        found = _grid(materialize(open_, "open-buckets"), texts, rules) if head is None else _verified(_star(open_, head), texts, rules)
-        found = materialize(found, "line-links")
-        links = found if links is None else links.union(found)
-        labels = components(links, "line")
-
-    rooted = nodes.join(labels.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    marked = lines.drop("bands").mapInArrow(mark, f"doc_id {kind}, copy long, line long, key long, proof long, shared boolean")
+    single = marked.where("NOT shared").select(place.alias("place"), place.alias("keeper"))
+    # Copies of a line collapse; of a key shared by different lines, if ever, the least proof's lines do.
+    shared = marked.where("shared")
+    nodes = shared.groupBy("key").agg(F.min(F.struct("proof", "doc_id", "copy", "line")).alias("first"))
+    rooted = _rooted(nodes, labels, "key", "root")
     keepers = rooted.groupBy("root").agg(F.min(F.struct("first.doc_id", "first.copy", "first.line")).alias("keeper"))
     named = rooted.join(keepers, "root").select("key", F.col("first.proof").alias("known"), "keeper")
-    told = lines.drop("bands").join(named, "key")
-    keeper = F.when(F.col("proof") == F.col("known"), F.col("keeper")).otherwise(place)
-    return told.select(
-        "doc_id", "copy", "line", keeper.alias("keeper"), place.eqNullSafe(keeper).alias("kept")
-    ).select("doc_id", "copy", "line", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.copy").alias("keeper_copy"), F.col("keeper.line").alias("keeper_line"), "kept")
+    met = shared.join(named, "key").select(place.alias("place"), F.when(F.col("proof") == F.col("known"), F.col("keeper")).otherwise(place).alias("keeper"))
+    return met.union(single).select(
+        "place.*", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.copy").alias("keeper_copy"), F.col("keeper.line").alias("keeper_line"),
+        F.col("place").eqNullSafe(F.col("keeper")).alias("kept"),
+    )
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
