@@ -25,14 +25,14 @@ _U = np.uint64
 class Rules:
     """Lines of fewer than ``min_chars`` characters are left alone: a few shingles say nothing about likeness.
 
-    ``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 10 bands of 4 with
-    probability 1 - (1 - 0.8^4)^10 = 0.995, at 0.85 with 0.9994.
+    ``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 12 bands of 4 with
+    probability 1 - (1 - 0.8^4)^12 = 0.998.
     """
 
     shingle: int = 8
     min_chars: int = 20
     similarity: float = 0.8
-    bands: int = 10
+    bands: int = 12
     rows: int = 4
     #: Members of a bucket that one task compares with as many others.
     cell: int = 512
@@ -269,6 +269,17 @@ def _rooted(rows: DataFrame, labels: DataFrame, key: str, root: str) -> DataFram
     return rows.join(labels.toDF(key, root), key, "left").withColumn(root, F.coalesce(root, key))
 
 
+def _open_groups(heads: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, key, root): the lines, but for each bucket's least, of the buckets that may hold several components.
+
+    The bands of a group of near copies give many buckets with mostly the same lines. Buckets with the same least line
+    are taken as one, so that their lines come once; such a group has at most one bucket per band of that line.
+    """
+    last = heads.select("bucket", "a", F.col("b").alias("key")).join(members.select("bucket").distinct(), "bucket", "left_semi")
+    lines = members.select("a", "key").union(last.select("a", "key")).distinct()
+    return _rooted(lines, labels, "key", "root").withColumnRenamed("a", "bucket")
+
+
 def _grid(open_: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
     """Links (a, b) between all members (bucket, key, root) of different components in a bucket.
 
@@ -344,8 +355,7 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     star = heads.select("a", "b").union(members.select(F.col("key").alias("a"), F.col("a").alias("b"))).distinct()
     links = materialize(_verified(star, texts, rules), "line-links")
     labels = components(links, "line")
-    rest = members.select("bucket", "key").union(heads.where("n > 2").select("bucket", F.col("b").alias("key")).join(members.select("bucket").distinct(), "bucket", "left_semi"))
-    open_ = materialize(_rooted(rest, labels, "key", "root"), "line-members")
+    open_ = materialize(_open_groups(heads, members, labels), "line-members")
     links = links.union(materialize(_grid(open_, texts, rules), "line-links"))
     labels = components(links, "line")
 
