@@ -34,9 +34,9 @@ class Rules:
     smoothing: float = 0.1
     top: int = 1 << 16
     #: Words that are classes of their own, and the rank that parts the two bands of the other top words.
-    single: int = 20
+    single: int = 24
     band: int = 3000
-    groups: int = 5
+    groups: int = 6
     shapes: int = 1 << 12
     anchors: int = 64
     features: int = 1 << 13

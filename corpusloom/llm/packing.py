@@ -28,7 +28,7 @@ class Rules:
     sentence: int = 4
     word: int = 12
     sequence: int = 16
-    gap: int = 32
+    gap: int = 24
     shortest: int = 64
     #: Tokens laid out at once; what may still join later text is carried on.
     chunk: int = 1 << 18
