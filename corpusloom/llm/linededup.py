@@ -23,7 +23,9 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Rules:
-    """Lines of fewer than ``min_chars`` characters are left alone: a few shingles say nothing about likeness.
+    """Lines of fewer than ``min_chars`` characters are not compared by likeness: a few shingles say nothing about it.
+
+    With ``every_line`` such short lines are grouped when they are equal; without, they are left alone.
 
     ``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 12 bands of 4 with
     probability 1 - (1 - 0.8^4)^12 = 0.998.
@@ -31,6 +33,7 @@ class Rules:
 
     shingle: int = 8
     min_chars: int = 20
+    every_line: bool = False
     similarity: float = 0.8
     bands: int = 12
     rows: int = 4
@@ -104,18 +107,23 @@ def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _long(block: Block, starts: np.ndarray, ends: np.ndarray, rules: Rules) -> np.ndarray:
+    """Which of the spans have enough characters to be compared by likeness."""
+    lead = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
+    return lead[ends] - lead[starts] >= max(rules.min_chars, rules.shingle)
+
+
 def _long_lines(block: Block, rules: Rules):
     """Spans of the lines long enough to be compared, as in ``line_spans``."""
     doc, number, starts, ends = line_spans(block)
-    lead = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
-    long = lead[ends] - lead[starts] >= max(rules.min_chars, rules.shingle)
+    long = _long(block, starts, ends, rules)
     return doc[long], number[long], starts[long], ends[long]
 
 
 def line_table(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(doc_id, copy, line, key, proof, bands) of the lines long enough; equal lines have equal keys and proofs.
+    """(doc_id, copy, line, key, proof, bands) of the lines long enough, or of all; equal lines have equal keys and proofs.
 
-    ``bands`` is null where the task has given the line's bands already.
+    ``bands`` is null where the task has given the line's bands already, and for short lines.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -123,14 +131,20 @@ def line_table(docs: DataFrame, rules: Rules) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for first, _, block in blocks(batch.column("text")):
-                doc, number, starts, ends = _long_lines(block, rules)
+                doc, number, starts, ends = line_spans(block) if rules.every_line else _long_lines(block, rules)
                 if not len(doc):
                     continue
-                hashes, line, n = _shingles(block, starts, ends, rules.shingle)
+                long = _long(block, starts, ends, rules)
                 key = block.hashes(starts, ends).view(np.int64)
-                proof = np.add.reduceat(hashes, np.cumsum(n) - n) + n.astype(_U)
-                bands = _bands(signatures(hashes, line, len(n), rules.bands * rules.rows), rules.bands, rules.rows)
-                again = np.array([k in seen or bool(seen.add(k)) for k in key.tolist()])
+                proof = np.empty(len(doc), dtype=_U)
+                proof[~long] = block.hashes(starts[~long], ends[~long], other=True)
+                bands = np.zeros((len(doc), rules.bands), dtype=np.int64)
+                if long.any():
+                    hashes, line, n = _shingles(block, starts[long], ends[long], rules.shingle)
+                    proof[long] = np.add.reduceat(hashes, np.cumsum(n) - n) + n.astype(_U)
+                    bands[long] = _bands(signatures(hashes, line, len(n), rules.bands * rules.rows), rules.bands, rules.rows)
+                again = ~long
+                again[long] = [k in seen or bool(seen.add(k)) for k in key[long].tolist()]
                 if len(seen) > 100_000:
                     seen.clear()
                 offsets = pa.array(np.arange(0, bands.size + 1, rules.bands, dtype=np.int32))
@@ -339,6 +353,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """(doc_id, copy, line, keeper_id, keeper_copy, keeper_line, kept): every line of at least ``min_chars`` characters.
 
+    With ``rules.every_line`` shorter lines with a word have rows too, and name the first line equal to them.
     Lines of one component (exact copies, and lines joined by chains of similarities of at least ``rules.similarity``)
     name the same keeper, the component's first line by (doc_id, copy, line). ``copy`` is a hash of the document's
     text: rows that share an id are told apart by it, and exact repeats of a row count as one document. Null ids come
@@ -389,8 +404,9 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with the lines that repeat an earlier one taken out of their texts, other columns as they are.
 
-    A row whose every line with a word went is a duplicate as a whole and goes too. Rows that lost no line, null texts
-    among them, are unchanged.
+    A row whose every line with a word went is a duplicate as a whole and goes too; with ``rules.every_line`` that
+    holds for all rows whose lines all repeat earlier ones, without it short lines stay as they are. Rows that lost no
+    line, null texts among them, are unchanged.
     """
     gone = line_groups(docs, doc_id, text, rules).where("NOT kept").groupBy("doc_id", "copy").agg(F.collect_set("line").alias("_gone"))
     name, copy, lost = fresh(docs, "id", "copy", "lost")
@@ -406,3 +422,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
 @query("op3_line_dedup")
 def op3_line_dedup(spark, sf_dir):
     return line_groups(table(spark, sf_dir, "documents")).drop("copy", "keeper_copy")
+
+
+@query("op3_line_dedup_all")
+def op3_line_dedup_all(spark, sf_dir):
+    """As ``op3_line_dedup``, with the short lines."""
+    return line_groups(table(spark, sf_dir, "documents"), rules=Rules(every_line=True)).drop("copy", "keeper_copy")

@@ -97,3 +97,22 @@ def test_odd_rows(odd, nothing):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, None, None, 6, 8, 9, 10, 11], key=str)
     assert ld.line_groups(nothing).collect() == [] and ld.dedup_lines(nothing).collect() == []
+
+
+def test_every_line_equals_brute_force(spark, small, documents):
+    got = {(r.doc_id, r.line): (r.keeper_id, r.keeper_line) for r in queries()["op3_line_dedup_all"](spark, small).collect()}
+    expected = brute([(i, t) for i, t, _ in documents])
+    first = {}
+    for i, t, _ in documents:
+        for n, s in enumerate((t or "").split("\n")):
+            if s.strip(BLANKS) and (i, n) not in expected:
+                expected[i, n] = first.setdefault(s.strip(BLANKS), (i, n))
+    assert got == expected and len(first) < sum(len(t.strip(BLANKS)) < 20 and t.strip(BLANKS) != "" for _, x, _ in documents for t in (x or "").split("\n"))
+
+
+def test_short_lines_lose_their_copies(spark):
+    long = "This is a line long enough to be compared with others."
+    rows = [(1, f"{long}\nshort\n short\nend"), (2, f"end\n{long}\nshort"), (3, "short"), (4, "other\nend"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in ld.dedup_lines(docs, rules=ld.Rules(every_line=True)).collect()}
+    assert got == {1: f"{long}\nshort\nend", 4: "other", 5: None, 6: ""}
