@@ -101,7 +101,7 @@ def test_odd_rows(odd, nothing):
 
 def test_every_line_equals_brute_force(spark, small, documents):
     got = {(r.doc_id, r.line): (r.keeper_id, r.keeper_line) for r in queries()["op3_line_dedup_all"](spark, small).collect()}
-    expected = brute([(i, t) for i, t, _ in documents])
+    expected = brute([(i, t) for i, t, _ in documents], k=4)
     first = {}
     for i, t, _ in documents:
         for n, s in enumerate((t or "").split("\n")):
@@ -116,3 +116,14 @@ def test_short_lines_lose_their_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.text for r in ld.dedup_lines(docs, rules=ld.Rules(every_line=True)).collect()}
     assert got == {1: f"{long}\nshort\nend", 4: "other", 5: None, 6: ""}
+
+
+def test_one_changed_character(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for n in range(40, 121, 5):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
+        rows += [(2 * n, f"<{line}>"), (2 * n + 1, f"<{line[: n // 2]}7{line[n // 2 + 1 :]}>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.keeper_id for r in queries()["op3_line_dedup_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
