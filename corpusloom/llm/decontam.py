@@ -1,9 +1,9 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations only.
 
 The index is partitioned by document: a posting is (document, term, position). Postings are stored first for the two
-rarest terms of every test window only, and intersected by position less offset in the item. Where the two agree, within
-the slop of proximity matches, the item is aligned with the document, and postings of the neighbouring terms are
-fetched for those documents alone.
+rarest terms of every test window only, and intersected by position less offset in the item. Where the two agree, the
+item is aligned with the document, and postings of the neighbouring terms are fetched for those documents alone.
+Proximity matches may lack some words, so they are aligned by any two of a window's rarest places that leave room for that.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ BETWEEN_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 @dataclass(frozen=True)
 class Rules:
     """A window is ``window`` consecutive item words. A proximity match has at least ``near`` of them within ``slop`` words
-    of where the window's rarest term puts them, its second rarest term among them. A document is contaminated when ``share`` times its hit words reach its words.
+    of where one of the window's rarest words puts them: one of the ``window - near + 2`` rarest, two of which must be there. A document is contaminated when ``share`` times its hit words reach its words.
     """
 
     window: int = 13
@@ -132,7 +132,12 @@ def matched_places(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame
     second = second.select(*_DOC, *_ITEM, "place_2", (F.col("position") - F.col("place_2")).alias("start_2"))
     agreed = _close(first.where("place_2 IS NOT NULL"), second, [*_DOC, *_ITEM, "place_2"], "start", "start_2", rules.slop).drop("start_2")
     aligned = agreed.union(first.where("place_2 IS NULL")).drop("place_2").distinct()
-    aligned = materialize(aligned, "alignments")
+    return found_around(docs, items, materialize(aligned, "alignments"), rules)
+
+
+def found_around(docs: DataFrame, items: DataFrame, aligned: DataFrame, rules: Rules) -> DataFrame:
+    """The words of ``items`` found around the anchors of ``aligned`` (doc_id, copy, item_id, item_copy, length, start, anchor)."""
+    terms = items.select("term").distinct()
     hit_docs = materialize(aligned.select(*_DOC).distinct(), "aligned-documents")
     candidates = _same(docs, small_or_shuffled(hit_docs), _DOC, "left_semi")
     more = materialize(postings(candidates, terms), "candidate-postings")
@@ -144,6 +149,32 @@ def matched_places(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame
     return met.groupBy(*_DOC, *_ITEM, "length", "start", "place", "anchor").agg(F.max(F.col("due") == F.col("position")).alias("exact"))
 
 
+def near_anchors(items: DataFrame, counts: DataFrame, rules: Rules) -> DataFrame:
+    """(item_id, item_copy, length, place, term): of every window the rarest places, as far as the corpus has their terms.
+
+    A match may lack ``size - need`` words of a window, so two of any ``size - need + 2`` places are there.
+    """
+    counted = items.join(counts, "term")
+    begins = F.sequence(F.greatest(F.col("place") - rules.window + 1, F.lit(0)), F.greatest(F.least("place", F.col("length") - rules.window), F.lit(0)))
+    members = counted.withColumn("begin", F.explode(begins))
+    rank = F.row_number().over(Window.partitionBy(*_ITEM, "begin").orderBy("n", "term", "place"))
+    size = F.least(F.lit(rules.window), F.col("length"))
+    ranked = members.withColumn("rank", rank).where((F.col("rank") <= size - F.least(F.lit(rules.near), size) + 2) & (F.col("n") > 0))
+    return ranked.select(*_ITEM, "length", "place", "term").distinct()
+
+
+def near_places(docs: DataFrame, items: DataFrame, rules: Rules) -> DataFrame:
+    """As ``matched_places``, around all anchors that a proximity match may have."""
+    anchored = materialize(near_anchors(items, term_counts(docs, items.select("term").distinct()), rules), "near-anchors")
+    index = postings(docs, anchored.select("term").distinct())
+    hits = index.join(anchored, "term").select(*_DOC, *_ITEM, "length", (F.col("position") - F.col("place")).cast("int").alias("start"), "place")
+    around = Window.partitionBy(*_DOC, *_ITEM).orderBy("start").rangeBetween(-rules.slop, rules.slop)
+    paired = hits.distinct().select("*", F.min("place").over(around).alias("low"), F.max("place").over(around).alias("high"))
+    alone = F.least(F.lit(rules.near), F.col("length")) < 2
+    aligned = paired.where((F.col("low") < F.col("high")) | alone).select(*_DOC, *_ITEM, "length", "start", F.col("place").alias("anchor"))
+    return found_around(docs, items, materialize(aligned, "near-alignments"), rules)
+
+
 def phrase_matches(places: DataFrame, window: int) -> DataFrame:
     """(doc_id, copy, item_id, item_copy, first, last): document spans of runs that hold whole windows of an item."""
     line = [*_DOC, *_ITEM, "start"]
@@ -172,11 +203,13 @@ def contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     rules: Rules = Rules(),
+    proximity: bool = True,
 ) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items (sorted ids as text), n_near, contaminated.
 
     Null and empty texts have no words and no hits; items without words match nothing; an item with fewer words than a
-    window is one window. ``n_near`` counts further items that only match by proximity. Rows that share an id are judged by their own texts, exact
+    window is one window. ``n_near`` counts further items that only match by proximity; it is
+    null without ``proximity``, which nothing else depends on. Rows that share an id are judged by their own texts, exact
     repeats alike. An item with a null id counts as a hit but is not listed. An empty table on either side gives
     documents without hits. Other columns are not read.
     """
@@ -190,19 +223,22 @@ def contamination(
     fresh = F.greatest(F.lit(0), F.col("last") - F.greatest(reach, F.col("first") - 1))
     hits = spans.select(*_DOC, "first", "last").distinct().withColumn("fresh", fresh).groupBy(*_DOC).agg(F.sum("fresh").alias("n_hit"))
     listed = spans.groupBy(*_DOC).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.count_distinct(*_ITEM).alias("n_items"))
-    near = proximity_matches(places, rules).select(*_DOC, *_ITEM).distinct()
-    near = near.exceptAll(spans.select(*_DOC, *_ITEM).distinct()).groupBy(*_DOC).agg(F.count("*").alias("n_near"))
     sized = rows.select(*_DOC, n_words(F.col("text")).alias("n_words"))
-    joined = _same(_same(_same(sized, hits, _DOC, "left"), listed, _DOC, "left"), near, _DOC, "left")
+    joined = _same(_same(sized, hits, _DOC, "left"), listed, _DOC, "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    told = joined.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), zero("n_near"), "copy")
+    n_near = F.lit(None).cast("long").alias("n_near")
+    if proximity:
+        near = proximity_matches(near_places(rows, items, rules), rules).select(*_DOC, *_ITEM).distinct()
+        near = near.exceptAll(spans.select(*_DOC, *_ITEM).distinct()).groupBy(*_DOC).agg(F.count("*").alias("n_near"))
+        joined, n_near = _same(joined, near, _DOC, "left"), zero("n_near")
+    told = joined.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), n_near, "copy")
     return told.withColumn("contaminated", (F.col("n_hit") > 0) & (rules.share * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated."""
     name, copy = fresh(docs, "id", "copy")
-    bad = contamination(docs, benchmark, doc_id, text, rules=rules).where("contaminated").select("doc_id", "copy").distinct()
+    bad = contamination(docs, benchmark, doc_id, text, rules=rules, proximity=False).where("contaminated").select("doc_id", "copy").distinct()
     bad = small_or_shuffled(materialize(bad, "contaminated").toDF(name, copy))
     same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(text_of(text)) == F.col(copy))
     return docs.join(bad, same, "left_anti")
@@ -229,5 +265,15 @@ FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN it ON it.doc_id = d.doc_
 
 @query("op4_decontamination", _ORACLE)
 def op4_decontamination(spark, sf_dir):
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return _told(spark, sf_dir, proximity=False).drop("n_near")
+
+
+@query("op4_decontamination_near")
+def op4_decontamination_near(spark, sf_dir):
+    """As ``op4_decontamination``, with the number of items that only match by proximity."""
+    return _told(spark, sf_dir, proximity=True)
+
+
+def _told(spark, sf_dir, proximity: bool) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), proximity=proximity)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")

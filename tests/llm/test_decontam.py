@@ -64,6 +64,22 @@ def test_proximity_matches(spark):
     assert [(got[i].n_items, got[i].n_near) for i in (1, 2, 3)] == [(0, 1), (0, 0), (1, 0)]
 
 
+def test_proximity_survives_edits_of_the_rarest_words(spark, tmp_path):
+    words = ITEM.split()
+    often = " ".join(w for w in words if w not in ("epsilon", "theta", "xi") for _ in range(5))
+    absent = " ".join("other" if w in ("epsilon", "xi") else w for w in words)  # terms that the corpus lacks
+    rarest = " ".join("other" if w in ("theta", "xi") else w for w in words)  # rare terms that stand elsewhere
+    few = " ".join(w if i % 2 else "other" for i, w in enumerate(words))
+    for more, expected in (([], 1), ([(3, "theta xi")], 1)):
+        rows = [(1, absent if not more else rarest), (2, often), (4, few), *more]
+        got = told(spark, rows, [(100, ITEM)])
+        assert [(got[i].n_items, got[i].n_near) for i, _ in rows] == [(0, expected)] + [(0, 0)] * (len(rows) - 1)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = queries()["op4_decontamination_near"](spark, str(tmp_path))
+    assert {r.doc_id: r.n_near for r in found.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
 @pytest.mark.parametrize("window", [2, 3])
 def test_random_texts_equal_brute_force(spark, window):
     import random
