@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import crc_of, table, text_of
@@ -26,7 +26,8 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Rules:
-    """The training sample is bounded: ``docs_per_label`` documents of at most ``chars`` characters for each language.
+    """The training sample is bounded: ``docs_per_label`` documents for each language, and about ``chars`` characters
+    of each: of a longer one, ``pieces`` stretches spread over the whole text.
 
     Sampled documents are cut into stretches of ``stretch`` words that are mixed across languages, so that the
     transitions see code-switched text.
@@ -34,6 +35,7 @@ class Rules:
 
     docs_per_label: int = 150
     chars: int = 8000
+    pieces: int = 8
     features: int = 1 << 16
     stretch: int = 24
     sequence: int = 96
@@ -196,11 +198,20 @@ def fit(sample: list[tuple[str, str]], rules: Rules = Rules()) -> Model:
     return Model(labels, weights.astype(np.float32), transitions)
 
 
+def _spread(text: Column, rules: Rules) -> Column:
+    """A text of at most ``rules.chars`` characters, or pieces from its start to its end, without the words cut at their borders."""
+    size = rules.chars // rules.pieces
+    gap = (F.length(text) - size) / max(1, rules.pieces - 1)
+    piece = lambda i: F.substr(text, (F.floor(gap * i) + 1).cast("int"), F.lit(size))
+    whole = lambda i: F.regexp_replace(piece(i), r"^\S+\s|\s\S+$", "")
+    return F.when(F.length(text) <= rules.chars, text).otherwise(F.concat_ws("\n", *[whole(i) for i in range(rules.pieces)]))
+
+
 def training_sample(docs: DataFrame, doc_id: str, text: str, lang: str, rules: Rules) -> list[tuple[str, str]]:
     """A bounded, repeatable sample: the documents of each language with the smallest hashes."""
-    fit_for = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text).between(1, rules.chars)))
+    fit_for = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     order = Window.partitionBy("lang").orderBy("_hash", "text")
-    rows = fit_for.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("_hash"))
+    rows = fit_for.select(_spread(F.col(text), rules).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("_hash"))
     ranked = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= rules.docs_per_label)
     return [(r["text"], r["lang"]) for r in ranked.select("text", "lang").collect()]
 

@@ -68,3 +68,13 @@ def test_odd_rows(spark, odd, nothing, model):
     untrained = langid.train(nothing)
     assert {r.lang_pred for r in langid.predict(odd, untrained).collect()} == {"und"}
     assert langid.train(odd).labels == ["lang"]
+
+
+def test_long_documents_are_read_in_part(spark):
+    long = " ".join(f"anfang{i}" for i in range(2000)) + " " + " ".join(f"ende{i}" for i in range(2000))
+    docs = spark.createDataFrame([(1, "short text", "en"), (2, long, "de"), (3, None, "fr"), (4, "x", None)], "doc_id long, text string, lang string")
+    sample = dict(reversed(r) for r in langid.training_sample(docs, "doc_id", "text", "lang", langid.Rules()))
+    assert set(sample) == {"en", "de"} and sample["en"] == "short text"
+    words = sample["de"].split()
+    assert len(sample["de"]) <= 8100 and len(sample["de"]) > 7500 and set(words) <= set(long.split())
+    assert "anfang1" in words and "ende1998" in words and any(w.startswith("ende1") and len(w) == 7 for w in words)
