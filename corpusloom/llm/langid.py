@@ -94,12 +94,13 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     return np.add.reduceat(weights[ids], first, axis=0)
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, step: int) -> np.ndarray:
+def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, step: int, pairs: np.ndarray | None = None) -> np.ndarray:
     """Label distribution of every word by forward-backward; ``scores`` has the words of all texts in a row.
 
     Texts are cut into pieces of ``step`` words. The product of a piece's step matrices carries the chain across it,
     so pieces of all texts advance together: first their products, then the states at their borders, then the
-    words inside. The chain starts from a uniform state; the result is exact for texts of any length.
+    words inside. The chain starts from a uniform state; the result is exact for texts of any length. The expected number
+    of every two neighbouring labels is added to ``pairs`` (labels x labels).
     """
     n, k = scores.shape
     pieces = -(-lengths // step)
@@ -140,6 +141,12 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
         ahead[:, t] = state
     state = out
     for t in range(step - 1, -1, -1):
+        if pairs is not None:
+            # A text's first word has no word before it; a piece's first has the last of the piece before.
+            on = (size > t) & ((rank > 0) | (t > 0))
+            before = ahead[on, t - 1] if t else into[on]
+            both = before[:, :, None] * move * (psi[on, t] * state[on])[:, None, :]
+            pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         ahead[:, t] *= state
         state = np.where((size > t)[:, None], (state * psi[:, t]) @ move.T, state)
         state = state / state.sum(axis=1, keepdims=True)
@@ -183,13 +190,11 @@ def fit(sample: list[tuple[str, str]], rules: Rules = Rules()) -> Model:
     hot = np.eye(k)[gold]
     for _ in range(rules.epochs):
         scores = np.add.reduceat(weights[ids], first, axis=0)[word]
-        p = marginals(scores, lengths, transitions, rules.step)
+        expected = np.zeros_like(transitions)
+        p = marginals(scores, lengths, transitions, rules.step, expected)
         error = np.stack([np.bincount(word, weights=(hot - p)[:, c], minlength=len(vocabulary)) for c in range(k)], axis=1)
         gradient = np.stack([np.bincount(ids, weights=error[owner, c], minlength=rules.features) for c in range(k)], axis=1)
         gradient -= rules.decay * len(words) * weights
-        # Expected transitions from the marginals of neighbours, sharpened by the transition scores themselves.
-        pair = np.einsum("ni,nj->nij", p[:-1][inner[1:]], p[1:][inner[1:]]) * np.exp(transitions)
-        expected = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         step_t = observed - expected
         square_w += gradient**2
         square_t += step_t**2

@@ -78,3 +78,22 @@ def test_long_documents_are_read_in_part(spark):
     words = sample["de"].split()
     assert len(sample["de"]) <= 8100 and len(sample["de"]) > 7500 and set(words) <= set(long.split())
     assert "anfang1" in words and "ende1998" in words and any(w.startswith("ende1") and len(w) == 7 for w in words)
+
+
+def test_expected_pairs_equal_enumeration():
+    rng = np.random.default_rng(4)
+    k, lengths = 3, np.array([1, 5, 2, 7])
+    scores, moves = rng.normal(size=(lengths.sum(), k)), rng.normal(size=(k, k))
+    got, expected, at = np.zeros((k, k)), np.zeros((k, k)), 0
+    langid.marginals(scores, lengths, moves, step=2, pairs=got)
+    for n in lengths:
+        total, pairs = 0.0, np.zeros((k, k))
+        for path in np.ndindex(*[k] * n):
+            start = np.log(np.mean(np.exp(moves[:, path[0]])))
+            weight = np.exp(start + sum(scores[at + i, y] for i, y in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:])))
+            total += weight
+            for a, b in zip(path, path[1:]):
+                pairs[a, b] += weight
+        expected += pairs / total
+        at += n
+    assert np.allclose(got, expected)
