@@ -30,7 +30,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z0-9_]*[0-9])(?=[A-Za-z0-9_]*[A-Za-z])[A-Za-z0-9_]{16,256}(?![A-Za-z0-9_])")
+# Whole runs of any length; they must hold a digit and a letter.
+SECRET, DIGIT, LETTER = re.compile(r"[A-Za-z0-9_]{16,}"), re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 #: Words that make a kind more likely, in either direction within ``Rules.window`` characters.
 CONTEXT = {
@@ -125,7 +126,8 @@ def more_spans(text: str, rules: Rules) -> list[tuple[int, int, str]]:
         if valid and _score("ssn", text, m.start(), m.end(), False, rules) >= rules.threshold:
             found.append((m.start(), 5, m.end()))
     for m in SECRET.finditer(text):
-        if _score("secret", text, m.start(), m.end(), False, rules) >= rules.threshold:
+        mixed = DIGIT.search(m[0]) and LETTER.search(m[0])
+        if mixed and _score("secret", text, m.start(), m.end(), False, rules) >= rules.threshold:
             found.append((m.start(), 6, m.end()))
     return found
 

@@ -73,3 +73,11 @@ def test_odd_rows(odd, nothing):
     assert all(r.spans == [] for r in rows if r.doc_id in (2, 3, 4, 8))
     assert [s.kind for r in rows if r.doc_id == 9 for s in r.spans] == ["email", "phone", "card"]
     assert pii.find_pii(nothing).collect() == []
+
+
+@pytest.mark.parametrize("size", [15, 16, 256, 257, 5000])
+def test_secrets_of_any_length(size):
+    key = ("a1B_" * size)[:size]
+    found = [(9, 6, 9 + size)] if size >= 16 else []
+    assert pii.more_spans(f"password={key}, and more", pii.Rules()) == found
+    assert pii.more_spans(f"password={'x' * size}", pii.Rules()) == pii.more_spans(f"password={'7' * size}", pii.Rules()) == []
