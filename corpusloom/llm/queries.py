@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import decontam, langid, linededup, lm, packing, pii, quality, simhash, suffix, vectorcodes, warc, whitening  # noqa: F401
+from corpusloom.llm import decontam, hyperminhash, langid, linededup, lm, packing, pii, quality, simhash, suffix, vectorcodes, warc, whitening  # noqa: F401
 from corpusloom.llm.registry import ORACLE, QUERIES
 
 
