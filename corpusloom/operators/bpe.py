@@ -1,14 +1,26 @@
-"""Byte-pair vocabulary learning: word counts and pair counts on Spark, merges in rounds."""
+"""Byte-pair vocabularies: learning merges in batches of proposed and then proven steps, and encoding with them.
+
+The corpus shrinks to its distinct pre-tokens with their counts, and these to a table of pair counts that is never counted
+again: merges change it by what they add and take away. Inside a task an index from pairs to words keeps a merge to the words
+that hold its pair. One job proves a batch of merges; words whose pairs are not in the batch are only passed by.
+"""
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.keyed import hot_keys, salted_join
 from corpusloom.operators.ordering import first_n
-from corpusloom.session import materialize, spread
+from corpusloom.session import discard, materialize, spread
 
 # Fixed value: the published byte-level pre-tokenizer pattern.
 PRE_TOKENS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -16,9 +28,18 @@ VOCAB_SIZE = 200_000
 
 BYTES = 256
 # A word is a string with one character per symbol: U+0000..U+00FF for bytes, then one
-# supplementary character per merge. A merge is a plain string replacement in the JVM.
+# supplementary character per merge. A merge is a plain string replacement.
 FIRST_MERGED = 0x10000
-TOP_PAIRS = 1024
+
+#: Pairs whose exact counts, and words whose texts, the driver sees when it proposes merges. They bound its memory; what is
+#: proposed is proven over all words, so they change the number of rounds and never the result.
+TOP_PAIRS = 4096
+PROPOSAL_WORDS = 20_000
+FIRST_BATCH, LARGEST_BATCH = 64, 1024
+#: Merges that tasks repeat before a batch; beyond, the word table is written again.
+REPEATED = 2048
+#: Bytes of a dictionary of encoded words that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -29,11 +50,20 @@ class Merge:
     count: int
 
 
+def pre_tokens(content: str | Column, pattern: str = PRE_TOKENS) -> Column:
+    return F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+
+
+def as_bytes(text: str | Column) -> Column:
+    """A text as a string with one character per byte."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 def word_counts(df: DataFrame, content: str = "content", pattern: str = PRE_TOKENS) -> DataFrame:
     """(word, n): the corpus shrinks to its distinct pre-tokens, as strings of byte characters."""
-    words = df.select(F.explode(F.regexp_extract_all(content, F.lit(pattern), F.lit(0))).alias("text"))
+    words = df.select(F.explode(pre_tokens(content, pattern)).alias("text"))
     counted = words.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("word"), "n")
+    return counted.select(as_bytes("text").alias("word"), "n")
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
@@ -43,27 +73,168 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return pairs.groupBy(F.substring("word", F.col("at"), F.lit(2)).alias("pair")).agg(F.sum("n").alias("n"))
 
 
-def _settled(pairs: list[tuple[str, int]], complete: bool) -> list[tuple[str, int]]:
-    """The leading pairs that one-merge-at-a-time training would also take next, in this order.
+class PairIndex:
+    """Words, and for every pair the words that hold it."""
+
+    def __init__(self):
+        self.words: list[str] = []
+        self.counts: list[int] = []
+        self.holders: dict[str, set[int]] = defaultdict(set)
 
-    Merging (a, b) lowers the counts of pairs that share a or b and creates pairs whose counts
-    are at most those of the pairs that end in a or start with b. So the next pair is
-    certain while it shares no symbol with the merged ones and beats every such bound.
+    def add(self, word: str, n: int) -> None:
+        for pair in map(str.__add__, word, word[1:]):
+            self.holders[pair].add(len(self.words))
+        self.words.append(word)
+        self.counts.append(n)
+
+    def merge(self, pair: str, symbol: str) -> dict[str, int]:
+        """Replaces a pair in the words that hold it; the changes of all pair counts."""
+        change: dict[str, int] = defaultdict(int)
+        for i in self.holders.pop(pair, ()):
+            old, n = self.words[i], self.counts[i]
+            new = old.replace(pair, symbol)
+            if new == old:
+                continue
+            self.words[i] = new
+            for p in map(str.__add__, old, old[1:]):
+                change[p] -= n
+            for p in map(str.__add__, new, new[1:]):
+                change[p] += n
+                if symbol in p:
+                    self.holders[p].add(i)
+        return {p: n for p, n in change.items() if n}
+
+
+def _proposed(words: list[tuple[str, int]], top: list[tuple[str, int]], complete: bool, first: int, size: int) -> list[str]:
+    """Pairs in the order in which they are likely to be merged: exact counts, changed by what the given words show.
+
+    The order ends where a pair that is not among ``top`` could come next.
     """
-    taken: list[tuple[str, int]] = []
-    used: set[str] = set()
-    bound = -1 if complete else pairs[-1][1]
-    for i, (pair, n) in enumerate(pairs):
-        if taken and (n <= bound or used & set(pair)):
+    index = PairIndex()
+    for word, n in words:
+        index.add(word, n)
+    counts = dict(top)
+    unseen = 0 if complete else top[-1][1]
+    queue = [(-n, pair) for pair, n in top]
+    heapq.heapify(queue)
+    out: list[str] = []
+    while queue and len(out) < size:
+        n, pair = heapq.heappop(queue)
+        n = -n
+        if counts.get(pair) != n:
+            if 0 < counts.get(pair, 0) < n:
+                heapq.heappush(queue, (-counts[pair], pair))
+            continue
+        if out and n <= unseen:
             break
-        taken.append((pair, n))
-        used |= set(pair)
-        a, b = pair
-        if a == b:
+        symbol = chr(first + len(out))
+        out.append(pair)
+        counts[pair] = 0
+        for p, change in index.merge(pair, symbol).items():
+            if p != pair and (p in counts or change > 0):
+                counts[p] = counts.get(p, 0) + change
+                if change > 0 and counts[p] > 0:
+                    heapq.heappush(queue, (-counts[p], p))
+    return out
+
+
+def _merged(index: PairIndex, pairs: list[str], first: int) -> None:
+    for i, pair in enumerate(pairs):
+        index.merge(pair, chr(first + i))
+
+
+def _changes(words: DataFrame, done: list[str], since: int, proposed: list[str]) -> DataFrame:
+    """(step, pair, change): what the proposed merges do to pair counts, summed over all words.
+
+    ``done`` are merges, the first of them the symbol ``since``, that the stored words lack. Words that hold none of the
+    pairs at hand are not indexed; a pair that a merge makes stands only in words that held one before.
+    """
+    wanted, start = frozenset(done) | frozenset(proposed), since + len(done)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = PairIndex()
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                if not wanted.isdisjoint(map(str.__add__, word, word[1:])):
+                    index.add(word, n)
+        _merged(index, done, since)
+        for step, pair in enumerate(proposed):
+            change = index.merge(pair, chr(start + step))
+            if change:
+                columns = [pa.array([step] * len(change), pa.int32()), pa.array(change, pa.string()), pa.array(change.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["step", "pair", "change"])
+
+    found = words.mapInArrow(run, "step int, pair string, change long")
+    return found.groupBy("step", "pair").agg(F.sum("change").alias("change")).where("change <> 0")
+
+
+def _rewritten(words: DataFrame, done: list[str], since: int) -> DataFrame:
+    """The words with the given merges applied."""
+    wanted = frozenset(done)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index, out = PairIndex(), batch.column("word").to_pylist()
+            held = [i for i, word in enumerate(out) if not wanted.isdisjoint(map(str.__add__, word, word[1:]))]
+            for i in held:
+                index.add(out[i], 0)
+            _merged(index, done, since)
+            for i, word in zip(held, index.words):
+                out[i] = word
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("n")], names=["word", "n"])
+
+    return words.mapInArrow(run, "word string, n long")
+
+
+def _counts_in_turn(pairs: DataFrame, changes: DataFrame, proposed: list[str], min_count: int) -> list[int]:
+    """The exact count of every proposed pair when its turn comes, up to the first that is too rare or larger than the one before."""
+    turns = F.broadcast(pairs.sparkSession.createDataFrame(list(enumerate(proposed)), "turn int, pair string"))
+    before = changes.join(turns, "pair").where("step < turn").select("turn", F.col("change").alias("n"))
+    counted = pairs.join(turns, "pair").select("turn", "n").unionByName(before).groupBy("turn").agg(F.sum("n").alias("n"))
+    found = dict(counted.collect())
+    counts: list[int] = []
+    for turn in range(len(proposed)):
+        n = found.get(turn, 0)
+        if n < max(1, min_count) or (counts and n > counts[-1]):
             break
-        created = [m for j, (other, m) in enumerate(pairs) if j != i and (other[1] == a or other[0] == b)]
-        bound = max([bound, *created])
-    return taken
+        counts.append(n)
+    return counts
+
+
+def _first_beaten(pairs: DataFrame, changes: DataFrame, proposed: list[str], counts: list[int]) -> int:
+    """The first step at which some pair comes before the proposed one, with a larger count or the same and a lower name.
+
+    ``counts`` are those of the proposed pairs when their turn comes, and never rise. A pair keeps its count between the
+    steps that change it, so each such stretch is looked up among the counts once.
+    """
+    least, steps = counts[-1], len(counts)
+    touched = changes.where(F.col("step") < steps).groupBy("pair").agg(
+        F.array_sort(F.collect_list(F.struct("step", "change"))).alias("changes"), F.sum(F.greatest("change", F.lit(0))).alias("most")
+    )
+    joined = pairs.join(touched, "pair", "full").select("pair", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("most", F.lit(0)).alias("most"), "changes")
+    # Among pairs that can at best reach the least count, only those named before a proposed one of that count matter.
+    highest, last = F.col("n") + F.col("most"), max(p for p, c in zip(proposed, counts) if c == least)
+    near = joined.where((highest > least) | ((highest == least) & (F.col("pair") < last)))
+    falling = [-c for c in counts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = steps
+        for batch in batches:
+            for pair, n, changed in zip(*(c.to_pylist() for c in batch.columns)):
+                at = 0
+                for change in [*(changed or []), {"step": steps - 1, "change": 0}]:
+                    # The pair has n from step ``at`` to the one that changes it; it is beaten wherever a count is lower.
+                    until = min(change["step"] + 1, first)
+                    step = max(at, bisect_left(falling, -n))
+                    while step < until and counts[step] == n and pair >= proposed[step]:
+                        step += 1
+                    if step < until:
+                        first = step
+                    at, n = change["step"] + 1, n + change["change"]
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32())], names=["step"])
+
+    found = near.select("pair", "n", "changes").mapInArrow(run, "step int").agg(F.min("step")).first()[0]
+    return steps if found is None else found
 
 
 def bpe_train(
@@ -73,33 +244,50 @@ def bpe_train(
     n_examples: int | None = None,
     key: str = "id",
     min_count: int = 1,
+    proposal_words: int = PROPOSAL_WORDS,
 ) -> list[Merge]:
     """Merges in the order they are learnt, most frequent pair first, ties by symbol order.
 
     Learns from all texts, or from the first ``n_examples`` by ``key``.
 
-    A round counts all pairs of the word table, takes every merge that is already certain
-    and rewrites the table. The driver sees the ``TOP_PAIRS`` largest counts only; the table
-    is written to the shared folder every few rounds to keep plans short.
+    A round proposes merges from the largest pair counts and the most frequent words, has the tasks carry them out,
+    and takes them as far as no other pair comes before them at its step: the list equals one-at-a-time training. The
+    first one always holds, since the largest count is exact. Pair counts are then changed, not counted again.
     """
     texts = df if n_examples is None else first_n(df, key, n_examples)
     words = spread(materialize(word_counts(texts, content), "bpe-words"), "word")
+    pairs = materialize(pair_counts(words), "bpe-pairs")
+    sample = [(r.word, r.n) for r in words.orderBy(F.desc("n"), "word").limit(proposal_words).collect()]
     merges: list[Merge] = []
     spelled = {chr(i): chr(i) for i in range(BYTES)}
-    since = 0
-    while len(merges) < vocab_size - BYTES:
-        top = pair_counts(words).orderBy(F.desc("n"), "pair").limit(TOP_PAIRS).collect()
-        ranked = sorted(((r.pair, r.n) for r in top if r.n >= min_count), key=lambda p: (-p[1], p[0]))
-        if not ranked:
+    size, wanted = FIRST_BATCH, vocab_size - BYTES
+    pending: list[str] = []
+    while len(merges) < wanted:
+        top = [(r.pair, r.n) for r in pairs.orderBy(F.desc("n"), "pair").limit(TOP_PAIRS).collect()]
+        if not top or top[0][1] < min_count:
             break
-        for pair, n in _settled(ranked, len(top) < TOP_PAIRS)[: vocab_size - BYTES - len(merges)]:
+        first = FIRST_MERGED + len(merges)
+        proposed = _proposed(sample, top, len(top) < TOP_PAIRS, first, min(size, wanted - len(merges)))
+        changes = materialize(_changes(words, pending, first - len(pending), proposed), "bpe-changes")
+        counts = _counts_in_turn(pairs, changes, proposed, min_count)
+        taken = _first_beaten(pairs, changes, proposed, counts)
+        for pair, n in zip(proposed[:taken], counts):
             symbol = chr(FIRST_MERGED + len(merges))
             spelled[symbol] = spelled[pair[0]] + spelled[pair[1]]
             merges.append(Merge(len(merges), spelled[pair[0]], spelled[pair[1]], n))
-            words = words.withColumn("word", F.replace("word", F.lit(pair), F.lit(symbol)))
-        since += 1
-        if since == 4:
-            words, since = spread(materialize(words, "bpe-words"), "word"), 0
+        changed = pairs.unionByName(changes.where(F.col("step") < taken).select("pair", F.col("change").alias("n")))
+        older, pairs = pairs, materialize(changed.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0"), "bpe-pairs")
+        discard(older, changes)
+        index = PairIndex()
+        for word, n in sample:
+            index.add(word, n)
+        _merged(index, proposed[:taken], first)
+        sample = list(zip(index.words, index.counts))
+        pending += proposed[:taken]
+        if len(pending) > REPEATED:
+            rewritten = _rewritten(words, pending, FIRST_MERGED + len(merges) - len(pending))
+            words, pending = materialize(rewritten, "bpe-words"), []
+        size = min(2 * size, LARGEST_BATCH) if taken == len(proposed) else max(FIRST_BATCH // 4, 2 * taken)
     return merges
 
 
@@ -108,3 +296,99 @@ def bpe_merges(df: DataFrame, **options) -> DataFrame:
     merges = bpe_train(df, **options)
     rows = [(m.rank, m.left.encode("latin-1").hex(), m.right.encode("latin-1").hex(), m.count) for m in merges]
     return df.sparkSession.createDataFrame(rows, "rank int, left string, right string, n bigint")
+
+
+class Vocabulary:
+    """Learnt merges as a lookup of pairs. Ids: a byte is its value, a merge is 256 plus its rank; bytes that several
+    merges lead to have the id of the first."""
+
+    def __init__(self, merges: list[Merge]):
+        symbols = {chr(i): chr(i) for i in range(BYTES)}
+        self.merges: dict[str, tuple[int, str]] = {}
+        for m in sorted(merges, key=lambda m: m.rank):
+            symbol = symbols.setdefault(m.left + m.right, chr(FIRST_MERGED + m.rank))
+            self.merges.setdefault(symbols[m.left] + symbols[m.right], (m.rank, symbol))
+
+    @classmethod
+    def of(cls, merges: DataFrame) -> Vocabulary:
+        """From a table (rank, left, right), as ``bpe_merges`` gives; it has at most as many rows as the vocabulary."""
+        rows = merges.select("rank", "left", "right").collect()
+        return cls([Merge(r.rank, *(bytes.fromhex(x).decode("latin-1") for x in (r.left, r.right)), 0) for r in rows])
+
+    def encode(self, word: str) -> list[int]:
+        """Ids of a pre-token, a string with a character per byte: merges are applied in the order of their ranks."""
+        while len(word) > 1:
+            held = [(*self.merges[p], p) for p in set(map(str.__add__, word, word[1:])) if p in self.merges]
+            if not held:
+                break
+            _, symbol, pair = min(held)
+            word = word.replace(pair, symbol)
+        return [ord(c) if ord(c) < BYTES else ord(c) - FIRST_MERGED + BYTES for c in word]
+
+
+def encoded_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, n, ids) of distinct pre-tokens (word, n): each is encoded once, however often it occurs.
+
+    The vocabulary goes to every executor; its size is that of the merges asked for in training.
+    """
+    shared = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = shared.value.encode
+        for batch in batches:
+            ids = [encode(word) for word in batch.column("word").to_pylist()]
+            yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
+
+
+def bpe_encode(
+    df: DataFrame,
+    vocabulary: Vocabulary,
+    key: str = "id",
+    content: str = "content",
+    pattern: str = PRE_TOKENS,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """(key, n_chars, input_ids): the ids of every text. ``key`` is unique; texts that are null or empty have no ids.
+
+    Distinct pre-tokens are encoded once and joined back, as a broadcast when their measured size allows, else with the frequent
+    ones salted: no pre-token's rows go to one task. Texts themselves do not travel.
+    """
+    words = materialize(encoded_words(spread(word_counts(df, content, pattern), "word"), vocabulary), "bpe-dictionary")
+    places = df.select(F.col(key).alias("_key"), F.length(content).alias("_chars"), F.posexplode_outer(pre_tokens(content, pattern)).alias("_at", "_text"))
+    # What is exploded carries the text's length once, with its first token.
+    placed = places.select("_key", "_at", as_bytes("_text").alias("word"), F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_chars")).alias("_chars"))
+    size = words.agg(F.sum(F.length("word") + 4 * F.size("ids") + 32)).first()[0] or 0
+    if size <= broadcast_bytes:
+        met = placed.join(F.broadcast(words.select("word", "ids")), "word", "left")
+    else:
+        met = salted_join(placed, words.select("word", "ids"), ["word"], "left", spread=["_key", "_at"], hot=hot_keys(words, ["word"]))
+    pieces = F.array_sort(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "ids"))))
+    grouped = met.groupBy("_key").agg(F.max("_chars").alias("n_chars"), pieces.alias("_pieces"))
+    return grouped.select(F.col("_key").alias(key), "n_chars", F.flatten(F.transform("_pieces", lambda p: p["ids"])).alias("input_ids"))
+
+
+def bpe_tokenizer(vocabulary: Vocabulary, pattern: str = PRE_TOKENS) -> Callable[[Column], Column]:
+    """A tokenizer for any place that takes one, such as ``pretokenize``: a task encodes each different pre-token once.
+
+    Nothing is shuffled; a task remembers up to a million pre-tokens.
+    """
+
+    @F.pandas_udf("array<array<int>>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[int]] = {}
+        for words in batches:
+            out = []
+            for text in words:
+                ids = []
+                for word in () if text is None else text:
+                    if word not in known:
+                        if len(known) > 1_000_000:
+                            known.clear()
+                        known[word] = vocabulary.encode(word.encode().decode("latin-1"))
+                    ids.append(known[word])
+                out.append(None if text is None else ids)
+            yield pd.Series(out)
+
+    return lambda c: F.flatten(encode(pre_tokens(c, pattern)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col, quoted, strip
+from corpusloom.operators.winnow import shared_grams
 
 # The window on either side of the cursor, template marks, and the
 # characters a completion may stand in front of.
@@ -140,16 +141,18 @@ def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str =
     longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
     parted = longest.withColumn("_part", F.floor(F.col(start) / stride))
     rows = _merge(parted, [*keys, "_part"], start, end)
-    # Of every stretch only its reach and its last opening go on to the next ones: a row per stretch.
+    # Merged rows of a stretch lie apart, so all but those that begin within the reach of earlier stretches stand; a row per
+    # stretch tells the later ones its reach, and the beginning of the row that the last one of it is part of.
     ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    reach = rows.groupBy(*keys, "_part").agg(F.max(end).alias("_top")).withColumn("_reach", F.max("_top").over(ahead)).drop("_top")
-    opened = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
-    rows = rows.join(reach, [*keys, "_part"]).withColumn("_opened", opened)
-    last = rows.groupBy(*keys, "_part").agg(F.max("_opened").alias("_last")).withColumn("_before", F.max("_last").over(ahead)).drop("_last")
-    here = Window.partitionBy(*keys, "_part").orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
-    island = F.coalesce(F.max("_opened").over(here), F.col("_before"))
-    islands = rows.join(last, [*keys, "_part"]).withColumn("_island", island)
-    return islands.groupBy(*keys, "_island").agg(F.max(end).alias(end)).withColumnRenamed("_island", start).select(*keys, start, end)
+    ends = rows.groupBy(*keys, "_part").agg(F.max(start).alias("_last"), F.max(end).alias("_top"))
+    carried = ends.withColumn("_reach", F.max("_top").over(ahead))
+    opened = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
+    carried = carried.withColumn("_before", F.max(opened).over(ahead)).where("_reach IS NOT NULL").select(*keys, "_part", "_reach", "_before")
+    of = {c: f"_of_{c}" for c in [*keys, "_part"]}
+    same = [F.col(c).eqNullSafe(F.col(name)) for c, name in of.items()]
+    joined = rows.join(carried.withColumnsRenamed(of), same, "left").select(*keys, start, end, "_reach", "_before")
+    joined = joined.withColumn(start, F.when(F.col(start) <= F.col("_reach"), F.col("_before")).otherwise(F.col(start)))
+    return joined.groupBy(*keys, start).agg(F.max(end).alias(end)).select(*keys, start, end)
 
 
 def merge_span_array(spans: str | Column) -> Column:
@@ -166,27 +169,6 @@ def merge_span_array(spans: str | Column) -> Column:
     return F.aggregate(F.array_sort(col(spans)).cast(kind), F.array().cast(kind), add)
 
 
-GRAM = ["gram_a", "gram_b"]
-
-
-def _word_grams(df: DataFrame, n: int) -> DataFrame:
-    """Explode the array column ``_words`` into its n-grams: adds ``at`` (0-based) and the gram.
-
-    A gram is kept as two 64-bit hashes with different seeds: 16 bytes to shuffle, whatever
-    the words, and no realistic chance of a collision.
-    """
-    last = F.size("_words") - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last))
-
-    def gram(i: Column) -> Column:
-        words = F.slice("_words", i, n)
-        return F.struct(F.xxhash64(words).alias(GRAM[0]), F.xxhash64(F.lit(n), words).alias(GRAM[1]))
-
-    kept = [c for c in df.columns if c != "_words"]
-    exploded = df.select(*kept, F.posexplode(F.transform(starts, gram)).alias("at", "gram"))
-    return exploded.select(*kept, "at", "gram.*")
-
-
 def contamination_overlap(
     df: DataFrame,
     reference: DataFrame,
@@ -197,17 +179,15 @@ def contamination_overlap(
 ) -> DataFrame:
     """(id, start, end): 0-based character spans of texts whose word n-grams occur in ``reference``.
 
-    The reference is reduced to distinct grams, so a gram found everywhere joins once per place;
-    the join size is left to the optimizer. Only matched places are kept, as word numbers, and
+    The places come from winnowed fingerprints; only matched ones are kept, as word numbers, and
     turned into character offsets after merging.
     """
-    grams = _word_grams(reference.select(F.split(reference_content, " ").alias("_words")), n).select(*GRAM).distinct()
-    words = F.split(F.col(content), " ")
-    places = _word_grams(df.select(key, words.alias("_words")), n)
-    hits = places.join(grams, GRAM, "left_semi").select(key, F.col("at").alias("start"), (F.col("at") + n).alias("end"))
+    found = shared_grams(df, reference, n, key, content, reference_content)
+    hits = found.withColumn("end", F.col("start") + n)
     merged = merge_spans(hits, [key])
+    words = F.split(F.col(content), " ")
     texts = df.select(key, words.alias("_words")).join(merged, key)
-    before = F.slice("_words", F.lit(1), F.col("start"))
-    inside = F.slice("_words", F.col("start") + 1, F.col("end") - F.col("start"))
+    before = F.slice("_words", F.lit(1), F.col("start").cast("int"))
+    inside = F.slice("_words", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
     begin = F.length(F.array_join(before, " ")) + F.when(F.col("start") > 0, 1).otherwise(0)
     return texts.select(key, begin.alias("start"), (begin + F.length(F.array_join(inside, " "))).alias("end"))

@@ -318,6 +318,22 @@ def duplicate_clusters(
 
     links = materialize(bucket_links(lsh_buckets(reps, threshold, num_perm, seed)), "links")
     components = connected_components(links, hot_rows)
+    return listed_clusters(df, texts, firsts, reps, components, key, carry, threshold, hot_rows)
+
+
+def listed_clusters(
+    df: DataFrame,
+    texts: DataFrame,
+    firsts: DataFrame,
+    reps: DataFrame,
+    components: DataFrame,
+    key: str = "id",
+    carry: tuple[str, ...] = ("repo_name", "path"),
+    threshold: float = THRESHOLD,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The rows of ``duplicate_clusters`` from texts (id, set_key), sets (set_key, rep, n_same), the words of ``reps`` (id, words)
+    and their components (id, component)."""
     members = reps.select("id", "words").join(components, "id").withColumnRenamed("component", "cluster")
     solved = cluster_extremes(members, threshold)
 

@@ -166,6 +166,22 @@ def _binned(df: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
     return binned.drop("_order")
 
 
+def range_cuts(df: DataFrame, order: str) -> list[float]:
+    """Values that cut a unique numeric column into ranges of about equal numbers of rows; they only affect balance."""
+    n_bins = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), BINS)
+    shares = [i / n_bins for i in range(1, n_bins)]
+    return sorted(set(df.approxQuantile(order, shares, 0.25 / n_bins))) if shares else []
+
+
+def in_ranges(df: DataFrame, order: str, cuts: list[float], name: str = "_bin") -> DataFrame:
+    """The range that each row lies in, found by binary search."""
+    splits = [float("-inf"), *cuts, float("inf")]
+    found = Bucketizer(splits=splits, inputCol=f"{name}_of", outputCol=name).transform(
+        df.withColumn(f"{name}_of", F.coalesce(F.col(order).cast("double"), F.lit(float("-inf"))))
+    )
+    return found.withColumn(name, F.col(name).cast("int")).drop(f"{name}_of")
+
+
 def _inside(order: str, ties: tuple[str, ...]):
     return Window.partitionBy("_bin").orderBy(order, *ties)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import unit_hash
 from corpusloom.functions.tokens import Tokenizer, default_tokenizer
-from corpusloom.operators.ordering import batches, first_n, numbered_ranges, running_sums
+from corpusloom.operators.ordering import first_n, in_ranges, numbered_ranges, range_cuts
+from corpusloom.session import materialize
 
 # Fixed value: label of positions that do not count in the loss.
 IGNORE_INDEX = -100
@@ -29,28 +30,63 @@ def pretokenize(
     return ids.withColumn("ratio_char_token", ratio).drop("_chars", content, *drop)
 
 
-def _slices_by_block(df: DataFrame, keys: list[str], block: int, tokens: str = "tokens", start: str = "start") -> DataFrame:
-    """Cut each row's tokens at block borders and put the blocks together.
+def _blocks(df: DataFrame, key: str, tokens: Column, count: Column, size: Column, limit: float, block: int) -> DataFrame:
+    """(buffer, block, input_ids): rows in key order fill buffers by their ``size``; the tokens of a buffer are joined and cut.
 
-    A row is exploded over the blocks it touches, not over its tokens, and a group collects
-    one block's slices: at most ``block`` tokens, whatever the size of a text or shard.
+    Keys are cut into ranges. Sizes alone, written once, tell what lies before each range and where the buffer that it
+    begins in was opened: a row a range. With these every range is laid out for itself, so tokens are shuffled
+    once, to their range, and only blocks that cross a border meet again.
     """
-    first = F.floor(F.col(start) / block)
-    last = F.floor((F.col(start) + F.size(tokens) - 1) / block)
+    sizes = materialize(df.select(F.col(key).alias("id"), size.cast("bigint").alias("size"), count.cast("bigint").alias("n")), "sizes")
+    cuts = range_cuts(sizes, "id")
+    ahead = Window.partitionBy("_bin").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+
+    def placed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+        """Sizes and tokens before each row, and its buffer."""
+        summed = rows.withColumns({c: F.coalesce(F.sum(v).over(ahead), F.lit(0)) for c, v in (("_size", "size"), ("_at", "n"))})
+        # ``ranges`` has a row per range, whose number is bounded.
+        moved = summed.join(F.broadcast(ranges), "_bin").withColumn("_at", F.col("_at") + F.col("_from"))
+        return moved.withColumn("buffer", F.floor((F.col("_size") + F.col("_size_from")) / F.lit(limit)).cast("bigint"))
+
+    binned = in_ranges(sizes, "id", cuts)
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = binned.groupBy("_bin").agg(F.sum("size").alias("_size"), F.sum("n").alias("_n"))
+    starts = totals.select(
+        "_bin", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_size_from"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), "_n"
+    )
+    starts = materialize(starts.withColumn("_to", F.col("_from") + F.col("_n")).drop("_n"), "ranges")
+    opened = placed(binned, starts).groupBy("buffer").agg(F.min("_at").alias("_carried"))
+    first = starts.withColumn("buffer", F.floor(F.col("_size_from") / F.lit(limit)).cast("bigint"))
+    ranges = materialize(opened.join(F.broadcast(first), "buffer").drop("buffer"), "ranges")
+
+    rows = in_ranges(df.select(F.col(key).alias("id"), tokens.alias("tokens"), size.cast("bigint").alias("size"), count.cast("bigint").alias("n")), "id", cuts)
+    inside = Window.partitionBy("_bin").orderBy("id")
+    laid = placed(rows, ranges)
+    opens = F.when(F.lag("buffer").over(inside) != F.col("buffer"), F.col("_at"))
+    laid = laid.withColumn("_opens", opens)
+    opened = F.coalesce(F.last("_opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
+    laid = laid.withColumn("_opened", opened).withColumn("_start", F.col("_at") - F.col("_opened"))
 
     def piece(b: Column) -> Column:
-        head = F.greatest(b * block - F.col(start), F.lit(0))
-        tail = F.least((b + 1) * block - F.col(start), F.size(tokens))
-        ids = F.slice(tokens, (head + 1).cast("int"), (tail - head).cast("int"))
-        return F.struct(b.alias("block"), (F.col(start) + head).alias("at"), ids.alias("ids"))
+        head = F.greatest(b * block - F.col("_start"), F.lit(0))
+        tail = F.least((b + 1) * block - F.col("_start"), F.size("tokens"))
+        ids = F.slice("tokens", (head + 1).cast("int"), (tail - head).cast("int"))
+        begin = F.col("_opened") + b * block
+        whole = (begin >= F.col("_from")) & (begin + block <= F.col("_to"))
+        return F.struct(b.alias("block"), whole.alias("whole"), F.struct((F.col("_start") + head).alias("at"), ids.alias("ids")).alias("piece"))
+
+    # Cut inside the row, so an exploded row carries its slice and not the whole text: a row is exploded over the blocks it
+    # touches, not over its tokens. A filter on the tokens would be pushed down and compute them twice; an empty row has no blocks.
+    blocks = F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.size("tokens") - 1) / block))
+    pieces = laid.select("_bin", "buffer", F.explode(F.transform(F.when(F.size("tokens") > 0, blocks), piece)).alias("p"))
+    pieces = pieces.select("_bin", "buffer", "p.*")
 
-    # Cut inside the row, so an exploded row carries its slice and not the whole text. A filter on
-    # the tokens would be pushed down and compute them twice; an empty row has no blocks.
-    cuts = F.transform(F.when(F.size(tokens) > 0, F.sequence(first, last)), piece)
-    pieces = df.select(*keys, F.explode(cuts).alias("p"))
-    pieces = pieces.select(*keys, "p.block", F.struct("p.at", "p.ids").alias("piece"))
-    grouped = pieces.groupBy(*keys, "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-    return grouped.select(*keys, "block", F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("input_ids"))
+    def put_together(pieces: DataFrame, *keys: str) -> DataFrame:
+        """A group holds the slices of one block: at most ``block`` tokens, whatever the size of a text or buffer."""
+        grouped = pieces.groupBy(*keys, "buffer", "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+        return grouped.select("buffer", "block", F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("input_ids"))
+
+    return put_together(pieces.where("whole"), "_bin").unionByName(put_together(pieces.where("NOT whole")))
 
 
 def running_token_offset(df: DataFrame, shard: str, order: str, n_tokens: str, name: str = "start") -> DataFrame:
@@ -89,17 +125,9 @@ def pack_constant_length(
     """
     limit = seq_length * num_of_sequences * (1.0 if tokenized else chars_per_token)
     count = F.size(tokens) if n_tokens is None else F.col(n_tokens)
-    sizes = df.select(
-        F.col(key).alias("id"),
-        (count if tokenized else F.col(n_chars)).cast("bigint").alias("size"),
-        (count + int(separator is not None)).cast("bigint").alias("n"),
-    )
-    summed = running_sums(sizes, "id", ["size", "n"]).withColumn("buffer", F.floor(F.col("size_before") / F.lit(limit)).cast("bigint"))
-    opened = summed.groupBy("buffer").agg(F.min("n_before").alias("opened"))
-    layout = summed.join(opened, "buffer").select("id", "buffer", (F.col("n_before") - F.col("opened")).alias("start"))
     stop = F.lit(separator) if isinstance(separator, int) else separator
-    ended = df.select(F.col(key).alias("id"), (F.col(tokens) if stop is None else F.concat(tokens, F.array(stop))).alias("tokens"))
-    blocks = _slices_by_block(ended.join(layout, "id"), ["buffer"], seq_length)
+    ended = F.col(tokens) if stop is None else F.concat(tokens, F.array(stop))
+    blocks = _blocks(df, key, ended, count + int(stop is not None), count if tokenized else F.col(n_chars), limit, seq_length)
     return blocks.where(F.size("input_ids") == seq_length)
 
 
@@ -116,11 +144,8 @@ def pack_group_texts(
     A batch shorter than one block is kept as a short block, otherwise the remainder is dropped.
     """
     count = F.size(tokens) if n_tokens is None else F.col(n_tokens)
-    narrow = batches(df.select(F.col(key).alias("id"), count.cast("bigint").alias("n")), "id", batch_rows)
-    layout = running_token_offset(narrow, "batch", "id", "n")
-    placed = df.select(F.col(key).alias("id"), F.col(tokens).alias("tokens")).join(layout, "id")
-    blocks = _slices_by_block(placed, ["batch"], block_size)
-    return blocks.where((F.size("input_ids") == block_size) | (F.col("block") == 0))
+    blocks = _blocks(df, key, F.col(tokens), count, F.lit(1), batch_rows, block_size)
+    return blocks.where((F.size("input_ids") == block_size) | (F.col("block") == 0)).withColumnRenamed("buffer", "batch")
 
 
 def chunk_overflow(df: DataFrame, block_size: int = 1024, tokens: str = "input_ids", keep: tuple[str, ...] = ("id",)) -> DataFrame:

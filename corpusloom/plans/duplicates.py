@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import neardup as nd
+from corpusloom.operators import setjoin
+from corpusloom.operators.lshindex import LshIndex
 from corpusloom.operators.ordering import train_test_split
 from corpusloom.plans import sql as q
 from corpusloom.plans.corpus import KEPT, quality_filter
@@ -195,3 +197,68 @@ def corpus_path(spark, d):
     path = fresh_path(spark, "corpus")
     sink_dataset(train_test_split(rows, 0.05, exact=False), path)
     return spark.read.parquet(path).groupBy("split", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("content")).alias("chars"))
+
+
+# ---------------------------------------------------------------- a stored index and the exact join
+
+
+def _indexed(spark, d, path: str) -> LshIndex:
+    """The corpus in two batches, as if the second had come later."""
+    index, docs = LshIndex(spark, path, buckets=8), corpus(spark, d)
+    index.insert(docs.where("id % 2 = 0"))
+    index.insert(docs.where("id % 2 = 1"))
+    return index
+
+
+@query("lsh_index_clusters", f"{_CLUSTERS} SELECT * FROM clusters")
+def _(spark, d):
+    """Two batches, one after the other, give the clusters of their union."""
+    return _indexed(spark, d, fresh_path(spark, "lsh-index")).clusters(corpus(spark, d))
+
+
+@query("lsh_index_query", f"""
+    WITH texts AS MATERIALIZED (SELECT id, words, md5(array_to_string(list_sort(words), ' ')) AS set_key FROM ({_long()})),
+    buckets AS MATERIALIZED ({_bucketed('SELECT id, words FROM texts')}),
+    stored AS (SELECT set_key, min(id) AS node FROM texts WHERE id % 2 = 0 GROUP BY set_key),
+    heads AS (SELECT band, bucket, min(id) AS node FROM buckets WHERE id IN (SELECT node FROM stored) GROUP BY band, bucket)
+    SELECT b.id, h.node FROM buckets b JOIN heads h USING (band, bucket) WHERE b.id % 2 = 1
+    UNION SELECT t.id, s.node FROM texts t JOIN stored s USING (set_key) WHERE t.id % 2 = 1""")
+def _(spark, d):
+    """What the texts of a second batch would be linked with in an index of the first."""
+    index, docs = LshIndex(spark, fresh_path(spark, "lsh-index"), buckets=8), corpus(spark, d)
+    index.insert(docs.where("id % 2 = 0"))
+    return index.query(docs.where("id % 2 = 1"))
+
+
+_SIMILAR = f"""
+  WITH texts AS MATERIALIZED (SELECT id, words, array_to_string(list_sort(words), ' ') AS set_key FROM ({_long()})),
+  reps AS MATERIALIZED (SELECT id, words FROM texts JOIN (SELECT min(id) AS id FROM texts GROUP BY set_key) USING (id)),
+  entries AS (SELECT id, len(words) AS n, unnest(words) AS w FROM reps),
+  shared AS (
+    SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS n
+    FROM entries x JOIN entries y ON x.w = y.w AND x.id < y.id AND least(x.n, y.n) >= {nd.THRESHOLD} * greatest(x.n, y.n) - 1e-9
+    GROUP BY ALL),
+  pairs AS MATERIALIZED (SELECT a, b, n::DOUBLE / (na + nb - n) AS similarity FROM shared WHERE n::DOUBLE / (na + nb - n) >= {nd.THRESHOLD})
+"""
+
+
+def _word_sets(spark, d):
+    """One row per word set of the texts long enough: its first id."""
+    sets = materialize(nd.dedup_table(corpus(spark, d)), "words")
+    return sets.join(sets.groupBy("set_key").agg(F.min("id").alias("id")).select("id"), "id")
+
+
+@query("set_similarity_join", f"{_SIMILAR} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
+def _(spark, d):
+    pairs = setjoin.similar_sets(_word_sets(spark, d), nd.THRESHOLD)
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("band_recall", f"""{_SIMILAR}, buckets AS MATERIALIZED ({_bucketed('SELECT * FROM reps')}),
+  met AS (SELECT DISTINCT a, b FROM pairs JOIN buckets x ON x.id = a JOIN buckets y ON y.id = b AND x.band = y.band AND x.bucket = y.bucket)
+  SELECT count(*) AS pairs, (SELECT count(*) FROM met) AS found, round((SELECT count(*) FROM met)::DOUBLE / nullif(count(*), 0), 6) AS recall FROM pairs""")
+def _(spark, d):
+    """How many of the truly similar sets the bands find."""
+    sets = materialize(_word_sets(spark, d), "sets")
+    measured = setjoin.band_recall(sets, nd.lsh_buckets(sets), nd.THRESHOLD)
+    return measured.select("pairs", "found", F.round("recall", 6).alias("recall"))

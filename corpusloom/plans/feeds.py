@@ -229,6 +229,60 @@ def _(spark, d):
     return found.select("path", F.size("functions").alias("n"), F.array_join(F.transform("functions", lambda f: f["name"]), " ").alias("names"))
 
 
-@query("bpe_train")
+# ---------------------------------------------------------------- byte pairs
+
+MERGES = 48
+# The white space of the pre-tokenizer. The engine that runs the SQL has no look-ahead: a mark in front of the last blank before
+# other characters parts what that would leave over.
+_BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_MARKED = rf"regexp_replace(text, '([{_BLANK}])([^{_BLANK}])', chr(57344) || '\1\2', 'g')"
+_SPLIT = rf"regexp_extract_all({_MARKED}, '''s|''t|''re|''ve|''m|''ll|''d| ?\pL+| ?\pN+| ?[^{_BLANK}\pL\pN\x{{e000}}]+|[{_BLANK}]+')"
+_AS_BYTES = "array_to_string(list_transform(range(1, 2 * strlen(token), 2), lambda i: chr(('0x' || substr(hex(encode(token)), i, 2))::INTEGER)), '')"
+
+#: One merge after another, over all distinct pre-tokens: a symbol per merge, counted from U+10000.
+_LEARNT = f"""
+  WITH RECURSIVE tokens AS MATERIALIZED (SELECT doc_id AS id, {_SPLIT} AS tokens FROM documents),
+  words AS MATERIALIZED (
+    SELECT token, {_AS_BYTES} AS word, n FROM (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM tokens) GROUP BY token)),
+  steps AS (
+    SELECT 0 AS k, token, word, n, NULL::VARCHAR AS pair, NULL::BIGINT AS held FROM words
+    UNION ALL
+    SELECT s.k + 1, s.token, replace(s.word, t.pair, chr(65536 + s.k)), s.n, t.pair, t.held
+    FROM steps s, (
+      SELECT pair, CAST(sum(n) AS BIGINT) AS held FROM (SELECT substr(word, i, 2) AS pair, n FROM (SELECT word, n, unnest(range(1, length(word))) AS i FROM steps))
+      GROUP BY pair ORDER BY held DESC, pair LIMIT 1) t
+    WHERE s.k < {MERGES}),
+  merges AS MATERIALIZED (SELECT DISTINCT k, pair, held FROM steps WHERE k > 0)
+"""
+
+
+def _spelled(c: str) -> str:
+    return f"CASE WHEN unicode({c}) >= 65536 THEN known[unicode({c}) - 65535] ELSE lpad(lower(hex(unicode({c}))), 2, '0') END"
+
+
+@query("bpe_train", f"""{_LEARNT},
+  spelling AS (
+    SELECT 0 AS k, []::VARCHAR[] AS known, '' AS l, '' AS r, 0::BIGINT AS n
+    UNION ALL
+    SELECT m.k, list_append(known, {_spelled('pair[1]')} || {_spelled('pair[2]')}), {_spelled('pair[1]')}, {_spelled('pair[2]')}, m.held
+    FROM spelling s JOIN merges m ON m.k = s.k + 1)
+  SELECT k - 1 AS rank, l AS "left", r AS "right", n FROM spelling WHERE k > 0""")
+def bpe_train(spark, d):
+    return bpe.bpe_merges(documents(spark, d), vocab_size=256 + MERGES)
+
+
+@query("bpe_encode", f"""{_LEARNT},
+  encoded AS MATERIALIZED (
+    SELECT token, list_transform(string_split(word, ''), lambda c: CASE WHEN unicode(c) < 256 THEN unicode(c) ELSE unicode(c) - 65536 + 256 END) AS ids
+    FROM steps WHERE k = {MERGES}),
+  placed AS (SELECT id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM tokens),
+  joined AS (SELECT id, flatten(list(ids ORDER BY place)) AS ids FROM placed JOIN encoded USING (token) GROUP BY id)
+  SELECT doc_id AS id, coalesce({q.joined('ids')}, '') AS input_ids, round(length(text)::DOUBLE / nullif(len(ids), 0), 6) AS ratio_char_token
+  FROM documents LEFT JOIN joined ON id = doc_id""")
 def _(spark, d):
-    return bpe.bpe_merges(documents(spark, d), vocab_size=256 + 48)
+    """Learns on the corpus, then encodes it with what was learnt."""
+    docs = documents(spark, d)
+    vocabulary = bpe.Vocabulary(bpe.bpe_train(docs, vocab_size=256 + MERGES))
+    rows = bpe.bpe_encode(docs, vocabulary)
+    ratio = F.try_divide(F.col("n_chars").cast("double"), F.size("input_ids").cast("double"))
+    return rows.select("id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"), F.round(ratio, 6).alias("ratio_char_token"))

@@ -188,8 +188,7 @@ def _(spark, d):
     return pk.running_token_offset(counted, "shard", "id", "n").select("id", "shard", "start")
 
 
-# Documents in id order fill buffers of a fixed number of characters. Keys only give the order: the same
-# documents under ids a thousand apart make the same blocks.
+# Documents in id order fill buffers of a fixed number of characters.
 _BUFFERED = f"""
   WITH docs AS (
     SELECT id, ids, CAST(floor(coalesce(sum(n_chars) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
@@ -197,18 +196,14 @@ _BUFFERED = f"""
   ), joined AS (
     SELECT buffer, flatten(list(list_append(ids, {SEPARATOR}) ORDER BY id)) AS ids FROM docs GROUP BY buffer
   )
-  SELECT gap, buffer, block, {q.joined(f'ids[block * {BLOCK} + 1 : (block + 1) * {BLOCK}]')} AS input_ids
-  FROM joined, LATERAL (SELECT unnest(generate_series(0, len(ids) // {BLOCK} - 1)) AS block), (VALUES (1), (1000)) AS gaps(gap)"""
+  SELECT buffer, block, {q.joined(f'ids[block * {BLOCK} + 1 : (block + 1) * {BLOCK}]')} AS input_ids
+  FROM joined, LATERAL (SELECT unnest(generate_series(0, len(ids) // {BLOCK} - 1)) AS block)"""
 
 
 @query("pack_constant_length", _BUFFERED)
 def pack_constant_length(spark, d):
-    def packed(gap: int):
-        rows = _tokens(spark, d).withColumn("id", F.col("id") * gap)
-        blocks = pk.pack_constant_length(rows, SEPARATOR, BLOCK, num_of_sequences=64, n_tokens="n_tokens")
-        return blocks.select(F.lit(gap).alias("gap"), "buffer", "block", _ids())
-
-    return packed(1).union(packed(1000))
+    blocks = pk.pack_constant_length(_tokens(spark, d), SEPARATOR, BLOCK, num_of_sequences=64, n_tokens="n_tokens")
+    return blocks.select("buffer", "block", _ids())
 
 
 @query(

@@ -61,4 +61,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``materialize`` wrote for these tables, once nothing that is still to run reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_written_to", None)
+        if path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
