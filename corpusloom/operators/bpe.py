@@ -1,18 +1,18 @@
 """Byte-pair vocabularies: learning merges in batches of proposed and then proven steps, and encoding with them.
 
 The corpus shrinks to its distinct pre-tokens with their counts, and these to a table of pair counts that is never counted
-again: merges change it by what they add and take away. Inside a task an index from pairs to words keeps a merge to the words
-that hold its pair. One job proves a batch of merges; words whose pairs are not in the batch are only passed by.
+again: merges change it by what they add and take away. Inside a task an index from pairs to their places in the words keeps a
+merge to these places, and one job proves a whole batch of merges.
 """
 
 from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,7 @@ FIRST_MERGED = 0x10000
 #: Pairs whose exact counts, and words whose texts, the driver sees when it proposes merges. They bound its memory; what is
 #: proposed is proven over all words, so they change the number of rounds and never the result.
 TOP_PAIRS = 4096
-PROPOSAL_WORDS = 20_000
+PROPOSAL_WORDS = 200_000
 FIRST_BATCH, LARGEST_BATCH = 64, 1024
 #: Merges that tasks repeat before a batch; beyond, the word table is written again.
 REPEATED = 2048
@@ -74,46 +74,86 @@ def pair_counts(words: DataFrame) -> DataFrame:
 
 
 class PairIndex:
-    """Words, and for every pair the words that hold it."""
+    """The symbols of words in one array, and for every pair of neighbours the places where it stands.
 
-    def __init__(self):
-        self.words: list[str] = []
-        self.counts: list[int] = []
-        self.holders: dict[str, set[int]] = defaultdict(set)
+    A merge looks at the places of its pair alone. Symbols of a word are linked: a merged one takes the place of its first part.
+    """
 
-    def add(self, word: str, n: int) -> None:
-        for pair in map(str.__add__, word, word[1:]):
-            self.holders[pair].add(len(self.words))
-        self.words.append(word)
-        self.counts.append(n)
+    def __init__(self, words: list[str], counts: np.ndarray):
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.symbols = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        self.word = np.repeat(np.arange(len(words)), lengths)
+        self.weight = np.asarray(counts, dtype=np.int64)[self.word]
+        place = np.arange(len(self.symbols))
+        self.after, self.before = place + 1, place - 1
+        ends = np.cumsum(lengths)[lengths > 0]
+        self.after[ends - 1] = -1
+        self.before[np.concatenate([[0], ends[:-1]])[: len(ends)]] = -1
+        first = np.flatnonzero(self.after >= 0)
+        codes = self._codes(first)
+        order = np.argsort(codes, kind="stable")
+        known, start = np.unique(codes[order], return_index=True)
+        self.places = dict(zip(known.tolist(), np.split(first[order], start[1:]))) if len(known) else {}
+
+    def copy(self) -> PairIndex:
+        other = object.__new__(PairIndex)
+        other.word, other.weight, other.places = self.word, self.weight, dict(self.places)
+        other.symbols, other.after, other.before = self.symbols.copy(), self.after.copy(), self.before.copy()
+        return other
+
+    def _codes(self, at: np.ndarray) -> np.ndarray:
+        return self.symbols[at] << 21 | self.symbols[self.after[at]]
+
+    def _counted(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes, inverse = np.unique(self._codes(at), return_inverse=True)
+        return codes, np.bincount(inverse, weights=self.weight[at], minlength=len(codes)).astype(np.int64)
 
     def merge(self, pair: str, symbol: str) -> dict[str, int]:
-        """Replaces a pair in the words that hold it; the changes of all pair counts."""
-        change: dict[str, int] = defaultdict(int)
-        for i in self.holders.pop(pair, ()):
-            old, n = self.words[i], self.counts[i]
-            new = old.replace(pair, symbol)
-            if new == old:
-                continue
-            self.words[i] = new
-            for p in map(str.__add__, old, old[1:]):
-                change[p] -= n
-            for p in map(str.__add__, new, new[1:]):
-                change[p] += n
-                if symbol in p:
-                    self.holders[p].add(i)
-        return {p: n for p, n in change.items() if n}
-
-
-def _proposed(words: list[tuple[str, int]], top: list[tuple[str, int]], complete: bool, first: int, size: int) -> list[str]:
-    """Pairs in the order in which they are likely to be merged: exact counts, changed by what the given words show.
-
-    The order ends where a pair that is not among ``top`` could come next.
+        """Replaces a pair wherever it stands, from the left; the changes of all pair counts."""
+        a, b, new = ord(pair[0]), ord(pair[1]), ord(symbol)
+        at = self.places.pop(a << 21 | b, np.zeros(0, np.int64))
+        at = at[(self.symbols[at] == a) & (self.after[at] >= 0)]
+        at = np.sort(at[self.symbols[self.after[at]] == b])
+        if a == b and len(at):
+            # Of neighbouring places every other one is taken, counted from the first.
+            joined = np.concatenate([[False], self.after[at[:-1]] == at[1:]])
+            run = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        if not len(at):
+            return {}
+        second = self.after[at]
+        left, right = self.before[at], self.after[second]
+        gone = np.unique(np.concatenate([left[left >= 0], at, second[right >= 0]]))
+        change: dict[int, int] = {}
+        for code, n in zip(*(x.tolist() for x in self._counted(gone))):
+            change[code] = -n
+        self.symbols[at], self.symbols[second] = new, -1
+        self.after[at] = right
+        self.before[right[right >= 0]] = at[right >= 0]
+        left = self.before[at]
+        made = np.unique(np.concatenate([left[left >= 0], at[self.after[at] >= 0]]))
+        codes = self._codes(made)
+        order = np.argsort(codes, kind="stable")
+        known, start = np.unique(codes[order], return_index=True)
+        for code, places in zip(known.tolist(), np.split(made[order], start[1:]) if len(known) else ()):
+            self.places[code] = places
+            change[code] = change.get(code, 0) + int(self.weight[places].sum())
+        return {chr(code >> 21) + chr(code & (1 << 21) - 1): n for code, n in change.items() if n}
+
+    def words(self) -> list[str]:
+        there = self.symbols >= 0
+        text = self.symbols[there].astype("<u4").tobytes().decode("utf-32-le")
+        ends = np.cumsum(np.bincount(self.word[there], minlength=int(self.word[-1]) + 1 if len(self.word) else 0)).tolist()
+        return [text[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def _proposed(sample: PairIndex, top: list[tuple[str, int]], complete: bool, first: int, size: int) -> list[str]:
+    """Pairs in the order in which they are likely to be merged: exact counts, changed as the sample's words change.
+
+    A merge that the sample shows a part of changes counts by so much more. The order ends where a pair that is not
+    among ``top`` could come next.
     """
-    index = PairIndex()
-    for word, n in words:
-        index.add(word, n)
-    counts = dict(top)
+    index, counts = sample.copy(), dict(top)
     unseen = 0 if complete else top[-1][1]
     queue = [(-n, pair) for pair, n in top]
     heapq.heapify(queue)
@@ -130,14 +170,25 @@ def _proposed(words: list[tuple[str, int]], top: list[tuple[str, int]], complete
         symbol = chr(first + len(out))
         out.append(pair)
         counts[pair] = 0
-        for p, change in index.merge(pair, symbol).items():
-            if p != pair and (p in counts or change > 0):
-                counts[p] = counts.get(p, 0) + change
+        changes = index.merge(pair, symbol)
+        seen = -changes.pop(pair, 0)
+        for p, change in changes.items():
+            if p in counts or change > 0:
+                counts[p] = counts.get(p, 0) + (change if seen == n else round(change * n / max(seen, 1)))
                 if change > 0 and counts[p] > 0:
                     heapq.heappush(queue, (-counts[p], p))
     return out
 
 
+def _indexed(batches: Iterator[pa.RecordBatch]) -> PairIndex:
+    """All words of a task that have a pair: a bounded part of the distinct words."""
+    words, counts = [], []
+    for batch in batches:
+        words += batch.column("word").to_pylist()
+        counts.append(batch.column("n").to_numpy())
+    return PairIndex(words, np.concatenate(counts) if counts else np.zeros(0, np.int64))
+
+
 def _merged(index: PairIndex, pairs: list[str], first: int) -> None:
     for i, pair in enumerate(pairs):
         index.merge(pair, chr(first + i))
@@ -146,17 +197,12 @@ def _merged(index: PairIndex, pairs: list[str], first: int) -> None:
 def _changes(words: DataFrame, done: list[str], since: int, proposed: list[str]) -> DataFrame:
     """(step, pair, change): what the proposed merges do to pair counts, summed over all words.
 
-    ``done`` are merges, the first of them the symbol ``since``, that the stored words lack. Words that hold none of the
-    pairs at hand are not indexed; a pair that a merge makes stands only in words that held one before.
+    ``done`` are merges, the first of them the symbol ``since``, that the stored words lack.
     """
-    wanted, start = frozenset(done) | frozenset(proposed), since + len(done)
+    start = since + len(done)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = PairIndex()
-        for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                if not wanted.isdisjoint(map(str.__add__, word, word[1:])):
-                    index.add(word, n)
+        index = _indexed(batches)
         _merged(index, done, since)
         for step, pair in enumerate(proposed):
             change = index.merge(pair, chr(start + step))
@@ -170,18 +216,12 @@ def _changes(words: DataFrame, done: list[str], since: int, proposed: list[str])
 
 def _rewritten(words: DataFrame, done: list[str], since: int) -> DataFrame:
     """The words with the given merges applied."""
-    wanted = frozenset(done)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, out = PairIndex(), batch.column("word").to_pylist()
-            held = [i for i, word in enumerate(out) if not wanted.isdisjoint(map(str.__add__, word, word[1:]))]
-            for i in held:
-                index.add(out[i], 0)
+            index = _indexed(iter([batch]))
             _merged(index, done, since)
-            for i, word in zip(held, index.words):
-                out[i] = word
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column("n")], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(index.words(), pa.string()), batch.column("n")], names=["word", "n"])
 
     return words.mapInArrow(run, "word string, n long")
 
@@ -255,9 +295,10 @@ def bpe_train(
     first one always holds, since the largest count is exact. Pair counts are then changed, not counted again.
     """
     texts = df if n_examples is None else first_n(df, key, n_examples)
-    words = spread(materialize(word_counts(texts, content), "bpe-words"), "word")
+    words = materialize(spread(word_counts(texts, content).where(F.length("word") > 1), "word"), "bpe-words")
     pairs = materialize(pair_counts(words), "bpe-pairs")
-    sample = [(r.word, r.n) for r in words.orderBy(F.desc("n"), "word").limit(proposal_words).collect()]
+    seen = words.orderBy(F.desc("n"), "word").limit(proposal_words).toArrow()
+    sample = PairIndex(seen.column("word").to_pylist(), seen.column("n").to_numpy())
     merges: list[Merge] = []
     spelled = {chr(i): chr(i) for i in range(BYTES)}
     size, wanted = FIRST_BATCH, vocab_size - BYTES
@@ -278,11 +319,7 @@ def bpe_train(
         changed = pairs.unionByName(changes.where(F.col("step") < taken).select("pair", F.col("change").alias("n")))
         older, pairs = pairs, materialize(changed.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0"), "bpe-pairs")
         discard(older, changes)
-        index = PairIndex()
-        for word, n in sample:
-            index.add(word, n)
-        _merged(index, proposed[:taken], first)
-        sample = list(zip(index.words, index.counts))
+        _merged(sample, proposed[:taken], first)
         pending += proposed[:taken]
         if len(pending) > REPEATED:
             rewritten = _rewritten(words, pending, FIRST_MERGED + len(merges) - len(pending))
