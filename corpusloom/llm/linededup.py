@@ -1,6 +1,7 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, distributed union-find.
 
-A line is its text without the blanks around it. Lines travel as 64-bit keys; texts are fetched for candidates only.
+A line is its text without the blanks around it; a line shorter than a shingle is its own only shingle. Lines travel
+as 64-bit keys; texts are fetched for candidates only.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bit_filter, components, fresh, passing, small_or_shuffled, table, text_of
+from corpusloom.llm.common import bit_filter, components, fresh, passing, table, text_of
 from corpusloom.llm.registry import query
 from corpusloom.llm.textblocks import Block, blocks, mix
 from corpusloom.session import materialize
@@ -23,22 +24,18 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Rules:
-    """Lines of fewer than ``min_chars`` characters are not compared by likeness: a few shingles say nothing about it.
-
-    With ``every_line`` such short lines are grouped when they are equal; without, they are left alone.
-
-    ``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 12 bands of 4 with
-    probability 1 - (1 - 0.8^4)^12 = 0.998.
+    """``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 12 bands of 4 with
+    probability 1 - (1 - 0.8^4)^12 = 0.998. With shingles of 5, one changed character is found from 49 characters on.
     """
 
-    shingle: int = 8
-    min_chars: int = 20
-    every_line: bool = False
+    shingle: int = 5
     similarity: float = 0.8
     bands: int = 12
     rows: int = 4
     #: Members of a bucket that one task compares with as many others.
     cell: int = 512
+    #: Characters of lines held as sets of shingles at a time.
+    cell_chars: int = 1 << 19
 
 
 def line_spans(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,22 +105,15 @@ def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _long(block: Block, starts: np.ndarray, ends: np.ndarray, rules: Rules) -> np.ndarray:
-    """Which of the spans have enough characters to be compared by likeness."""
+    """Which of the spans hold a shingle; the others are alike to their equals only."""
     lead = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
-    return lead[ends] - lead[starts] >= max(rules.min_chars, rules.shingle)
-
-
-def _long_lines(block: Block, rules: Rules):
-    """Spans of the lines long enough to be compared, as in ``line_spans``."""
-    doc, number, starts, ends = line_spans(block)
-    long = _long(block, starts, ends, rules)
-    return doc[long], number[long], starts[long], ends[long]
+    return lead[ends] - lead[starts] >= rules.shingle
 
 
 def line_table(docs: DataFrame, rules: Rules) -> DataFrame:
-    """(doc_id, copy, line, key, proof, bands) of the lines long enough, or of all; equal lines have equal keys and proofs.
+    """(doc_id, copy, line, key, proof, bands) of all lines with a word; equal lines have equal keys and proofs.
 
-    ``bands`` is null where the task has given the line's bands already, and for short lines.
+    ``bands`` is null where the task has given the line's bands already, and for lines without a shingle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -131,7 +121,7 @@ def line_table(docs: DataFrame, rules: Rules) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for first, _, block in blocks(batch.column("text")):
-                doc, number, starts, ends = line_spans(block) if rules.every_line else _long_lines(block, rules)
+                doc, number, starts, ends = line_spans(block)
                 if not len(doc):
                     continue
                 long = _long(block, starts, ends, rules)
@@ -165,7 +155,7 @@ def line_texts(docs: DataFrame, keys: DataFrame, rules: Rules) -> DataFrame:
         wanted, seen = shared.value, set()
         for batch in batches:
             for _, _, block in blocks(batch.column("text")):
-                _, _, starts, ends = _long_lines(block, rules)
+                _, _, starts, ends = line_spans(block)
                 key = block.hashes(starts, ends)
                 hit = passing(wanted, key)
                 # A line that this task sees again is not sent again, as long as few are remembered.
@@ -234,12 +224,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, frozenset[str]] = {}
+        held = 0
         for batch in batches:
             keep = []
             for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b"))):
                 if b not in known:
-                    if len(known) > 200:
+                    held += len(text_b)
+                    if held > rules.cell_chars:
                         known.clear()
+                        held = len(text_b)
                     known[b] = shingle_set(text_b, rules.shingle)
                 keep.append(text_alike(text_a, known[b], rules.shingle, rules.similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -247,13 +240,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
-def _heads(lines: DataFrame) -> DataFrame:
+def _merged(entries: np.ndarray) -> np.ndarray:
+    """Rows (bucket, least key, greatest key, count), one for each bucket, in the order of the buckets as unsigned numbers."""
+    if not len(entries):
+        return entries
+    entries = entries[np.argsort(entries[:, 0].view(_U), kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], entries[1:, 0] != entries[:-1, 0]]))
+    low, high = np.minimum.reduceat(entries[:, 1], first), np.maximum.reduceat(entries[:, 2], first)
+    return np.stack([entries[first, 0], low, high, np.add.reduceat(entries[:, 3], first)], axis=1)
+
+
+def _heads(lines: DataFrame, rules: Rules) -> DataFrame:
     """(bucket, a, b, n): the least and the greatest key of every bucket with different lines, and its rows.
 
-    One aggregate with map-side minima, so a hot bucket costs a row per task. Most buckets have two lines, a and b.
+    A task adds up its buckets before they travel, so a hot bucket costs a row per task. The buckets are dealt to as many
+    parts as shuffles have partitions, and a task's buckets of a part travel as two packed arrays: those with one line as
+    (bucket, key), the others whole. Most buckets have one line and are gone after that.
     """
-    banded = lines.where("bands IS NOT NULL").select("key", F.explode("bands").alias("bucket"))
-    return banded.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("a <> b")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(entries: np.ndarray) -> pa.RecordBatch:
+        entries = _merged(entries)
+        part = ((entries[:, 0].view(_U) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+        rows = []
+        for p, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            if i < j:
+                mine = entries[i:j]
+                one = mine[:, 3] == 1
+                rows.append((p, mine[one, :2].tobytes(), mine[~one].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _PACKED.types)], schema=_PACKED)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            bucket = batch.column("bands").flatten().to_numpy()
+            key = np.repeat(batch.column("key").to_numpy(), rules.bands)
+            held.append(np.stack([bucket, key, key, np.ones_like(key)], axis=1))
+            size += len(bucket)
+            if size > 1_000_000:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def found() -> pa.RecordBatch:
+            entries = _merged(np.concatenate(held))
+            entries = entries[entries[:, 1] != entries[:, 2]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in entries.T], names=["bucket", "a", "b", "n"])
+
+        for batch in batches:
+            for p, ones, more in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part and held:
+                    yield found()
+                    held = []
+                part = p
+                single = np.frombuffer(ones, dtype=np.int64).reshape(-1, 2)
+                held.append(np.stack([single[:, 0], single[:, 1], single[:, 1], np.ones(len(single), dtype=np.int64)], axis=1))
+                held.append(np.frombuffer(more, dtype=np.int64).reshape(-1, 4))
+        if held:
+            yield found()
+
+    sent = lines.where("bands IS NOT NULL").select("key", "bands").mapInArrow(gather, "part int, ones binary, more binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "bucket long, a long, b long, n long")
+
+
+_PACKED = pa.schema([("part", pa.int32()), ("ones", pa.binary()), ("more", pa.binary())])
 
 
 def _members(lines: DataFrame, heads: DataFrame, rules: Rules) -> DataFrame:
@@ -300,7 +355,10 @@ def _grid(open_: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
     Buckets whose members are one component are done. Members are dealt to cells of ``rules.cell``; a task compares the members of two cells and emits links, one per
     member at most beyond the first, never the pairs compared. A bucket of any size is finished this way.
     """
-    sized = open_.groupBy("bucket").agg(F.ceil(F.count("*") / rules.cell).cast("int").alias("cells"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sized = open_.join(texts.select("key", F.length("chars").alias("size")), "key").groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count("*") / rules.cell), F.ceil(F.sum("size") / rules.cell_chars)).cast("int").alias("cells"),
+        F.min("root").alias("low"), F.max("root").alias("high"),
+    )
     sized = sized.where("low <> high").select("bucket", "cells")
     dealt = open_.join(sized, "bucket").withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least("cell", o).alias("i"), F.greatest("cell", o).alias("j")))
@@ -345,15 +403,23 @@ def _grid(open_: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: only the roots at their ends are linked anew."""
+    ends = _rooted(_rooted(links, labels, "a", "root_a"), labels, "b", "root_b")
+    moved = components(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "line-roots")
+    single = moved.select("node", F.col("node").alias("root")).join(labels.select("node"), "node", "left_anti")
+    moved = moved.toDF("root", "next")
+    return labels.union(single).join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*found) if found else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """(doc_id, copy, line, keeper_id, keeper_copy, keeper_line, kept): every line of at least ``min_chars`` characters.
+    """(doc_id, copy, line, keeper_id, keeper_copy, keeper_line, kept): every line with a word.
 
-    With ``rules.every_line`` shorter lines with a word have rows too, and name the first line equal to them.
     Lines of one component (exact copies, and lines joined by chains of similarities of at least ``rules.similarity``)
     name the same keeper, the component's first line by (doc_id, copy, line). ``copy`` is a hash of the document's
     text: rows that share an id are told apart by it, and exact repeats of a row count as one document. Null ids come
@@ -361,7 +427,7 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("copy"), text_of(text).alias("text"))
     lines = materialize(line_table(rows, rules), "lines")
-    heads = materialize(_heads(lines), "line-heads")
+    heads = materialize(_heads(lines, rules), "line-heads")
     members = materialize(_members(lines, heads, rules), "line-members")
     ends = heads.select(F.explode(F.array("a", "b")).alias("key"))
     texts = materialize(line_texts(rows, ends.union(members.select("key")).distinct(), rules), "line-texts")
@@ -371,8 +437,7 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     links = materialize(_verified(star, texts, rules), "line-links")
     labels = components(links, "line")
     open_ = materialize(_open_groups(heads, members, labels), "line-members")
-    links = links.union(materialize(_grid(open_, texts, rules), "line-links"))
-    labels = components(links, "line")
+    labels = _joined(labels, materialize(_grid(open_, texts, rules), "line-links"))
 
     # Lines with a copy or a link meet their component's first line; a filter lets the others pass by.
     copied = lines.groupBy("key").count().where("count > 1").select("key")
@@ -404,13 +469,16 @@ def line_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """``docs`` with the lines that repeat an earlier one taken out of their texts, other columns as they are.
 
-    A row whose every line with a word went is a duplicate as a whole and goes too; with ``rules.every_line`` that
-    holds for all rows whose lines all repeat earlier ones, without it short lines stay as they are. Rows that lost no
-    line, null texts among them, are unchanged.
+    A row whose every line with a word went is a duplicate as a whole and goes too. Rows that lost no line, null texts among
+    them, are unchanged.
     """
     gone = line_groups(docs, doc_id, text, rules).where("NOT kept").groupBy("doc_id", "copy").agg(F.collect_set("line").alias("_gone"))
     name, copy, lost = fresh(docs, "id", "copy", "lost")
-    gone = small_or_shuffled(materialize(gone, "lines-gone").toDF(name, copy, lost), 200_000)
+    gone = materialize(gone, "lines-gone").toDF(name, copy, lost)
+    # Lists may be long: both the rows and what their lists hold together are counted before they are broadcast.
+    held = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(lost)), F.lit(0)).alias("lines")).first()
+    if held.rows <= 200_000 and held.lines <= 2_000_000:
+        gone = F.broadcast(gone)
     same = F.col(doc_id).eqNullSafe(F.col(name)) & (F.xxhash64(text_of(text)) == F.col(copy))
     joined = docs.join(gone, same, "left")
     left = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(lost, i.cast("long")))
@@ -422,9 +490,3 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
 @query("op3_line_dedup")
 def op3_line_dedup(spark, sf_dir):
     return line_groups(table(spark, sf_dir, "documents")).drop("copy", "keeper_copy")
-
-
-@query("op3_line_dedup_all")
-def op3_line_dedup_all(spark, sf_dir):
-    """As ``op3_line_dedup``, with the short lines, and by shingles of 4: one changed character is found from 39 characters on."""
-    return line_groups(table(spark, sf_dir, "documents"), rules=Rules(every_line=True, shingle=4)).drop("copy", "keeper_copy")
