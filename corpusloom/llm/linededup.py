@@ -25,10 +25,10 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Rules:
     """``bands`` times ``rows`` MinHash values. At a similarity of 0.8 a pair meets in one of 12 bands of 4 with
-    probability 1 - (1 - 0.8^4)^12 = 0.998. With shingles of 5, one changed character is found from 49 characters on.
+    probability 1 - (1 - 0.8^4)^12 = 0.998. With shingles of 8, one changed character is found from 79 characters on.
     """
 
-    shingle: int = 5
+    shingle: int = 8
     similarity: float = 0.8
     bands: int = 12
     rows: int = 4

@@ -10,7 +10,7 @@ from corpusloom.llm.queries import queries
 BLANKS = " \t\n\v\f\r"
 
 
-def brute(rows, k=5, least=0.8):
+def brute(rows, k=8, least=0.8):
     """{(doc, line): first (doc, line) of its component} by comparing all lines that share a shingle."""
     lines = [(i, n, s.strip(BLANKS)) for i, t in rows for n, s in enumerate((t or "").split("\n")) if s.strip(BLANKS)]
     texts = sorted({s for _, _, s in lines})
@@ -110,7 +110,7 @@ def test_short_lines_lose_their_copies(spark):
 def test_one_changed_character(spark, tmp_path):
     rng = random.Random(5)
     rows = []
-    for n in range(50, 131, 5):
+    for n in range(80, 161, 5):
         line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
         rows += [(2 * n, f"<{line}>"), (2 * n + 1, f"<{line[: n // 2]}7{line[n // 2 + 1 :]}>")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
