@@ -124,21 +124,18 @@ def line_table(docs: DataFrame, rules: Rules) -> DataFrame:
                 doc, number, starts, ends = line_spans(block)
                 if not len(doc):
                     continue
-                long = _long(block, starts, ends, rules)
                 key = block.hashes(starts, ends).view(np.int64)
-                proof = np.empty(len(doc), dtype=_U)
-                proof[~long] = block.hashes(starts[~long], ends[~long], other=True)
-                bands = np.zeros((len(doc), rules.bands), dtype=np.int64)
-                if long.any():
-                    hashes, line, n = _shingles(block, starts[long], ends[long], rules.shingle)
-                    proof[long] = np.add.reduceat(hashes, np.cumsum(n) - n) + n.astype(_U)
-                    bands[long] = _bands(signatures(hashes, line, len(n), rules.bands * rules.rows), rules.bands, rules.rows)
-                again = ~long
-                again[long] = [k in seen or bool(seen.add(k)) for k in key[long].tolist()]
+                proof = block.hashes(starts, ends, other=True)
+                new = _long(block, starts, ends, rules)
+                new[new] = [k not in seen and (seen.add(k) or True) for k in key[new].tolist()]
                 if len(seen) > 100_000:
                     seen.clear()
+                bands = np.zeros((len(doc), rules.bands), dtype=np.int64)
+                if new.any():
+                    hashes, line, n = _shingles(block, starts[new], ends[new], rules.shingle)
+                    bands[new] = _bands(signatures(hashes, line, len(n), rules.bands * rules.rows), rules.bands, rules.rows)
                 offsets = pa.array(np.arange(0, bands.size + 1, rules.bands, dtype=np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(again))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()), mask=pa.array(~new))
                 rows = pa.array(first + doc)
                 columns = [batch.column(c).take(rows) for c in ("doc_id", "copy")]
                 more = [pa.array(number), pa.array(key), pa.array(proof.view(np.int64)), lists]
@@ -186,35 +183,39 @@ def text_alike(text: str, other: frozenset[str], k: int, least: float) -> bool:
     """``alike`` of a text's shingles and a set.
 
     Of a set of at most ``n`` shingles, ``missing`` of which the other lacks, no more than ``n - missing`` are shared: a
-    third of the text often has enough missing ones to tell that it is not alike.
+    part of the text often has enough missing ones to tell that it is not alike.
     """
     n = max(1, len(text) - k + 1)
     if n < least * len(other):
         return False
-    missing = len(shingle_set(text[: n // 3 + k], k) - other) if n >= 60 else 0
-    if n - missing < least * (len(other) + missing):
-        return False
+    # The less alike, the sooner enough shingles are missing.
+    for part in (n // 7, n // 4, n // 2) if n >= 60 else ():
+        missing = len(shingle_set(text[: part + k - 1], k) - other)
+        if n - missing < least * (len(other) + missing):
+            return False
     return alike(shingle_set(text, k), other, least)
 
 
-def _alike_pairs(sets: list[frozenset[str]], left: np.ndarray, right: np.ndarray, least: float, width: int = 8192) -> list[tuple[int, int]]:
-    """Index pairs (one of ``left``, one of ``right``) of sets that are alike; all intersections come from matrix products."""
-    place: dict[str, int] = {}
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    item = np.fromiter((place.setdefault(x, len(place)) for s in sets for x in s), dtype=np.int64, count=len(owner))
-    order = np.argsort(item, kind="stable")
-    owner, item = owner[order], item[order]
+def _likely_pairs(texts: list[str], left: np.ndarray, right: np.ndarray, apart: np.ndarray, rules: Rules) -> list[tuple[int, int]]:
+    """Index pairs (one of ``left``, one of ``right``, of different numbers in ``apart``) that may be alike, the likeliest first.
+
+    The signatures' agreement estimates the similarity; a pair six standard errors below the one asked for is not looked at.
+    """
+    size = rules.bands * rules.rows
+    column = pa.array(texts, pa.string())
+    sig = np.empty((len(texts), size), dtype=np.uint32)
+    for first, end, block in blocks(column):
+        hashes, line, n = _shingles(block, block.offsets[:-1], block.offsets[1:], rules.shingle)
+        sig[first:end] = signatures(hashes, line, len(n), size)
+    least = size * (rules.similarity - 6 * (rules.similarity * (1 - rules.similarity) / size) ** 0.5)
+    found = []
     rows, columns = np.flatnonzero(left), np.flatnonzero(right)
-    both = np.zeros((len(rows), len(columns)), dtype=np.float32)
-    for first in range(0, len(place), width):
-        part = slice(*np.searchsorted(item, [first, first + width]))
-        held = np.zeros((len(sets), min(width, len(place) - first)), dtype=np.float32)
-        held[owner[part], item[part] - first] = 1
-        both += held[rows] @ held[columns].T
-    size = np.array([len(s) for s in sets], dtype=np.float64)
-    union = size[rows][:, None] + size[columns][None, :] - both
-    x, y = np.nonzero(both >= least * union)
-    return [(int(a), int(b)) for a, b in zip(rows[x], columns[y]) if a != b]
+    for x in rows.tolist():
+        other = columns[apart[columns] != apart[x]]
+        agree = (sig[other] == sig[x]).sum(axis=1)
+        near = agree >= least
+        found += zip((-agree[near]).tolist(), [x] * int(near.sum()), other[near].tolist())
+    return [(x, y) for _, x, y in sorted(found)]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
@@ -378,9 +379,16 @@ def _grid(open_: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
 
         out = []
         if len(parent) > 1:
-            for x, y in _alike_pairs([shingle_set(m[6], rules.shingle) for m in members], cells == i, cells == j, rules.similarity):
+            sets: dict[int, frozenset[str]] = {}
+            apart = np.array([m[5] for m in members])
+            for x, y in _likely_pairs([m[6] for m in members], cells == i, cells == j, apart, rules):
                 a, b = find(members[x][5]), find(members[y][5])
-                if a != b:
+                if a == b:
+                    continue
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = shingle_set(members[z][6], rules.shingle)
+                if alike(sets[x], sets[y], rules.similarity):
                     parent[max(a, b)] = min(a, b)
                     out.append((members[x][4], members[y][4]))
         return out
