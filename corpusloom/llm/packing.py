@@ -41,7 +41,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(_path(name))
-        self.full.encode_special_tokens = True
+        # Added tokens stand for themselves wherever their text occurs; the faster encoder knows none.
+        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.quick = _quick(ranks) if ranks else None
         size = self.full.get_vocab_size()
         last = [self.full.id_to_token(i) or "" for i in range(size)]
@@ -49,7 +50,7 @@ class Tokens:
         self.ends = np.array([t[-1:] in (".", "!", "?") or "Ċ" in t for t in last], dtype=bool)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.quick is not None and _latin(text):
+        if self.quick is not None and _latin(text) and not any(t in text for t in self.added):
             return np.array(self.quick.encode_ordinary(text), dtype=np.uint32)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
