@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import components, fresh, small_or_shuffled, table, text_of
@@ -21,7 +20,7 @@ from corpusloom.session import materialize
 
 @dataclass(frozen=True)
 class Rules:
-    """``cell``: fingerprints that one subtree of the trie should hold; deeper cuts make more and smaller subtrees."""
+    """``cell``: fingerprints that one subtree of a trie may hold before it is cut deeper."""
 
     shingle: int = 3
     distance: int = 2
@@ -128,57 +127,96 @@ def _walk(groups: np.ndarray, flips: np.ndarray, sides: np.ndarray, prints: np.n
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
+def _blocks(distance: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the ``distance + 1`` blocks of a fingerprint, counted from its highest bit."""
+    cuts = [round(64 * i / (distance + 1)) for i in range(distance + 2)]
+    return [(i, j - i) for i, j in zip(cuts, cuts[1:])]
+
+
+#: Bits by which the tries of a crowded block are cut deeper, at most.
+_DEEPEST = 12
+
+
 def near_links(prints: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(a, b): distinct fingerprints (column ``bits``) at most ``rules.distance`` bits apart; each pair once.
 
-    The trie is cut at a depth that leaves about ``rules.cell`` fingerprints under each node. Every pair of cut nodes
-    within the budget becomes a group: a fingerprint is copied once per prefix within ``distance`` bits of its own.
-    Tasks then walk the pairs of subtrees.
+    As many differing bits leave one of ``rules.distance + 1`` blocks equal. Each block is turned to the top of the fingerprint, as
+    the first levels of a trie, so a fingerprint is copied once a block, however many there are; fingerprints with an equal
+    block are one subtree, which a task joins with itself. A block that more than ``rules.cell`` share is cut deeper: every
+    pair of its nodes within the budget becomes a group of its own.
     """
-    n = prints.count()
-    depth = max(0, ceil(log2(max(n, 1) / rules.cell))) if n > rules.cell else 0
-    flips = [sum(1 << bit for bit in bits) for k in range(min(rules.distance, depth) + 1) for bits in combinations(range(depth), k)]
-    prefix = F.shiftrightunsigned("bits", 64 - depth) if depth else F.lit(0).cast("long")
-    spread = prints.select("bits", prefix.alias("own"), F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("flip"))
+    blocks = _blocks(rules.distance)
+
+    def turned(first: int) -> Column:
+        return F.expr(f"shiftleft(bits, {first}) | shiftrightunsigned(bits, {64 - first})" if first else "bits")
+
+    tops = [F.struct(F.lit(i).alias("block"), turned(first).alias("turned"), F.shiftrightunsigned(turned(first), 64 - w).alias("top")) for i, (first, w) in enumerate(blocks)]
+    spread = prints.select(F.explode(F.array(*tops)).alias("t")).select("t.*")
+    extra = F.least(F.ceil(F.log2(F.col("n") / rules.cell)).cast("int"), F.lit(_DEEPEST)).alias("extra")
+    crowded = spread.groupBy("block", "top").agg(F.count("*").alias("n")).where(F.col("n") > rules.cell).select("block", "top", extra)
+    crowded = materialize(crowded, "simhash-crowded")
+    if crowded.isEmpty():
+        deepened = spread.withColumn("extra", F.lit(0))
+    else:
+        deepened = spread.join(crowded, ["block", "top"], "left").withColumn("extra", F.coalesce("extra", F.lit(0)))
+    flips = F.array(F.lit(0).cast("long"))
+    for e in range(1, _DEEPEST + 1):
+        changes = [sum(1 << bit for bit in bits) for k in range(min(rules.distance, e) + 1) for bits in combinations(range(e), k)]
+        flips = F.when(F.col("extra") == e, F.array(*[F.lit(f).cast("long") for f in changes])).otherwise(flips)
+    widths = F.array(*[F.lit(w) for _, w in blocks])
+    own = F.expr("shiftrightunsigned(turned, 64 - depth)")
+    copies = deepened.withColumn("depth", F.get(widths, F.col("block")) + F.col("extra")).withColumn("flip", F.explode(flips)).withColumn("own", own)
     other = F.col("own").bitwiseXOR(F.col("flip"))
-    spread = spread.select(
-        F.least("own", other).alias("low"), F.col("flip"), (F.col("own") > other).cast("byte").alias("side"), "bits"
-    )
-    dealt = spread.repartition("low", "flip").sortWithinPartitions("low", "flip")
+    group = ["block", "depth", "low", "flip"]
+    copies = copies.select("block", "depth", F.least("own", other).alias("low"), "flip", (F.col("own") > other).cast("byte").alias("side"), "turned")
+    dealt = copies.repartition(*group).sortWithinPartitions(*group)
+
+    def walked(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Links of whole groups, which lie in runs of the same block and depth."""
+        block, depth, low, flip, side, bits = columns
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in (block, depth, low, flip)], axis=0)) + 1
+        group = np.zeros(len(low), np.int64)
+        group[new] = 1
+        group = np.cumsum(group)
+        kinds = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (depth[1:] != depth[:-1])) + 1, [len(low)]])
+        borders = np.concatenate([[0], new, [len(low)]])
+        for start, end in zip(kinds.tolist(), kinds[1:].tolist()):
+            mine = borders[(borders >= start) & (borders <= end)]
+            first = 0
+            while first < len(mine) - 1:
+                # Groups go in runs of about ``rules.rows`` fingerprints.
+                last = max(first + 1, int(np.searchsorted(mine, mine[first] + rules.rows, side="right")) - 1)
+                x = slice(mine[first], mine[last])
+                first = last
+                a, b = _walk(group[x], flip[x], side[x], bits[x].view(np.uint64), int(depth[start]), rules.distance)
+                turn = blocks[int(block[start])][0]
+                if turn:
+                    a, b = (v >> np.uint64(turn) | v << np.uint64(64 - turn) for v in (a, b))
+                # A pair with an earlier equal block was found there.
+                fresh = np.ones(len(a), dtype=bool)
+                for f, w in blocks[: int(block[start])]:
+                    fresh &= ((a ^ b) >> np.uint64(64 - f - w)) & np.uint64((1 << w) - 1) != 0
+                if fresh.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(v[fresh].view(np.int64)) for v in (a, b)], names=["a", "b"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
-
-        def flush(whole: bool):
-            nonlocal held, size
-            low, flip, side, bits = (np.concatenate(x) for x in zip(*held))
-            change = np.flatnonzero((low[1:] != low[:-1]) | (flip[1:] != flip[:-1])) + 1
-            cut = len(low) if whole else (int(change[-1]) if len(change) else 0)
-            group = np.zeros(len(low), np.int64)
-            group[change] = 1
-            group = np.cumsum(group)[:cut]
-            held, size = ([] if whole else [[x[cut:] for x in (low, flip, side, bits)]]), len(low) - cut
-            # Groups go in runs of about ``rules.rows`` fingerprints.
-            borders = np.r_[0, change[change < cut], cut]
-            first = 0
-            while first < len(borders) - 1:
-                last = max(first + 1, int(np.searchsorted(borders, borders[first] + rules.rows, side="right")) - 1)
-                x = slice(borders[first], borders[last])
-                a, b = _walk(group[x], flip[x], side[x], bits[x].view(np.uint64), depth, rules.distance)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-                first = last
-
         for batch in batches:
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             size += batch.num_rows
             if size >= 4 * rules.rows:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
-
-    return dealt.select("low", "flip", "side", "bits").mapInArrow(walk, "a long, b long")
+                columns = [np.concatenate(x) for x in zip(*held)]
+                # The last group may go on in the next batch.
+                change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)) + 1
+                cut = int(change[-1]) if len(change) else 0
+                if cut:
+                    yield from walked([c[:cut] for c in columns])
+                held, size = [[c[cut:] for c in columns]], size - cut
+        if size:
+            yield from walked([np.concatenate(x) for x in zip(*held)])
+
+    return dealt.select(*group, "side", "turned").mapInArrow(walk, "a long, b long")
 
 
 def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
