@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import bit_filter, passing, table, text_of
+from corpusloom.llm.common import bit_filter, passing, small_or_shuffled, table, text_of
 from corpusloom.llm.registry import query
 from corpusloom.llm.textblocks import Block, blocks, column_bytes, grams, mix
 from corpusloom.session import materialize
@@ -36,6 +36,8 @@ class Rules:
     #: Distinct pieces from which a sample is split by more context, and the left reaches that share a split.
     hot: int = 4096
     reach: int = 9
+    #: Pieces of a shard beyond which its windows are grouped one by one.
+    crowd: int = 32_768
     #: Bytes of pieces sorted at once in a task.
     chunk: int = 4_000_000
 
@@ -315,7 +317,47 @@ def _shards(pieces: DataFrame, rules: Rules) -> DataFrame:
     fits = (F.col("range.low") <= F.col("left")) & (F.col("range.high") >= F.col("left") + rules.length - F.octet_length("bytes"))
     context = F.expr(f"substring(bytes, cast(left - range.low + 1 AS int), cast(range.low + {rules.length} - range.high AS int))")
     shard = F.when(F.col("hot"), F.xxhash64("key", "range.low", context)).otherwise(F.col("key"))
-    return spread.where(fits).select(shard.alias("shard"), "bytes", "left", "range.low", "range.high", "doc_id", "copy", "pos")
+    return spread.where(fits).select(shard.alias("shard"), "hot", "bytes", "left", "range.low", "range.high", "doc_id", "copy", "pos")
+
+
+def _all_reaches(pieces: DataFrame, several: DataFrame, rules: Rules) -> DataFrame:
+    """``repeated_reaches`` of all pieces. Shards that stay crowded, since many different pieces agree in all the context of
+    their range, are not sorted: their windows are grouped instead."""
+    if several.where(F.col("m") > rules.hot).isEmpty():
+        return repeated_reaches(_shards(pieces, rules), rules)
+    shards = _shards(materialize(pieces, "open-pieces"), rules)
+    crowded = shards.where("hot").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > rules.crowd).select("shard")
+    crowded = materialize(crowded, "crowded-shards")
+    if crowded.isEmpty():
+        return repeated_reaches(shards, rules)
+    crowded = small_or_shuffled(crowded)
+    sorted_ = repeated_reaches(shards.join(crowded, "shard", "left_anti"), rules)
+    return sorted_.unionByName(window_reaches(shards.join(crowded, "shard", "left_semi"), rules))
+
+
+def window_reaches(pieces: DataFrame, rules: Rules) -> DataFrame:
+    """(doc_id, copy, pos, least, greatest): as ``repeated_reaches``, by the windows themselves.
+
+    Two hashes of 64 bits stand for a window. Its oldest piece comes from an aggregate with map-side minima, so a window that a
+    third of all texts share is a row per task; the pieces meet it in parts.
+    """
+    size = F.octet_length("bytes")
+    reaches = F.sequence(F.greatest("low", F.col("left") + rules.length - size), F.least("high", "left"))
+    each = pieces.select("doc_id", "copy", "pos", "left", "bytes", F.explode(reaches).alias("reach"))
+    window = F.expr(f"substring(bytes, cast(left - reach + 1 AS int), {rules.length})")
+    piece = F.struct("doc_id", "copy", "pos")
+    each = each.select("reach", piece.alias("piece"), F.xxhash64(window).alias("one"), F.xxhash64(F.lit(1), window).alias("two"))
+    each = materialize(each, "crowded-windows")
+    oldest = each.groupBy("one", "two").agg(F.min("piece").alias("oldest"), F.count("*").alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / max(1, rules.crowd)).cast("int")
+    oldest = materialize(oldest.select("one", "two", "oldest", parts.alias("parts")), "oldest-windows")
+    many = small_or_shuffled(oldest.where("parts > 1").select("one", "two", "parts"))
+    dealt = each.join(many, ["one", "two"], "left").withColumn("part", F.pmod(F.xxhash64("piece"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = oldest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    later = dealt.join(copies, ["one", "two", "part"]).where("piece <> oldest")
+    # Windows of a piece overlap, so what lies between two repeated ones is covered by them.
+    found = later.groupBy("piece").agg(F.min("reach").alias("least"), F.max("reach").alias("greatest"))
+    return found.select("piece.*", "least", "greatest")
 
 
 def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -330,7 +372,7 @@ def dedup_substrings(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated = bit_filter(materialize(sample_counts(rows, rules).where("n > 1").select("key"), "repeated-samples"))
     oldest = materialize(oldest_pieces(rows, repeated, rules), "oldest-pieces")
     several = materialize(oldest.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "several-pieces")
-    reaches = repeated_reaches(_shards(open_pieces(rows, oldest, several, rules), rules), rules)
+    reaches = _all_reaches(open_pieces(rows, oldest, several, rules), several, rules)
     # Per document: where its pieces are the oldest of their kind, and how far their windows are repeated even so.
     span = F.struct("pos", "least", "greatest")
     listed = oldest.select("doc_id", "copy", "pos", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("greatest")).unionByName(reaches)

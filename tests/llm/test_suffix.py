@@ -53,7 +53,7 @@ def made(seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("rules", [dict(length=30, gram=8), dict(length=30, gram=8, hot=1, reach=4, chunk=500)])
+@pytest.mark.parametrize("rules", [dict(length=30, gram=8), dict(length=30, gram=8, hot=1, reach=4, chunk=500), dict(length=30, gram=8, hot=1, reach=4, crowd=2)])
 def test_made_texts_equal_brute_force(spark, seed, rules):
     rows = made(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -74,3 +74,24 @@ def test_odd_rows(spark, odd, nothing):
 def test_text_ids(spark):
     rows = [("b", "z" * 50 + "The same passage of more than a hundred bytes stands in two texts, whose ids are words. " * 2), ("a", "The same passage of more than a hundred bytes stands in two texts, whose ids are words. " * 2), ("10", "short")]
     assert result(spark.createDataFrame(rows, "doc_id string, text string"), suffix.Rules()) == brute(rows)
+
+
+def test_a_passage_with_different_text_around_it(spark, monkeypatch):
+    """A third of the texts share 150 bytes: all pieces differ and agree in the context, yet no task sorts them together."""
+    rng = random.Random(1)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = some(150)
+    rows = [(i, some(rng.randrange(80, 200)) + (passage if i % 3 == 0 else "") + some(rng.randrange(80, 200))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rules, sorted_ = suffix.Rules(hot=20, crowd=50), []
+    induced = suffix.repeated_reaches
+    monkeypatch.setattr(suffix, "repeated_reaches", lambda pieces, rules: sorted_.append(pieces) or induced(pieces, rules))
+    assert result(docs, rules) == brute(rows)
+    assert max(r["count"] for r in sorted_[0].groupBy("shard").count().collect()) <= 50
+    assert suffix.Rules().crowd <= 1 << 16
+
+
+def test_null_ids_and_windows_by_hash(spark, odd):
+    rules = dict(hot=0, crowd=0)
+    got = {(r.doc_id, r.n_bytes, str(r.spans), bytes(r.kept)) for r in suffix.dedup_substrings(odd, rules=suffix.Rules(**rules)).collect()}
+    assert got == {(r.doc_id, r.n_bytes, str(r.spans), bytes(r.kept)) for r in suffix.dedup_substrings(odd).collect()}
