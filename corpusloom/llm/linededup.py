@@ -183,39 +183,58 @@ def text_alike(text: str, other: frozenset[str], k: int, least: float) -> bool:
     """``alike`` of a text's shingles and a set.
 
     Of a set of at most ``n`` shingles, ``missing`` of which the other lacks, no more than ``n - missing`` are shared: a
-    part of the text often has enough missing ones to tell that it is not alike.
+    third of the text often has enough missing ones to tell that it is not alike.
     """
     n = max(1, len(text) - k + 1)
     if n < least * len(other):
         return False
-    # The less alike, the sooner enough shingles are missing.
-    for part in (n // 7, n // 4, n // 2) if n >= 60 else ():
-        missing = len(shingle_set(text[: part + k - 1], k) - other)
-        if n - missing < least * (len(other) + missing):
-            return False
+    missing = len(shingle_set(text[: n // 3 + k], k) - other) if n >= 60 else 0
+    if n - missing < least * (len(other) + missing):
+        return False
     return alike(shingle_set(text, k), other, least)
 
 
-def _likely_pairs(texts: list[str], left: np.ndarray, right: np.ndarray, apart: np.ndarray, rules: Rules) -> list[tuple[int, int]]:
-    """Index pairs (one of ``left``, one of ``right``, of different numbers in ``apart``) that may be alike, the likeliest first.
+def _shared_ends(a: str, b: str) -> tuple[int, int]:
+    """Lengths of the common beginning and of the common end behind it."""
+    out = []
+    for back in (False, True):
+        low, high = 0, min(len(a), len(b)) - sum(out)
+        while low < high:
+            middle = (low + high + 1) // 2
+            same = a[len(a) - middle :] == b[len(b) - middle :] if back else a[:middle] == b[:middle]
+            low, high = (middle, high) if same else (low, middle - 1)
+        out.append(low)
+    return out[0], out[1]
+
+
+def surely_alike(a: str, b: str, n_b: int, k: int, least: float) -> bool:
+    """Whether two texts are alike by their ends alone; ``n_b`` is the size of b's set.
 
-    The signatures' agreement estimates the similarity; a pair six standard errors below the one asked for is not looked at.
+    Shingles that lie in the common ends are shared. So each set has at most as many others as touch the part between, and
+    the union has ``n_b`` at least.
     """
-    size = rules.bands * rules.rows
-    column = pa.array(texts, pa.string())
-    sig = np.empty((len(texts), size), dtype=np.uint32)
-    for first, end, block in blocks(column):
-        hashes, line, n = _shingles(block, block.offsets[:-1], block.offsets[1:], rules.shingle)
-        sig[first:end] = signatures(hashes, line, len(n), size)
-    least = size * (rules.similarity - 6 * (rules.similarity * (1 - rules.similarity) / size) ** 0.5)
-    found = []
+    begin, end = _shared_ends(a, b)
+    return len(a) + len(b) - 2 * (begin + end) + 2 * (k - 1) <= (1 - least) * n_b
+
+
+def _alike_pairs(sets: list[frozenset[str]], left: np.ndarray, right: np.ndarray, least: float, width: int = 8192) -> list[tuple[int, int]]:
+    """Index pairs (one of ``left``, one of ``right``) of sets that are alike; all intersections come from matrix products."""
+    place: dict[str, int] = {}
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    item = np.fromiter((place.setdefault(x, len(place)) for s in sets for x in s), dtype=np.int64, count=len(owner))
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
     rows, columns = np.flatnonzero(left), np.flatnonzero(right)
-    for x in rows.tolist():
-        other = columns[apart[columns] != apart[x]]
-        agree = (sig[other] == sig[x]).sum(axis=1)
-        near = agree >= least
-        found += zip((-agree[near]).tolist(), [x] * int(near.sum()), other[near].tolist())
-    return [(x, y) for _, x, y in sorted(found)]
+    both = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for first in range(0, len(place), width):
+        part = slice(*np.searchsorted(item, [first, first + width]))
+        held = np.zeros((len(sets), min(width, len(place) - first)), dtype=np.float32)
+        held[owner[part], item[part] - first] = 1
+        both += held[rows] @ held[columns].T
+    size = np.array([len(s) for s in sets], dtype=np.float64)
+    union = size[rows][:, None] + size[columns][None, :] - both
+    x, y = np.nonzero(both >= least * union)
+    return [(int(a), int(b)) for a, b in zip(rows[x], columns[y]) if a != b]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
@@ -235,7 +254,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
                         known.clear()
                         held = len(text_b)
                     known[b] = shingle_set(text_b, rules.shingle)
-                keep.append(text_alike(text_a, known[b], rules.shingle, rules.similarity))
+                near = surely_alike(text_a, text_b, len(known[b]), rules.shingle, rules.similarity)
+                keep.append(near or text_alike(text_a, known[b], rules.shingle, rules.similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(check, "a long, b long")
@@ -379,16 +399,9 @@ def _grid(open_: DataFrame, texts: DataFrame, rules: Rules) -> DataFrame:
 
         out = []
         if len(parent) > 1:
-            sets: dict[int, frozenset[str]] = {}
-            apart = np.array([m[5] for m in members])
-            for x, y in _likely_pairs([m[6] for m in members], cells == i, cells == j, apart, rules):
+            for x, y in _alike_pairs([shingle_set(m[6], rules.shingle) for m in members], cells == i, cells == j, rules.similarity):
                 a, b = find(members[x][5]), find(members[y][5])
-                if a == b:
-                    continue
-                for z in (x, y):
-                    if z not in sets:
-                        sets[z] = shingle_set(members[z][6], rules.shingle)
-                if alike(sets[x], sets[y], rules.similarity):
+                if a != b:
                     parent[max(a, b)] = min(a, b)
                     out.append((members[x][4], members[y][4]))
         return out

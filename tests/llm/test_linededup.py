@@ -139,3 +139,22 @@ def test_long_lines_are_held_a_few_at_a_time(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = ld.line_groups(docs, rules=ld.Rules(cell_chars=9000, cell=8)).collect()
     assert {(r.keeper_id, r.keeper_line) for r in got} == {(0, 0)} and len(got) == 40
+
+
+def test_texts_alike_by_their_ends():
+    """Never said of texts that are not alike, and said of those with one short change."""
+    rng = random.Random(6)
+    told = 0
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.choice([5, 30, 90, 200])))
+        at, size = rng.randrange(len(a) + 1), rng.randrange(4)
+        b = a[:at] + "".join(rng.choice("abcd") for _ in range(rng.randrange(4))) + a[at + size :] if rng.random() < 0.9 else a[::-1]
+        if len(b) < 8:
+            continue
+        sets = [ld.shingle_set(t, 8) for t in (a, b)]
+        if ld.surely_alike(a, b, len(sets[1]), 8, 0.8):
+            told += 1
+            assert ld.alike(*sets, 0.8)
+    assert told > 800
+    line = " ".join(f"word{i}" for i in range(60))
+    assert ld.surely_alike(line, line.replace("word30", "other"), len(line) - 7, 8, 0.8)
