@@ -132,6 +132,7 @@ def _report_columns() -> list[Column]:
         return F.try_divide(n.cast("double"), of)
 
     matched, unmatched = F.sum("match_count"), F.sum("unmatch_count")
+    # The names of the report's columns, as existing reports spell them.
     return [
         tests.alias("total_tests"),
         matched.alias("matched"),
@@ -174,6 +175,7 @@ def call_counts(df: DataFrame, calls: DataFrame, catalogue: DataFrame, key: str
 
 def report_section(is_md: bool = True) -> Column:
     """Markdown section of one generation (prompt, generated, note)."""
+    # The texts of a section.
     body = F.col("generated") if is_md else F.concat(F.lit("``` "), F.col("generated"), F.lit("\n```"))
     return F.concat(
         F.lit("\n ---  \n  **Prompt: "), F.col("prompt"), F.lit("** \n\n **Output:**  \n "), body,

@@ -101,6 +101,7 @@ def render_api_stub(package: str | Column = "package", namespace: str = "edi", p
 
     Functions of ``namespace`` are called from functions whose names begin with ``prefix``. Packages ``events`` and ``structures`` have their own forms.
     """
+    # The texts of the stubs below, and the names that ``namespace`` and ``prefix`` have by default.
     package = col(package)
     name, about = F.col("function_name"), F.col("description")
     args = F.coalesce("args", F.array().cast("array<struct<name:string,type:string,comment:string>>"))

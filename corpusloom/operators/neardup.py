@@ -39,6 +39,8 @@ BLOCK = 64
 #: Spark puts a group limit in front of the shuffle for ranks up to 1000 (spark.sql.optimizer.windowGroupLimitThreshold).
 LARGEST_BLOCK = 512
 PART_WORDS = 1_000_000
+#: Words of the texts of a block; the one that passes this bound is the block's last.
+BLOCK_WORDS = 1_000_000
 SALTS = 256
 
 
@@ -259,14 +261,18 @@ def cluster_extremes(members: DataFrame, threshold: float = THRESHOLD, block: in
     ``members`` has (cluster, id, words), words as 64-bit hashes. Each round resolves the first
     ``block`` open members of every cluster exactly; open members behind them are then compared with
     the extremes found, and the unmatched ones stay open. Clusters of at most ``block`` members
-    finish in round one; blocks double for the few larger ones, up to ``LARGEST_BLOCK``. A
-    cluster is compared in parts of about ``PART_WORDS`` words, so no task holds all of it.
+    finish in round one; blocks double for the few larger ones, up to ``LARGEST_BLOCK``. A block ends early
+    with ``BLOCK_WORDS`` words, and a cluster is compared in parts of about ``PART_WORDS`` words, so a task holds neither
+    many nor long texts of it.
     """
     open_rows = members.select("cluster", "id", "words")
     done: DataFrame | None = None
     while True:
         rank = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
-        front = open_rows.withColumn("_rank", rank).where(F.col("_rank") <= block).drop("_rank")
+        front = open_rows.withColumn("_rank", rank).where(F.col("_rank") <= block)
+        ahead = Window.partitionBy("cluster").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.size("words")).over(ahead), F.lit(0))
+        front = front.withColumn("_before", before).where(F.col("_before") < BLOCK_WORDS).drop("_rank", "_before")
         front = materialize(front, "block")
         solved = materialize(
             front.groupBy("cluster").applyInPandas(_greedy(threshold), "cluster bigint, id bigint, extreme bigint"),
@@ -274,7 +280,8 @@ def cluster_extremes(members: DataFrame, threshold: float = THRESHOLD, block: in
         )
         done = solved if done is None else done.unionByName(solved)
         # Only full blocks can have members behind them.
-        full = front.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).where(F.col("n") == block)
+        held = front.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"), F.sum(F.size("words")).alias("held"))
+        full = held.where((F.col("n") == block) | (F.col("held") >= BLOCK_WORDS)).select("cluster", "last")
         if full.isEmpty():
             return done
         sizes = open_rows.groupBy("cluster").agg(F.sum(F.size("words")).alias("_words"))

@@ -15,14 +15,18 @@ IGNORE_INDEX = -100
 SHARD_ROWS = 1000
 
 
+# The columns of a source row that its ids take the place of.
+SOURCE_COLUMNS = (
+    "repo_name", "path", "copies", "size", "content", "license",
+    "hash", "line_mean", "line_max", "alpha_frac", "autogenerated",
+)
+
+
 def pretokenize(
     df: DataFrame,
     content: str = "content",
     tokenizer: Tokenizer = default_tokenizer,
-    drop: tuple[str, ...] = (
-        "repo_name", "path", "copies", "size", "content", "license",
-        "hash", "line_mean", "line_max", "alpha_frac", "autogenerated",
-    ),
+    drop: tuple[str, ...] = SOURCE_COLUMNS,
 ) -> DataFrame:
     """``input_ids`` and ``ratio_char_token`` in place of the source columns."""
     ids = df.withColumns({"input_ids": tokenizer(F.col(content)), "_chars": F.length(content)})

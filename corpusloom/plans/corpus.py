@@ -8,9 +8,10 @@ from corpusloom.functions.text import unit_hash
 from corpusloom.operators import features as ft
 from corpusloom.operators import filters as fl
 from corpusloom.operators import keyed, ordering
+from corpusloom.operators import sketches as sk
 from corpusloom.plans import sql as q
 from corpusloom.plans.registry import documents, query, table
-from corpusloom.session import spread
+from corpusloom.session import materialize, spread
 
 # Prose lines are longer than code lines.
 PROSE = fl.QualityRules(line_mean=500.0)
@@ -214,6 +215,22 @@ def _(spark, d):
     return keyed.hash_universe(_hashed(spark, d))
 
 
+@query("duplicate_sketches", f"""
+    SELECT source, count(*) AS rows, count(DISTINCT hash) AS distinct_hashes, true AS within_error FROM ({_HASHED}) GROUP BY source
+    UNION ALL SELECT NULL, count(*), count(DISTINCT hash), true FROM ({_HASHED})""")
+def _(spark, d):
+    """A stored sketch per source, merged over all; estimates stand next to exact counts, four standard errors from them at most."""
+    hashed = materialize(_hashed(spark, d).select("source", "hash"), "hashes")
+    stored = materialize(sk.key_sketches(hashed, "source"), "sketches")
+    every = stored.unionByName(sk.merged(stored).withColumn("source", F.lit(None).cast("string")))
+    counted = hashed.rollup("source").agg(F.count_distinct("hash").alias("distinct_hashes"), F.grouping("source").alias("total"))
+    met = sk.estimated_duplicates(every).join(
+        counted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")) & (F.col("source").isNull() == (F.col("total") == 1))
+    )
+    near = F.abs(F.col("distinct") - F.col("distinct_hashes")) <= 4 * sk.standard_error() * F.col("distinct_hashes") + 1
+    return met.select("source", "rows", "distinct_hashes", near.alias("within_error"))
+
+
 @query("drop_duplicate_rows", "SELECT DISTINCT lang, text FROM documents")
 def _(spark, d):
     return keyed.drop_duplicate_rows(table(spark, d, "documents").select("lang", "text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import tables
 from corpusloom.operators import bpe, collect, keyed, luafunctions
 from corpusloom.operators.ordering import numbered_ranges
 from corpusloom.plans import sql as q
@@ -163,6 +164,14 @@ def _(spark, d):
     return _collected(spark, d, feed.collect_first_stream, feed.FilesTable(spark, fresh_path(spark, "files"), first=True))
 
 
+@query("collect_arrivals_stream", f"SELECT DISTINCT filename, \"user\" FROM ({_SAVED})")
+def _(spark, d):
+    """The files seen, each once: repeats are dropped by the stream's state, whose watermark lies a month behind."""
+    target = feed.FilesTable(spark, fresh_path(spark, "files"), first=True)
+    arrived = _collected(spark, d, lambda *a: feed.collect_arrivals_stream(*a, "30 days"), target)
+    return arrived.select("filename", "user")
+
+
 @query("read_table", f"SELECT filename, \"user\", content FROM ({_LATEST}) WHERE content = 'click'")
 def _(spark, d):
     latest = collect.upsert_batch(_saved(spark, d), order=["ts", "event_id"])
@@ -213,6 +222,18 @@ def _(spark, d):
     return luafunctions.extract_functions(_lua_files(spark, d)).select("path", "name", "body", "register")
 
 
+@query(
+    "lua_functions",
+    f"""SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY i) - 1 AS INTEGER) AS ord, 'f' || i AS name, 'GameEvent.add(f' || i || ')' AS register
+        FROM ({_LUA_LINES}) WHERE contains(line, ',')""",
+)
+def _(spark, d):
+    """The same extraction as a table function in SQL."""
+    tables.register(spark)
+    files = _lua_files(spark, d)
+    return spark.sql("SELECT path, f.ord, f.name, f.register FROM {files}, LATERAL lua_functions(content) f", files=files)
+
+
 @query("find_comment_spans", f"SELECT path, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(line) + 3) AS BIGINT) AS chars FROM ({_LUA_LINES}) GROUP BY path")
 def _(spark, d):
     spans = luafunctions.find_comment_spans(_lua_files(spark, d))

@@ -29,10 +29,12 @@ def build_session(app: str = "corpusloom", cores: str = "*", **conf) -> SparkSes
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, else one under the warehouse, which a session shares."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``; a local session may do without, under its warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.conf.get("spark.master", "local").partition("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_corpusloom"
 
 

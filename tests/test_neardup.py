@@ -154,6 +154,8 @@ def test_large_cluster_takes_blocks(spark, monkeypatch):
     got = {r.id: r.extreme for r in nd.cluster_extremes(members, 0.85, block=4).collect()}
     want = greedy(texts, range(len(texts)), 0.85)
     assert got == want and len(set(want.values())) > 4
+    monkeypatch.setattr(nd, "BLOCK_WORDS", 300)  # six texts
+    assert {r.id: r.extreme for r in nd.cluster_extremes(members, 0.85, block=64).collect()} == want
     df = frame(spark, texts)
     assert as_dict(nd.duplicate_clusters(df, hot_rows=5)) == as_dict(nd.duplicate_clusters(df))
 
