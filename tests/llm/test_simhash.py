@@ -59,6 +59,27 @@ def test_trie_join_finds_all_pairs_and_no_other(spark, cell, rows):
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_blocks_cover_all_bits():
+    for distance in range(1, 6):
+        blocks = simhash._blocks(distance)
+        assert len(blocks) == distance + 1 and sum(w for _, w in blocks) == 64
+        assert all(a + w == b for (a, w), (b, _) in zip(blocks, [*blocks[1:], (64, 0)]))
+
+
+def test_a_crowded_block_is_cut_deeper(spark):
+    """Fingerprints that all share their first block, in groups of near ones."""
+    rng = random.Random(2)
+    top, prints = rng.getrandbits(21) << 43, set()
+    while len(prints) < 300:
+        base = top | rng.getrandbits(43)
+        prints |= {base, base ^ (1 << rng.randrange(43)), base ^ (1 << rng.randrange(43)) ^ (1 << rng.randrange(43))}
+    prints = sorted(prints)
+    df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in prints], "bits long")
+    got = simhash.near_links(df, simhash.Rules(cell=16, rows=64)).collect()
+    want = {frozenset((a, b)) for k, a in enumerate(prints) for b in prints[k + 1 :] if (a ^ b).bit_count() <= 2}
+    assert sorted(map(sorted, want)) == sorted(sorted(int(np.int64(x).view(np.uint64)) for x in r) for r in got)
+
+
 def test_odd_rows(odd, nothing):
     rows = simhash.simhash_groups(odd).collect()
     assert len(rows) == odd.count()
