@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.tokens import default_tokenizer
 from corpusloom.operators import dialogue as dl
 from corpusloom.operators import packing as pk
+from corpusloom.plans import training
 
 SEP = -1
 
@@ -46,6 +47,14 @@ def test_constant_length(spark, tokenized, renumber):
     assert n_buffers > 1 and sum(len(r[1]) + 1 for r in rows) - 16 * len(want) < 16 * n_buffers
 
 
+def test_the_packing_query_packs_dense_and_sparse_ids(spark, tmp_path):
+    rows = [(i * 3, "word " * (20 + 90 * i)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'web' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = training.pack_constant_length(spark, str(tmp_path)).collect()
+    of = {gap: sorted(tuple(r[1:]) for r in got if r.gap == gap) for gap in (1, 1000)}
+    assert len(of[1]) > 100 and of[1] == of[1000] and len(got) == 2 * len(of[1])
+
+
 def test_masks_of_blocks_that_begin_inside_a_user_turn(spark):
     ids = [5, 6, -2, 7, -1, 8, 9, -2, 4]
     df = spark.createDataFrame([(ids, True), (ids, False), ([], True), ([3], True)], "ids array<int>, inside boolean")
