@@ -6,7 +6,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ COMMENTS = (r"--.*$", r"--\[\[[\s\S]*?\]\]")
 BLOCK_WORDS = r"\b(function|if|for|while|end)\b"
 FUNCTION_WORD = r"\b(?:local\s+)?function\b"
 FUNCTION_NAME = r"\b(?:local\s+)?function\s+([\w_:.]+)\s*?\("
+#: Characters of found functions that a task holds before it hands them on.
+HELD_CHARS = 4 << 20
 REGISTER_CALL = (
     r"((GameEvent|g_mir.ssr)\.(add|register_ssr|remove|removeByNameAndTag|removeByTag|removeAll|push|register|"
     r"execute|addEvent)\(.+\))"
@@ -88,6 +90,30 @@ def lua_functions(code: str, require_register: bool = True, register_call: str =
             yield name.group(1), body, code[above:start], register
 
 
+def _scanned(batches: Iterator[pa.RecordBatch], require_register: bool, register_call: str, held_chars: int) -> Iterator[pa.RecordBatch]:
+    """Functions of texts (key, content): one text at a time is taken out of a batch, and what was found goes on in bounded batches."""
+    for batch in batches:
+        keys, texts = batch.columns
+        places: list[int] = []
+        found: list[tuple] = []
+
+        def handed() -> pa.RecordBatch:
+            columns = zip(*found) if found else [()] * 5
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.string()] * 4])]
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(places, pa.int64())), *arrays], names=["key", "ord", "name", "body", "comment", "register"])
+
+        held = 0
+        for place, text in enumerate(texts):
+            for i, function in enumerate(lua_functions(text.as_py(), require_register, register_call)):
+                places.append(place)
+                found.append((i, *function))
+                held += sum(len(x) for x in function if x)
+                if held >= held_chars:
+                    yield handed()
+                    places, found, held = [], [], 0
+        yield handed()
+
+
 def extract_functions(
     df: DataFrame, key: str = "path", content: str = "content", require_register: bool = True, register_call: str = REGISTER_CALL
 ) -> DataFrame:
@@ -96,18 +122,12 @@ def extract_functions(
     Nesting of block words is not regular, so each text is scanned in Python, one Arrow batch at a
     time; files without the word are dropped before they leave the JVM.
     """
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (path, i, *found)
-                for path, code in zip(batch["key"], batch["content"])
-                for i, found in enumerate(lua_functions(code, require_register, register_call))
-            ]
-            yield pd.DataFrame(rows, columns=["key", "ord", "name", "body", "comment", "register"])
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _scanned(batches, require_register, register_call, HELD_CHARS)
 
     files = df.select(F.col(key).alias("key"), F.col(content).alias("content")).where(F.col("content").contains("function"))
     kind = dict(df.dtypes)[key]
-    out = files.mapInPandas(scan, f"key {kind}, ord int, name string, body string, comment string, register string")
+    out = files.mapInArrow(scan, f"key {kind}, ord int, name string, body string, comment string, register string")
     return out.withColumnRenamed("key", key)
 
 

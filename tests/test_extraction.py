@@ -1,6 +1,7 @@
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.operators import luafunctions as lf
@@ -148,3 +149,12 @@ def test_delimited_records(spark):
     df = spark.createDataFrame([(r,) for r in rows], "record string")
     assert [tuple(r) for r in readers.delimited_records(df).collect()] == [("ask", "answer")]
     assert [tuple(r) for r in readers.delimited_records(df, prompts_only=True).collect()] == [("ask",)]
+
+
+def test_found_functions_go_on_in_bounded_batches():
+    code = "".join(f"local function f{i}(x)\nend\nGameEvent.add(f{i})\n" for i in range(200))
+    batch = pa.RecordBatch.from_pydict({"key": [1, 2, 3], "content": [code, "function", code]})
+    got = list(lf._scanned(iter([batch]), True, lf.REGISTER_CALL, 500))
+    assert len(got) > 20 and max(b.num_rows for b in got) < 20
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [(r["key"], r["ord"], r["name"]) for r in rows] == [(k, i, f"f{i}") for k in (1, 3) for i in range(200)]
