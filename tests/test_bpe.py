@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 
@@ -118,3 +119,12 @@ def test_encoding_equals_one_merge_after_another(spark, limit, monkeypatch):
     for r in rows:
         if texts[r.id]:
             assert r.input_ids == want[r.id] and r.ratio_char_token == len(texts[r.id]) / len(want[r.id])
+
+
+def test_a_task_indexes_its_words_in_bounded_parts():
+    words = [f"word{i:04}" for i in range(1000)]
+    batches = [pa.RecordBatch.from_pydict({"word": words[i : i + 400], "n": list(range(i, min(i + 400, 1000)))}) for i in (0, 400, 800)]
+    parts = list(bpe._indexed(iter(batches), 800))
+    assert [len(p.symbols) for p in parts] == [800] * 10
+    assert [w for p in parts for w in p.words()] == words and [n for p in parts for n in p.weight[::8].tolist()] == list(range(1000))
+    assert list(bpe._indexed(iter(batches[:0]), 800)) == []
