@@ -128,3 +128,15 @@ def test_a_task_indexes_its_words_in_bounded_parts():
     assert [len(p.symbols) for p in parts] == [800] * 10
     assert [w for p in parts for w in p.words()] == words and [n for p in parts for n in p.weight[::8].tolist()] == list(range(1000))
     assert list(bpe._indexed(iter(batches[:0]), 800)) == []
+
+
+def test_encoding_does_not_shuffle_texts(spark):
+    df = spark.createDataFrame([(1, "a b a b"), (2, None), (3, "b")], "id int, content string").repartition(3)
+    found = bpe.bpe_encode(df, bpe.Vocabulary([]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert {r.id: (r.n_chars, r.input_ids) for r in found.collect()} == {1: (7, [*b"a b a b"]), 2: (None, []), 3: (1, [*b"b"])}
+    # A repeated or null key: its texts are one, place by place.
+    twice = spark.createDataFrame([(1, "a b"), (1, "c de"), (None, "x"), (None, "y"), (4, "z")], "id int, content string")
+    got = {r.id: (r.n_chars, r.input_ids) for r in bpe.bpe_encode(twice, bpe.Vocabulary([])).collect()}
+    assert got == {1: (4, [*b"ac b de"]), None: (1, [*b"xy"]), 4: (1, [*b"z"])}
