@@ -123,6 +123,33 @@ def test_set_join_finds_all_pairs(spark, threshold, cell, hot):
         setjoin.similar_sets(df, 0)
 
 
+def test_sets_alike_are_shuffled_once_and_not_for_every_pair(spark, tmp_path):
+    """Every set is like every other: 780 pairs, but the cells that compare them hold few copies of a set."""
+    base = list(range(1000, 1100))
+    sets = spark.createDataFrame([(i, [*base, i, i + 500]) for i in range(40)], "id long, words array<long>")
+    pairs = setjoin.candidate_pairs(setjoin.prefixes(sets, 0.85), 0.85)
+    assert pairs.count() == 780
+    ends = pairs.select("place", F.explode(F.array("a", "b")).alias("id")).distinct()
+    assert ends.count() <= 40 * 3
+    assert setjoin.similar_sets(sets, 0.85).count() == 780
+
+
+def test_prefixes_that_share_too_little_are_no_candidates(spark):
+    """One rare word in common does not make two sets a pair that is looked at."""
+    rows = [(i, [7, *range(1000 * (i + 1), 1000 * (i + 1) + 150)]) for i in range(30)]
+    sets = spark.createDataFrame(rows + [(i + 100, w[1:]) for i, w in rows], "id long, words array<long>")
+    pairs = setjoin.candidate_pairs(setjoin.prefixes(sets, 0.85), 0.85)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, i + 100) for i in range(30)}
+
+
+@pytest.mark.parametrize("cells", [(4096, 512), (2, 2)])
+def test_set_join_keeps_repeated_ids_and_drops_null_ones(spark, cells):
+    words = list(range(20))
+    rows = [(1, words), (1, words), (2, [*words, 99]), (None, words), (3, [5, 1000])]
+    sets = spark.createDataFrame(rows, "id long, words array<long>")
+    assert sorted((r.a, r.b, round(r.similarity, 3)) for r in setjoin.similar_sets(sets, 0.85, *cells).collect()) == [(1, 2, 0.952)] * 2
+
+
 def test_recall_of_the_bands(spark):
     rows = frame(spark, list(enumerate(texts(30))))
     table = nd.dedup_table(rows)
