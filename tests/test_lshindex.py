@@ -160,6 +160,27 @@ def test_recall_of_the_bands(spark):
     assert (none.pairs, none.found, none.recall) == (0, 0, None)
 
 
+def test_buckets_meet_where_their_sets_do(spark):
+    """(similarity, marked) of pairs whose place is dealt to cells; ids without buckets share none."""
+    sets = spark.createDataFrame([(i, [1, 2, 3, 10 + i % 2]) for i in range(12)], "id long, words array<long>")
+    pairs = spark.createDataFrame([(a, b, (a + b) % 2) for a in range(12) for b in range(a)], "a long, b long, place int")
+    marks = spark.createDataFrame([(i, [i % 3, 100 + i]) for i in range(10)], "id long, marks array<int>")
+    got = {(r.a, r.b): (r.similarity, r.marked) for r in setjoin._compared(pairs, sets, 3, marks).collect()}
+    assert got == {(a, b): (1.0 if (a - b) % 2 == 0 else 0.6, a < 10 and (a - b) % 3 == 0) for a in range(12) for b in range(a)}
+
+
+def test_word_sets_are_one_row_for_each_set(spark, tmp_path):
+    """As a join with the first id of each set: repeated ids stay, null ids go, an id that is first of two sets counts for both."""
+    from corpusloom.plans.duplicates import _word_sets
+
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(1, text(12)), (2, text(12)), (3, text(13)), (3, text(13)), (4, text(14)), (4, text(15)), (None, text(16)), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS source", "'l' AS lang")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.id, len(r.words)) for r in _word_sets(spark, str(tmp_path)).collect())
+    assert got == [(1, 12), (3, 13), (3, 13), (4, 14), (4, 14), (4, 15), (4, 15)]
+
+
 def test_a_batch_of_a_bucketed_table_replaces_itself(spark, tmp_path):
     from corpusloom.sources.bucketed import Layout
 
