@@ -158,3 +158,23 @@ def test_texts_alike_by_their_ends():
     assert told > 800
     line = " ".join(f"word{i}" for i in range(60))
     assert ld.surely_alike(line, line.replace("word30", "other"), len(line) - 7, 8, 0.8)
+
+
+def test_packed_shingles_are_the_shingles():
+    """Packed and plain sets say the same of every pair; texts with characters beyond a byte are never packed."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab\x00é") for _ in range(rng.choice([3, 8, 9, 40, 120]))) for _ in range(60)]
+    texts += [t[:30] + "x" + t[30:] for t in texts] + ["a line with a sign €", "a line with a sigh €", "short", ""]
+    for k in (1, 5, 8, 9):
+        packed = [ld.packed_shingles(t, k) for t in texts]
+        assert all((p is not None) == (k <= 8 and k <= len(t) and "€" not in t) for p, t in zip(packed, texts))
+        sets = [ld.shingle_set(t, k) for t in texts]
+        assert all(p is None or len(p) == len(s) for p, s in zip(packed, sets))
+        alike = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and ld.alike(sets[i], sets[j], 0.8)]
+        assert all(((i, j) in set(alike)) == ld.packed_alike(packed[i], packed[j], 0.8) for i in range(0, 60, 7) for j in range(len(texts)) if i != j and packed[i] is not None and packed[j] is not None)
+        every = np.ones(len(texts), dtype=bool)
+        assert sorted(ld._alike_pairs(texts, k, every, every, 0.8)) == alike
+        # Shingles that one text has alone take no part in the products.
+        owner, item, size = ld._items(texts, k)
+        assert size.tolist() == [len(s) for s in sets] and (np.bincount(item) > 1).all()
+        assert len(np.unique(item)) == sum(n > 1 for n in Counter(x for s in sets for x in s).values())
