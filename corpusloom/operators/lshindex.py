@@ -21,7 +21,8 @@ from corpusloom.operators import neardup as nd
 from corpusloom.session import discard, materialize
 from corpusloom.sources.bucketed import BucketedTable, Layout
 
-#: As many as shuffles have partitions, or more: with fewer, Spark shuffles the stored side as well.
+#: The most buckets an index has unless it is told. As many as shuffles have partitions, or more: with fewer, Spark shuffles
+#: the stored side as well, and fewer tasks write it.
 BUCKETS = 200
 
 
@@ -35,10 +36,14 @@ class LshIndex:
         threshold: float = nd.THRESHOLD,
         num_perm: int = nd.NUM_PERM,
         seed: int = 1,
-        buckets: int = BUCKETS,
+        buckets: int | None = None,
     ):
+        """``buckets`` of a new index: by default as many as shuffles have partitions, ``BUCKETS`` at most."""
+        if buckets is None:
+            buckets = min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.spark, self.path = spark, path.rstrip("/")
         self.threshold, self.num_perm, self.seed = threshold, num_perm, seed
+        self._known: tuple[list[int], DataFrame] | None = None
         layout = lambda schema, *keys: Layout(f"{schema}, batch int", keys, buckets, "batch")
         self.sets = BucketedTable(spark, f"{self.path}/sets", layout("set_key string, node long, words array<long>", "set_key"))
         self.bands = BucketedTable(spark, f"{self.path}/bands", layout("bucket long, band int, node long", "bucket", "band"))
@@ -63,7 +68,13 @@ class LshIndex:
         return table.read().where(F.col("batch").isin(self.batches())).drop("batch")
 
     def _roots(self) -> DataFrame:
-        """(node, root) of all linked nodes, through all moves."""
+        """(node, root) of all linked nodes, through all moves; found once for the batches there are."""
+        batches = self.batches()
+        if self._known is None or self._known[0] != batches:
+            self._known = batches, self._moved_roots()
+        return self._known[1]
+
+    def _moved_roots(self) -> DataFrame:
         labels, moves = self._stored("labels", "node long, root long"), self._stored("moves", "root long, next long")
         if not moves.isEmpty():
             last = nd.connected_components(moves.select(F.col("root").alias("src"), F.col("next").alias("dst")))

@@ -132,7 +132,7 @@ def dedup_table(df: DataFrame, key: str = "id", content: str = "content") -> Dat
     return distinct.select(
         "id",
         F.transform("_set", word_hash).alias("words"),
-        F.md5(F.array_join(F.array_sort("_set"), " ")).alias("set_key"),
+        F.md5(F.array_join(F.sort_array("_set"), " ")).alias("set_key"),
     )
 
 

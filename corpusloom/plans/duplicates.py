@@ -204,7 +204,7 @@ def corpus_path(spark, d):
 
 def _indexed(spark, d, path: str) -> LshIndex:
     """The corpus in two batches, as if the second had come later."""
-    index, docs = LshIndex(spark, path, buckets=8), corpus(spark, d)
+    index, docs = LshIndex(spark, path), corpus(spark, d)
     index.insert(docs.where("id % 2 = 0"))
     index.insert(docs.where("id % 2 = 1"))
     return index
@@ -225,7 +225,7 @@ def _(spark, d):
     UNION SELECT t.id, s.node FROM texts t JOIN stored s USING (set_key) WHERE t.id % 2 = 1""")
 def _(spark, d):
     """What the texts of a second batch would be linked with in an index of the first."""
-    index, docs = LshIndex(spark, fresh_path(spark, "lsh-index"), buckets=8), corpus(spark, d)
+    index, docs = LshIndex(spark, fresh_path(spark, "lsh-index")), corpus(spark, d)
     index.insert(docs.where("id % 2 = 0"))
     return index.query(docs.where("id % 2 = 1"))
 

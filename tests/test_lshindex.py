@@ -190,3 +190,20 @@ def test_a_batch_of_a_bucketed_table_replaces_itself(spark, tmp_path):
     table.write(spark.range(10, 15).selectExpr("id AS k", "id AS v"), 1)
     table.write(spark.range(3).selectExpr("id AS k", "-id AS v"), 0)
     assert sorted((r.k, r.v, r.batch) for r in table.read().collect()) == [(0, 0, 0), (1, -1, 0), (2, -2, 0), *((i, i, 1) for i in range(10, 15))]
+
+
+def test_roots_are_found_once_for_the_batches_there_are(spark, tmp_path, monkeypatch):
+    """The answer of an insert and the clusters share them; another batch, or a broken one, gives new ones."""
+    found = []
+    monkeypatch.setattr(LshIndex, "_moved_roots", lambda self, plain=LshIndex._moved_roots: found.append(self.batches()) or plain(self))
+    rows = list(enumerate(texts(6)))
+    index = LshIndex(spark, str(tmp_path), buckets=4)
+    index.insert(frame(spark, rows[::2]))
+    index.insert(frame(spark, rows[1::2]))
+    assert listed(index.clusters(frame(spark, rows))) == listed(nd.duplicate_clusters(frame(spark, rows)))
+    assert found == [[], [0], [0, 1]]
+
+
+def test_a_new_index_has_a_bucket_for_each_partition_of_a_shuffle(spark, tmp_path):
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert LshIndex(spark, str(tmp_path)).bands.layout.buckets == partitions
