@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col, quoted, strip
 from corpusloom.operators.winnow import shared_grams
+from corpusloom.session import materialize
 
 # The window on either side of the cursor, template marks, and the
 # characters a completion may stand in front of.
@@ -130,29 +131,42 @@ def _merge(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     )
 
 
-def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", stride: int = 100_000) -> DataFrame:
+#: Spans of a task: the number of tasks follows the spans, so that a task's memory does not.
+TASK_SPANS = 1 << 19
+#: Tasks that the equal starts of one key are dealt to at first.
+SALTS = 32
+
+
+def merge_spans(
+    df: DataFrame, keys: list[str], start: str = "start", end: str = "end", stride: int = 100_000, task_spans: int = TASK_SPANS
+) -> DataFrame:
     """Spans of a key that touch or overlap become one.
 
-    Spans with the same start are reduced to the longest before the shuffle and merged inside
-    stretches of ``stride`` positions first: no task gets more than ``stride`` spans of a
+    Spans with the same start are reduced to the longest, in ``SALTS`` places first, and merged inside
+    stretches of ``stride`` positions: no task gets more than ``stride`` spans of a
     key at a time. Between stretches only their reaches meet, and a span that runs on is put
-    together by an aggregate.
+    together by an aggregate. ``df`` is counted first, for tasks of about ``task_spans``.
     """
-    longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
-    parted = longest.withColumn("_part", F.floor(F.col(start) / stride))
-    rows = _merge(parted, [*keys, "_part"], start, end)
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(slots, -(-df.count() // task_spans))
+    # As a struct, null keys are equal to each other in joins too, and meet where the aggregates have put them.
+    spans = df.select(F.struct(*keys).alias("_key"), start, end, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("_salt"))
+    longest = spans.repartition(tasks, "_key", start, "_salt").groupBy("_key", start, "_salt").agg(F.max(end).alias(end))
+    parted = longest.withColumn("_part", F.floor(F.col(start) / stride)).repartition(tasks, "_key", "_part")
+    place = ["_key", "_part"]
+    rows = _merge(parted.groupBy(*place, start).agg(F.max(end).alias(end)), place, start, end)
     # Merged rows of a stretch lie apart, so all but those that begin within the reach of earlier stretches stand; a row per
     # stretch tells the later ones its reach, and the beginning of the row that the last one of it is part of.
-    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*keys, "_part").agg(F.max(start).alias("_last"), F.max(end).alias("_top"))
+    ahead = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*place).agg(F.max(start).alias("_last"), F.max(end).alias("_top")).repartition(tasks, "_key")
     carried = ends.withColumn("_reach", F.max("_top").over(ahead))
     opened = F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")), F.col("_last"))
-    carried = carried.withColumn("_before", F.max(opened).over(ahead)).where("_reach IS NOT NULL").select(*keys, "_part", "_reach", "_before")
-    of = {c: f"_of_{c}" for c in [*keys, "_part"]}
-    same = [F.col(c).eqNullSafe(F.col(name)) for c, name in of.items()]
-    joined = rows.join(carried.withColumnsRenamed(of), same, "left").select(*keys, start, end, "_reach", "_before")
+    carried = carried.withColumn("_before", F.max(opened).over(ahead)).where("_reach IS NOT NULL").select(*place, "_reach", "_before")
+    joined = rows.join(carried, place, "left").select(*place, start, end, "_reach", "_before")
     joined = joined.withColumn(start, F.when(F.col(start) <= F.col("_reach"), F.col("_before")).otherwise(F.col(start)))
-    return joined.groupBy(*keys, start).agg(F.max(end).alias(end)).select(*keys, start, end)
+    # A stretch's rows of one span become one before they meet those of other stretches.
+    once = joined.groupBy(*place, start).agg(F.max(end).alias(end)).repartition(tasks, "_key", start)
+    return once.groupBy("_key", start).agg(F.max(end).alias(end)).select("_key.*", start, end)
 
 
 def merge_span_array(spans: str | Column) -> Column:
@@ -183,7 +197,8 @@ def contamination_overlap(
     turned into character offsets after merging.
     """
     found = shared_grams(df, reference, n, key, content, reference_content)
-    hits = found.withColumn("end", F.col("start") + n)
+    # Written once, since merging counts them first.
+    hits = materialize(found.withColumn("end", F.col("start") + n), "overlap-hits")
     merged = merge_spans(hits, [key])
     words = F.split(F.col(content), " ")
     texts = df.select(key, words.alias("_words")).join(merged, key)

@@ -141,6 +141,19 @@ def test_spans(spark):
         assert [tuple(x) for x in r.m] == merged(spans[r.k])
 
 
+def test_tasks_that_merge_spans_follow_their_number(spark):
+    """A hot start, null keys and spans over many stretches; a task gets about as many spans as it is told."""
+    rng = random.Random(3)
+    rows = [("a", 5, 5 + i % 40) for i in range(300)] + [("b", i, i + 500 * (i % 50 == 0) + 1) for i in rng.sample(range(2000), 400)]
+    rows += [(None, s, s + rng.randrange(9)) for s in rng.sample(range(2000), 300)]
+    df = spark.createDataFrame(rows, "k string, start int, end int")
+    got = ed.merge_spans(df, ["k"], stride=50, task_spans=20)
+    assert got.columns == ["k", "start", "end"] and got.rdd.getNumPartitions() == 50
+    want = [(k, *span) for k in ("a", "b", None) for span in merged([(s, e) for c, s, e in rows if c == k])]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert ed.merge_spans(df.where("false"), ["k"]).collect() == []
+
+
 def test_overlap_spans_are_text(spark):
     rng = random.Random(9)
     pool = [f"w{i}" for i in range(30)]
