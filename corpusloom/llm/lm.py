@@ -76,16 +76,16 @@ class Tokens:
     def __init__(self, raw: Block, rules: Rules):
         block = lowered(raw)
         starts, ends = block.words()
-        doc = block.doc_of(starts)
-        self.lengths = np.bincount(doc, minlength=len(block)) + 1
+        self.lengths = block.per_doc(starts) + 1
         stops = np.cumsum(self.lengths)
         self.doc = np.repeat(np.arange(len(block)), self.lengths)
-        self.rank = np.arange(len(self.doc)) - (stops - self.lengths)[self.doc]
+        self.rank = np.arange(len(self.doc)) - np.repeat(stops - self.lengths, self.lengths)
+        word = np.ones(len(self.doc), dtype=bool)
+        word[stops - 1] = False
         self.key = np.full(len(self.doc), END, dtype=_U)
-        at = np.arange(len(starts)) + doc
-        self.key[at] = block.hashes(starts, ends)
+        self.key[word] = block.hashes(starts, ends)
         self.shape = np.zeros(len(self.doc), dtype=np.int64)
-        self.shape[at] = _shapes(block, starts, ends, rules.shapes)
+        self.shape[word] = _shapes(block, starts, ends, rules.shapes)
 
     def before(self, distance: int) -> np.ndarray:
         """The key so many tokens back in the same document."""
@@ -115,6 +115,15 @@ def in_training(doc_id: str = "doc_id"):
     return crc_of(doc_id) % 10 != 0
 
 
+def _counted(key: np.ndarray, shape: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, their shapes, and how often they stand there. Equal keys have one shape."""
+    order = np.argsort(key)
+    ranked = key[order]
+    cuts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]][: len(ranked)])
+    times = np.diff(np.r_[cuts, len(ranked)]) if n is None else np.add.reduceat(n[order], cuts) if len(cuts) else n
+    return ranked[cuts], shape[order[cuts]], times
+
+
 def token_counts(df: DataFrame, text: str, rules: Rules) -> DataFrame:
     """(key, shape, n): how often each token stands in ``df``."""
 
@@ -123,9 +132,7 @@ def token_counts(df: DataFrame, text: str, rules: Rules) -> DataFrame:
         size = 0
 
         def merged():
-            key, shape, n = (np.concatenate(x) for x in zip(*held))
-            keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            return keys, shape[first], np.bincount(inverse, weights=n).astype(np.int64)
+            return _counted(*(np.concatenate(x) for x in zip(*held)))
 
         def rows(key, shape, n):
             for at in range(0, len(key), 200_000):
@@ -135,9 +142,8 @@ def token_counts(df: DataFrame, text: str, rules: Rules) -> DataFrame:
         for batch in batches:
             for _, _, block in blocks(batch.column("text")):
                 tokens = Tokens(block, rules)
-                keys, first, n = np.unique(tokens.key, return_index=True, return_counts=True)
-                held.append((keys, tokens.shape[first], n))
-                size += len(keys)
+                held.append(_counted(tokens.key, tokens.shape))
+                size += len(held[-1][0])
                 if size > 500_000:
                     held = [merged()]
                     size = len(held[0][0])
@@ -174,6 +180,43 @@ def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class Places:
+    """The places of wanted keys among the top words, by a hash table: a key stands in its slot or in one of the next."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max((4 * len(keys)).bit_length(), 3)
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.longest = 0
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            # Of the keys that want a free slot the last one gets it; the others go on.
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            out = self.slots[slot] != left
+            left, slot = left[out], slot[out] + 1 & (1 << self.bits) - 1
+            self.longest += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of each wanted key in the keys, -1 where it is missing."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        slot = self._slot(wanted)
+        found = self.slots[slot].astype(np.int64)
+        left = np.flatnonzero(found >= 0)
+        left = left[self.keys[found[left]] != wanted[left]]
+        for _ in range(1, self.longest):
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+            found[left] = self.slots[slot[left]]
+            left = left[found[left] >= 0]
+            left = left[self.keys[found[left]] != wanted[left]]
+        found[left] = -1
+        return found
+
+
 def _summed(rows: DataFrame, width: int) -> np.ndarray:
     """Sum of the float vectors (part, values) that tasks emit, part by part; the sums have a fixed size."""
 
@@ -269,21 +312,30 @@ def make_classes(counts: DataFrame, words: Vocabulary, shapes: np.ndarray, group
     return Classes(of_top, log_inside, group, first_tail, log_prior, tail_mass, unseen)
 
 
-def _classes_of(tokens: Tokens, words: Vocabulary, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+def _classes_of(tokens: Tokens, top: Places, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """(index among the top words or -1, class) of every token."""
-    at = _place(words.keys, tokens.key)
+    at = top.find(tokens.key)
     tail = classes.first_tail + classes.group_of_shape[tokens.shape]
-    own = np.where(at >= 0, classes.of_top[at], tail) if len(words.keys) else tail
+    own = np.where(at >= 0, classes.of_top[at], tail) if len(top.keys) else tail
     return at, np.where(tokens.key == END, 0, own)
 
 
-def _log_softmax(weights: np.ndarray, prior: np.ndarray, features: np.ndarray) -> np.ndarray:
-    z = weights[features[0]]
+def _room(rules: Rules, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays that one softmax after the other is taken in."""
+    return np.empty((rules.part, classes), dtype=np.float32), np.empty((rules.part, classes), dtype=np.float32)
+
+
+def _log_softmax(weights: np.ndarray, prior: np.ndarray, features: np.ndarray, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log P(class), tokens x classes; it stands in ``room``, until the next call with the same."""
+    shape = (features.shape[1], len(prior))
+    z, more = (np.empty(shape, dtype=np.float32) if room is None else room[k][: shape[0]] for k in range(2))
+    # "clip" spares the copy behind a check of the indexes; hashed features are never out of range.
+    np.take(weights, features[0], axis=0, out=z, mode="clip")
     for f in features[1:]:
-        z += weights[f]
+        z += np.take(weights, f, axis=0, out=more, mode="clip")
     z += prior
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z -= np.log(np.exp(z, out=more).sum(axis=1, keepdims=True))
     return z
 
 
@@ -299,20 +351,28 @@ def _updated(df: DataFrame, weights: np.ndarray, words: Vocabulary, classes: Cla
         square = np.full_like(w, 0.5)
         prior = classes.log_prior.astype(np.float32)
         seen = np.zeros(len(w), dtype=np.float32)
+        top = Places(words.keys)
+        room = _room(rules, n_classes)
+        errors, sums = np.empty((n_classes, rules.batch)), np.empty((n_classes, len(w)))
         for batch in batches:
             for _, _, block in blocks(batch.column("text")):
                 tokens = Tokens(block, rules)
                 features = tokens.features(len(w))
-                _, gold = _classes_of(tokens, words, classes)
+                _, gold = _classes_of(tokens, top, classes)
                 seen += np.bincount(features.ravel(), minlength=len(w)).astype(np.float32)
                 for at in range(0, len(gold), rules.batch):
                     f = features[:, at : at + rules.batch]
-                    parts = [f[:, a : a + rules.part] for a in range(0, f.shape[1], rules.part)]
-                    error = np.exp(np.concatenate([_log_softmax(w, prior, p) for p in parts]))
-                    error[np.arange(len(error)), gold[at : at + rules.batch]] -= 1
-                    flat = f.ravel()
-                    sums = [np.bincount(flat, weights=np.tile(e, len(f)), minlength=len(w)) for e in np.ascontiguousarray(error.T)]
-                    gradient = np.ascontiguousarray(np.stack(sums).T, dtype=np.float32)
+                    error = errors[:, : f.shape[1]]
+                    for a in range(0, f.shape[1], rules.part):
+                        part = slice(a, a + rules.part)
+                        p = np.exp(z := _log_softmax(w, prior, f[:, part], room), out=z)
+                        p[np.arange(len(p)), gold[at : at + rules.batch][part]] -= 1
+                        error[:, part] = p.T
+                    flat, each = f.ravel(), np.empty(f.shape)
+                    for c in range(n_classes):
+                        each[:] = error[c]
+                        sums[c] = np.bincount(flat, weights=each.ravel(), minlength=len(w))
+                    gradient = sums.T.astype(np.float32, order="C")
                     square += gradient**2
                     w -= rules.rate * gradient / np.sqrt(square)
         if seen.any():
@@ -375,17 +435,19 @@ def _scored(df: DataFrame, weights: np.ndarray, words: Vocabulary, classes: Clas
         weights, words, classes = shared.value
         prior = classes.log_prior.astype(np.float32)
         base_of_top = np.log10((words.counts + rules.smoothing) / floor)
+        top_words = Places(words.keys)
+        room = _room(rules, len(prior))
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, end, block in blocks(batch.column("text")):
                 tokens = Tokens(block, rules)
                 n_docs = len(block)
-                at, gold = _classes_of(tokens, words, classes)
+                at, gold = _classes_of(tokens, top_words, classes)
                 features = tokens.features(len(weights))
                 log_p = np.empty(len(gold))
                 for a in range(0, len(gold), rules.part):
                     part = slice(a, a + rules.part)
-                    z = _log_softmax(weights, prior, features[:, part])
+                    z = _log_softmax(weights, prior, features[:, part], room)
                     log_p[part] = z[np.arange(len(z)), gold[part]]
                 log_p /= np.log(10)
                 top, rest = at >= 0, at < 0

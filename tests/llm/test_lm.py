@@ -58,6 +58,38 @@ def test_probabilities_sum_to_one():
     assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-5)
 
 
+def test_softmax_is_taken_in_the_room_it_is_given():
+    """With and without room the same, for fewer tokens than there is room for; nothing of an earlier call is left."""
+    rng = np.random.default_rng(2)
+    weights, prior = rng.normal(size=(64, 9)).astype(np.float32), rng.normal(size=9).astype(np.float32)
+    room = lm._room(lm.Rules(part=50), 9)
+    for n in (50, 7, 0):
+        features = rng.integers(0, 64, (4, n))
+        z = lm._log_softmax(weights, prior, features, room)
+        assert z.base is room[0] and np.array_equal(z, lm._log_softmax(weights, prior, features))
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 5000])
+def test_places_of_keys_are_found_without_a_search(n):
+    """Also where keys want one slot, in the last slots and for keys that are missing."""
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), np.arange(n, dtype=np.uint64), ~np.arange(n, dtype=np.uint64)]))
+    wanted = np.concatenate([keys, rng.integers(0, 2**64, 1000, dtype=np.uint64), np.arange(2 * n, dtype=np.uint64), ~np.arange(2 * n, dtype=np.uint64)])
+    assert np.array_equal(lm.Places(keys).find(wanted), lm._place(keys, wanted))
+
+
+def test_counted_keys_equal_brute_force():
+    rng = np.random.default_rng(3)
+    key, n = rng.integers(0, 50, 1000).astype(np.uint64), rng.integers(1, 9, 1000)
+    want, seen = Counter(), Counter(key.tolist())
+    for k, times in zip(key.tolist(), n.tolist()):
+        want[k] += times
+    shape = (key * 7 % 11).astype(np.int64)
+    for got, expected in ((lm._counted(key, shape, n), want), (lm._counted(key, shape), seen)):
+        assert list(zip(*(x.tolist() for x in got))) == [(k, k * 7 % 11, expected[k]) for k in sorted(expected)]
+    assert [len(x) for x in lm._counted(key[:0], shape[:0], n[:0])] == [0, 0, 0]
+
+
 def test_inside_a_class_probabilities_sum_to_one(spark, documents):
     docs = spark.createDataFrame(documents, "doc_id long, text string, lang string")
     rules = lm.Rules(top=500, single=10, band=100)
