@@ -1,9 +1,9 @@
 """Exact set-similarity join: prefixes of rarest-first word lists, length and position filters, exact verification.
 
 If two sets have a Jaccard similarity of at least t, the rarest words of each, as many as its prefix holds, have one
-in common. So only rows of prefixes meet, and pairs whose sizes, positions, parity sketches or number of common prefix words rule the similarity
-out are dropped before any set is looked at. The others are compared where they met: a place holds each of its sets once, however
-many pairs the set is in, so whole sets are not shuffled for every pair.
+in common. So only rows of prefixes meet, and only those that leave room for enough common words behind them. Meetings that sizes, positions
+or parity sketches rule out are dropped where they happen, before they are shuffled or any set is looked at. The others are compared where
+they met: a place holds each of its sets once, however many pairs the set is in, so whole sets are not shuffled for every pair.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ CELL = 4096
 MEMBERS = 256
 #: Counters that words are hashed to; how rare a word is follows its counter. A fixed size, 4 MB, whatever the corpus.
 SLOTS = 1 << 20
+#: Similar sets must meet once, and once more for so many words of the smaller one: sketches tell small sets apart, but not large ones.
+MORE = 64
 #: Keeps whole numbers whole when sizes are multiplied by a threshold.
 EPSILON = 1e-9
 
@@ -62,12 +64,12 @@ def word_counts(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
-    """(id, n, at, word, last, rest, many, s0 to s3): the rarest words of each set, as many as a similar set cannot lack all of.
+    """(id, n, at, word, many, s0 to s3): the rarest words of each set, as many as a similar set cannot lack all of.
 
     A set of n words that shares at least ceil(t * n) with another has one of its first n - ceil(t * n) + 1 words in common, in
     any order of words that is the same for all sets; rarest first keeps the groups of equal words small. Words are ordered by
-    their counter, then by a hash. ``last`` rises with the place of the prefix's last word in that order, ``rest`` counts the words
-    behind it, ``many`` marks words that more than ``cell`` sets may have, and the rest is the sketch of the whole set.
+    their counter, then by a hash. ``at`` is a word's place in that order, ``many`` marks words that more than ``cell`` sets may have, and the
+    rest is the sketch of the whole set.
     """
     counts = word_counts(sets)
 
@@ -86,23 +88,17 @@ def prefixes(sets: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
             one = np.uint64(1) << (bit & np.uint64(63))
             sketch = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), starts) if len(row) else one for k in range(len(LANES))]
             size = sizes - np.ceil(sizes * threshold - EPSILON).astype(np.int64) + 1
-            # A whole number that never falls as the order goes on: the counter, and the hash while the counter has room.
-            few = np.minimum(seen, 0xFFFF).astype(np.int64)
-            rank = few << 15 | np.where(few < 0xFFFF, mixed >> np.uint64(49), 0).astype(np.int64)
-            held = np.bincount(row, minlength=len(lists))
-            end = starts + np.minimum(size, held) - 1
-            last = rank[end] if len(row) else end
             # A word that stands once in all sets can't be shared, but it fills the prefix.
             on = np.flatnonzero((at < size[row]) & (seen > 1))
             mine = row[on]
             columns = [
-                batch.column(0).take(pa.array(mine)), sizes[mine].astype(np.int32), at[on].astype(np.int32), words[on], last[mine].astype(np.int32), np.maximum(sizes - size, 0)[mine].astype(np.int32), seen[on] > cell,
+                batch.column(0).take(pa.array(mine)), sizes[mine].astype(np.int32), at[on].astype(np.int32), words[on], seen[on] > cell,
                 *[lane[mine].view(np.int64) for lane in sketch],
             ]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
-    names = ["id", "n", "at", "word", "last", "rest", "many", *LANES]
-    kinds = [sets.schema["id"].dataType, T.IntegerType(), T.IntegerType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.BooleanType(), *[T.LongType()] * len(LANES)]
+    names = ["id", "n", "at", "word", "many", *LANES]
+    kinds = [sets.schema["id"].dataType, T.IntegerType(), T.IntegerType(), T.LongType(), T.BooleanType(), *[T.LongType()] * len(LANES)]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
     rows = sets.where("id IS NOT NULL AND size(array_compact(words)) > 0").select("id", F.size("words").cast("long").alias("n"), F.array_compact("words").alias("words"))
     return rows.mapInArrow(fronts, schema)
@@ -125,35 +121,46 @@ def _folded(threshold: float) -> list[Column]:
     return [pick(a, b, c).cast("long").alias(name) for a, b, c, name in zip(narrow, middle, (s0, s1, s2, s3), LANES)]
 
 
-def candidate_pairs(front: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
-    """(a, b, place): sets whose sizes and prefixes allow the similarity, and where they meet; a is the larger set.
+def meetings(front: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """(a, b, place, more): sets whose sizes and prefixes allow the similarity, at every word where they may still meet; a is the larger set.
 
     Sizes fall into classes whose borders are a factor of 1/t apart, so a set meets its own class and the next smaller one. The sets of a
-    word and class are dealt to cells when they are many; every two cells meet in a task of their own. The place is a hash of a
-    common prefix word, the least of them, so that sets alike meet in few places.
+    word and class are dealt to cells when they are many; every two cells meet in a task of their own. A meeting counts if the words from
+    it on are as many in both sets as must be common, but for ``more``: so they are at the first ``more`` + 1 common words of similar sets.
+    A row is only dealt where its place leaves room with the smallest partner there is. ``place`` is a hash of the word.
     """
     grown = F.col("n") if threshold == 1 else F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + EPSILON)
     one = materialize(front, "set-prefixes").withColumn("class", grown.cast("int"))
-    # Each set offers itself to its own class and, as the larger one, to the class below.
-    larger = one.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
-    both = _celled(one.withColumn("side", F.lit(0)).unionByName(larger.withColumn("side", F.lit(1))), 2 * cell)
-    both = both.select("id", "n", "at", "word", "last", "rest", "side", "class", "cells", "cell", *_folded(threshold))
+    # The words that two sets must share, and whether a row leaves room for them with partners of a size and above.
+    need = lambda m, n: _at_least((m + n) * (threshold / (1 + threshold)))
+    roomy = lambda size: F.col("n") - F.col("at") >= need(F.col("n"), size) - F.floor(F.col("n") / MORE)
+    # Each set offers itself to its own class and, as the larger one, to the class below, which has sizes down to the threshold.
+    below = F.col("n") * threshold
+    own = F.greatest(below, F.lit(0.0) if threshold == 1 else F.pow(F.lit(1 / threshold), F.col("class") - 1e-6))
+    larger = one.where(roomy(own)).unionByName(one.where(roomy(below)).withColumn("class", F.col("class") - 1))
+    both = _celled(one.where(roomy(F.col("n"))).withColumn("side", F.lit(0)).unionByName(larger.withColumn("side", F.lit(1))), 2 * cell)
+    both = both.select("id", "n", "at", "word", "side", "class", "cells", "cell", *_folded(threshold))
     cells = F.sequence(F.lit(0), F.col("cells") - 1)
-    facts = lambda side: (F.struct("n", "id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("at", "last", "rest", *LANES)])
+    facts = lambda side: (F.struct("n", "id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("at", *LANES)])
     small = both.where("side = 0").withColumn("other", F.explode(cells)).select("word", "class", F.col("cell").alias("i"), F.col("other").alias("j"), *facts("s"))
     large = both.where("side = 1").withColumn("other", F.explode(cells)).select("word", "class", F.col("other").alias("i"), F.col("cell").alias("j"), *facts("l"))
-    need = _at_least((F.col("s.n") + F.col("l.n")) * (threshold / (1 + threshold)))
+    least = need(F.col("s.n"), F.col("l.n"))
     left = F.least(F.col("s.n") - F.col("s_at"), F.col("l.n") - F.col("l_at"))
-    # What the prefix that ends first shares, it shares with the other prefix; only its own rest can be common besides.
-    rest = F.when(F.col("s_last") < F.col("l_last"), F.col("s_rest")).when(F.col("s_last") > F.col("l_last"), F.col("l_rest"))
-    rest = F.coalesce(rest, F.greatest("s_rest", "l_rest"))
+    # The prefix of the larger set reaches so far behind the first common word, however little of the rest is common.
+    more = F.least(F.floor(F.col("s.n") / MORE).cast("int"), least - _at_least(F.col("l.n") * threshold))
     differ = sum((F.bit_count(F.col(f"s_{k}").bitwiseXOR(F.col(f"l_{k}"))) for k in LANES), F.lit(0))
-    fits = (F.col("s") < F.col("l")) & (F.col("s.n") >= _at_least(F.col("l.n") * threshold)) & (differ <= F.col("s.n") + F.col("l.n") - 2 * need)
+    fits = (F.col("s") < F.col("l")) & (F.col("s.n") >= _at_least(F.col("l.n") * threshold)) & (left >= least - more) & (differ <= F.col("s.n") + F.col("l.n") - 2 * least)
     met = small.join(large, ["word", "class", "i", "j"]).where(fits)
-    met = met.select(F.col("l.id").alias("a"), F.col("s.id").alias("b"), F.hash("word").alias("place"), (left >= need).alias("room"), (need - rest).alias("least"))
-    pairs = met.groupBy("a", "b").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"), F.min("least").alias("least"))
-    # The first common word has the most room behind it.
-    return pairs.where("room AND shared >= least").select("a", "b", "place")
+    return met.select(F.col("l.id").alias("a"), F.col("s.id").alias("b"), F.hash("word").alias("place"), more.alias("more"))
+
+
+def candidate_pairs(front: DataFrame, threshold: float, cell: int = CELL) -> DataFrame:
+    """(a, b, place): sets that meet as often as similar ones must, and where; a is the larger set.
+
+    The place is a hash of a word that they meet at, the least of them, so that sets alike meet in few places.
+    """
+    pairs = meetings(front, threshold, cell).groupBy("a", "b").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"), F.min("more").alias("more"))
+    return pairs.where("times > more").select("a", "b", "place")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, members: int, marks: DataFrame | None = None) -> DataFrame:

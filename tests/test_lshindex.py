@@ -134,6 +134,37 @@ def test_sets_alike_are_shuffled_once_and_not_for_every_pair(spark, tmp_path):
     assert setjoin.similar_sets(sets, 0.85).count() == 780
 
 
+def test_sets_alike_meet_at_their_first_words_only(spark):
+    """Of the 14 common words in the prefixes of sets of 102 words the last 6 leave no room for 94 common ones: 780 pairs, 8 meetings each."""
+    base = list(range(1000, 1100))
+    sets = spark.createDataFrame([(i, [*base, i, i + 500]) for i in range(40)], "id long, words array<long>")
+    front = setjoin.prefixes(sets, 0.85)
+    assert front.where("word >= 1000").count() == 40 * 14
+    assert setjoin.meetings(front, 0.85).where("place IS NOT NULL").count() <= 780 * 8
+    assert setjoin.candidate_pairs(front, 0.85).count() == 780
+
+
+@pytest.mark.parametrize("threshold,cell", [(0.85, 4096), (0.85, 4), (0.5, 4096)])
+def test_large_sets_that_must_meet_often_are_all_found(spark, threshold, cell):
+    """Sets of up to 1,000 words at and about the threshold: words left out, added, put in place of others, first or last in order."""
+    rng = random.Random(cell)
+    sets = {}
+    for n in (63, 64, 128, 200, 500, 1000):
+        base = rng.sample(range(10**6), n)
+        sets[len(sets)] = set(base)
+        lost, changed = int((1 - threshold) * n), int((1 - threshold) / (1 + threshold) * n)
+        for k in (-1, 0, 1):
+            for order in (base, sorted(base), rng.sample(base, n)):
+                sets[len(sets)] = set(order[lost + k :])
+                sets[len(sets)] = set(order[changed + k :]) | {rng.randrange(10**6, 10**7) for _ in range(changed + k)}
+                sets[len(sets)] = set(base) | {rng.randrange(10**6, 10**7) for _ in range(int(n / threshold) - n + k)}
+    df = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, words array<long>")
+    got = {(r.a, r.b): r.similarity for r in setjoin.similar_sets(df, threshold, cell).collect()}
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {pair: x for pair, x in like.items() if x >= threshold}
+    assert len(want) > 50 and got == pytest.approx(want)
+
+
 def test_prefixes_that_share_too_little_are_no_candidates(spark):
     """One rare word in common does not make two sets a pair that is looked at."""
     rows = [(i, [7, *range(1000 * (i + 1), 1000 * (i + 1) + 150)]) for i in range(30)]
