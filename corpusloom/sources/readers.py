@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,24 @@ def scan_files_by_ext(spark: SparkSession, roots: str | list[str], ext: str) ->
 
 
 def scan_whole_files(spark: SparkSession, roots: str | list[str], ext: str) -> DataFrame:
-    """(filepath, content): one row per file, over all roots."""
+    """(filepath, content): one row per file, over all roots.
+
+    The text reader copies the job's settings for every file, which for small ones takes longer than reading them. It is
+    left to those it may have to decompress.
+    """
     paths = [roots] if isinstance(roots, str) else roots
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ext}")
-    texts = files.text(paths, wholetext=True)
-    return texts.select(F.col("_metadata.file_path").alias("filepath"), F.col("value").alias("content"))
+    if _compressed(spark, ext):
+        texts, content = files.text(paths, wholetext=True), F.col("value")
+    else:
+        texts, content = files.format("binaryFile").load(paths), F.col("content").cast("string")
+    return texts.select(F.col("_metadata.file_path").alias("filepath"), content.alias("content"))
+
+
+def _compressed(spark: SparkSession, ext: str) -> bool:
+    """Whether names that end in ``ext`` may belong to a codec: it has one, is a pattern, or less than a whole ending."""
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+    return not re.fullmatch(r"(\.\w+)+", ext) or codecs.getCodec(spark._jvm.org.apache.hadoop.fs.Path(f"x{ext}")) is not None
 
 
 def scan_parquet_glob(spark: SparkSession, pattern: str, columns: list[str] | None = None) -> DataFrame:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLES_PER_FILE = 100_000
+#: The folder Spark's writers give to rows whose key is null.
+NULL_KEY = "__HIVE_DEFAULT_PARTITION__"
 
 
 def sink_dataset(df: DataFrame, path: str, split: str | None = "split", mode: str = "overwrite") -> None:
@@ -39,3 +48,41 @@ def sink_text_render(df: DataFrame, path: str, text: Column | str, order: list[s
 def sample_text() -> Column:
     """An extracted function with its comment and register line."""
     return F.concat(F.col("comment"), F.col("body"), F.lit("\n"), F.col("register"))
+
+
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder in the local file system, which tasks can open by themselves; None in any other store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _put_files(root: str):
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, made = f"part-{task.partitionId():05d}.txt", 0
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for folder, lines in groupby(rows, itemgetter(0)):
+            os.makedirs(f"{root}/{folder}", exist_ok=True)
+            # Put in place when complete: another attempt of the task may be writing the same file. Scans skip names that begin with a dot.
+            with open(begun := f"{root}/{folder}/.{name}.{task.taskAttemptId()}", "wb") as file:
+                file.writelines((line or b"") + b"\n" for _, line in lines)
+            os.replace(begun, f"{root}/{folder}/{name}")
+            made += 1
+        yield pa.RecordBatch.from_pydict({"made": pa.array([made], pa.int64())})
+
+    return put
+
+
+def sink_file_per_key(df: DataFrame, path: str, key: str, text: str = "value") -> None:
+    """A folder ``key=...`` for each whole-number key with its texts, a line each, in a file for each task that has some.
+
+    Spark's writer starts several processes for each file it makes in a local folder, to set its mode: there, tasks write the files.
+    """
+    if (root := local_folder(df.sparkSession, path)) is None:
+        writer = df.select(text, key).write.option("compression", "none").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        return writer.partitionBy(key).text(path)
+    os.makedirs(root, exist_ok=True)
+    folder = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY)))
+    rows = df.sortWithinPartitions(key).select(folder.alias("folder"), F.col(text).cast("binary").alias("text"))
+    rows.mapInArrow(_put_files(root), "made bigint").write.format("noop").mode("overwrite").save()

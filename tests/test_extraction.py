@@ -1,7 +1,9 @@
+import gzip
 import json
 import re
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import luafunctions as lf
@@ -167,3 +169,39 @@ def test_api_files_are_made_by_several_tasks(spark, small, tmp_path, monkeypatch
     n = QUERIES["scan_api_json"](spark, small).select("file").distinct().count()
     made = list(tmp_path.glob("api/text/part=*/part-*.txt"))
     assert len(made) == n and len({f.name[:10] for f in made}) > 1
+
+
+def test_api_files_in_a_local_folder_are_written_by_the_tasks(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(evaluation, "fresh_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    assert QUERIES["scan_api_json"](spark, small).count() == len(list(tmp_path.glob("api/text/part=*/part-*.txt"))) > 0
+    # Hadoop's local file system puts a checksum beside each file it makes, and starts processes to set the mode of both.
+    assert not list(tmp_path.glob("api/text/part=*/.*"))
+
+
+def test_api_files_of_an_empty_table(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/part.parquet").limit(0).write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["scan_api_json"](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_a_file_per_key(spark, tmp_path, monkeypatch, local):
+    if not local:
+        monkeypatch.setattr(writers, "local_folder", lambda spark, path: None)
+    rows = [(5, "a\u00e9"), (None, "n"), (-3, "m"), (5, "b"), (7, None)]
+    df = spark.createDataFrame(rows, "key bigint, value string").coalesce(1)
+    writers.sink_file_per_key(df, f"file://{tmp_path}/a b", "key")
+    got = {f.parent.name: f.read_bytes().decode() for f in tmp_path.glob("a b/key=*/part-*.txt")}
+    assert got == {"key=5": "a\u00e9\nb\n", "key=__HIVE_DEFAULT_PARTITION__": "n\n", "key=-3": "m\n", "key=7": "\n"}
+
+
+def test_whole_files_by_either_reader(spark, tmp_path):
+    texts = {"a b%.x.json": b"\xef\xbb\xbf{\r\n}", "deep/c.json": b"\xff\xfe \xe9", "empty.json": b"", "d.json.gz": gzip.compress(b"zipped"), "_e.json": b"hidden"}
+    for name, text in texts.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(text)
+    root = f"{tmp_path}/in"
+    plain, wide, zipped = (readers.scan_whole_files(spark, root, ext) for ext in (".json", "json", ".gz"))
+    assert ["content:binary" in df._jdf.queryExecution().toString() for df in (plain, wide, zipped)] == [True, False, False]
+    got, want = ([tuple(r) for r in df.select("filepath", F.hex("content")).orderBy("filepath").collect()] for df in (plain, wide))
+    assert got == want and [c for _, c in got] == [texts[n].hex().upper() for n in ("a b%.x.json", "deep/c.json")]
+    assert [r.content for r in zipped.collect()] == ["zipped"]
