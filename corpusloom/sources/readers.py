@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import col, quoted, strip
+from corpusloom.session import fresh_path
 
 ARGS = "array<struct<name:string,type:string,comment:string>>"
 API_ENTRY = f"struct<description:string,function_name:string,args:{ARGS},return:struct<type:string,comment:string>,example:string>"
 SEPARATOR = "-----------"
+MOST_FILES, MOST_FOLDERS = 250_000, 10_000
 
 
 def scan_files_by_ext(spark: SparkSession, roots: str | list[str], ext: str) -> DataFrame:
@@ -71,7 +74,59 @@ def api_entries(files: DataFrame, path: str = "filepath", content: str = "conten
 
 
 def scan_api_json(spark: SparkSession, roots: str | list[str], ext: str = ".json") -> DataFrame:
-    return api_entries(scan_whole_files(spark, roots, ext))
+    """``api_entries`` of all files under the roots that end in ``ext``.
+
+    The driver holds about a kilobyte for each file of a scan, so more than MOST_FILES are scanned in parts, whose entries are
+    written to the shared folder.
+    """
+    parts = in_parts(spark, [roots] if isinstance(roots, str) else roots)
+    scans = (api_entries(scan_whole_files(spark, part, ext)) for part in parts)
+    if len(parts) == 1:
+        return next(scans)
+    path = fresh_path(spark, "api_entries")
+    for entries in scans:
+        entries.coalesce(max(64, spark.sparkContext.defaultParallelism)).write.mode("append").parquet(path)
+    return spark.read.schema(entries.schema).parquet(path)
+
+
+def in_parts(spark: SparkSession, roots: list[str]) -> list[list[str]]:
+    """The roots as one part, or, when they hold more than MOST_FILES files, their folders in parts of about as many.
+
+    A folder with more is taken apart if it has nothing but folders, at most MOST_FOLDERS.
+    """
+    conf, path_of = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+
+    def weight(path: str) -> int:
+        return path_of(path).getFileSystem(conf).getContentSummary(path_of(path)).getFileCount()
+
+    def folders(path: str) -> list[str]:
+        found, inside = path_of(path).getFileSystem(conf).listStatus(path_of(path)), []
+        for x in found if len(found) <= MOST_FOLDERS else ():
+            if re.match(r"[.]|_(?!metadata|common_metadata)[^=]*$", x.getPath().getName()):
+                continue  # as scans do
+            if not x.isDirectory():
+                return []
+            inside.append(x.getPath().toString())
+        return inside
+
+    paths = [x.getPath().toString() for r in roots for x in path_of(r).getFileSystem(conf).globStatus(path_of(r)) or ()]
+    parts, held = [[]], 0
+    with ThreadPoolExecutor(8) as pool:
+        todo = [*zip(paths, pool.map(weight, paths), strict=True)]
+        if sum(n for _, n in todo) <= MOST_FILES:
+            return [roots]
+        while todo:
+            path, n = todo.pop()
+            inside = folders(path) if n > MOST_FILES else []
+            if inside:
+                todo += zip(inside, [n] if len(inside) == 1 else pool.map(weight, inside), strict=True)
+                continue
+            if parts[-1] and held + n > MOST_FILES:
+                parts.append([])
+                held = 0
+            parts[-1].append(re.sub(r"([\\{}\[\]*?])", r"\\\1", path))
+            held += n
+    return parts
 
 
 def _segment(record: Column, i: int) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLES_PER_FILE = 100_000
-#: The folder Spark's writers give to rows whose key is null.
+FILES_PER_FOLDER = 1000
+#: The name Spark's writers give to a null key.
 NULL_KEY = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -59,15 +60,17 @@ def local_folder(spark: SparkSession, path: str) -> str | None:
 
 def _put_files(root: str):
     def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        name, made = f"part-{task.partitionId():05d}.txt", 0
+        task, made = TaskContext.get(), 0
+        part = f"{task.partitionId():05d}"
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for folder, lines in groupby(rows, itemgetter(0)):
-            os.makedirs(f"{root}/{folder}", exist_ok=True)
+        for key, lines in groupby(rows, itemgetter(0)):
+            folder = f"{root}/part=t{part}.{made // FILES_PER_FOLDER}"
+            if made % FILES_PER_FOLDER == 0:
+                os.makedirs(folder, exist_ok=True)
             # Put in place when complete: another attempt of the task may be writing the same file. Scans skip names that begin with a dot.
-            with open(begun := f"{root}/{folder}/.{name}.{task.taskAttemptId()}", "wb") as file:
+            with open(begun := f"{folder}/.{key}.{task.taskAttemptId()}", "wb") as file:
                 file.writelines((line or b"") + b"\n" for _, line in lines)
-            os.replace(begun, f"{root}/{folder}/{name}")
+            os.replace(begun, f"{folder}/part-{part}-{key}.txt")
             made += 1
         yield pa.RecordBatch.from_pydict({"made": pa.array([made], pa.int64())})
 
@@ -75,14 +78,20 @@ def _put_files(root: str):
 
 
 def sink_file_per_key(df: DataFrame, path: str, key: str, text: str = "value") -> None:
-    """A folder ``key=...`` for each whole-number key with its texts, a line each, in a file for each task that has some.
+    """The texts of each whole-number key, a line each, in a text file for each task that has some; ``file_key`` tells a file's key.
 
-    Spark's writer starts several processes for each file it makes in a local folder, to set its mode: there, tasks write the files.
+    Spark's writer makes a folder for each key, and in a local folder starts several processes for each file, to set its mode.
+    There, tasks write the files, some to a folder.
     """
     if (root := local_folder(df.sparkSession, path)) is None:
         writer = df.select(text, key).write.option("compression", "none").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         return writer.partitionBy(key).text(path)
     os.makedirs(root, exist_ok=True)
-    folder = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY)))
-    rows = df.sortWithinPartitions(key).select(folder.alias("folder"), F.col(text).cast("binary").alias("text"))
+    name = F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit(NULL_KEY)))
+    rows = df.sortWithinPartitions(key).select(name.alias("name"), F.col(text).cast("binary").alias("text"))
     rows.mapInArrow(_put_files(root), "made bigint").write.format("noop").mode("overwrite").save()
+
+
+def file_key(path: str, key: str) -> Column:
+    """The key of a file of ``sink_file_per_key`` as text; blank unless it is a whole number from 0 on."""
+    return F.regexp_extract(path, rf"[/-]{key}=(\d+)(?:/[^/]*|\.txt)$", 1)

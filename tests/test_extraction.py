@@ -189,9 +189,11 @@ def test_a_file_per_key(spark, tmp_path, monkeypatch, local):
         monkeypatch.setattr(writers, "local_folder", lambda spark, path: None)
     rows = [(5, "a\u00e9"), (None, "n"), (-3, "m"), (5, "b"), (7, None)]
     df = spark.createDataFrame(rows, "key bigint, value string").coalesce(1)
+    monkeypatch.setattr(writers, "FILES_PER_FOLDER", 3)
     writers.sink_file_per_key(df, f"file://{tmp_path}/a b", "key")
-    got = {f.parent.name: f.read_bytes().decode() for f in tmp_path.glob("a b/key=*/part-*.txt")}
-    assert got == {"key=5": "a\u00e9\nb\n", "key=__HIVE_DEFAULT_PARTITION__": "n\n", "key=-3": "m\n", "key=7": "\n"}
+    files = readers.scan_whole_files(spark, f"file://{tmp_path}/a b", ".txt").withColumn("key", writers.file_key("filepath", "key"))
+    assert sorted((r.key, r.content) for r in files.collect()) == [("", "m\n"), ("", "n\n"), ("5", "a\u00e9\nb\n"), ("7", "\n")]
+    assert len(list(tmp_path.glob("a b/*=*"))) == (2 if local else 4)
 
 
 def test_whole_files_by_either_reader(spark, tmp_path):
@@ -205,3 +207,21 @@ def test_whole_files_by_either_reader(spark, tmp_path):
     got, want = ([tuple(r) for r in df.select("filepath", F.hex("content")).orderBy("filepath").collect()] for df in (plain, wide))
     assert got == want and [c for _, c in got] == [texts[n].hex().upper() for n in ("a b%.x.json", "deep/c.json")]
     assert [r.content for r in zipped.collect()] == ["zipped"]
+
+
+def test_api_files_of_a_large_tree_are_scanned_in_parts(spark, tmp_path, monkeypatch):
+    for k in range(30):
+        at = tmp_path / "in" / ("only" if k < 20 else "other [1]{a}") / f"f {k % 5}*" / f"{k}.json"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(json.dumps({"p": [{"function_name": f"f{k}"}, {"function_name": f"g{k}"}]}))
+    (tmp_path / "in" / "_skipped").mkdir()
+    (tmp_path / "in" / "_skipped" / "x.json").write_text(json.dumps({"p": [{"function_name": "x"}]}))
+    (tmp_path / "in" / "other [1]{a}" / "_metadata.json").write_text(json.dumps({"p": [{"function_name": "m"}]}))
+    whole = readers.scan_api_json(spark, f"{tmp_path}/in")
+    monkeypatch.setattr(readers, "MOST_FILES", 8)
+    assert sorted(len(p) for p in readers.in_parts(spark, [f"{tmp_path}/in"])) == [1, 1, 2, 2]
+    assert readers.in_parts(spark, [f"{tmp_path}/none"]) == [[f"{tmp_path}/none"]]
+    for root in (f"{tmp_path}/in", [f"{tmp_path}/in/on*", f"{tmp_path}/in/ot*"]):
+        parts = readers.scan_api_json(spark, root)
+        assert parts.dtypes == whole.dtypes and sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+    assert whole.count() == 60
